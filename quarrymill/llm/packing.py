@@ -68,14 +68,15 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[t
 
     def best_pair(room: int, j: int) -> int:
         """The largest sum, up to room, of two pieces beside j."""
-        lo, hi, best = 0, bisect.bisect_right(sizes, room) - 1, 0
+        there = [k for k in sizes[: bisect.bisect_right(sizes, room)] if left[k] > (k == j)]
+        lo, hi, best = 0, len(there) - 1, 0
         while lo <= hi:
-            a, b = sizes[lo], sizes[hi]
+            a, b = there[lo], there[hi]
             if a + b > room:
                 hi -= 1
             else:
-                ok = left[a] - (a == j) > 0 and left[b] - (b == j) - (a == b) > 0
-                best = max(best, a + b) if ok else best
+                if lo < hi or left[a] - (a == j) > 1:
+                    best = max(best, a + b)
                 lo += 1
         return best
 
