@@ -5,16 +5,19 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text that a Python task works on at once; longer single texts are worked on alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Size of the Arrow batches that go to a Python worker, unless one row is larger.
+BATCH_BYTES = 8 << 20
 #: Most ids that a semi or anti join may broadcast (eight bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -37,6 +40,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most BATCH_BYTES, so that long texts don't add up in a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -79,13 +88,6 @@ def offsets(lengths: list[int]) -> np.ndarray:
     return out
 
 
-def segment_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Sums of ``values[at[i]:at[i+1]]``, exact for integers, zero for empty runs."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]), values.dtype)
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[at[1:]] - total[at[:-1]]
-
-
 def gapless_rank(df: DataFrame, group: list[Column], order: list[str], buckets: int) -> DataFrame:
     """Adds ``rank_in_group``: 0, 1, ... in each group, without a window over a whole group.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import materialize, offsets, segment_sums, slices, utf8
+from quarrymill.llm.common import map_arrow, materialize, offsets, slices, utf8
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -234,11 +234,10 @@ def _scan(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int)
     for block in _blocks(benchmark, window, block_words):
         if out is not None:
             out = materialize(out, "marks")
-        out = (docs if out is None else out).mapInArrow(
-            _marks(spark.sparkContext.broadcast(block), out is not None), schema
-        )
+        marks = _marks(spark.sparkContext.broadcast(block), out is not None)
+        out = map_arrow(docs if out is None else out, marks, schema)
     if out is None:
-        out = docs.mapInArrow(_marks(spark.sparkContext.broadcast(Block([], window)), False), schema)
+        out = map_arrow(docs, _marks(spark.sparkContext.broadcast(Block([], window)), False), schema)
     return out
 
 
@@ -256,7 +255,8 @@ def contamination(
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     marked = _scan(docs.select("doc_id", "text"), benchmark, window, block_words)
-    return marked.select("doc_id", "n_words", "spans", "items", "longest").mapInArrow(
+    return map_arrow(
+        marked.select("doc_id", "n_words", "spans", "items", "longest"),
         _report,
         f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
         "longest_match long, longest_at long, longest_item string",

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import materialize, offsets, slices, utf8, with_ids
+from quarrymill.llm.common import map_arrow, materialize, offsets, slices, utf8, with_ids
 from quarrymill.llm.components import connected_components
 
 SHINGLE, PERCENT = 4, 80
@@ -37,25 +37,22 @@ _WORD = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(
 
 
 class _Hashes(dict):
-    """64-bit hashes of words, kept for words seen lately."""
+    """64-bit hashes of words, kept for words seen lately in a task."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_hashes = _Hashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], size: int = SHINGLE, hashes: _Hashes | None = None) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the ``size``-word shingles of each text.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. A text of fewer words is one
@@ -63,7 +60,8 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     """
     words = [t.lower().split() for t in texts]  # on bytes both touch ASCII only
     at = offsets([len(w) for w in words])
-    h = np.fromiter((_hashes[w] for ws in words for w in ws), np.uint64, int(at[-1]))
+    hash_of = (_Hashes() if hashes is None else hashes).__getitem__
+    h = np.fromiter((hash_of(w) for ws in words for w in ws), np.uint64, int(at[-1]))
     n = max(0, len(h) - size + 1)
     windows = np.zeros(n, np.uint64)
     for j in range(size):
@@ -91,9 +89,10 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
 
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = shingle_sets(utf8(part, "text"), size)
+                sets = shingle_sets(utf8(part, "text"), size, hashes)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -110,8 +109,8 @@ def _sketch(size: int):
 def sketch(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, set_id, signature) of each row of ``docs``; set_id is equal for equal sets."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        _sketch(size), f"doc_id {kind}, n_shingles long, set_id binary, signature binary"
+    return map_arrow(
+        docs.select("doc_id", "text"), _sketch(size), f"doc_id {kind}, n_shingles long, set_id binary, signature binary"
     )
 
 
@@ -146,12 +145,13 @@ def _near(limit: int):
 def _confirm(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
+        hashes = _Hashes()
         for batch in batches:
             for part in slices(batch, "text_a", "text_b"):
                 keep = []
-                for x, t in zip(utf8(part, "text_a"), shingle_sets(utf8(part, "text_b"), size), strict=True):
+                for x, t in zip(utf8(part, "text_a"), shingle_sets(utf8(part, "text_b"), size, hashes), strict=True):
                     if x != last[0]:
-                        last = (x, shingle_sets([x], size)[0])
+                        last = (x, shingle_sets([x], size, hashes)[0])
                     both = len(np.intersect1d(last[1], t, assume_unique=True))
                     keep.append(both > 0 and 100 * both >= percent * (len(last[1]) + len(t) - both))
                 yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
@@ -168,7 +168,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     texts = with_ids(docs.select("doc_id", "text"), ids, "doc_id", "left_semi")
     side = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"text_{n}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(_confirm(size, percent), f"a {kind}, b {kind}").distinct()
+    return map_arrow(joined, _confirm(size, percent), f"a {kind}, b {kind}").distinct()
 
 
 def similar_links(docs: DataFrame, sketches: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -180,7 +180,7 @@ def similar_links(docs: DataFrame, sketches: DataFrame, size: int = SHINGLE, per
         .agg(F.min("doc_id").alias("doc_id")),
         "reps",
     )
-    keyed = reps.select("doc_id", "signature").mapInArrow(_keys, f"key long, doc_id {kind}")
+    keyed = map_arrow(reps.select("doc_id", "signature"), _keys, f"key long, doc_id {kind}")
     shared = (
         keyed.groupBy("key")
         .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last"))
@@ -192,7 +192,7 @@ def similar_links(docs: DataFrame, sketches: DataFrame, size: int = SHINGLE, per
 
     def near(pairs: DataFrame) -> DataFrame:
         signed = pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sig_a", "sig_b")
-        return signed.mapInArrow(_near(LIMIT), f"a {kind}, b {kind}").distinct()
+        return map_arrow(signed, _near(LIMIT), f"a {kind}, b {kind}").distinct()
 
     stars = members.where(F.col("a") < F.col("doc_id")).select("a", F.col("doc_id").alias("b")).distinct()
     first = materialize(confirm(materialize(near(stars), "stars"), docs, size, percent), "links")

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import offsets, segment_sums, slices, utf8
+from quarrymill.llm.common import map_arrow, offsets, slices, utf8
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 32, 4, 2
 #: Labelled rows that the network is fitted on at most: those with the smallest hash of doc_id.
@@ -37,37 +37,34 @@ def index_vectors() -> np.ndarray:
 
 class _Buckets(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = b = zlib.crc32(word) % BUCKETS
         return b
 
 
-_buckets = _Buckets()
-
-
-def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _words(part: pa.RecordBatch, buckets: _Buckets) -> tuple[np.ndarray, np.ndarray]:
     texts = [t.split() for t in utf8(part, "text")]
     at = offsets([len(ws) for ws in texts])
-    return np.fromiter((_buckets[w] for ws in texts for w in ws), np.int64, int(at[-1])), at
+    return np.fromiter((b for ws in texts for b in map(buckets.__getitem__, ws)), np.int64, int(at[-1])), at
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = index_vectors().astype(np.int32)
+    index, buckets = index_vectors(), _Buckets()
     total = np.zeros((BUCKETS, DIMS), np.int64)
     for batch in batches:
         for part in slices(batch, "text"):
-            w, at = _words(part)
+            w, at = _words(part, buckets)
             if not len(w):
                 continue
             # REACH empty places between texts, so that no text is another's context
             place = np.arange(len(w)) + REACH * (np.repeat(np.arange(len(at) - 1), np.diff(at)) + 1)
-            spread = np.zeros((len(w) + REACH * len(at), DIMS), np.int32)
+            spread = np.zeros((len(w) + REACH * len(at), DIMS), np.int8)
             spread[place] = index[w]
-            near = sum(spread[place + k] for k in range(-REACH, REACH + 1) if k)
+            near = sum(np.roll(spread, k, axis=0) for k in range(-REACH, REACH + 1) if k)[place]  # 2 * REACH at most
             order = np.argsort(w, kind="stable")
             start = np.flatnonzero(np.diff(w[order], prepend=-1))
-            total[w[order][start]] += np.add.reduceat(near[order], start, axis=0)
+            total[w[order][start]] += np.add.reduceat(near[order].astype(np.int32), start, axis=0)
     there = np.flatnonzero(total.any(axis=1))
     if len(there):
         flat = pa.array(total[there].reshape(-1))
@@ -80,7 +77,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit vectors by bucket (BUCKETS x DIMS), from all texts; buckets without a context are zero."""
     sums = [F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIMS)]
-    got = docs.select("text").mapInArrow(_contexts, "bucket int, v array<long>").groupBy("bucket").agg(*sums).toArrow()
+    got = map_arrow(docs.select("text"), _contexts, "bucket int, v array<long>").groupBy("bucket").agg(*sums).toArrow()
     out = np.zeros((BUCKETS, DIMS), np.float64)
     if got.num_rows:
         out[got.column("bucket").to_numpy()] = np.stack([got.column(f"v{i}").to_numpy() for i in range(DIMS)], axis=1)
@@ -89,20 +86,22 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 def pooled(w: np.ndarray, at: np.ndarray, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
     """Features of each text: mean, spread, norm of the mean, norm of the mean index vector, has words."""
-    n = np.maximum(np.diff(at), 1)[:, None]
-    v = vectors[w].astype(np.float64)
-    mean = segment_sums(v, at) / n
-    spread = np.sqrt(np.maximum(segment_sums(v * v, at) / n - mean**2, 0))
-    own = segment_sums(index[w].astype(np.int64), at) / n
-    return np.hstack(
-        [
-            mean,
-            spread,
-            np.linalg.norm(mean, axis=1, keepdims=True),
-            np.linalg.norm(own, axis=1, keepdims=True),
-            (np.diff(at) > 0).astype(np.float64)[:, None],
-        ]
-    )
+    out = np.zeros((len(at) - 1, 2 * DIMS + 3))
+    for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        if a == b:
+            continue
+        total, squares, own = np.zeros(DIMS), np.zeros(DIMS), np.zeros(DIMS)
+        for k in range(a, b, 4096):
+            part = w[k : min(b, k + 4096)]
+            v = vectors[part]
+            total += v.sum(axis=0)
+            squares += np.einsum("ij,ij->j", v, v)
+            own += index[part].sum(axis=0, dtype=np.int32)
+        mean = total / (b - a)
+        out[i, :DIMS] = mean
+        out[i, DIMS : 2 * DIMS] = np.sqrt(np.maximum(squares / (b - a) - mean**2, 0))
+        out[i, 2 * DIMS :] = np.linalg.norm(mean), np.linalg.norm(own) / (b - a), 1
+    return out
 
 
 class Network:
@@ -165,10 +164,10 @@ def fold() -> Column:
 
 def _features(vectors: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors()
+        index, buckets = index_vectors(), _Buckets()
         for batch in batches:
             for part in slices(batch, "text"):
-                x = pooled(*_words(part), vectors.value, index)
+                x = pooled(*_words(part, buckets), vectors.value, index)
                 flat = pa.array(x.reshape(-1))
                 lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, x.shape[1], dtype=np.int32), flat)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), lists], ["doc_id", "y", "x"])
@@ -193,7 +192,7 @@ class Classifier:
         known = docs.select("doc_id").distinct().join(y, "doc_id").where(fold() != 0)
         chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)  # a bounded table
         rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        got = rows.mapInArrow(_features(self.vectors), f"doc_id {kind}, y double, x array<double>").toPandas()
+        got = map_arrow(rows, _features(self.vectors), f"doc_id {kind}, y double, x array<double>").toPandas()
         got = got.drop_duplicates("doc_id").sort_values("doc_id", kind="stable") if len(got) else got
         if not len(got):
             model = Constant(0.5)
@@ -210,7 +209,7 @@ class Classifier:
         A null doc_id is not held out. Repeated rows each get their row. Other columns are ignored.
         """
         kind = docs.schema["doc_id"].dataType.simpleString()
-        scored = docs.select("doc_id", "text").mapInArrow(_score(self.vectors, self.model), f"doc_id {kind}, score double")
+        scored = map_arrow(docs.select("doc_id", "text"), _score(self.vectors, self.model), f"doc_id {kind}, score double")
         return scored.select(
             "doc_id",
             F.coalesce(fold() == 0, F.lit(False)).alias("held_out"),
@@ -220,15 +219,15 @@ class Classifier:
 
     def keep_good(self, docs: DataFrame) -> DataFrame:
         """The rows of ``docs`` with a score of THRESHOLD or more, with all their columns."""
-        return docs.mapInArrow(_filter(self.vectors, self.model), docs.schema)
+        return map_arrow(docs, _filter(self.vectors, self.model), docs.schema)
 
 
 def _score(vectors: Broadcast, model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors()
+        index, buckets = index_vectors(), _Buckets()
         for batch in batches:
             for part in slices(batch, "text"):
-                p = model.value.probability(pooled(*_words(part), vectors.value, index))
+                p = model.value.probability(pooled(*_words(part, buckets), vectors.value, index))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
     return run
@@ -236,10 +235,10 @@ def _score(vectors: Broadcast, model: Broadcast):
 
 def _filter(vectors: Broadcast, model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors()
+        index, buckets = index_vectors(), _Buckets()
         for batch in batches:
             for part in slices(batch, "text"):
-                p = model.value.probability(pooled(*_words(part), vectors.value, index))
+                p = model.value.probability(pooled(*_words(part, buckets), vectors.value, index))
                 yield part.filter(pa.array(p >= THRESHOLD))
 
     return run

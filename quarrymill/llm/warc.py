@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import materialize, scratch_dir
+from quarrymill.llm.common import map_arrow, materialize, scratch_dir
 
 LEAST_BYTES, RECORDS_PER_FILE = 100, 2000
 DATE = "2024-01-01T00:00:00Z"
@@ -133,8 +133,8 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "long") -> Data
     headers.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    heads = files.mapInArrow(
-        _headers, "page_id string, own_bytes long, payload_digest string, record_type string, refers_to string"
+    heads = map_arrow(
+        files, _headers, "page_id string, own_bytes long, payload_digest string, record_type string, refers_to string"
     )
     heads = materialize(heads.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")}), "headers")
     wanted = heads.where("record_type = 'revisit'").select("refers_to", "payload_digest").distinct()
