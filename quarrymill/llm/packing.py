@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import gapless_rank, materialize, slices, utf8
+from quarrymill.llm.common import gapless_rank, map_arrow, materialize, slices, utf8
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
@@ -172,29 +174,43 @@ class Places:
 
 
 _encoders: dict[str, _Encoder] = {}
+#: A run of letters that the tokenizer's normalizer leaves alone, and the marks after it. The tokenizer cuts between
+#: the two, and takes a run of letters to its model whole.
+_PLAIN = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:;=?@\[-`{}~]*)")
 
 
 class _Encoder(dict):
-    """Token ids, as little-endian 32-bit numbers, of runs of anything but ASCII white space.
+    """Token ids, as little-endian 32-bit numbers, of lower-cased runs of anything but ASCII white space.
 
     The tokenizer never joins across white space, so a text's ids are those of its runs.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
+
+    def __missing__(self, run: bytes) -> bytes:
+        text = run.decode()
+        m = _PLAIN.fullmatch(text)
+        if m is None:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        elif m[2]:
+            ids = self[m[1].encode()] + self[m[2].encode()]
+        else:
+            ids = array("I", [t.id for t in self.model.tokenize(text.translate(self.letters))]).tobytes()
+        self[run] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        runs = [t.split() for t in texts]
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
-        new = list({w for ws in runs for w in ws if w not in self})
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, ws)) for ws in runs]
+        return [b"".join(map(self.__getitem__, t.lower().split())) for t in texts]
 
 
 def _encoder(path: str) -> _Encoder:
@@ -255,10 +271,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     kind = docs.schema["doc_id"].dataType.simpleString()
     tokenizer = tokenizer or default_tokenizer()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    pieces = materialize(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity), schema), "pieces")
+    pieces = materialize(map_arrow(docs.select("doc_id", "text"), _pieces(tokenizer, capacity), schema), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = docs.sparkSession.sparkContext.broadcast(Places(plan(counts, capacity)))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     parts = max(8, sum(counts.values()) // 500_000)
     ranked = gapless_rank(pieces, [F.col("length")], names, parts)
-    return ranked.select(*names, "rank_in_group").mapInArrow(_place(places, names), f"{schema}, sequence_id long, offset long")
+    return map_arrow(ranked.select(*names, "rank_in_group"), _place(places, names), f"{schema}, sequence_id long, offset long")
