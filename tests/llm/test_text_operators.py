@@ -194,8 +194,8 @@ def test_bands(spark):
     rows = [("en", 2 + k / 100, False) for k in range(-10, 11)] + [("en", 9.0, True), (None, 1.0, False), (None, 1.0, False)]
     df = spark.createDataFrame(rows, "lang string, log_perplexity double, base_failed boolean")
     got = {r["of"]: (r["low"], r["high"]) for r in perplexity.bands(df).collect()}
-    assert got["en"] == pytest.approx((2 - 8 * 1.4826 * 0.05, 2 + 6 * 1.4826 * 0.05), abs=0.02)
-    assert got[None] == pytest.approx((0.75, 1.25), abs=0.01)
+    assert got["en"] == pytest.approx((2 - 9 * 1.4826 * 0.05, 2 + 6 * 1.4826 * 0.05), abs=0.02)
+    assert got[None] == pytest.approx((0.94, 1.06), abs=0.01)
 
 
 def test_quality_classifier(spark):
