@@ -9,7 +9,7 @@ of 0.8 differs in 9.6 on average and in 24 or more with a chance under one in 10
 
 Pairs are not emitted within a bucket: members are linked to the bucket's least id, the links are
 confirmed on the full sets, and only members that are then still in different components are compared
-with each other.
+with each other: those that share one of their rare shingles early enough, as all pairs that are similar enough do.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from quarrymill.llm.components import connected_components
 
 SHINGLE, PERCENT = 4, 80
 K, CHUNK = 48, 4
+SLOT_BITS = 20
 #: Each of the K / CHUNK chunks allows one error.
 LIMIT = 2 * (K // CHUNK) - 1
 _RNG = np.random.default_rng(20240607)
@@ -196,17 +197,21 @@ def similar_links(docs: DataFrame, sketches: DataFrame, size: int = SHINGLE, per
 
     stars = members.where(F.col("a") < F.col("doc_id")).select("a", F.col("doc_id").alias("b")).distinct()
     first = materialize(confirm(materialize(near(stars), "stars"), docs, size, percent), "links")
-    # Members that the links so far leave in different components are compared with each other.
+    # What is left are members of one bucket that the links so far have in different components.
     found = materialize(connected_components(first), "found")
     placed = members.join(found, members["doc_id"] == found["node"], "left").select(
         "key", "doc_id", F.coalesce("component", "doc_id").alias("c")
     )
     mixed = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
-    rest = materialize(placed.join(mixed, "key").distinct(), "mixed")
-    # A bucket with many members of one component needs each of them against the others only.
-    x, y = rest.alias("x"), rest.alias("y")
+    rest = materialize(placed.join(mixed, "key").select("doc_id", "c").distinct(), "mixed")
+    heads = _rare_shingles(with_ids(docs.select("doc_id", "text"), rest.select("doc_id"), "doc_id", "left_semi"), size, percent)
+    heads = materialize(heads.distinct().join(rest, "doc_id"), "heads")
+    x, y = heads.alias("x"), heads.alias("y")
+    # What two sets share lies from their first common shingle on.
+    shared_most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    enough = (100 + percent) * shared_most >= percent * (F.col("x.n") + F.col("y.n"))
     cross = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")))
+        x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.c") < F.col("y.c")) & enough)
         .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
@@ -216,6 +221,57 @@ def similar_links(docs: DataFrame, sketches: DataFrame, size: int = SHINGLE, per
     return first.union(second)
 
 
+def _frequencies(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, hashes = np.zeros(1 << SLOT_BITS, np.int64), _Hashes()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for s in shingle_sets(utf8(part, "text"), size, hashes):
+                    np.add.at(counts, s >> np.uint64(64 - SLOT_BITS), 1)
+        there = np.flatnonzero(counts)
+        for i in range(0, len(there), 1 << 16):
+            k = there[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(counts[k])], ["slot", "n"])
+
+    return run
+
+
+def _heads(table, size: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, hashes = table.value, _Hashes()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                out, row, place, size_of = [], [], [], []
+                for i, s in enumerate(shingle_sets(utf8(part, "text"), size, hashes)):
+                    n = len(s) + (percent * len(s) // -100) + 1
+                    order = np.lexsort((s, counts[s >> np.uint64(64 - SLOT_BITS)]))[:n]
+                    out.append(s[order].view(np.int64))
+                    row.append(np.full(len(order), i))
+                    place.append(np.arange(len(order)))
+                    size_of.append(np.full(len(order), len(s)))
+                columns = [pa.array(np.concatenate(x)) for x in (row, out, place, size_of)]
+                columns[0] = part.column("doc_id").take(columns[0])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shingle", "place", "n"])
+
+    return run
+
+
+def _rare_shingles(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, shingle, place, n): the n - ceil(percent * n / 100) + 1 first of each set's n shingles in one common order.
+
+    Two sets that are similar enough share one of them, whatever the order is. Rare ones first leave few pairs to
+    look at, even where many texts are copies of one text with changes of their own. The order comes from counts in
+    2^SLOT_BITS slots, so its size is fixed.
+    """
+    spark, kind = texts.sparkSession, texts.schema["doc_id"].dataType.simpleString()
+    counted = map_arrow(texts.select("text"), _frequencies(size), "slot long, n long")
+    got = counted.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    run = _heads(spark.sparkContext.broadcast(counts), size, percent)
+    return map_arrow(texts.select("doc_id", "text"), run, f"doc_id {kind}, shingle long, place long, n long")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
