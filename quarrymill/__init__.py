@@ -1,0 +1 @@
+"""Procurement price and demand analytics as Spark jobs."""

@@ -1,0 +1 @@
+"""Column expressions; each is applied to whole tables by a job in ``operators``."""

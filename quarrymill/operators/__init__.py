@@ -1,0 +1 @@
+"""Jobs from tables to tables."""

@@ -1,0 +1 @@
+"""Whole plans over the driver tables."""

@@ -1,4 +1,4 @@
 """All queries over the driver tables, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quarrymill.plans import forecasts, reference  # noqa: F401  (they register their queries)
+from quarrymill.plans.purchases import ORACLE_SQL, QUERIES  # noqa: F401

@@ -1,0 +1 @@
+"""Incremental runs over what was processed before."""
