@@ -21,12 +21,13 @@ def monthly_series(df: DataFrame, by: list[str], start: str | None = None, end:
         ends = ends.select(F.trunc(F.lit(start), "month").alias("a"), F.trunc(F.lit(end), "month").alias("b"))
     months = ends.where("a is not null").select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("mes"))
     grid = sums.select(*by).distinct().crossJoin(F.broadcast(months))  # months of a range of dates
-    on = [grid[c].eqNullSafe(sums[c]) for c in [*by, "mes"]]
-    joined = grid.join(sums, on, "left")
-    return joined.select(
-        *[grid[c] for c in [*by, "mes"]],
-        F.coalesce(sums["quantidade_total"], F.lit(0.0)).alias("quantidade_total"),
-        F.coalesce(sums["numero_observacoes"], F.lit(0)).alias("numero_observacoes"),
+    right = sums.withColumnsRenamed({c: f"_{c}" for c in [*by, "mes"]})
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, "mes"]]
+    return grid.join(right, on, "left").select(
+        *by,
+        "mes",
+        F.coalesce("quantidade_total", F.lit(0.0)).alias("quantidade_total"),
+        F.coalesce("numero_observacoes", F.lit(0)).alias("numero_observacoes"),
     )
 
 

@@ -78,6 +78,6 @@ def key_collisions(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return df.groupBy(key).agg(F.count_distinct(F.struct(*fields)).alias("variantes")).where("variantes > 1")
 
 
-def round_all(df: DataFrame, digits: int = 6) -> DataFrame:
+def round_all(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
     """Doubles rounded, for results that are compared."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(F.col(c) + nudge, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

@@ -1,3 +1,241 @@
 """Queries on series, forecasts, backtests and allocation."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarrymill.functions import models
+from quarrymill.operators import audit, backtest, filters, hierarchy, measures, series, star
+from quarrymill.operators.quality import apply_quality
+from quarrymill.plans.adapter import FLAGS, purchases
+from quarrymill.plans.purchases import query
+
+BY = ["codigo_catmat", "descricao_item"]
+UNIT = ["unidade_modelagem", "nivel_modelagem", "segmento_modelagem"]
+
+
+def _rows(spark, sf_dir):
+    return filters.forecastable(apply_quality(purchases(spark, sf_dir)))
+
+
+def _series(spark, sf_dir):
+    return series.monthly_series(_rows(spark, sf_dir), BY)
+
+
+def _arrays(spark, sf_dir):
+    return series.as_arrays(_series(spark, sf_dir), BY)
+
+
+SERIES = (
+    FLAGS
+    + """,
+fc AS (SELECT *, CAST(date_trunc('month', data_publicacao) AS DATE) AS mes FROM flags WHERE quantidade >= 0 AND NOT dq_duplicidade),
+months AS (SELECT CAST(unnest(generate_series(min(mes), max(mes), INTERVAL 1 MONTH)) AS DATE) AS mes FROM fc),
+sums AS (SELECT codigo_catmat, descricao_item, mes, sum(quantidade) AS q, count(*) AS n FROM fc GROUP BY 1, 2, 3),
+series AS (
+  SELECT k.codigo_catmat, k.descricao_item, m.mes, coalesce(q, 0.0) AS q, coalesce(n, 0) AS n,
+         row_number() OVER (PARTITION BY k.codigo_catmat, k.descricao_item ORDER BY m.mes) AS p,
+         count(*) OVER (PARTITION BY k.codigo_catmat, k.descricao_item) AS len
+  FROM (SELECT DISTINCT codigo_catmat, descricao_item FROM fc) k CROSS JOIN months m
+  LEFT JOIN sums s ON s.codigo_catmat = k.codigo_catmat AND s.descricao_item = k.descricao_item AND s.mes = m.mes)"""
+)
+
+
+@query(
+    "monthly_series",
+    f"WITH {SERIES} SELECT codigo_catmat, descricao_item, mes, round(q + 1e-7, 4) AS quantidade_total, n AS numero_observacoes FROM series",
+    dates=("mes",),
+)
+def _(spark, sf_dir):
+    return _series(spark, sf_dir)
+
+
+@query(
+    "intermittency",
+    f"""WITH {SERIES}, s AS (SELECT codigo_catmat, descricao_item, count(*) AS meses, count(*) FILTER (WHERE q > 0) AS meses_ativos,
+      count(*) FILTER (WHERE q <= 0) AS meses_zero, round(100.0 * count(*) FILTER (WHERE q <= 0) / count(*), 2) AS zeros_pct,
+      CASE WHEN count(*) FILTER (WHERE q > 0) > 1 THEN (max(p) FILTER (WHERE q > 0) - min(p) FILTER (WHERE q > 0)) / (count(*) FILTER (WHERE q > 0) - 1)
+        WHEN count(*) FILTER (WHERE q > 0) = 1 THEN count(*) ELSE 'inf'::DOUBLE END AS adi,
+      coalesce(pow(stddev_samp(q) FILTER (WHERE q > 0) / avg(q) FILTER (WHERE q > 0), 2), 0) AS cv2 FROM series GROUP BY 1, 2)
+    SELECT codigo_catmat, descricao_item, meses, meses_ativos, meses_zero, zeros_pct, round(adi + 1e-7, 4) AS adi, round(cv2 + 1e-7, 4) AS cv2,
+    CASE WHEN meses_ativos = 0 THEN 'SEM_DEMANDA' WHEN adi >= 1.32 AND cv2 >= 0.49 THEN 'IRREGULAR' WHEN adi >= 1.32 THEN 'INTERMITENTE'
+      WHEN cv2 >= 0.49 THEN 'ERRATICA' ELSE 'REGULAR' END AS tipo_demanda FROM s""",
+)
+def _(spark, sf_dir):
+    return series.intermittency(_series(spark, sf_dir), BY)
+
+
+@query(
+    "forecast_simple",
+    f"""WITH {SERIES} SELECT codigo_catmat, descricao_item, round(max(q) FILTER (WHERE p = len) + 1e-7, 4) AS ingenuo, round(avg(q) + 1e-7, 4) AS media,
+    round(avg(q) FILTER (WHERE p > len - 3) + 1e-7, 4) AS media_3, round(avg(q) FILTER (WHERE p > len - 6) + 1e-7, 4) AS media_6,
+    round(max(q) FILTER (WHERE p = len - 11) + 1e-7, 4) AS sazonal, round(greatest(regr_intercept(q, p) + regr_slope(q, p) * (max(len) + 1), 0) + 1e-7, 4) AS tendencia,
+    round(coalesce(avg(q) FILTER (WHERE q > 0), 0) * count(*) FILTER (WHERE q > 0) / count(*) + 1e-7, 4) AS positiva_frequencia,
+    round(avg(q) FILTER (WHERE p > len - 24) + 1e-7, 4) AS dois_anos, round(avg(q) FILTER (WHERE p > len - 36) + 1e-7, 4) AS media_36 FROM series GROUP BY 1, 2""",
+)
+def _(spark, sf_dir):
+    first = lambda m: F.get(m(F.col("a"), 1), F.lit(0))
+    chosen = {
+        "ingenuo": models.naive, "media": models.historical_mean, "media_3": models.moving_average(3), "media_6": models.moving_average(6),
+        "sazonal": models.seasonal_naive, "tendencia": models.linear_trend, "positiva_frequencia": models.positive_mean_by_frequency,
+        "dois_anos": models.two_year_mean, "media_36": models.recent_mean,
+    }
+    return _arrays(spark, sf_dir).select(*BY, *[first(m).alias(k) for k, m in chosen.items()])
+
+
+def _croston_sql(alpha: float) -> str:
+    return f"""WITH {SERIES}, a AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY codigo_catmat, descricao_item) AS n,
+      p - coalesce(lag(p) OVER w, 0) AS gap FROM series WHERE q > 0 WINDOW w AS (PARTITION BY codigo_catmat, descricao_item ORDER BY p)),
+    r AS (SELECT codigo_catmat, descricao_item, sum(q * wt) AS d, sum(gap * wt) AS i FROM
+      (SELECT *, CASE WHEN k = 1 THEN pow(1 - {alpha}, n - 1) ELSE {alpha} * pow(1 - {alpha}, n - k) END AS wt FROM a) GROUP BY 1, 2)
+    SELECT s.codigo_catmat, s.descricao_item, round(coalesce((1 - {alpha} / 2) * d / i, 0) + 1e-7, 4) AS croston
+    FROM (SELECT DISTINCT codigo_catmat, descricao_item FROM series) s LEFT JOIN r USING (codigo_catmat, descricao_item)"""
+
+
+@query("forecast_croston", _croston_sql(0.1))
+def _(spark, sf_dir):
+    return _arrays(spark, sf_dir).select(*BY, models.croston_rate(F.col("a"), 0.1).alias("croston"))
+
+
+_POOL = {"INGENUO": models.naive, "MEDIA_HISTORICA": models.historical_mean, "MEDIA_MOVEL_3": models.moving_average(3)}
+
+
+@query(
+    "backtest_metrics",
+    f"""WITH {SERIES}, folds AS (SELECT DISTINCT codigo_catmat, descricao_item, len - 3 * k AS corte FROM series, (SELECT unnest(range(1, 5)) AS k)
+      WHERE k <= CASE WHEN len >= 36 THEN 4 WHEN len >= 24 THEN 3 WHEN len >= 15 THEN 2 ELSE 0 END AND len - 3 * k >= 12),
+    fit AS (SELECT f.codigo_catmat, f.descricao_item, corte, max(q) FILTER (WHERE p = corte) AS f1, avg(q) AS f2, avg(q) FILTER (WHERE p > corte - 3) AS f3
+      FROM folds f JOIN series s ON s.codigo_catmat = f.codigo_catmat AND s.descricao_item = f.descricao_item AND p <= corte GROUP BY 1, 2, 3),
+    e AS (SELECT t.codigo_catmat, t.descricao_item, t.corte, m.modelo, s.q AS y, CASE m.modelo WHEN 'INGENUO' THEN f1 WHEN 'MEDIA_HISTORICA' THEN f2 ELSE f3 END AS f
+      FROM fit t JOIN series s ON s.codigo_catmat = t.codigo_catmat AND s.descricao_item = t.descricao_item AND s.p > corte AND s.p <= corte + 3
+      CROSS JOIN (VALUES ('INGENUO'), ('MEDIA_HISTORICA'), ('MEDIA_MOVEL_3')) m(modelo))
+    SELECT codigo_catmat, descricao_item, modelo, count(DISTINCT corte) AS janelas, round(avg(abs(f - y)) + 1e-7, 4) AS mae, round(sqrt(avg((f - y) * (f - y))) + 1e-7, 4) AS rmse,
+    round(100 * sum(abs(f - y)) / nullif(sum(abs(y)), 0) + 1e-7, 4) AS wape, round(avg(f - y) + 1e-7, 4) AS vies, round(quantile_cont(abs(f - y), 0.8) + 1e-7, 4) AS erro_q80,
+    round(quantile_cont(abs(f - y), 0.9) + 1e-7, 4) AS erro_q90 FROM e GROUP BY 1, 2, 3""",
+)
+def _(spark, sf_dir):
+    rows = backtest.errors(_arrays(spark, sf_dir), BY, _POOL, backtest.rolling_folds(F.size("a")), backtest.STEP)
+    return backtest.metrics(rows, BY)
+
+
+def _chosen(spark, sf_dir):
+    s = _series(spark, sf_dir)
+    return backtest.choose(series.as_arrays(s, BY), series.intermittency(s, BY), BY)
+
+
+@query("model_selection")
+def _(spark, sf_dir):
+    return _chosen(spark, sf_dir).drop("a", "f")
+
+
+@query("scenario_bands")
+def _(spark, sf_dir):
+    return backtest.scenarios(_chosen(spark, sf_dir), BY)
+
+
+@query("scenario_summary")
+def _(spark, sf_dir):
+    return backtest.scenario_summary(backtest.scenarios(_chosen(spark, sf_dir), BY), BY)
+
+
+def _mapping(df):
+    """Materials 1 to 5 are modelled alone, the others by their number modulo four."""
+    alone = F.col("codigo_catmat") <= 5
+    unit = F.when(alone, F.concat(F.lit("M"), F.col("codigo_catmat").cast("string"))).otherwise(
+        F.concat(F.lit("S"), (F.col("codigo_catmat") % 4).cast("string"))
+    )
+    return df.select("codigo_catmat").distinct().select(
+        "codigo_catmat", unit.alias("unidade_modelagem"), F.when(alone, "INDIVIDUAL").otherwise("SEGMENTO").alias("nivel_modelagem"), unit.alias("segmento_modelagem")
+    )
+
+
+def _weights(rows):
+    month = F.date_format("data_publicacao", "yyyy-MM")
+    history = rows.groupBy("codigo_catmat").agg(
+        F.sum("quantidade").alias("quantidade_historica"), F.count_distinct("id_compra").alias("compras_distintas"), F.count_distinct(month).alias("meses_ativos")
+    )
+    return hierarchy.weights(history.join(_mapping(rows), "codigo_catmat"))
+
+
+_WEIGHTS = (
+    FLAGS
+    + """,
+h AS (SELECT codigo_catmat, sum(quantidade) AS q, count(DISTINCT id_compra) AS c, count(DISTINCT strftime(data_publicacao, '%Y-%m')) AS m,
+  CASE WHEN codigo_catmat <= 5 THEN 'M' || codigo_catmat ELSE 'S' || (codigo_catmat % 4) END AS u FROM flags WHERE quantidade >= 0 AND NOT dq_duplicidade GROUP BY codigo_catmat),
+w AS (SELECT *, CASE WHEN codigo_catmat <= 5 THEN 1.0 ELSE 0.5 * q / sum(q) OVER g + 0.3 * c / sum(c) OVER g + 0.2 * m / sum(m) OVER g END AS peso FROM h WINDOW g AS (PARTITION BY u))"""
+)
+
+
+@query("alloc_weights", f"WITH {_WEIGHTS} SELECT u AS unidade_modelagem, codigo_catmat, round(peso + 1e-7, 4) AS peso_rateio FROM w")
+def _(spark, sf_dir):
+    return _weights(_rows(spark, sf_dir)).select("unidade_modelagem", "codigo_catmat", "peso_rateio")
+
+
+@query("alloc_mean_forecast", f"WITH {_WEIGHTS} SELECT codigo_catmat, round(peso * sum(q) OVER (PARTITION BY u) + 1e-7, 4) AS previsao_base FROM w")
+def _(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    total = rows.join(_mapping(rows), "codigo_catmat").groupBy("unidade_modelagem").agg(F.sum("quantidade").alias("previsao_base"))
+    wide = total.withColumns({"previsao_inferior": F.col("previsao_base"), "previsao_superior": F.col("previsao_base")})
+    return hierarchy.allocate(wide, _weights(rows)).select("codigo_catmat", "previsao_base")
+
+
+def _units(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return rows, series.roll_up(series.monthly_series(rows, ["codigo_catmat"]), _mapping(rows))
+
+
+def _unit_forecast(spark, sf_dir):
+    rows, units = _units(spark, sf_dir)
+    return rows, backtest.unit_forecast(series.as_arrays(units, UNIT, "quantidade"), UNIT)
+
+
+@query("unit_diagnostic")
+def _(spark, sf_dir):
+    rows, units = _units(spark, sf_dir)
+    return series.unit_diagnostic(units, _weights(rows))
+
+
+@query("hier_backtest")
+def _(spark, sf_dir):
+    return backtest.unit_scores(series.as_arrays(_units(spark, sf_dir)[1], UNIT, "quantidade"), UNIT)
+
+
+@query("alloc_forecast")
+def _(spark, sf_dir):
+    rows, forecast = _unit_forecast(spark, sf_dir)
+    return hierarchy.for_star(hierarchy.allocate(forecast, _weights(rows)))
+
+
+@query("alloc_preservation")
+def _(spark, sf_dir):
+    rows, forecast = _unit_forecast(spark, sf_dir)
+    return hierarchy.preservation(forecast, hierarchy.allocate(forecast, _weights(rows)))
+
+
+@query("alloc_summary")
+def _(spark, sf_dir):
+    rows, forecast = _unit_forecast(spark, sf_dir)
+    return hierarchy.material_summary(hierarchy.allocate(forecast, _weights(rows)))
+
+
+def _fact(spark, sf_dir):
+    rows, forecast = _unit_forecast(spark, sf_dir)
+    wide = hierarchy.allocate(forecast, _weights(rows)).select("codigo_catmat", "mes", "confianca_previsao", *hierarchy.SCENARIOS)
+    return rows, star.fact_forecast(wide, ["codigo_catmat", "mes", "confianca_previsao"])
+
+
+@query("fact_forecast")
+def _(spark, sf_dir):
+    return _fact(spark, sf_dir)[1]
+
+
+@query("measures_forecast")
+def _(spark, sf_dir):
+    rows, fact = _fact(spark, sf_dir)
+    return measures.forecast_measures(fact, ["codigo_catmat"], rows)
+
+
+@query("staging_gate")
+def _(spark, sf_dir):
+    rows, fact = _fact(spark, sf_dir)
+    return audit.staging_expectations(rows.withColumn("purchase_id", F.col("id_compra_item")), fact, 25)

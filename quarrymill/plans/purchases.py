@@ -13,12 +13,12 @@ ORACLE_SQL: dict = {}
 
 
 def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()):
-    """Registers a query; doubles are rounded to four places and ``dates`` are text, here and in the SQL."""
+    """Registers a query; doubles are rounded to four places, nudged so that no tie depends on the engine, and ``dates`` are text, here and in the SQL."""
 
     def add(f):
         def run(spark, sf_dir):
             out = f(spark, sf_dir)
-            return round_all(out.withColumns({c: out[c].cast("string") for c, t in out.dtypes if t == "date"}), 4)
+            return round_all(out.withColumns({c: out[c].cast("string") for c, t in out.dtypes if t == "date"}), 4, 1e-7)
 
         QUERIES[name] = run
         if sql:
@@ -44,7 +44,7 @@ def flagged(spark, sf_dir):
     return quality.apply_quality(purchases(spark, sf_dir))
 
 
-@query("dq_flags", f"WITH {FLAGS} SELECT {KEY}, {FLAG_COLUMNS}, round(diferenca_valor_pct, 4) AS diferenca_valor_pct FROM flags")
+@query("dq_flags", f"WITH {FLAGS} SELECT {KEY}, {FLAG_COLUMNS}, round(diferenca_valor_pct + 1e-7, 4) AS diferenca_valor_pct FROM flags")
 def _(spark, sf_dir):
     return flagged(spark, sf_dir).select(*names(KEY), *names(FLAG_COLUMNS), "diferenca_valor_pct")
 
@@ -58,13 +58,13 @@ _RULES = names(FLAG_COLUMNS) + ["dq_codigo_ausente", "dq_data_invalida"]
     + " UNION ALL ".join(
         f"SELECT '{r}' AS regra, count(*) FILTER (WHERE {'false' if r in _RULES[-2:] else r}) AS registros, count(*) AS n FROM flags" for r in _RULES
     )
-    + ") SELECT regra, registros, round(registros / n, 4) AS percentual FROM long",
+    + ") SELECT regra, registros, round(registros / n + 1e-7, 4) AS percentual FROM long",
 )
 def _(spark, sf_dir):
     return quality.quality_report(flagged(spark, sf_dir))
 
 
-@query("dup_observations", f"WITH {FLAGS} SELECT {KEY}, quantidade, round(valor_unitario, 4) AS valor_unitario FROM flags WHERE dq_duplicidade")
+@query("dup_observations", f"WITH {FLAGS} SELECT {KEY}, quantidade, round(valor_unitario + 1e-7, 4) AS valor_unitario FROM flags WHERE dq_duplicidade")
 def _(spark, sf_dir):
     return flagged(spark, sf_dir).where("dq_duplicidade").select(*names(KEY), "quantidade", "valor_unitario")
 
@@ -98,9 +98,9 @@ def _(spark, sf_dir):
 
 @query(
     "price_outliers",
-    f"WITH {GOLD} SELECT {KEY}, unidade_comparavel, round(valor_unitario, 4) AS valor_unitario, round(q1, 4) AS outlier_q1, "
-    "round(med, 4) AS outlier_mediana, round(q3, 4) AS outlier_q3, round(lo, 4) AS outlier_limite_inferior, "
-    "round(hi, 4) AS outlier_limite_superior, round(ratio, 4) AS outlier_razao_mediana, "
+    f"WITH {GOLD} SELECT {KEY}, unidade_comparavel, round(valor_unitario + 1e-7, 4) AS valor_unitario, round(q1 + 1e-7, 4) AS outlier_q1, "
+    "round(med + 1e-7, 4) AS outlier_mediana, round(q3 + 1e-7, 4) AS outlier_q3, round(lo + 1e-7, 4) AS outlier_limite_inferior, "
+    "round(hi + 1e-7, 4) AS outlier_limite_superior, round(ratio + 1e-7, 4) AS outlier_razao_mediana, "
     + SEVERITY.format(r="ratio") + " AS outlier_gravidade FROM gold WHERE is_price_outlier",
 )
 def _(spark, sf_dir):
@@ -132,8 +132,8 @@ review AS (
 
 @query(
     "outliers_two_level",
-    _REVIEW + f" SELECT {KEY}, ref_nivel, round(ref_mediana, 4) AS ref_mediana, round(lo, 4) AS ref_limite_inferior, "
-    "round(hi, 4) AS ref_limite_superior, motivo_alerta, gravidade FROM review",
+    _REVIEW + f" SELECT {KEY}, ref_nivel, round(ref_mediana + 1e-7, 4) AS ref_mediana, round(lo + 1e-7, 4) AS ref_limite_inferior, "
+    "round(hi + 1e-7, 4) AS ref_limite_superior, motivo_alerta, gravidade FROM review",
 )
 def _(spark, sf_dir):
     out = outliers.review(flagged(spark, sf_dir))
@@ -143,8 +143,8 @@ def _(spark, sf_dir):
 @query(
     "alert_summary",
     _REVIEW + """ SELECT familia_material, codigo_catmat, descricao_item, unidade_comparavel, gravidade, motivo_alerta, count(*) AS alertas,
-    min(data_publicacao) AS primeira_data, max(data_publicacao) AS ultima_data, round(min(valor_unitario), 4) AS preco_minimo,
-    round(median(valor_unitario), 4) AS preco_mediano, round(max(valor_unitario), 4) AS preco_maximo,
+    min(data_publicacao) AS primeira_data, max(data_publicacao) AS ultima_data, round(min(valor_unitario) + 1e-7, 4) AS preco_minimo,
+    round(median(valor_unitario) + 1e-7, 4) AS preco_mediano, round(max(valor_unitario) + 1e-7, 4) AS preco_maximo,
     count(DISTINCT cnpj_fornecedor) AS fornecedores, count(DISTINCT uasg) AS uasgs
     FROM review WHERE motivo_alerta LIKE '%\\_IQR%' ESCAPE '\\' OR dq_duplicidade GROUP BY 1, 2, 3, 4, 5, 6""",
 )
@@ -162,7 +162,7 @@ _RAW = f"""WITH {PURCHASES}, marked AS (
 kept AS (SELECT * FROM marked WHERE NOT d1),
 lim AS (SELECT codigo_catmat AS c, nome_unidade_fornecimento AS u, ano AS a, count(*) AS n, quantile_cont(valor_unitario, [0.25, 0.5, 0.75]) AS q
   FROM kept WHERE valor_unitario > 0 GROUP BY 1, 2, 3 HAVING count(*) >= 8)
-SELECT {KEY}, round(valor_unitario, 4) AS valor_unitario, CASE WHEN valor_unitario > q[3] + 1.5 * (q[3] - q[1]) THEN 'ACIMA' ELSE 'ABAIXO' END AS outlier_direcao
+SELECT {KEY}, round(valor_unitario + 1e-7, 4) AS valor_unitario, CASE WHEN valor_unitario > q[3] + 1.5 * (q[3] - q[1]) THEN 'ACIMA' ELSE 'ABAIXO' END AS outlier_direcao
 FROM kept JOIN lim ON codigo_catmat = c AND nome_unidade_fornecimento = u AND ano = a
 WHERE valor_unitario > 0 AND q[3] > q[1] AND (valor_unitario > q[3] + 1.5 * (q[3] - q[1]) OR valor_unitario < greatest(0, q[1] - 1.5 * (q[3] - q[1])))"""
 
@@ -173,7 +173,7 @@ def _(spark, sf_dir):
     return outliers.flagged_only(marked).select(*names(KEY), "valor_unitario", "outlier_direcao")
 
 
-_VIEW = f"{KEY}, quantidade, round(valor_total, 4) AS valor_total"
+_VIEW = f"{KEY}, quantidade, round(valor_total + 1e-7, 4) AS valor_total"
 
 
 @query("valid_purchases", f"WITH {GOLD} SELECT {_VIEW} FROM gold WHERE NOT dq_possui_erro AND familia_material IS NOT NULL")
@@ -199,8 +199,8 @@ def _(spark, sf_dir):
 @query(
     "monthly_indicators",
     f"""WITH {GOLD} SELECT CAST(date_trunc('month', data_publicacao) AS DATE) AS mes, familia_material, codigo_catmat, unidade_comparavel,
-    round(sum(quantidade), 4) AS quantidade_total, round(sum(valor_total), 4) AS valor_total,
-    round(sum(valor_total) / nullif(sum(quantidade), 0), 4) AS preco_ponderado, round(median(valor_unitario), 4) AS preco_mediano,
+    round(sum(quantidade) + 1e-7, 4) AS quantidade_total, round(sum(valor_total) + 1e-7, 4) AS valor_total,
+    round(sum(valor_total) / nullif(sum(quantidade), 0) + 1e-7, 4) AS preco_ponderado, round(median(valor_unitario) + 1e-7, 4) AS preco_mediano,
     count(DISTINCT cnpj_fornecedor) AS fornecedores FROM gold WHERE NOT dq_possui_erro GROUP BY ALL""",
     dates=("mes",),
 )
@@ -213,7 +213,7 @@ def _(spark, sf_dir):
     f"""WITH {GOLD} SELECT count(*) AS registros, min(data_publicacao) AS data_inicial, max(data_publicacao) AS data_final,
     count(DISTINCT codigo_catmat) AS materiais, count(DISTINCT familia_material) AS familias, count(DISTINCT id_compra) AS compras,
     count(DISTINCT cnpj_fornecedor) AS fornecedores, count(DISTINCT uasg) AS uasgs, count(DISTINCT uf) AS ufs,
-    round(sum(quantidade), 4) AS quantidade_total, round(sum(valor_total), 4) AS valor_total,
+    round(sum(quantidade) + 1e-7, 4) AS quantidade_total, round(sum(valor_total) + 1e-7, 4) AS valor_total,
     count(*) FILTER (WHERE dq_possui_erro) AS registros_erro, count(*) FILTER (WHERE is_price_outlier) AS alertas_preco,
     count(*) FILTER (WHERE hist_item_repetido) AS registros_historico FROM gold""",
 )
@@ -224,7 +224,7 @@ def _(spark, sf_dir):
 @query(
     "monthly_family",
     f"""WITH {PURCHASES} SELECT strftime(data_publicacao, '%Y-%m') AS ano_mes, familia_material, count(*) AS registros,
-    count(DISTINCT codigo_catmat) AS materiais, round(sum(quantidade), 4) AS quantidade_total, round(sum(valor_total), 4) AS valor_total,
+    count(DISTINCT codigo_catmat) AS materiais, round(sum(quantidade) + 1e-7, 4) AS quantidade_total, round(sum(valor_total) + 1e-7, 4) AS valor_total,
     count(DISTINCT cnpj_fornecedor) AS fornecedores FROM purchases GROUP BY 1, 2""",
 )
 def _(spark, sf_dir):
@@ -234,7 +234,7 @@ def _(spark, sf_dir):
 @query(
     "monthly_material",
     f"""WITH {PURCHASES} SELECT strftime(data_publicacao, '%Y-%m') AS ano_mes, codigo_catmat, unidade_comparavel, count(*) AS registros,
-    round(coalesce(sum(quantidade), 0), 4) AS quantidade_total, round(sum(valor_total), 4) AS valor_total, round(median(valor_unitario), 4) AS preco_mediano,
+    round(coalesce(sum(quantidade), 0) + 1e-7, 4) AS quantidade_total, round(sum(valor_total) + 1e-7, 4) AS valor_total, round(median(valor_unitario) + 1e-7, 4) AS preco_mediano,
     count(DISTINCT cnpj_fornecedor) AS fornecedores FROM purchases GROUP BY 1, 2, 3""",
 )
 def _(spark, sf_dir):
@@ -243,12 +243,12 @@ def _(spark, sf_dir):
 
 @query(
     "price_statistics",
-    f"""WITH {GOLD} SELECT familia_material, codigo_catmat, unidade_comparavel, count(*) AS observacoes, round(min(valor_unitario), 4) AS preco_minimo,
-    round(quantile_cont(valor_unitario, 0.25), 4) AS p25, round(median(valor_unitario), 4) AS preco_mediano, round(avg(valor_unitario), 4) AS preco_medio,
-    round(quantile_cont(valor_unitario, 0.75), 4) AS p75, round(max(valor_unitario), 4) AS preco_maximo,
-    round(stddev_samp(valor_unitario), 4) AS desvio_padrao, round(sum(quantidade), 4) AS quantidade_total, round(sum(valor_total), 4) AS valor_total,
-    round(sum(valor_total) / nullif(sum(quantidade), 0), 4) AS preco_ponderado,
-    round(stddev_samp(valor_unitario) / nullif(avg(valor_unitario), 0), 4) AS coeficiente_variacao
+    f"""WITH {GOLD} SELECT familia_material, codigo_catmat, unidade_comparavel, count(*) AS observacoes, round(min(valor_unitario) + 1e-7, 4) AS preco_minimo,
+    round(quantile_cont(valor_unitario, 0.25) + 1e-7, 4) AS p25, round(median(valor_unitario) + 1e-7, 4) AS preco_mediano, round(avg(valor_unitario) + 1e-7, 4) AS preco_medio,
+    round(quantile_cont(valor_unitario, 0.75) + 1e-7, 4) AS p75, round(max(valor_unitario) + 1e-7, 4) AS preco_maximo,
+    round(stddev_samp(valor_unitario) + 1e-7, 4) AS desvio_padrao, round(sum(quantidade) + 1e-7, 4) AS quantidade_total, round(sum(valor_total) + 1e-7, 4) AS valor_total,
+    round(sum(valor_total) / nullif(sum(quantidade), 0) + 1e-7, 4) AS preco_ponderado,
+    round(stddev_samp(valor_unitario) / nullif(avg(valor_unitario), 0) + 1e-7, 4) AS coeficiente_variacao
     FROM gold WHERE NOT dq_possui_erro AND NOT is_price_outlier AND unidade_comparavel IS NOT NULL AND valor_unitario > 0 GROUP BY 1, 2, 3""",
 )
 def _(spark, sf_dir):
@@ -260,8 +260,8 @@ def _(spark, sf_dir):
     f"""WITH {PURCHASES}, each AS (SELECT ano, familia_material, cnpj_fornecedor, sum(valor_total) AS v FROM purchases GROUP BY 1, 2, 3),
     ranked AS (SELECT *, v / sum(v) OVER (PARTITION BY ano, familia_material) AS s,
       row_number() OVER (PARTITION BY ano, familia_material ORDER BY v DESC, cnpj_fornecedor) AS r FROM each)
-    SELECT ano, familia_material, count(*) AS fornecedores, round(sum(v), 4) AS valor_total, round(sum(CASE WHEN r = 1 THEN s END), 4) AS participacao_lider,
-    round(sum(CASE WHEN r <= 3 THEN s END), 4) AS participacao_top3, round(sum(s * s) * 10000, 2) AS hhi,
+    SELECT ano, familia_material, count(*) AS fornecedores, round(sum(v) + 1e-7, 4) AS valor_total, round(sum(CASE WHEN r = 1 THEN s END) + 1e-7, 4) AS participacao_lider,
+    round(sum(CASE WHEN r <= 3 THEN s END) + 1e-7, 4) AS participacao_top3, round(sum(s * s) * 10000, 2) AS hhi,
     CASE WHEN sum(s * s) * 10000 >= 2500 THEN 'ALTA' WHEN sum(s * s) * 10000 >= 1500 THEN 'MODERADA' ELSE 'BAIXA' END AS classe
     FROM ranked GROUP BY 1, 2""",
 )
@@ -271,7 +271,7 @@ def _(spark, sf_dir):
 
 _REACH = """count(*) AS registros, min(data_publicacao) AS primeira_data, max(data_publicacao) AS ultima_data,
     count(DISTINCT year(data_publicacao)) AS anos_ativos, count(DISTINCT strftime(data_publicacao, '%Y-%m')) AS meses_ativos,
-    round(sum(quantidade), 4) AS quantidade_total, count(DISTINCT id_compra) AS compras, count(DISTINCT cnpj_fornecedor) AS fornecedores"""
+    round(sum(quantidade) + 1e-7, 4) AS quantidade_total, count(DISTINCT id_compra) AS compras, count(DISTINCT cnpj_fornecedor) AS fornecedores"""
 
 
 @query(
@@ -279,8 +279,8 @@ _REACH = """count(*) AS registros, min(data_publicacao) AS primeira_data, max(da
     f"""WITH {PURCHASES}, a AS (SELECT codigo_catmat, {_REACH}, count(DISTINCT uasg) AS uasgs FROM purchases GROUP BY 1),
     b AS (SELECT codigo_catmat, max(v) / sum(v) AS s FROM (SELECT codigo_catmat, id_compra, sum(valor_total) AS v FROM purchases GROUP BY 1, 2) GROUP BY 1),
     c AS (SELECT codigo_catmat, max(v) / sum(v) AS s FROM (SELECT codigo_catmat, cnpj_fornecedor, sum(valor_total) AS v FROM purchases GROUP BY 1, 2) GROUP BY 1)
-    SELECT a.*, registros >= 24 AND anos_ativos >= 3 AND meses_ativos >= 12 AS modelo_individual, round(b.s, 4) AS maior_id_compra,
-    round(c.s, 4) AS maior_cnpj_fornecedor FROM a JOIN b USING (codigo_catmat) JOIN c USING (codigo_catmat)""",
+    SELECT a.*, registros >= 24 AND anos_ativos >= 3 AND meses_ativos >= 12 AS modelo_individual, round(b.s + 1e-7, 4) AS maior_id_compra,
+    round(c.s + 1e-7, 4) AS maior_cnpj_fornecedor FROM a JOIN b USING (codigo_catmat) JOIN c USING (codigo_catmat)""",
 )
 def _(spark, sf_dir):
     return analytics.material_diagnostic(purchases(spark, sf_dir))
@@ -288,7 +288,7 @@ def _(spark, sf_dir):
 
 @query(
     "segment_diagnostic",
-    f"WITH {PURCHASES} SELECT familia_material, {_REACH}, count(DISTINCT codigo_catmat) AS materiais, round(sum(valor_total), 4) AS valor_total FROM purchases GROUP BY 1",
+    f"WITH {PURCHASES} SELECT familia_material, {_REACH}, count(DISTINCT codigo_catmat) AS materiais, round(sum(valor_total) + 1e-7, 4) AS valor_total FROM purchases GROUP BY 1",
 )
 def _(spark, sf_dir):
     return analytics.segment_diagnostic(purchases(spark, sf_dir))
@@ -300,7 +300,7 @@ def _(spark, sf_dir):
       count(DISTINCT year(data_publicacao) * 12 + month(data_publicacao)) AS meses_ativos,
       max(year(data_publicacao) * 12 + month(data_publicacao)) - min(year(data_publicacao) * 12 + month(data_publicacao)) + 1 AS meses_intervalo
       FROM purchases GROUP BY 1),
-    b AS (SELECT *, round(meses_ativos / meses_intervalo, 4) AS taxa_ativa FROM a),
+    b AS (SELECT *, round(meses_ativos / meses_intervalo + 1e-7, 4) AS taxa_ativa FROM a),
     c AS (SELECT *, CASE WHEN registros < 30 THEN 'POUCOS_REGISTROS' WHEN anos < 3 THEN 'POUCOS_ANOS' WHEN meses_ativos < 12 THEN 'POUCOS_MESES'
       WHEN taxa_ativa < 0.25 THEN 'BAIXA_FREQUENCIA' ELSE 'APTO' END AS motivo FROM b)
     SELECT *, motivo = 'APTO' AS apto FROM c""",
@@ -356,13 +356,13 @@ def _(spark, sf_dir):
 
 @query(
     "measures_by_family",
-    f"""WITH {GOLD} SELECT familia_material, round(sum(quantidade), 4) AS quantidade, round(sum(valor_total), 4) AS valor,
-    round(sum(valor_total) / sum(quantidade), 4) AS preco_ponderado, round(median(valor_unitario), 4) AS preco_mediano, count(*) AS registros,
+    f"""WITH {GOLD} SELECT familia_material, round(sum(quantidade) + 1e-7, 4) AS quantidade, round(sum(valor_total) + 1e-7, 4) AS valor,
+    round(sum(valor_total) / sum(quantidade) + 1e-7, 4) AS preco_ponderado, round(median(valor_unitario) + 1e-7, 4) AS preco_mediano, count(*) AS registros,
     count(DISTINCT id_compra) AS compras, count(DISTINCT codigo_catmat) AS materiais, count(DISTINCT cnpj_fornecedor) AS fornecedores,
-    count(DISTINCT uasg) AS uasgs, round(sum(valor_total) / count(DISTINCT id_compra), 4) AS ticket,
-    count(*) FILTER (WHERE dq_possui_erro) AS erros, round(count(*) FILTER (WHERE dq_possui_erro) / count(*), 4) AS taxa_erro,
-    count(*) FILTER (WHERE unidade_comparavel IS NULL) AS sem_unidade, round(1 - count(*) FILTER (WHERE unidade_comparavel IS NULL) / count(*), 4) AS cobertura_unidade,
-    count(*) FILTER (WHERE is_price_outlier) AS alertas, round(count(*) FILTER (WHERE is_price_outlier) / count(*), 4) AS taxa_alerta,
+    count(DISTINCT uasg) AS uasgs, round(sum(valor_total) / count(DISTINCT id_compra) + 1e-7, 4) AS ticket,
+    count(*) FILTER (WHERE dq_possui_erro) AS erros, round(count(*) FILTER (WHERE dq_possui_erro) / count(*) + 1e-7, 4) AS taxa_erro,
+    count(*) FILTER (WHERE unidade_comparavel IS NULL) AS sem_unidade, round(1 - count(*) FILTER (WHERE unidade_comparavel IS NULL) / count(*) + 1e-7, 4) AS cobertura_unidade,
+    count(*) FILTER (WHERE is_price_outlier) AS alertas, round(count(*) FILTER (WHERE is_price_outlier) / count(*) + 1e-7, 4) AS taxa_alerta,
     count(*) FILTER (WHERE hist_item_repetido) AS historico, count(*) FILTER (WHERE dq_duplicidade) AS duplicados FROM gold GROUP BY 1""",
 )
 def _(spark, sf_dir):
@@ -372,7 +372,7 @@ def _(spark, sf_dir):
 @query(
     "measure_hhi",
     f"""WITH {PURCHASES}, e AS (SELECT familia_material, uf, cnpj_fornecedor, sum(valor_total) AS v FROM purchases GROUP BY 1, 2, 3)
-    SELECT familia_material, uf, round(sum(v * v) / (sum(v) * sum(v)) * 10000, 4) AS hhi, round(max(v) / sum(v), 4) AS maior_participacao FROM e GROUP BY 1, 2""",
+    SELECT familia_material, uf, round(sum(v * v) / (sum(v) * sum(v)) * 10000 + 1e-7, 4) AS hhi, round(max(v) / sum(v) + 1e-7, 4) AS maior_participacao FROM e GROUP BY 1, 2""",
 )
 def _(spark, sf_dir):
     return measures.concentration(purchases(spark, sf_dir), ["familia_material", "uf"])
@@ -381,7 +381,7 @@ def _(spark, sf_dir):
 @query(
     "measures_last12m",
     f"""WITH {PURCHASES}, l AS (SELECT max(CAST(data_publicacao AS DATE)) AS ultima_data FROM purchases)
-    SELECT familia_material, ultima_data, round(sum(quantidade), 4) AS quantidade_12m FROM purchases, l
+    SELECT familia_material, ultima_data, round(sum(quantidade) + 1e-7, 4) AS quantidade_12m FROM purchases, l
     WHERE CAST(data_publicacao AS DATE) > ultima_data - INTERVAL 12 MONTH AND CAST(data_publicacao AS DATE) <= ultima_data GROUP BY 1, 2""",
     dates=("ultima_data",),
 )
@@ -391,8 +391,8 @@ def _(spark, sf_dir):
 
 @query(
     "price_index",
-    f"""WITH {PURCHASES} SELECT codigo_catmat, unidade_comparavel, round(CASE WHEN count(DISTINCT unidade_comparavel) = 1 THEN median(valor_unitario) END, 4) AS mediana_comparavel,
-    round((sum(valor_total) / sum(quantidade)) / (SELECT sum(valor_total) / sum(quantidade) FROM purchases), 4) AS indice_preco FROM purchases GROUP BY 1, 2""",
+    f"""WITH {PURCHASES} SELECT codigo_catmat, unidade_comparavel, round(CASE WHEN count(DISTINCT unidade_comparavel) = 1 THEN median(valor_unitario) END + 1e-7, 4) AS mediana_comparavel,
+    round((sum(valor_total) / sum(quantidade)) / (SELECT sum(valor_total) / sum(quantidade) FROM purchases) + 1e-7, 4) AS indice_preco FROM purchases GROUP BY 1, 2""",
 )
 def _(spark, sf_dir):
     return measures.price_index(purchases(spark, sf_dir), ["codigo_catmat", "unidade_comparavel"])

@@ -154,7 +154,7 @@ _SEV = "CASE WHEN NOT is_price_outlier THEN 'SEM_ALERTA' WHEN ratio >= 5 OR rati
     f"""WITH {GOLD} SELECT id_compra_item AS purchase_id, CAST(data_publicacao AS DATE) AS data, CAST(strftime(data_publicacao, '%Y%m%d') AS INTEGER) AS data_key,
     CAST(strftime(data_publicacao, '%Y%m') AS INTEGER) AS mes_key, codigo_catmat, cnpj_fornecedor AS fornecedor_key, CAST(uasg AS VARCHAR) AS uasg_key,
     codigo_catmat || '|' || coalesce(unidade_comparavel, 'UNIDADE_NAO_INFORMADA') AS unidade_key, uf, id_compra, quantidade,
-    round(valor_unitario, 4) AS valor_unitario, round(valor_total, 4) AS valor_total, 'PRATICADO' AS tipo_preco, CAST(NULL AS VARCHAR) AS forma_compra,
+    round(valor_unitario + 1e-7, 4) AS valor_unitario, round(valor_total + 1e-7, 4) AS valor_total, 'PRATICADO' AS tipo_preco, CAST(NULL AS VARCHAR) AS forma_compra,
     CAST(NULL AS VARCHAR) AS fonte, dq_possui_erro AS possui_erro, dq_duplicidade AS duplicado, is_price_outlier AS alerta_preco, {_SEV} AS gravidade FROM gold""",
     dates=("data",),
 )
@@ -236,7 +236,7 @@ def _(spark, sf_dir):
 def _profile_sql(name: str, columns: dict[str, str]) -> str:
     return " UNION ALL ".join(
         f"SELECT {i + 1} AS posicao, '{c}' AS coluna, '{t}' AS tipo, count(*) FILTER (WHERE {c} IS NULL) AS nulos, "
-        f"round(count(*) FILTER (WHERE {c} IS NULL) / count(*), 4) AS proporcao_nulos, count(DISTINCT {c}) AS distintos, min(CAST({c} AS VARCHAR)) AS exemplo FROM {name}"
+        f"round(count(*) FILTER (WHERE {c} IS NULL) / count(*) + 1e-7, 4) AS proporcao_nulos, count(DISTINCT {c}) AS distintos, min(CAST({c} AS VARCHAR)) AS exemplo FROM {name}"
         for i, (c, t) in enumerate(columns.items())
     )
 
@@ -271,9 +271,9 @@ def _(spark, sf_dir):
 @query(
     "key_matches",
     """SELECT 'l_suppkey' AS esquerda, 's_suppkey' AS direita, count(*) FILTER (WHERE l_suppkey IN (SELECT s_suppkey FROM supplier)) AS encontradas,
-    round(100.0 * count(*) FILTER (WHERE l_suppkey IN (SELECT s_suppkey FROM supplier)) / count(*), 4) AS percentual FROM lineitem UNION ALL
+    round(100.0 * count(*) FILTER (WHERE l_suppkey IN (SELECT s_suppkey FROM supplier)) / count(*) + 1e-7, 4) AS percentual FROM lineitem UNION ALL
     SELECT 'l_partkey', 's_suppkey', count(*) FILTER (WHERE l_partkey IN (SELECT s_suppkey FROM supplier)),
-    round(100.0 * count(*) FILTER (WHERE l_partkey IN (SELECT s_suppkey FROM supplier)) / count(*), 4) FROM lineitem""",
+    round(100.0 * count(*) FILTER (WHERE l_partkey IN (SELECT s_suppkey FROM supplier)) / count(*) + 1e-7, 4) FROM lineitem""",
 )
 def _(spark, sf_dir):
     return joins.key_matches(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier"), [("l_suppkey", "s_suppkey"), ("l_partkey", "s_suppkey")])
@@ -289,7 +289,7 @@ def _(spark, sf_dir):
     return joins.key_conflicts(purchases(spark, sf_dir), "id_compra_item", ["cnpj_fornecedor", "codigo_catmat", "uasg"])
 
 
-@query("bronze_props", "SELECT event_type, count(*) AS registros, round(sum(CAST(json_extract(props, '$.k') AS DOUBLE)), 4) AS soma FROM events GROUP BY 1")
+@query("bronze_props", "SELECT event_type, count(*) AS registros, round(sum(CAST(json_extract(props, '$.k') AS DOUBLE)) + 1e-7, 4) AS soma FROM events GROUP BY 1")
 def _(spark, sf_dir):
     from quarrymill.sources.bronze import unwrap
 
@@ -318,7 +318,7 @@ def _(spark, sf_dir):
     "field_fill",
     " UNION ALL ".join(
         f"""SELECT '{c}' AS campo, CAST(coalesce(sum(n) FILTER (WHERE v IS NOT NULL), 0) AS BIGINT) AS preenchidos, CAST(coalesce(sum(n) FILTER (WHERE v IS NULL), 0) AS BIGINT) AS ausentes,
-        round(100.0 * coalesce(sum(n) FILTER (WHERE v IS NOT NULL), 0) / sum(n), 4) AS percentual, count(v) AS distintos, coalesce(string_agg(v, '; ' ORDER BY v) FILTER (WHERE r <= 15), '') AS exemplos
+        round(100.0 * coalesce(sum(n) FILTER (WHERE v IS NOT NULL), 0) / sum(n) + 1e-7, 4) AS percentual, count(v) AS distintos, coalesce(string_agg(v, '; ' ORDER BY v) FILTER (WHERE r <= 15), '') AS exemplos
         FROM (SELECT v, n, row_number() OVER (ORDER BY v NULLS LAST) AS r FROM (SELECT trim({c}) AS v, count(*) AS n FROM part GROUP BY 1))"""
         for c in ("p_brand", "p_type", "p_name")
     ),
