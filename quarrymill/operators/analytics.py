@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.keys import concentration_class
 
-_n = F.count(F.lit(1))
+def _n() -> Column:
+    return F.count(F.lit(1))
+
+
 _sum = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
 
 
 def executive_summary(df: DataFrame) -> DataFrame:
     return df.agg(
-        _n.alias("registros"),
+        _n().alias("registros"),
         F.min("data_publicacao").alias("data_inicial"),
         F.max("data_publicacao").alias("data_final"),
         F.count_distinct("codigo_catmat").alias("materiais"),
@@ -37,7 +40,7 @@ def _month(c: str = "data_publicacao") -> Column:
 
 def monthly_by_family(df: DataFrame) -> DataFrame:
     return df.groupBy(_month(), "familia_material").agg(
-        _n.alias("registros"),
+        _n().alias("registros"),
         F.count_distinct("codigo_catmat").alias("materiais"),
         _sum("quantidade").alias("quantidade_total"),
         _sum("valor_total").alias("valor_total"),
@@ -47,7 +50,7 @@ def monthly_by_family(df: DataFrame) -> DataFrame:
 
 def monthly_by_material(df: DataFrame) -> DataFrame:
     return df.groupBy(_month(), "codigo_catmat", "unidade_comparavel").agg(
-        _n.alias("registros"),
+        _n().alias("registros"),
         _sum("quantidade").alias("quantidade_total"),
         _sum("valor_total").alias("valor_total"),
         F.median("valor_unitario").alias("preco_mediano"),
@@ -63,7 +66,7 @@ def price_statistics(df: DataFrame) -> DataFrame:
     )
     p = "valor_unitario"
     out = good.groupBy("familia_material", "codigo_catmat", "unidade_comparavel").agg(
-        _n.alias("observacoes"),
+        _n().alias("observacoes"),
         F.min(p).alias("preco_minimo"),
         F.percentile(p, [0.25, 0.5, 0.75]).alias("_q"),
         F.avg(p).alias("preco_medio"),
@@ -89,7 +92,7 @@ def supplier_concentration(df: DataFrame, by: tuple[str, ...] = ("ano", "familia
     share = F.try_divide(F.col("v"), F.sum("v").over(group))
     ranked = each.select(*by, "v", share.alias("s"), F.row_number().over(group.orderBy(F.desc("v"), "cnpj_fornecedor")).alias("r"))
     out = ranked.groupBy(*by).agg(
-        _n.alias("fornecedores"),
+        _n().alias("fornecedores"),
         F.sum("v").alias("valor_total"),
         (F.sum(F.col("s") * F.col("s")) * 10000).alias("_h"),
         F.sum(F.when(F.col("r") == 1, F.col("s"))).alias("participacao_lider"),
@@ -118,7 +121,7 @@ def material_diagnostic(df: DataFrame) -> DataFrame:
     """Reach of each material's data and whether it is modelled by itself."""
     month, year = F.date_format("data_publicacao", "yyyy-MM"), F.year("data_publicacao")
     out = df.groupBy("codigo_catmat").agg(
-        _n.alias("registros"),
+        _n().alias("registros"),
         F.min("data_publicacao").alias("primeira_data"),
         F.max("data_publicacao").alias("ultima_data"),
         F.count_distinct(year).alias("anos_ativos"),
@@ -138,7 +141,7 @@ def material_diagnostic(df: DataFrame) -> DataFrame:
 def segment_diagnostic(df: DataFrame, by: str = "familia_material") -> DataFrame:
     return df.groupBy(by).agg(
         F.count_distinct("codigo_catmat").alias("materiais"),
-        _n.alias("registros"),
+        _n().alias("registros"),
         F.min("data_publicacao").alias("primeira_data"),
         F.max("data_publicacao").alias("ultima_data"),
         F.count_distinct(F.year("data_publicacao")).alias("anos_ativos"),
@@ -154,7 +157,7 @@ def selection_fit(df: DataFrame) -> DataFrame:
     """Whether each material has enough history, and the first test that it fails."""
     k = F.year("data_publicacao") * 12 + F.month("data_publicacao")
     out = df.where("data_publicacao is not null").groupBy("codigo_catmat").agg(
-        _n.alias("registros"),
+        _n().alias("registros"),
         F.count_distinct(F.year("data_publicacao")).alias("anos"),
         F.count_distinct(k).alias("meses_ativos"),
         (F.max(k) - F.min(k) + 1).cast("long").alias("meses_intervalo"),
@@ -173,7 +176,7 @@ def selection_fit(df: DataFrame) -> DataFrame:
 def coverage_by_family(df: DataFrame) -> DataFrame:
     """Of evaluated codes: all, with prices, records, errors."""
     return df.groupBy("familia_material").agg(
-        _n.alias("avaliados"),
+        _n().alias("avaliados"),
         F.count_if(F.col("registros") > 0).alias("com_preco"),
         F.coalesce(F.sum("registros"), F.lit(0)).alias("registros"),
         F.count_if(F.col("status") != "OK").alias("erros"),
@@ -183,9 +186,9 @@ def coverage_by_family(df: DataFrame) -> DataFrame:
 def state_coverage(df: DataFrame, layer: str) -> DataFrame:
     return df.agg(
         F.lit(layer).alias("camada"),
-        _n.alias("linhas"),
+        _n().alias("linhas"),
         F.count("uf").alias("preenchidas"),
-        F.try_divide(100.0 * F.count("uf"), _n).alias("percentual"),
+        F.try_divide(100.0 * F.count("uf"), _n()).alias("percentual"),
         F.count_distinct("uf").alias("ufs"),
         F.count_distinct("uasg").alias("uasgs"),
     )
@@ -204,7 +207,7 @@ def mode_of(df: DataFrame, by: str | list[str], columns: list[str]) -> DataFrame
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy(column).agg(_n.alias("registros")).orderBy(F.desc("registros"), F.asc_nulls_last(column))
+    return df.groupBy(column).agg(_n().alias("registros")).orderBy(F.desc("registros"), F.asc_nulls_last(column))
 
 
 def top_n(df: DataFrame, by: str, n: int, *order: Column) -> DataFrame:

@@ -84,10 +84,10 @@ def _(spark, sf_dir):
 
 
 def _croston_sql(alpha: float) -> str:
-    return f"""WITH {SERIES}, a AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY codigo_catmat, descricao_item) AS n,
+    return f"""WITH {SERIES}, a AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY codigo_catmat, descricao_item) AS last_k,
       p - coalesce(lag(p) OVER w, 0) AS gap FROM series WHERE q > 0 WINDOW w AS (PARTITION BY codigo_catmat, descricao_item ORDER BY p)),
     r AS (SELECT codigo_catmat, descricao_item, sum(q * wt) AS d, sum(gap * wt) AS i FROM
-      (SELECT *, CASE WHEN k = 1 THEN pow(1 - {alpha}, n - 1) ELSE {alpha} * pow(1 - {alpha}, n - k) END AS wt FROM a) GROUP BY 1, 2)
+      (SELECT *, CASE WHEN k = 1 THEN pow(1 - {alpha}, last_k - 1) ELSE {alpha} * pow(1 - {alpha}, last_k - k) END AS wt FROM a) GROUP BY 1, 2)
     SELECT s.codigo_catmat, s.descricao_item, round(coalesce((1 - {alpha} / 2) * d / i, 0) + 1e-7, 4) AS croston
     FROM (SELECT DISTINCT codigo_catmat, descricao_item FROM series) s LEFT JOIN r USING (codigo_catmat, descricao_item)"""
 
