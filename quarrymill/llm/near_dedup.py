@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from quarrymill.llm.common import map_arrow, materialize, offsets, slices, utf8, with_ids
 from quarrymill.llm.components import connected_components
 
-SHINGLE, PERCENT = 4, 80
+#: Words in a shingle and least similarity; op7_minhash_dedup takes four words.
+SHINGLE, PERCENT = 5, 80
 K, CHUNK = 48, 4
 SLOT_BITS = 20
 #: Each of the K / CHUNK chunks allows one error.

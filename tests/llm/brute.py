@@ -6,20 +6,20 @@ import zlib
 from collections import Counter
 
 
-def shingles(text):
+def shingles(text, size=5):
     words = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
     if not words:
         return set()
-    return {tuple(words[i : i + 4]) for i in range(len(words) - 3)} or {tuple(words)}
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} or {tuple(words)}
 
 
 def lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text)
 
 
-def groups(rows):
+def groups(rows, size=5):
     """component of each doc_id, from (doc_id, text)."""
-    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    sets = [(i, shingles(t, size)) for i, t in rows if i is not None]
     up = {i: i for i, _ in sets}
 
     def top(i):

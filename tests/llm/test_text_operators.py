@@ -17,17 +17,18 @@ def texts(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 
 
+@pytest.mark.parametrize("size", [4, 5])
 @pytest.mark.parametrize("name", ["docs", "odd"])
-def test_near_duplicates(name, request):
+def test_near_duplicates(name, size, request):
     df = request.getfixturevalue(name)
     source = texts(df)
-    groups = brute.groups(source)
-    want = sorted((str(i), len(brute.shingles(t)), str(groups.get(i)), i is None or groups[i] == i) for i, t in source)
+    groups = brute.groups(source, size)
+    want = sorted((str(i), len(brute.shingles(t, size)), str(groups.get(i)), i is None or groups[i] == i) for i, t in source)
     got = sorted(
-        (str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in rows_of(near_dedup.near_duplicates(df))
+        (str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in rows_of(near_dedup.near_duplicates(df, size))
     )
     assert got == want
-    kept = near_dedup.drop_near_duplicates(df)
+    kept = near_dedup.drop_near_duplicates(df, size)
     assert kept.columns == df.columns
     assert sorted(i for i, _ in texts(kept) if i is not None) == sorted({i for i, c in groups.items() if i == c})
 
