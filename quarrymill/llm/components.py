@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from quarrymill.llm.common import materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge, down to a center, or is a center: then the centers are the least nodes."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("b", F.lit(0), F.lit(1))
+    )
+    return ends.groupBy("node").agg(F.sum("up").alias("n"), F.max("down").alias("m")).where("n + m > 1").count() == 0
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``links`` (a, b) to (node, component): the least node that each linked node reaches.
 
-    Each step is two aggregations and joins over the edges; no group is gathered. Nodes are numbers or
+    Each step is two aggregations and joins over the edges, and ends when they are stars; no group is gathered. Nodes are numbers or
     strings; null ends and self links are left out. An empty input gives an empty result.
     """
     edges = materialize(
@@ -24,8 +28,11 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
-    state = _state(edges)
     for _ in range(most_rounds):
+        if _stars(edges):
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+                edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            )
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -38,10 +45,4 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             .union(least.select("a", F.col("m").alias("b")))
         )
         edges = materialize(small.distinct(), "small")
-        was, state = state, _state(edges)
-        if was == state:
-            stars = edges.groupBy("a").agg(F.min("b").alias("b"))
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
-    raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+    raise RuntimeError(f"no stars after {most_rounds} rounds")
