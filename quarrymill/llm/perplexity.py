@@ -1,12 +1,13 @@
-"""Perplexity filter with a modified Kneser-Ney model of character classes.
+"""Perplexity filter with two modified Kneser-Ney models: of character classes, and of word trigrams (``word_model``).
 
-Spark counts the ORDER-grams of all texts. Characters fall into 64 classes (letters, kinds of
+For the first, Spark counts the ORDER-grams of all texts. Characters fall into 64 classes (letters, kinds of
 punctuation, hashed classes beyond ASCII), so an ORDER-gram is a perfect 24-bit hash and the model has
 at most 2^24 entries however large the corpus is: that is the proven bound that lets it be broadcast.
 The model is a pair of sorted hash arrays for each order, n-grams with log probabilities and contexts
 with log back-off weights, looked up by binary search.
 
-Each language has a band of log perplexity around its median; documents outside are rejected.
+Each language has a band of log perplexity around its median, and a highest word log perplexity; documents outside
+are rejected.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrymill.llm import word_model
 from quarrymill.llm.common import map_arrow, materialize, offsets, slices
 
 ORDER, BITS = 4, 6
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Half widths of the band in scaled median deviations, and the least half width in nats.
 UPPER, LOWER, LEAST_WIDTH = 6.0, 9.0, 0.06
+#: Of the word model, above the median only: low values are passages that other texts hold too, which is not noise.
+WORD_UPPER, WORD_LEAST_WIDTH = 2.0, 0.5
 #: Log perplexities are counted in bins of this width to find medians.
 BIN = 1 / 1024
 #: Classes 0 to 50; other characters are hashed into 51 to 63.
@@ -121,12 +125,7 @@ class KneserNey:
 
     @staticmethod
     def _discounts(counts: np.ndarray) -> np.ndarray:
-        n = [float((counts == i).sum()) for i in range(1, 5)]
-        if not n[0] or not n[1]:
-            return np.array([0.5, 0.75, 0.9])
-        y = n[0] / (n[0] + 2 * n[1])
-        d = [i - (i + 1) * y * (n[i] / n[i - 1] if n[i - 1] else 0.0) for i in (1, 2, 3)]
-        return np.array([min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1)])
+        return np.array(word_model.discounts([float((counts == i).sum()) for i in range(1, 5)]))
 
     def log_prob(self, keys: np.ndarray) -> np.ndarray:
         """Log probability of each n-gram's last class after the ones before it, at the orders built so far."""
@@ -194,10 +193,11 @@ def _score(broadcast):
                     [
                         part.column("doc_id"),
                         part.column("lang"),
+                        part.column("id"),
                         *(pa.array(figures[:, j]) for j in range(5)),
                         pa.array(np.round(loss, 9)),
                     ],
-                    ["doc_id", "lang", *FIGURES, "log_perplexity"],
+                    ["doc_id", "lang", "id", *FIGURES, "log_perplexity"],
                 )
 
     return run
@@ -233,8 +233,20 @@ def bands(scored: DataFrame) -> DataFrame:
     )
 
 
+def word_bands(scored: DataFrame) -> DataFrame:
+    """(word_of, word_high): the highest word log perplexity of each language, found as in ``bands``."""
+    bin_of = F.round(F.col("word_log_perplexity") / BIN).cast("long")
+    good = scored.where(~F.col("base_failed")).select("lang", bin_of.alias("bin"))
+    middle = _median(good, "bin", "middle").withColumnRenamed("lang", "word_of")
+    same = F.col("lang").eqNullSafe(F.col("word_of"))
+    away = good.join(middle, same).select("lang", F.abs(F.col("bin") - F.col("middle")).alias("away"))
+    width = F.greatest(F.lit(WORD_LEAST_WIDTH), WORD_UPPER * F.col("spread") * 1.4826 * BIN)
+    high = (F.col("middle") * BIN + width).alias("word_high")
+    return _median(away, "away", "spread").join(middle, same).select("word_of", high)
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, lang): the base figures, log_perplexity, base_failed, kept.
+    """One row per row of ``docs`` (doc_id, text, lang): the base figures, log_perplexity, word_log_perplexity, base_failed, kept.
 
     Null and empty texts have no words and fail. A null lang is a language of its own. Repeated rows
     each get their row. An empty table gives an empty result; other columns are ignored.
@@ -244,14 +256,17 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     model = spark.sparkContext.broadcast(train(docs))
     figures = ", ".join(f"{c} long" for c in FIGURES)
     scored = map_arrow(
-        docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")),
+        docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), word_model.text_id(F.col("text")).alias("id")),
         _score(model),
-        f"doc_id {kind}, lang string, {figures}, log_perplexity double",
+        f"doc_id {kind}, lang string, id long, {figures}, log_perplexity double",
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    scored = materialize(scored.withColumn("base_failed", failed), "scored")
-    limits = bands(scored)
+    scored = scored.withColumn("base_failed", failed).join(word_model.perplexities(docs), "id").drop("id")
+    scored = materialize(scored, "scored")
+    limits, word_limits = bands(scored), word_bands(scored)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    return scored.join(limits, F.col("lang").eqNullSafe(F.col("of")), "left").select(
-        "doc_id", *FIGURES, "log_perplexity", "base_failed", (~F.col("base_failed") & inside).alias("kept")
-    )
+    inside &= F.coalesce(F.col("word_log_perplexity") <= F.col("word_high"), F.lit(True))
+    lang = F.col("lang")
+    rows = scored.join(limits, lang.eqNullSafe(F.col("of")), "left").join(word_limits, lang.eqNullSafe(F.col("word_of")), "left")
+    kept = (~F.col("base_failed") & inside).alias("kept")
+    return rows.select("doc_id", *FIGURES, "log_perplexity", "word_log_perplexity", "base_failed", kept)

@@ -1,0 +1,139 @@
+"""Modified Kneser-Ney model of word trigrams, kept and joined as tables, so that it grows with the corpus.
+
+An n-gram that only one text holds says nothing about that text: it is counted in the totals, but its probability
+comes from the lower order alone (copies of a text are one text). Probabilities of a context add up to one, over all
+distinct words. Every text's trigrams are joined with their probabilities by Spark; nothing is sent to the driver but counts
+of counts.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quarrymill.llm.common import map_arrow, materialize, slices
+
+#: Scripts that are written without spaces: each character is a word.
+_ALONE = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
+_WORD = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+|[^\w\s]")
+#: Stand for the place before a text and for its end.
+_BEFORE, _END = 0, 1
+
+
+def text_id(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    for batch in batches:
+        for part in slices(batch, "text"):
+            known: dict[str, int] = {}
+            ids: list[int] = []
+            sizes = []
+            for t in part.column("text").to_pylist():
+                words = _WORD.findall((t or "").lower())
+                ids += [_BEFORE, _BEFORE]
+                for w in words:
+                    i = known.get(w)
+                    if i is None:
+                        i = known[w] = _hash(w)
+                    ids.append(i)
+                ids.append(_END)
+                sizes.append(len(words) + 3)
+            a = np.array(ids, np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.flatnonzero(row[2:] == row[:-2])
+            u, v, w, row = a[at], a[at + 1], a[at + 2], row[at]
+            key = row.astype(np.uint64)
+            for x in (u, v, w):
+                key = (key ^ (key >> np.uint64(29))) * odd + x.view(np.uint64)
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            text = part.column("id").to_numpy()[row[first]]
+            columns = [text, u[first], v[first], w[first], n.astype(np.int64)]
+            for i in range(0, len(first), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], ["id", "u", "v", "w", "n"])
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(id, u, v, w, n): how often each text holds the trigram u v w of hashed words, which ends at w."""
+    read = docs.select(text_id(F.col("text")).alias("id"), "text")
+    return map_arrow(read, _occurrences, "id long, u long, v long, w long, n long")
+
+
+def discounts(n: list[float]) -> list[float]:
+    """Of counts 1, 2, and 3 or more, from how many n-grams have the counts 1 to 4."""
+    if not n[0] or not n[1]:
+        return [0.5, 0.75, 0.9]
+    y = n[0] / (n[0] + 2 * n[1])
+    d = [i - (i + 1) * y * (n[i] / n[i - 1] if n[i - 1] else 0.0) for i in (1, 2, 3)]
+    return [min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1)]
+
+
+#: The n-gram is in several texts.
+_SHARED = "lo <> hi"
+
+
+def _gain(grams: DataFrame) -> Column:
+    """The discounted count of an n-gram that several texts hold, else 0."""
+    of = dict(grams.where("n <= 4").groupBy("n").count().toLocalIterator())
+    d = discounts([float(of.get(i, 0)) for i in range(1, 5)])
+    cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+    return F.when(F.expr(_SHARED), F.col("n") - cut).otherwise(0.0)
+
+
+def _contexts(grams: DataFrame, key: list[str], gain: Column) -> DataFrame:
+    """Totals of the contexts that are in any n-gram of several texts; after others only the lower order counts."""
+    sums = grams.groupBy(*key).agg(F.sum("n").alias("total"), F.sum(gain).alias("used"), F.max(F.expr(_SHARED)).alias("any"))
+    return sums.where("any").drop("any")
+
+
+def _mixed(gain: Column, lower: Column) -> Column:
+    """Interpolated probability; ``total`` is null where the context is not known."""
+    own = (gain + (F.col("total") - F.col("used")) * lower) / F.col("total")
+    return F.coalesce(own, lower)
+
+
+def trigrams(docs: DataFrame) -> DataFrame:
+    """(u, v, w, p): the probability of w after u v, for all trigrams of all texts."""
+    bounds = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    three = materialize(
+        occurrences(docs).groupBy("u", "v", "w").agg(F.sum("n").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")), "trigrams"
+    )
+    # lower orders count the distinct words before
+    two = materialize(three.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n"), *bounds), "bigrams")
+    one = materialize(two.groupBy("w").agg(F.count(F.lit(1)).alias("n"), *bounds), "words")
+    gain = _gain(one)
+    size, total, used = one.agg(F.count(F.lit(1)), F.sum("n"), F.sum(gain)).first()
+    if not size:
+        return three.select("u", "v", "w", F.lit(1.0).alias("p"))
+    p1 = one.select("w", ((gain + (total - used) / size) / total).alias("p1"))
+    gain = _gain(two)
+    p2 = (
+        two.join(p1, "w")
+        .join(_contexts(two, ["v"], gain), "v", "left")
+        .select("v", "w", _mixed(gain, F.col("p1")).alias("p2"))
+    )
+    gain = _gain(three)
+    return (
+        three.join(p2, ["v", "w"])
+        .join(_contexts(three, ["u", "v"], gain), ["u", "v"], "left")
+        .select("u", "v", "w", _mixed(gain, F.col("p2")).alias("p"))
+    )
+
+
+def perplexities(docs: DataFrame) -> DataFrame:
+    """(id, word_log_perplexity) of each different text, in nats a word and its end."""
+    found = occurrences(docs).join(trigrams(docs), ["u", "v", "w"])
+    loss = -F.sum(F.col("n") * F.log("p")) / F.sum("n")
+    return found.groupBy("id").agg(F.round(loss, 6).alias("word_log_perplexity"))

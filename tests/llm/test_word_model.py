@@ -1,0 +1,78 @@
+"""The word model of the perplexity filter: a distribution, growing with the corpus, sensitive to the order of words."""
+
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from conftest import rows_of
+
+from quarrymill.llm import perplexity, word_model
+
+
+def sentences(rng, n):
+    """Texts of a chain of words, in which each word has three that may follow."""
+    parts = ("ka", "lo", "mi", "te", "su", "ro", "на", "ри", "ten", "mo", "las", "дом")
+    words = [a + b + c for a in parts for b in parts for c in "ne"]
+    after = {w: rng.choice(words, 3) for w in words}
+    for _ in range(n):
+        text = [words[rng.integers(len(words))]]
+        while len(text) < 120:
+            text.append(after[text[-1]][rng.integers(3)])
+        yield text
+
+
+def test_shuffled_words_are_rejected(spark):
+    rng = np.random.default_rng(4)
+    texts = list(sentences(rng, 200))
+    rows = [(i, " ".join(t), "en") for i, t in enumerate(texts)]
+    rows += [(900 + i, " ".join(rng.permutation(t)), "en") for i, t in enumerate(texts[:8])]
+    got = {r["doc_id"]: r for r in rows_of(perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")))}
+    clean = [r["word_log_perplexity"] for i, r in got.items() if i < 900]
+    mixed = [r["word_log_perplexity"] for i, r in got.items() if i >= 900]
+    assert max(clean) + 0.5 < min(mixed)
+    assert not any(got[900 + i]["kept"] for i in range(8))
+    assert sum(r["kept"] for r in got.values()) > 190
+
+
+def test_probabilities_of_seen_words_stay_below_one_and_match_a_plain_model(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(t[:40]) for t in sentences(rng, 30)]
+    got = {(r["u"], r["v"], r["w"]): r["p"] for r in rows_of(word_model.trigrams(spark.createDataFrame([(t,) for t in texts], "text string")))}
+    count, holders = defaultdict(int), defaultdict(set)
+    for i, t in enumerate(texts):
+        ids = [0, 0, *(word_model._hash(w) for x in t.split() for w in word_model._WORD.findall(x)), 1]
+        for g in zip(ids, ids[1:], ids[2:], strict=False):
+            count[g] += 1
+            holders[g].add(i)
+    levels = [(dict(count), dict(holders))]
+    for _ in range(2):
+        c, h = defaultdict(int), defaultdict(set)
+        for g in levels[-1][0]:
+            c[g[1:]] += 1
+            h[g[1:]] |= levels[-1][1][g]
+        levels.append((dict(c), dict(h)))
+    p = {}
+    for c, h in reversed(levels):
+        d = word_model.discounts([float(sum(x == k for x in c.values())) for k in range(1, 5)])
+        total, used, size = defaultdict(int), defaultdict(float), len(levels[-1][0])
+        for g, n in c.items():
+            total[g[:-1]] += n
+            used[g[:-1]] += (n - d[min(n, 3) - 1]) * (len(h[g]) > 1)
+        for g, n in c.items():
+            ctx = g[:-1]
+            own = (n - d[min(n, 3) - 1]) * (len(h[g]) > 1)
+            p[g] = (own + (total[ctx] - used[ctx]) * (p[g[1:]] if len(g) > 1 else 1 / size)) / total[ctx]
+    assert {g: pytest.approx(p[g], rel=1e-9) for g in count} == got
+    sums = defaultdict(float)
+    for (u, v, _), x in got.items():
+        sums[u, v] += x
+    assert max(sums.values()) <= 1 + 1e-9
+
+
+def test_copies_do_not_vouch_for_each_other_and_repeated_rows_score_alike(spark):
+    rows = [("alpha beta gamma delta",)] * 5 + [("alpha beta other words",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "text string")
+    got = rows_of(word_model.perplexities(df))
+    assert len(got) == 3  # null is empty
+    model = {r["w"]: r["p"] for r in rows_of(word_model.trigrams(df))}
+    assert model[word_model._hash("beta")] > model[word_model._hash("gamma")]
