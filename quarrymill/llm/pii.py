@@ -1,7 +1,8 @@
 """Personal data by fixed patterns and by bootstrapped context patterns, in DataFrame expressions only.
 
 The base finds e-mail addresses, IP addresses, payment cards and telephone numbers. They seed a graph of
-lexical patterns (the words before an entity) and instances (the entities, and other tokens that look like identifiers).
+lexical patterns (one to three words before an entity, with the quote or bracket after it) and instances (the entities, and
+other tokens that look like identifiers; of these, long hexadecimal, mixed and hyphenated ones are seeds as well).
 A pattern's score is the mean confidence of the instances that it occurs with; an instance's confidence is 1 for
 seeds and otherwise follows from the scores of its accepted patterns. After ROUNDS rounds, identifier-like tokens
 behind an accepted pattern are spans as well, of kind "id".
@@ -27,10 +28,21 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 IP_VALID = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
-#: Tokens that look like identifiers: letters and digits, 8 to 64 of them, with a digit among the first 41.
-TOKEN = r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,40}[0-9])[A-Za-z0-9]{8,64}(?![A-Za-z0-9])"
-#: A pattern is the last words, three at most, of this many characters before an entity.
-CONTEXT_CHARS, CONTEXT = 40, r"((?:\S+\s+){0,2}\S*)$"
+#: Tokens that look like identifiers: letters and digits, with single marks inside, and a digit; of any length.
+TOKEN = (
+    r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][._/-])(?=[A-Za-z]*+(?:[._/-][A-Za-z]++)*+[._/-]?[0-9])"
+    r"[A-Za-z0-9]++(?:[._/-][A-Za-z0-9]++)*+"
+)
+#: Tokens that are seeds by their shape: hexadecimal digits, mixed letters and digits, groups with hyphens.
+DISTINCTIVE = (
+    r"^(?:(?=[^0-9]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{24,}"
+    r"|(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])[A-Za-z0-9]{16,}"
+    r"|(?=.{20})(?=(?:[^0-9]*[0-9]){4})(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9]+(?:[_-][A-Za-z0-9]+)+)$"
+)
+#: A pattern is the last one to three words of this many characters before an entity, and a closing mark after it.
+CONTEXT_CHARS, CONTEXT_WORDS, CLOSING = 40, 3, "[\"'`)\\]}>]"
+#: One word alone is a pattern only if it assigns or opens a quote or bracket.
+SHAPED = "[=:\"'`(\\[{<]\\s*$"
 ROUNDS, LEAST_SEEDS, LEAST_SCORE, LEAST_CONFIDENCE = 3, 3, 0.75, 0.8
 KEPT_BROADCAST = 100_000
 
@@ -51,13 +63,14 @@ def _luhn(m: Column) -> Column:
     return F.when(n.between(16, 19), total % 10 == 0).otherwise(False)
 
 
-_ENTITY = "struct<k:int,start:long,end:long,value:string,left:string>"
+_ENTITY = "struct<k:int,start:long,end:long,value:string,left:string,right:string>"
 
 
 def _entities(text: Column, kind: int, pattern: str, may: Column, valid: Callable[[Column], Column] | None) -> Column:
     """Valid matches with their places: the pieces between matches give the starts."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.arrays_zip(F.split(text, pattern, -1).alias("p"), found.alias("m"))
+    pieces = F.split(text, pattern, -1)
+    steps = F.arrays_zip(pieces.alias("p"), found.alias("m"), F.slice(pieces, F.lit(2), F.size(pieces)).alias("q"))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_ENTITY}>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -69,6 +82,7 @@ def _entities(text: Column, kind: int, pattern: str, may: Column, valid: Callabl
             end.cast("long").alias("end"),
             x["m"].alias("value"),
             F.right(x["p"], F.lit(CONTEXT_CHARS)).alias("left"),
+            F.left(x["q"], F.lit(1)).alias("right"),
         )
         good = x["m"].isNotNull() if valid is None else x["m"].isNotNull() & valid(x["m"])
         return F.struct(
@@ -76,12 +90,29 @@ def _entities(text: Column, kind: int, pattern: str, may: Column, valid: Callabl
             F.when(good, F.array_append(acc["out"], entity)).otherwise(acc["out"]).alias("out"),
         )
 
+    # folded in blocks, as each append copies the array: time grows with the power 1.5 of the matches
+    def placed(steps: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(steps))).cast("int")
+        begin = F.sequence(F.lit(1), F.size(steps), size)
+        blocks = F.transform(begin, lambda i: F.aggregate(F.slice(steps, i, size), zero, step))
+        moved = lambda at, e: F.struct(
+            e["k"].alias("k"), (e["start"] + at).alias("start"), (e["end"] + at).alias("end"), *(e[c].alias(c) for c in ("value", "left", "right"))
+        )
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<array<{_ENTITY}>>").alias("out"))
+        join = lambda acc, x: F.struct(
+            (acc["at"] + x["at"]).alias("at"),
+            F.array_append(acc["out"], F.transform(x["out"], lambda e: moved(acc["at"], e))).alias("out"),
+        )
+        return F.aggregate(blocks, start, join, lambda acc: F.flatten(acc["out"]))
+
     none = F.array().cast(f"array<{_ENTITY}>")
-    return F.when(may & F.rlike(text, F.lit(pattern)), F.aggregate(steps, zero, step, lambda acc: acc["out"])).otherwise(none)
+    # bound to a name by a transform of one element, so that the pieces are found once
+    found = F.when(may & F.rlike(text, F.lit(pattern)), F.get(F.transform(F.array(steps), placed), F.lit(0)))
+    return F.coalesce(found, none)
 
 
 def base_entities(text: Column) -> Column:
-    """Array of (k, start, end, value, left) by kind and start; code points, end exclusive."""
+    """Array of (k, start, end, value, left, right) by kind and start; code points, end exclusive."""
     digit = F.rlike(text, F.lit("[0-9]"))
     return F.concat(
         _entities(text, 0, EMAIL, F.contains(text, F.lit("@")), None),
@@ -91,8 +122,18 @@ def base_entities(text: Column) -> Column:
     )
 
 
+def _patterns(left: Column, right: Column) -> Column:
+    """The patterns of an entity between ``left`` and ``right``."""
+    words = [F.lower(F.regexp_extract(left, rf"((?:\S+\s+){{0,{k}}}\S+\s*)$", 1)) for k in range(CONTEXT_WORDS)]
+    some = F.filter(
+        F.array_distinct(F.array(*words)), lambda w: (w != "") & (F.rlike(w, F.lit(r"\S\s+\S")) | F.rlike(w, F.lit(SHAPED)))
+    )
+    after = F.regexp_extract(right, rf"^({CLOSING})", 1)
+    return F.transform(some, lambda w: F.concat(w, F.lit("\u2026"), after))
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, h, base, seen: the base spans, and all entities and identifier-like tokens with their pattern."""
+    """doc_id, h, base, seen: the base spans, and all entities and identifier-like tokens with their patterns."""
     text = F.coalesce("text", F.lit(""))
     read = docs.select("doc_id", text.alias("text"))
     with_base = read.withColumn("base", base_entities(F.col("text")))
@@ -100,14 +141,14 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     other = F.filter(
         tokens, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     )
-    pattern = lambda e: F.lower(F.regexp_extract(e["left"], CONTEXT, 1))
     seen = F.transform(
         F.concat("base", other),
         lambda e: F.struct(
             e["k"].alias("k"),
             e["start"].alias("start"),
             e["end"].alias("end"),
-            pattern(e).alias("pattern"),
+            _patterns(e["left"], e["right"]).alias("patterns"),
+            ((e["k"] < 4) | F.rlike(e["value"], F.lit(DISTINCTIVE))).alias("seed"),
             F.xxhash64(F.lower(e["value"])).alias("instance"),
         ),
     )
@@ -120,11 +161,11 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def accepted_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score) of ``seen`` (k, pattern, instance) after ``rounds`` rounds of scoring over the whole graph."""
-    edges = materialize(
-        seen.where(F.trim("pattern") != "").groupBy("pattern", "instance").agg(F.max((F.col("k") < 4).cast("int")).alias("seed")),
-        "edges",
-    )
+    """(pattern, score) of ``seen`` (pattern, instance, seed) after ``rounds`` rounds of scoring over the whole graph."""
+    edges = materialize(seen.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("int")).alias("seed")), "edges")
+    # a pattern of fewer instances can't have LEAST_SEEDS trusted ones
+    many = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SEEDS).select("pattern")
+    edges = materialize(edges.join(many, "pattern", "left_semi"), "edges")
     seeds = edges.where("seed = 1").select("instance").distinct()
     trusted = seeds.select("instance", F.lit(1.0).alias("confidence"))
     patterns = None
@@ -149,6 +190,7 @@ def accepted_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def _discovered(occurrences: DataFrame) -> DataFrame:
     """doc_id, h, added: the spans that accepted patterns find."""
     seen = occurrences.select("doc_id", "h", F.explode("seen").alias("s")).select("doc_id", "h", "s.*")
+    seen = seen.select("doc_id", "h", "k", "start", "end", "instance", "seed", F.explode("patterns").alias("pattern"))
     patterns = accepted_patterns(seen)
     hits = seen.where("k = 4").join(patterns.select("pattern"), "pattern", "left_semi")
     span = F.struct(F.lit(4).alias("k"), "start", "end")
