@@ -39,8 +39,8 @@ DISTINCTIVE = (
     r"|(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])[A-Za-z0-9]{16,}"
     r"|(?=.{20})(?=(?:[^0-9]*[0-9]){4})(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9]+(?:[_-][A-Za-z0-9]+)+)$"
 )
-#: A pattern is the last one to three words of this many characters before an entity, and a closing mark after it.
-CONTEXT_CHARS, CONTEXT_WORDS, CLOSING = 40, 3, "[\"'`)\\]}>]"
+#: A pattern is the last one to three whole words, of at most so many characters, before an entity, and a closing mark after it.
+CONTEXT_CHARS, CONTEXT_WORDS, CLOSING = 80, 3, "[\"'`)\\]}>]"
 #: One word alone is a pattern only if it assigns or opens a quote or bracket.
 SHAPED = "[=:\"'`(\\[{<]\\s*$"
 ROUNDS, LEAST_SEEDS, LEAST_SCORE, LEAST_CONFIDENCE = 3, 3, 0.75, 0.8
@@ -63,67 +63,121 @@ def _luhn(m: Column) -> Column:
     return F.when(n.between(16, 19), total % 10 == 0).otherwise(False)
 
 
-_ENTITY = "struct<k:int,start:long,end:long,value:string,left:string,right:string>"
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is evaluated once: a transform of one element binds it to a name."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _entities(text: Column, kind: int, pattern: str, may: Column, valid: Callable[[Column], Column] | None) -> Column:
-    """Valid matches with their places: the pieces between matches give the starts."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    steps = F.arrays_zip(pieces.alias("p"), found.alias("m"), F.slice(pieces, F.lit(2), F.size(pieces)).alias("q"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_ENTITY}>").alias("out"))
+def _folded_before(values: Column, add: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """For each element of an array of longs the sum (or other fold, from 0) of those before it.
+
+    Folds of blocks give where each block begins, and the same way is gone inside blocks. No step appends to an array
+    that it carries along (which would copy it), so time grows with the power 1.25 of the elements at two levels.
+    """
+    zero = F.lit(0).cast("long")
+    fold = lambda x: F.aggregate(x, zero, add)
+    if not levels:
+        return F.transform(values, lambda n, i: fold(F.slice(values, F.lit(1), i)))
+
+    def cut(all_: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(all_))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(all_), size), lambda i: F.slice(all_, i, size))
+
+    def placed(blocks: Column) -> Column:
+        begins = _named(F.transform(blocks, fold), lambda x: _folded_before(x, add, levels - 1))
+        inside = lambda block, at: F.transform(_named(block, lambda b: _folded_before(b, add, levels - 1)), lambda n: add(at, n))
+        return F.flatten(F.zip_with(blocks, begins, inside))
+
+    return F.when(F.size(values) == 0, values).otherwise(_named(cut(values), placed))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        entity = F.struct(
-            F.lit(kind).alias("k"),
-            start.cast("long").alias("start"),
-            end.cast("long").alias("end"),
-            x["m"].alias("value"),
-            F.right(x["p"], F.lit(CONTEXT_CHARS)).alias("left"),
-            F.left(x["q"], F.lit(1)).alias("right"),
-        )
-        good = x["m"].isNotNull() if valid is None else x["m"].isNotNull() & valid(x["m"])
-        return F.struct(
-            end.cast("long").alias("at"),
-            F.when(good, F.array_append(acc["out"], entity)).otherwise(acc["out"]).alias("out"),
-        )
 
-    # folded in blocks, as each append copies the array: time grows with the power 1.5 of the matches
-    def placed(steps: Column) -> Column:
-        size = F.ceil(F.sqrt(F.size(steps))).cast("int")
-        begin = F.sequence(F.lit(1), F.size(steps), size)
-        blocks = F.transform(begin, lambda i: F.aggregate(F.slice(steps, i, size), zero, step))
-        moved = lambda at, e: F.struct(
-            e["k"].alias("k"), (e["start"] + at).alias("start"), (e["end"] + at).alias("end"), *(e[c].alias(c) for c in ("value", "left", "right"))
+#: Of each kind, the pattern, what texts must hold for it, and what matches must fulfil.
+_RULES: list[tuple[str, Callable[[Column], Column], Callable[[Column], Column] | None]] = [
+    (EMAIL, lambda t: F.contains(t, F.lit("@")), None),
+    (IP, lambda t: F.rlike(t, F.lit("[0-9]")) & F.contains(t, F.lit(".")), lambda m: F.rlike(m, F.lit(IP_VALID))),
+    (CARD, lambda t: F.rlike(t, F.lit("[0-9]")), _luhn),
+    (PHONE, lambda t: F.contains(t, F.lit("+")), lambda m: F.length(_digits(m)).between(8, 15)),
+    (TOKEN, lambda t: F.rlike(t, F.lit("[0-9]")), None),
+]
+
+
+def _entities(text: Column, kinds: range) -> Column:
+    """Array of (k, start, end, value, left, right) of valid matches by kind and start; code points, end exclusive.
+
+    The lengths of matches and of the pieces between them give the starts.
+    """
+
+    def split(k: int) -> Column:
+        pattern, may, _ = _RULES[k]
+        there = may(text) & F.rlike(text, F.lit(pattern))
+        cut = F.struct(
+            F.lit(k).alias("k"), F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")
+        )
+        return F.when(there, cut)
+
+    def good(k: Column, m: Column) -> Column:
+        out = F.when(m.isNull(), False)
+        for i in kinds:
+            if valid := _RULES[i][2]:
+                out = out.when(k == i, valid(m))
+        return out.otherwise(True)
+
+    def placed(x: Column) -> Column:
+        pieces, matches = x["pieces"], x["found"]
+        lengths = F.zip_with(pieces, matches, lambda p, m: (F.length(p) + F.coalesce(F.length(m), F.lit(0))).cast("long"))
+        steps = F.arrays_zip(
+            pieces.alias("p"),
+            matches.alias("m"),
+            F.slice(pieces, F.lit(2), F.size(pieces)).alias("q"),
+            _named(lengths, lambda n: _folded_before(n, lambda x, y: x + y)).alias("at"),
         )
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<array<{_ENTITY}>>").alias("out"))
-        join = lambda acc, x: F.struct(
-            (acc["at"] + x["at"]).alias("at"),
-            F.array_append(acc["out"], F.transform(x["out"], lambda e: moved(acc["at"], e))).alias("out"),
+        return F.transform(
+            F.filter(steps, lambda s: good(x["k"], s["m"])),
+            lambda s: F.struct(
+                x["k"].alias("k"),
+                (s["at"] + F.length(s["p"])).cast("long").alias("start"),
+                (s["at"] + F.length(s["p"]) + F.length(s["m"])).cast("long").alias("end"),
+                s["m"].alias("value"),
+                F.right(s["p"], F.lit(CONTEXT_CHARS + 1)).alias("left"),
+                F.left(s["q"], F.lit(1)).alias("right"),
+            ),
         )
-        return F.aggregate(blocks, start, join, lambda acc: F.flatten(acc["out"]))
 
-    none = F.array().cast(f"array<{_ENTITY}>")
-    # bound to a name by a transform of one element, so that the pieces are found once
-    found = F.when(may & F.rlike(text, F.lit(pattern)), F.get(F.transform(F.array(steps), placed), F.lit(0)))
-    return F.coalesce(found, none)
+    return F.flatten(F.transform(F.filter(F.array(*map(split, kinds)), lambda x: x.isNotNull()), placed))
 
 
 def base_entities(text: Column) -> Column:
-    """Array of (k, start, end, value, left, right) by kind and start; code points, end exclusive."""
-    digit = F.rlike(text, F.lit("[0-9]"))
-    return F.concat(
-        _entities(text, 0, EMAIL, F.contains(text, F.lit("@")), None),
-        _entities(text, 1, IP, digit & F.contains(text, F.lit(".")), lambda m: F.rlike(m, F.lit(IP_VALID))),
-        _entities(text, 2, CARD, digit, _luhn),
-        _entities(text, 3, PHONE, F.contains(text, F.lit("+")), lambda m: F.length(_digits(m)).between(8, 15)),
-    )
+    """The entities of the four base kinds."""
+    return _entities(text, range(4))
+
+
+#: Beyond every place in a text.
+_FAR = 1 << 40
+
+
+def _apart(all_: Column) -> Column:
+    """The tokens of ``all_`` that overlap no base entity, by a running maximum of base ends from the left and of starts from the right."""
+    greatest = lambda a, b: F.greatest(a, b)
+    base = lambda e, place: F.when(e["k"] < 4, place).otherwise(F.lit(0)).cast("long")
+    order = F.sort_array(F.transform(all_, lambda e: F.struct(e["start"].alias("start"), e["k"].alias("k"), *(e[c].alias(c) for c in ("end", "value", "left", "right")))))
+
+    def apart(ordered: Column) -> Column:
+        ends = F.transform(ordered, lambda e: base(e, e["end"]))
+        starts = F.reverse(F.transform(ordered, lambda e: base(e, F.lit(_FAR) - e["start"])))
+        before = _named(ends, lambda x: _folded_before(x, greatest))
+        after = F.reverse(_named(starts, lambda x: _folded_before(x, greatest)))
+        free = lambda z: (z["e"]["k"] == 4) & (z["b"] <= z["e"]["start"]) & (F.lit(_FAR) - z["a"] >= z["e"]["end"])
+        return F.transform(F.filter(F.arrays_zip(ordered.alias("e"), before.alias("b"), after.alias("a")), free), lambda z: z["e"])
+
+    entity = lambda e: F.struct(*(e[c].alias(c) for c in ("k", "start", "end", "value", "left", "right")))
+    tokens = F.filter(all_, lambda e: e["k"] == 4)
+    mixed = F.exists(all_, lambda e: e["k"] < 4) & (F.size(tokens) > 0)
+    return F.when(mixed, F.transform(_named(order, apart), entity)).otherwise(tokens)
 
 
 def _patterns(left: Column, right: Column) -> Column:
     """The patterns of an entity between ``left`` and ``right``."""
+    left = F.when(F.length(left) > CONTEXT_CHARS, F.regexp_replace(left, r"^\S*", "")).otherwise(left)  # whole words
     words = [F.lower(F.regexp_extract(left, rf"((?:\S+\s+){{0,{k}}}\S+\s*)$", 1)) for k in range(CONTEXT_WORDS)]
     some = F.filter(
         F.array_distinct(F.array(*words)), lambda w: (w != "") & (F.rlike(w, F.lit(r"\S\s+\S")) | F.rlike(w, F.lit(SHAPED)))
@@ -136,13 +190,10 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, h, base, seen: the base spans, and all entities and identifier-like tokens with their patterns."""
     text = F.coalesce("text", F.lit(""))
     read = docs.select("doc_id", text.alias("text"))
-    with_base = read.withColumn("base", base_entities(F.col("text")))
-    tokens = _entities(F.col("text"), 4, TOKEN, F.rlike("text", F.lit("[0-9]")), None)
-    other = F.filter(
-        tokens, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    )
+    all_ = _entities(F.col("text"), range(5))
+    with_base = read.withColumn("all", all_).withColumn("base", F.filter("all", lambda e: e["k"] < 4))
     seen = F.transform(
-        F.concat("base", other),
+        F.concat("base", _apart(F.col("all"))),
         lambda e: F.struct(
             e["k"].alias("k"),
             e["start"].alias("start"),
@@ -227,21 +278,33 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Texts are cut into chunks of this many code points to take parts out of them without walking from their start.
+_CHUNK = 4096
+
+
 def _redacted(text: Column, spans: Column) -> Column:
+    """``text`` with spans replaced by their kinds; of overlapping ones the first stands for all."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    order = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        before = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], F.array(before, F.get(names, s["k"])))).otherwise(acc["out"]).alias("out"),
-        )
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))))
+
+    def part(chunks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / _CHUNK).cast("int")
+        last = F.floor(end / _CHUNK).cast("int")
+        some = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+        return F.substr(some, (start - first * _CHUNK + 1).cast("int"), (end - start).cast("int"))
+
+    def cut(x: Column) -> Column:
+        ends = F.transform(x["spans"], lambda s: s["end"])
+        reach = _named(ends, lambda e: _folded_before(e, lambda a, b: F.greatest(a, b)))
+        steps = F.filter(F.arrays_zip(x["spans"].alias("s"), reach.alias("at")), lambda z: z["s"]["start"] >= z["at"])
+        kept = F.transform(steps, lambda z: F.concat(part(x["chunks"], z["at"], z["s"]["start"]), F.get(names, z["s"]["k"])))
+        rest = part(x["chunks"], F.array_max(ends), x["n"])
+        return F.concat(F.array_join(kept, ""), rest)
 
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int")))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(order, zero, step, rest))
+    n = F.length(text).cast("long")
+    chunks = F.transform(F.sequence(F.lit(0).cast("long"), n, F.lit(_CHUNK).cast("long")), lambda i: F.substr(text, (i + 1).cast("int"), F.lit(_CHUNK)))
+    whole = F.struct(chunks.alias("chunks"), order.alias("spans"), n.alias("n"))
+    return F.when(F.size(spans) == 0, text).otherwise(_named(whole, cut))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -249,14 +312,15 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Of overlapping spans the first stands for all. Null texts stay null. Other columns stay as they are.
     """
-    occurrences = materialize(_occurrences(docs).where(F.size("seen") > 0), "occurrences")
+    occurrences = materialize(_occurrences(docs).drop("base"), "occurrences")
     added = materialize(_discovered(occurrences), "added")
     spans = F.transform(
         base_entities(F.coalesce("text", F.lit(""))),
         lambda e: F.struct(e["k"].alias("k"), e["start"].alias("start"), e["end"].alias("end")),
     )
     rows = docs.withColumn("__spans", spans)
-    n = added.count()
+    # rows and spans together bound the size
+    n = added.agg(F.coalesce(F.sum(F.size("added") + 1), F.lit(0))).first()[0]
     if n:
         a = added.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("added").alias("__added"))
         same = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__h")) & docs["doc_id"].eqNullSafe(F.col("__d"))
