@@ -1,13 +1,18 @@
-"""Perplexity filter with two modified Kneser-Ney models: of character classes, and of word trigrams (``word_model``).
+"""Perplexity filter with a modified Kneser-Ney model of sub-word n-grams for each language.
 
-For the first, Spark counts the ORDER-grams of all texts. Characters fall into 64 classes (letters, kinds of
-punctuation, hashed classes beyond ASCII), so an ORDER-gram is a perfect 24-bit hash and the model has
-at most 2^24 entries however large the corpus is: that is the proven bound that lets it be broadcast.
-The model is a pair of sorted hash arrays for each order, n-grams with log probabilities and contexts
-with log back-off weights, looked up by binary search.
+Spark counts the ORDER-grams of characters, word ends included, of each language's reference texts: those that pass the
+base rules and hold few symbols and capitals. Characters are packed in BITS bits each (those beyond CLASSES/2 are
+hashed), so n-grams are their own 60-bit hashes, and the model grows with the corpus. N-grams fall into RANGES by the two characters
+before the last one, so that all orders from three up of a position lie in one range: ranges are worked on
+apart. A range's model is a set of sorted hash arrays, for each order the n-grams with log probabilities and the contexts with log
+back-off weights, looked up by binary search.
 
-Each language has a band of log perplexity around its median, and a highest word log perplexity; documents outside
-are rejected.
+Texts are scored with blocks of ranges of at most BLOCK_ENTRIES entries, each broadcast by itself; a
+second block means a second pass over the texts, and its sums are added. Each language has a band of log perplexity
+around its median; documents outside are rejected.
+
+An n-gram that only one text holds says nothing about that text: it counts in the totals, but its probability comes from the
+lower order alone (copies of a text are one text).
 """
 
 from __future__ import annotations
@@ -21,141 +26,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrymill.llm import word_model
 from quarrymill.llm.common import map_arrow, materialize, offsets, slices
 
-ORDER, BITS = 4, 6
+#: RANGES is prime, so that the remainder spreads the pairs of characters.
+ORDER, BITS, RANGES = 5, 12, 61
+CLASSES = 1 << BITS
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Reference texts have at most so many symbols, and capitals, in a hundred characters of words.
+MAX_SYMBOL_PERCENT, MAX_CAPITAL_PERCENT = 2, 20
 #: Half widths of the band in scaled median deviations, and the least half width in nats.
-UPPER, LOWER, LEAST_WIDTH = 6.0, 9.0, 0.06
-#: Of the word model, above the median only: low values are passages that other texts hold too, which is not noise.
-WORD_UPPER, WORD_LEAST_WIDTH = 2.0, 0.5
+UPPER, LOWER, LEAST_WIDTH = 6.0, 6.0, 0.4
 #: Log perplexities are counted in bins of this width to find medians.
 BIN = 1 / 1024
-#: Classes 0 to 50; other characters are hashed into 51 to 63.
-_GROUPS = ["\0", " ", "\n", "\t\r\v\f", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
-_MARKS = [".", ",", "-", "\"'`", "?", "!", ":;", "()[]{}", "|", "#", "*", "$", "%", "&", "<>", "/\\", "@", "=+_~^"]
-_OTHER_ASCII, _BEYOND = 50, 51
-
-
-def _class_table() -> np.ndarray:
-    t = np.zeros(0x110000, np.uint8)
-    t[:128] = _OTHER_ASCII
-    cp = np.arange(128, 0x110000)
-    t[128:] = _BEYOND + cp % (64 - _BEYOND)
-    for k, group in enumerate([*_GROUPS, *"abcdefghijklmnopqrstuvwxyz", *_MARKS]):
-        for c in group:
-            t[ord(c)] = k
-    t[0] = _OTHER_ASCII  # class 0 is the edge of a text
-    for c in map(chr, range(0xC0, 0xDF)):
-        t[ord(c)] = t[ord("A")]
-    return t
-
-
-_classes: np.ndarray | None = None
+#: Entries of a model that are broadcast at once, twelve bytes each.
+BLOCK_ENTRIES = 4_000_000
+#: N-grams that a counting task holds before it merges them.
+HELD = 4_000_000
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The ORDER-grams that end at each character and at the end of each text; where each text's begin."""
-    global _classes
-    if _classes is None:
-        _classes = _class_table()
+    """The ORDER-grams that end at each character and at the end of each text; where each text's begin. The edge is 0."""
     pad = "\0" * (ORDER - 1)
-    joined = np.frombuffer((pad + pad.join(texts) + pad).encode("utf-32-le"), "<u4")
-    c = _classes[joined].astype(np.int32)
-    at = offsets([len(t) + ORDER - 1 for t in texts])
-    for j in range(ORDER - 1):
-        c[at + j] = 0
-    g = np.zeros(len(c) - ORDER + 1, np.int32)
+    cp = np.frombuffer((pad + pad.join(texts) + pad).encode("utf-32-le"), "<u4").astype(np.int64)
+    c = np.where(cp < CLASSES // 2, cp, CLASSES // 2 + cp % (CLASSES // 2))
+    g = np.zeros(len(c) - ORDER + 1, np.int64)
     for j in range(ORDER):
         g = (g << BITS) | c[j : j + len(g)]
     # of each text's run, the first len + 1 end at its characters and at the edge after it
-    begin = at[:-1]
     size = np.array([len(t) + 1 for t in texts], np.int64)
-    keep = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    return g[keep], offsets(size.tolist())
-
+    at = offsets(size.tolist())
+    begin = offsets([len(t) + ORDER - 1 for t in texts])[:-1]
+    return g[np.repeat(begin - at[:-1], size) + np.arange(size.sum())], at
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, seen = np.zeros(1 << (ORDER * BITS), np.int32), 0
 
-    def out() -> Iterator[pa.RecordBatch]:
-        there = np.flatnonzero(counts)
-        for i in range(0, len(there), 1 << 16):
-            k = there[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k.astype(np.int32)), pa.array(counts[k].astype(np.int64))], ["gram", "n"]
-            )
+def suffix(keys: np.ndarray, order: int) -> np.ndarray:
+    return keys & ((1 << (order * BITS)) - 1)
 
-    for batch in batches:
-        for part in slices(batch, "text"):
-            g, _ = grams([t for t in part.column("text").to_pylist() if t])
-            keys, n = np.unique(g, return_counts=True)
-            counts[keys] += n.astype(np.int32)
-            seen += len(g)
-            if seen > 1 << 30:
-                yield from out()
-                counts[:], seen = 0, 0
-    yield from out()
-
-
-class KneserNey:
-    """Interpolated modified Kneser-Ney of orders 1 to ORDER from counted ORDER-grams."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        keys, counts = keys[order].astype(np.int64), counts[order].astype(np.float64)
-        levels = [(keys, counts)]
-        for k in range(ORDER - 1, 0, -1):  # lower orders count the distinct characters before
-            keys, counts = np.unique(levels[-1][0] & ((1 << (k * BITS)) - 1), return_counts=True)
-            levels.append((keys, counts.astype(np.float64)))
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
-        self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
-        for keys, counts in reversed(levels):
-            d = np.concatenate([[0.0], self._discounts(counts)])[np.minimum(counts, 3).astype(int)]
-            ctx, start = np.unique(keys >> BITS, return_index=True)
-            total = np.add.reduceat(counts, start) if len(keys) else np.zeros(0)
-            free = np.add.reduceat(d, start) if len(keys) else np.zeros(0)
-            back = free / total
-            of = np.searchsorted(ctx, keys >> BITS)
-            lower = np.exp(self.log_prob(keys)) if self.grams else np.full(len(keys), 2.0**-BITS)
-            p = (counts - d) / total[of] + back[of] * lower
-            self.grams.append((keys.astype(np.int32), np.log(p).astype(np.float32)))
-            self.contexts.append((ctx.astype(np.int32), np.log(back).astype(np.float32)))
 
-    @staticmethod
-    def _discounts(counts: np.ndarray) -> np.ndarray:
-        return np.array(word_model.discounts([float((counts == i).sum()) for i in range(1, 5)]))
-
-    def log_prob(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of each n-gram's last class after the ones before it, at the orders built so far."""
-        out, todo = np.zeros(len(keys)), np.arange(len(keys))
-        for k in range(len(self.grams), 0, -1):
-            g = keys[todo] & ((1 << (k * BITS)) - 1)
-            known, logs = self.grams[k - 1]
-            at = np.minimum(np.searchsorted(known, g), max(0, len(known) - 1))
-            hit = known[at] == g if len(known) else np.zeros(len(g), bool)
-            out[todo[hit]] += logs[at[hit]]
-            todo, g = todo[~hit], g[~hit]
-            if not len(todo):
-                return out
-            ctx, back = self.contexts[k - 1]
-            at = np.minimum(np.searchsorted(ctx, g >> BITS), max(0, len(ctx) - 1))
-            if len(ctx):
-                out[todo] += np.where(ctx[at] == g >> BITS, back[at], 0.0)
-        out[todo] += -BITS * np.log(2.0)
-        return out
+def range_of(keys: np.ndarray) -> np.ndarray:
+    """The range of n-grams of order three and more."""
+    return suffix(keys >> BITS, 2) % RANGES
 
 
-def train(docs: DataFrame) -> KneserNey:
-    """The model of all texts; null and empty texts add nothing."""
-    counts = map_arrow(docs.select("text"), _count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    got = counts.toArrow()
-    return KneserNey(got.column("gram").to_numpy(), got.column("n").to_numpy())
+def merged(keys: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys with the sums of ``n`` and the least and largest text."""
+    if not len(keys):
+        return keys, n, lo, hi
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(n[order], at), np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at)
 
 
 _BLANK = " \t\n\v\f\r"
-_SYMBOL = re.compile(r"[#*$%&|<>]")
+FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def base_figures(text: str) -> tuple[int, int, int, int, int]:
@@ -164,46 +88,328 @@ def base_figures(text: str) -> tuple[int, int, int, int, int]:
     chars = len(text) - sum(map(text.count, _BLANK))
     symbols = sum(map(text.count, "#*$%&|<>"))
     lines = [x for x in text.split("\n") if x.strip(_BLANK)]
+    doubles = len(lines) - len(set(lines))
     if len(words) < 4:
-        return len(words), chars, symbols, len(lines) - len(set(lines)), 0
+        return len(words), chars, symbols, doubles, 0
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
     pair = ids[:-1] * len(number) + ids[1:]
-    _, pair = np.unique(pair, return_inverse=True)
+    if len(number) > 1 << 20:
+        _, pair = np.unique(pair, return_inverse=True)
     three = pair[:-1] * len(number) + ids[2:]
-    _, which, n = np.unique(three, return_inverse=True, return_counts=True)
-    again = n[which] > 1
+    order = np.sort(three)
+    twice = order[1:][order[1:] == order[:-1]]
+    if not len(twice):
+        return len(words), chars, symbols, doubles, 0
+    again = twice[np.minimum(np.searchsorted(twice, three), len(twice) - 1)] == three
     on = np.zeros(len(words), bool)
     for j in range(3):
         on[j : j + len(again)] |= again
-    return len(words), chars, symbols, len(lines) - len(set(lines)), int(on.sum())
+    return len(words), chars, symbols, doubles, int(on.sum())
+
+
+def base_failed(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words
+
+
+_CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞΑ-ΡΣ-ΫА-ЯЀ-Џ]+")
+
+
+def is_reference(text: str) -> bool:
+    """Whether the model learns from a text."""
+    n_words, chars, symbols, _, repeated = base_figures(text)
+    if base_failed(n_words, repeated) or 100 * symbols > MAX_SYMBOL_PERCENT * chars:
+        return False
+    return 100 * sum(map(len, _CAPITAL.findall(text))) <= MAX_CAPITAL_PERCENT * chars
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n, lo, hi): counts of n-grams, and the least and largest of the texts that hold them."""
+    held: dict[str | None, list[tuple[np.ndarray, ...]]] = {}
+    size = 0
+
+    def out(lang: str | None, columns: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(columns[0]), 1 << 16):
+            part = [pa.array(c[i : i + (1 << 16)]) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part[0]), pa.string()), *part], ["lang", "gram", "n", "lo", "hi"])
+
+    def merge() -> int:
+        total = 0
+        for lang, parts in held.items():
+            held[lang] = [merged(*map(np.concatenate, zip(*parts, strict=True)))]
+            total += len(held[lang][0][0])
+        return total
+
+    for batch in batches:
+        for part in slices(batch, "text"):
+            by: dict[str | None, tuple[list[str], list[int]]] = {}
+            for text, lang, i in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), part.column("id").to_pylist(), strict=True):
+                if text and is_reference(text):
+                    texts, ids = by.setdefault(lang, ([], []))
+                    texts.append(text)
+                    ids.append(i)
+            for lang, (texts, ids) in by.items():
+                g, at = grams(texts)
+                own = np.repeat(np.array(ids, np.int32), np.diff(at))
+                some = merged(g, np.ones(len(g), np.int64), own, own)
+                held.setdefault(lang, []).append(some)
+                size += len(some[0])
+            if size > HELD:
+                size = merge()
+                if size > HELD // 2:
+                    for lang, parts in held.items():
+                        yield from out(lang, parts[0])
+                    held.clear()
+                    size = 0
+    merge()
+    for lang, parts in held.items():
+        yield from out(lang, parts[0])
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(lang, range, gram, n, lo, hi) of all reference texts."""
+    text_id = F.pmod(F.xxhash64("text"), F.lit(2**31 - 1)).cast("int").alias("id")
+    found = map_arrow(docs.select("text", F.col("lang").cast("string").alias("lang"), text_id), _count, "lang string, gram long, n long, lo int, hi int")
+    sums = found.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    two = F.shiftright("gram", BITS).bitwiseAND(F.lit((1 << (2 * BITS)) - 1))
+    return sums.select("lang", (two % RANGES).cast("int").alias("part"), "gram", "n", "lo", "hi")
+
+
+def discounts(n: list[float]) -> list[float]:
+    """Of counts 1, 2, and 3 or more, from how many n-grams have the counts 1 to 4."""
+    if not n[0] or not n[1]:
+        return [0.5, 0.75, 0.9]
+    y = n[0] / (n[0] + 2 * n[1])
+    d = [i - (i + 1) * y * (n[i] / n[i - 1] if n[i - 1] else 0.0) for i in (1, 2, 3)]
+    return [min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1)]
+
+
+Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def below(level: Level, order: int) -> Level:
+    """The n-grams of one order less, which count the distinct characters before them."""
+    keys, _, lo, hi = level
+    return merged(suffix(keys, order - 1), np.ones(len(keys), np.int64), lo, hi)
+
+
+def counts_of_counts(level: Level) -> list[float]:
+    return [float((level[1] == i).sum()) for i in range(1, 5)]
+
+
+class Layer:
+    """One order of a model: sorted n-grams with log probabilities, sorted contexts with log back-off weights."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray, contexts: np.ndarray, back: np.ndarray):
+        self.keys, self.logs, self.contexts, self.back = keys, logs, contexts, back
+
+    @classmethod
+    def build(cls, level: Level, cut: list[float], lower: np.ndarray) -> Layer:
+        """Interpolates a level with the probabilities of the order below of its n-grams' suffixes."""
+        keys, n, lo, hi = level
+        shared = lo != hi
+        gain = np.where(shared, n - np.array([0.0, *cut])[np.minimum(n, 3).astype(int)], 0.0)
+        at = np.flatnonzero(np.concatenate([[True], (keys[1:] >> BITS) != (keys[:-1] >> BITS)])) if len(keys) else np.zeros(0, np.int64)
+        total, used = (np.add.reduceat(x, at) if len(at) else np.zeros(0) for x in (n.astype(float), gain))
+        back = (total - used) / total
+        of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(keys))))
+        known = used[of] > 0
+        p = np.where(known, gain / total[of] + back[of] * lower, lower)
+        return cls(keys, np.log(p).astype(np.float32), (keys >> BITS)[at][used > 0], np.log(back[used > 0]).astype(np.float32))
+
+    @staticmethod
+    def joined(layers: list[Layer]) -> Layer:
+        """Layers of different ranges as one."""
+        keys, logs, contexts, back = (np.concatenate([getattr(x, c) for x in layers]) for c in ("keys", "logs", "contexts", "back"))
+        a, b = np.argsort(keys), np.argsort(contexts)
+        return Layer(keys[a], logs[a], contexts[b], back[b])
+
+
+def _found(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
+
+
+def log_prob(layers: list[Layer], keys: np.ndarray) -> np.ndarray:
+    """Log probability of each n-gram's last character after the ones before it; ``layers`` from order one up."""
+    out, todo = np.zeros(len(keys)), np.arange(len(keys))
+    for k in range(len(layers), 0, -1):
+        layer, g = layers[k - 1], suffix(keys[todo], k)
+        at, hit = _found(layer.keys, g)
+        out[todo[hit]] += layer.logs[at[hit]]
+        todo, g = todo[~hit], g[~hit]
+        if not len(todo):
+            return out
+        at, hit = _found(layer.contexts, g >> BITS)
+        out[todo[hit]] += layer.back[at[hit]]
+    out[todo] -= BITS * np.log(2.0)
+    return out
+
+
+def _statistics(key: tuple, table: pa.Table) -> pa.Table:
+    """Of a range: for orders from three up, how many n-grams have the counts 1 to 4; the n-grams of order two."""
+    level = tuple(table.column(c).to_numpy() for c in ("gram", "n", "lo", "hi"))
+    level = merged(*level)
+    rows: list[tuple] = []
+    for k in range(ORDER, 2, -1):
+        rows += [(k, i, int(n), 0, 0) for i, n in enumerate(counts_of_counts(level), 1)]
+        level = below(level, k)
+    columns = [np.concatenate([np.array([r[j] for r in rows], np.int64), x]) for j, x in enumerate((np.full(len(level[0]), 2), *level))]
+    lang = pa.array([key[0].as_py()] * len(columns[0]), pa.string())
+    return pa.Table.from_arrays(
+        [lang, *(pa.array(c.astype(np.int64)) for c in columns)], ["lang", "k", "gram", "n", "lo", "hi"]
+    )
 
 
-def _score(broadcast):
+def _layers_of(broadcast):
+    """The layers of a range, as bytes of sorted arrays."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        low, cuts = broadcast.value[key[0].as_py()]
+        level = merged(*(table.column(c).to_numpy() for c in ("gram", "n", "lo", "hi")))
+        levels = [level]
+        for k in range(ORDER, 3, -1):
+            levels.append(below(levels[-1], k))
+        layers = list(low)
+        for k, x in enumerate(reversed(levels), 3):
+            layers.append(Layer.build(x, cuts[k], np.exp(log_prob(layers, suffix(x[0], k - 1)))))
+        own = layers[2:]
+        columns = [[getattr(x, c).tobytes() for x in own] for c in ("keys", "logs", "contexts", "back")]
+        n = len(own)
+        return pa.Table.from_arrays(
+            [pa.array([key[0].as_py()] * n, pa.string()), pa.array([key[1].as_py()] * n, pa.int32()), pa.array(range(3, 3 + n), pa.int32())]
+            + [pa.array(c, pa.binary()) for c in columns],
+            ["lang", "part", "k", "keys", "logs", "contexts", "back"],
+        )
+
+    return run
+
+
+#: A block of a model: by language which ranges it answers for, and the layers from order one up.
+Block = dict[str | None, tuple[np.ndarray, list[Layer]]]
+_ARRAYS = (("keys", "<i8"), ("logs", "<f4"), ("contexts", "<i8"), ("back", "<f4"))
+
+
+def _low(grams_: DataFrame) -> dict[str | None, tuple[list[Layer], dict[int, list[float]]]]:
+    """Orders one and two of each language, and the discounts of the others.
+
+    Order two has at most 2^24 n-grams a language.
+    """
+    found = grams_.groupBy("lang", "part").applyInArrow(_statistics, "lang string, k long, gram long, n long, lo long, hi long")
+    sums = found.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    got = sums.toArrow()
+    langs = got.column("lang").to_pylist()
+    number = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
+    of = np.array([number[x] for x in langs], np.int64)
+    k, *columns = (got.column(c).to_numpy() for c in ("k", "gram", "n", "lo", "hi"))
+    low = {}
+    for lang, i in number.items():
+        two = merged(*(c[(of == i) & (k == 2)] for c in columns))
+        cuts = {}
+        for order in range(3, ORDER + 1):
+            own = (of == i) & (k == order)
+            cuts[order] = discounts([float(columns[1][own & (columns[0] == j)].sum()) for j in range(1, 5)])
+        one = below(two, 2)
+        first = Layer.build(one, discounts(counts_of_counts(one)), np.full(len(one[0]), 1.0 / CLASSES))
+        second = Layer.build(two, discounts(counts_of_counts(two)), np.exp(log_prob([first], suffix(two[0], 1))))
+        low[lang] = ([first, second], cuts)
+    return low
+
+
+def train(docs: DataFrame, block_entries: int = BLOCK_ENTRIES) -> Iterator[Block]:
+    """The blocks of the model of all reference texts of ``docs`` (text, lang), one at a time.
+
+    The first answers also for ranges without a model. Null and empty texts add nothing.
+    """
+    spark = docs.sparkSession
+    grams_ = materialize(counted(docs), "grams")
+    low = _low(grams_)
+    schema = "lang string, part int, k int, keys binary, logs binary, contexts binary, back binary"
+    ranges = grams_.groupBy("lang", "part").applyInArrow(_layers_of(spark.sparkContext.broadcast(low)), schema)
+    ranges = materialize(ranges, "model")
+    there: dict[str | None, np.ndarray] = {lang: np.zeros(RANGES, bool) for lang in low}
+    for r in ranges.select("lang", "part").distinct().toLocalIterator():
+        there[r["lang"]][r["part"]] = True
+    held: dict[str | None, list] = {}
+    size, first = 0, True
+
+    def block() -> Block:
+        out = {}
+        for lang in low if first else held:
+            rows = held.get(lang, [])
+            parts = ~there[lang] if first else np.zeros(RANGES, bool)
+            parts[[r["part"] for r in rows]] = True
+            layers = list(low[lang][0])
+            for k in range(3, ORDER + 1) if rows else ():
+                own = [Layer(*(np.frombuffer(r[c], t) for c, t in _ARRAYS)) for r in rows if r["k"] == k]
+                layers.append(Layer.joined(own))
+            out[lang] = (parts, layers)
+        return out
+
+    for r in ranges.orderBy("lang", "part", "k").toLocalIterator():
+        if r["k"] == 3 and size > block_entries:
+            yield block()
+            held, size, first = {}, 0, False
+        held.setdefault(r["lang"], []).append(r)
+        size += len(r["keys"]) // 8
+    yield block()
+
+
+def _score(broadcast, first: bool):
+    """Sums of log probabilities of each text over the ranges of a block; of the first block also the base figures."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: KneserNey = broadcast.value
+        block: Block = broadcast.value
+        none = (np.full(RANGES, first), [])
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                g, at = grams(texts)
-                total = np.concatenate([[0.0], np.cumsum(model.log_prob(g))])
-                figures = np.array([base_figures(t) for t in texts], np.int64).reshape(-1, 5)
-                loss = -(total[at[1:]] - total[at[:-1]]) / np.diff(at)
+                langs = part.column("lang").to_pylist()
+                loss = np.zeros(len(texts))
+                for lang in dict.fromkeys(langs):
+                    own = [i for i, x in enumerate(langs) if x == lang]
+                    g, at = grams([texts[i] for i in own])
+                    parts, layers = block.get(lang, none)
+                    mine = parts[range_of(g)]
+                    logs = np.zeros(len(g))
+                    logs[mine] = log_prob(layers, g[mine])
+                    total = np.concatenate([[0.0], np.cumsum(logs)])
+                    loss[own] = total[at[:-1]] - total[at[1:]]
+                figures = np.array([base_figures(t) if first else (0,) * 5 for t in texts], np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        part.column("lang"),
-                        part.column("id"),
-                        *(pa.array(figures[:, j]) for j in range(5)),
-                        pa.array(np.round(loss, 9)),
-                    ],
-                    ["doc_id", "lang", "id", *FIGURES, "log_perplexity"],
+                    [part.column("doc_id"), part.column("lang"), part.column("id"), *(pa.array(figures[:, j]) for j in range(5))]
+                    + [pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(loss)],
+                    ["doc_id", "lang", "id", *FIGURES, "n_grams", "loss"],
                 )
 
     return run
 
 
-FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+def scored(docs: DataFrame, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+    """doc_id, lang, the base figures and log_perplexity (nats a character) of each row of ``docs``."""
+    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    figures = ", ".join(f"{c} long" for c in FIGURES)
+    read = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"))
+    passes = []
+    for block in train(docs, block_entries):
+        run = _score(spark.sparkContext.broadcast(block), not passes)
+        rows = map_arrow(read, run, f"doc_id {kind}, lang string, id long, {figures}, n_grams long, loss double")
+        passes.append(materialize(rows, "scored"))
+    out = passes[0]
+    if len(passes) > 1:
+        key = ["doc_id", "lang", "id"]
+        rows = [
+            p.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), *(F.max(c).alias(c) for c in (*FIGURES, "n_grams", "loss"))) for p in passes
+        ]
+        sums = rows[0]
+        for more in rows[1:]:
+            sums = sums.unionByName(more)
+        sums = sums.groupBy(*key).agg(F.max("rows").alias("rows"), *(F.max(c).alias(c) for c in (*FIGURES, "n_grams")), F.sum("loss").alias("loss"))
+        out = sums.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return out.select("doc_id", "lang", *FIGURES, F.round(F.col("loss") / F.col("n_grams"), 9).alias("log_perplexity"))
 
 
 def _median(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -214,10 +420,10 @@ def _median(df: DataFrame, value: str, name: str) -> DataFrame:
     return ranked.where("2 * upto >= all").groupBy("lang").agg(F.min(value).alias(name))
 
 
-def bands(scored: DataFrame) -> DataFrame:
+def bands(scores: DataFrame) -> DataFrame:
     """(of, low, high): the band of log perplexity of each language, from its documents that pass the base rules."""
     bin_of = F.round(F.col("log_perplexity") / BIN).cast("long")
-    good = scored.where(~F.col("base_failed")).select("lang", bin_of.alias("bin"))
+    good = scores.where(~F.col("base_failed")).select("lang", bin_of.alias("bin"))
     middle = _median(good, "bin", "middle").withColumnRenamed("lang", "of")
     same = F.col("lang").eqNullSafe(F.col("of"))
     away = good.join(middle, same).select("lang", F.abs(F.col("bin") - F.col("middle")).alias("away"))
@@ -233,40 +439,15 @@ def bands(scored: DataFrame) -> DataFrame:
     )
 
 
-def word_bands(scored: DataFrame) -> DataFrame:
-    """(word_of, word_high): the highest word log perplexity of each language, found as in ``bands``."""
-    bin_of = F.round(F.col("word_log_perplexity") / BIN).cast("long")
-    good = scored.where(~F.col("base_failed")).select("lang", bin_of.alias("bin"))
-    middle = _median(good, "bin", "middle").withColumnRenamed("lang", "word_of")
-    same = F.col("lang").eqNullSafe(F.col("word_of"))
-    away = good.join(middle, same).select("lang", F.abs(F.col("bin") - F.col("middle")).alias("away"))
-    width = F.greatest(F.lit(WORD_LEAST_WIDTH), WORD_UPPER * F.col("spread") * 1.4826 * BIN)
-    high = (F.col("middle") * BIN + width).alias("word_high")
-    return _median(away, "away", "spread").join(middle, same).select("word_of", high)
-
+def quality_rules(docs: DataFrame, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, lang): the base figures, log_perplexity, base_failed, kept.
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, lang): the base figures, log_perplexity, word_log_perplexity, base_failed, kept.
-
-    Null and empty texts have no words and fail. A null lang is a language of its own. Repeated rows
-    each get their row. An empty table gives an empty result; other columns are ignored.
+    Null and empty texts have no words and fail. A null lang is a language of its own; a language without reference texts
+    has a uniform model. Repeated rows each get their row. An empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    model = spark.sparkContext.broadcast(train(docs))
-    figures = ", ".join(f"{c} long" for c in FIGURES)
-    scored = map_arrow(
-        docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), word_model.text_id(F.col("text")).alias("id")),
-        _score(model),
-        f"doc_id {kind}, lang string, id long, {figures}, log_perplexity double",
-    )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    scored = scored.withColumn("base_failed", failed).join(word_model.perplexities(docs), "id").drop("id")
-    scored = materialize(scored, "scored")
-    limits, word_limits = bands(scored), word_bands(scored)
+    scores = scored(docs, block_entries).withColumn("base_failed", failed)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    inside &= F.coalesce(F.col("word_log_perplexity") <= F.col("word_high"), F.lit(True))
-    lang = F.col("lang")
-    rows = scored.join(limits, lang.eqNullSafe(F.col("of")), "left").join(word_limits, lang.eqNullSafe(F.col("word_of")), "left")
+    rows = scores.join(F.broadcast(bands(scores)), F.col("lang").eqNullSafe(F.col("of")), "left")
     kept = (~F.col("base_failed") & inside).alias("kept")
-    return rows.select("doc_id", *FIGURES, "log_perplexity", "word_log_perplexity", "base_failed", kept)
+    return rows.select("doc_id", *FIGURES, "log_perplexity", "base_failed", kept)
