@@ -1,19 +1,22 @@
 """Main text of web pages by wrapper induction.
 
-A page of each host is its reference. The DOM tree of every other page of the host is aligned with it by
-simple tree matching; nodes of the reference whose text is the same in nearly all pages are the
-host's template, counted over all its pages. Text of template nodes is left out, varying slots are
-content, unless their element or its class says that they are menus, adverts and the like.
+Pages of a host with the same layout (the same set of structural tags) have a reference page. The DOM tree of every other page
+is aligned with it by simple tree matching; nodes of the reference whose text is the same in nearly all pages are
+template, counted over all pages. Nodes that the reference lacks or that align with others are template if nearly all pages have their path and
+text. The node of the reference below which most of the varying text lies is where content is.
+Text of template nodes is left out, varying slots are content; names of elements and classes break ties (an article next to
+the induced node stands for it) and take out menus, adverts and the like.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +24,17 @@ from quarrymill.llm.common import map_arrow, materialize, slices, strings
 
 #: A node is template if at least LEAST_PAGES other pages were aligned and SHARE of them have its text.
 LEAST_PAGES, SHARE = 5, 0.9
-#: References are broadcast up to this many bytes in all; beyond it the join by host shuffles.
+#: Content lies below a child that has this share of its parent's varying text.
+ROOT_SHARE = 0.5
+#: References are broadcast up to this many bytes in all; beyond it the join by host and layout shuffles.
 BROADCAST_BYTES = 32 << 20
-#: Sibling lists with more pairs than this are aligned by equal tag and text only.
-MOST_PAIRS = 60_000
+#: Votes that a task holds before it passes them on.
+HELD_VOTES = 200_000
+#: Lists of children whose pairs are more than this are split in half first, so that memory stays linear; the alignment is the same.
+WHOLE_PAIRS = 1 << 22
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z/!][^<>]*\Z", re.S
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 # Fixed values of HTML: elements without content, with raw text, that close a paragraph, that make no block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +46,7 @@ INLINE = frozenset(
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
             "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("html body table ul ol dl article section div main td th nav aside footer header form".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE = RAW | frozenset("head nav footer aside form button select menu dialog object canvas audio video".split())
 _BOILERPLATE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|"
@@ -48,129 +55,262 @@ _BOILERPLATE_NAME = re.compile(
     r"login|signup|search|pag(?:er|ination)|copyright|skip|toolbar|complementary|contentinfo|dialog)(?:$|[\s_-])",
     re.I,
 )
+#: Tags that make a layout, with their attributes; runs of digits in them count as one.
+_LAYOUT = r"(?i)<((?:div|section|main|article|aside|nav|header|footer|table|form)\b[^<>]*)>"
 
 
 class Node:
-    __slots__ = ("tag", "names", "children", "parts", "sig", "number")
+    __slots__ = ("tag", "names", "children", "parts", "sig", "number", "parent", "shape", "own")
 
-    def __init__(self, tag: str, names: str, number: int):
-        self.tag, self.names, self.number = tag, names, number
+    def __init__(self, tag: str, names: str, number: int, parent: Node | None):
+        self.tag, self.names, self.number, self.parent = tag, names, number, parent
         self.children: list[Node] = []
         #: direct texts and child nodes in page order
         self.parts: list = []
         self.sig = f"{tag}.{names}"
 
-    def text(self) -> str:
-        return " ".join(" ".join(p for p in self.parts if p.__class__ is str).split())
-
 
-def parse(page: str) -> Node:
-    """A forgiving DOM tree; nodes are numbered in page order."""
-    root = Node("#", "", 0)
-    stack, at, count = [root], 0, 1
-    while True:
-        m = _TOKEN.search(page, at)
-        if m is None or m.start() > at:
-            stack[-1].parts.append(entities.unescape(page[at : m.start() if m else len(page)]))
-        if m is None:
-            return root
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i].tag in SCOPE:
-                    break
+class Shapes:
+    """Numbers of trees without their texts, shared by the trees of a task, and how well two of them match."""
+
+    def __init__(self) -> None:
+        self.number: dict[tuple, int] = {}
+        self.sigs: list[str] = []
+        self.children: list[tuple[int, ...]] = []
+        self.memo: dict[tuple[int, int], int] = {}
+
+    def of(self, sig: str, children: tuple[int, ...]) -> int:
+        key = (sig, children)
+        n = self.number.get(key)
+        if n is None:
+            n = self.number[key] = len(self.sigs)
+            self.sigs.append(sig)
+            self.children.append(children)
+        return n
+
+    def match(self, a: int, b: int) -> int:
+        """Size of the largest top-down matching of two shapes that keeps the order of children; 0 if their roots differ."""
+        if self.sigs[a] != self.sigs[b]:
+            return 0
+        stack, memo = [(a, b)], self.memo
+        while stack:
+            x, y = stack[-1]
+            if (x, y) in memo:
+                stack.pop()
+                continue
+            p, q = self.children[x], self.children[y]
+            need = []
+            if p and q:
+                by: dict[str, list[int]] = {}
+                for k in dict.fromkeys(q):
+                    by.setdefault(self.sigs[k], []).append(k)
+                need = [(i, k) for i in dict.fromkeys(p) for k in by.get(self.sigs[i], ()) if (i, k) not in memo]
+            if need:
+                stack += need
+                continue
+            stack.pop()
+            memo[x, y] = 1 + (self._best(p, q) if p and q else 0)
+        return memo[a, b]
+
+    def _best(self, p: tuple[int, ...], q: tuple[int, ...]) -> int:
+        memo = self.memo
+        if len(p) * len(q) <= 256:
+            up = [0] * (len(q) + 1)
+            for i in p:
+                row = [0]
+                for k, j in enumerate(q):
+                    row.append(max(up[k] + memo.get((i, j), 0), up[k + 1], row[k]))
+                up = row
+            return up[-1]
+        return int(_last_row(lambda i: self.row(p[i], q), len(p), len(q))[-1])
+
+    def row(self, i: int, q: tuple[int, ...]) -> np.ndarray:
+        one = {k: self.match(i, k) for k in dict.fromkeys(q)}
+        return np.array([one[k] for k in q], np.int64)
+
+
+def _last_row(weight, n: int, m: int) -> np.ndarray:
+    """The last row of the alignment table of ``n`` rows of weights."""
+    up = np.zeros(m + 1, np.int64)
+    for i in range(n):
+        row = np.maximum(up[1:], up[:-1] + weight(i))
+        up = np.concatenate([[0], np.maximum.accumulate(row)])
+    return up
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(begin, end, closing, name, attributes) of tags and comments (which have no name), in time linear in the page.
+
+    Where quotes in a tag don't close, it and all later tags end at the next ``>`` whatever their quotes.
+    """
+    at, last_open, last_close, loose = 0, page.rfind("<"), page.rfind(">"), False
+    while (at := page.find("<", at)) >= 0:
+        end, closing, name, rest = -1, False, "", ""
+        mark = page[at + 1 : at + 2]
+        m = _NAME.match(page, at + 2 if mark == "/" else at + 1) if at < last_close or at == last_open else None
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            end = stop + 3 if stop >= 0 else len(page)
+        elif at > last_close:  # the page ends in a tag
+            end = len(page) if at == last_open and (m or mark in ("/", "!")) else -1
+        elif m:
+            closing, name = mark == "/", m[0].lower()
+            stop = None if loose else _REST.match(page, m.end())
+            loose = loose or stop is None
+            end = stop.end() if stop else page.find(">", m.end()) + 1
+            rest = page[m.end() : end - 1]
+        elif mark in ("!", "?", "/"):
+            end = page.find(">", at) + 1
+        if end < 0:
+            at += 1
             continue
-        closes = SIBLINGS.get(tag, ()) or (() if tag in INLINE else ("p",))
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in closes:
-                del stack[i:]
-                break
-            if stack[i].tag in SCOPE and not (tag == "tr" and stack[i].tag in ("td", "th")):
-                break
-        names = " ".join(x[1].strip("\"'") for x in _NAMES.findall(m[3])) if m[3] else ""
-        node = Node(tag, names, count)
-        count += 1
-        stack[-1].children.append(node)
-        stack[-1].parts.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-
-
-def match(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> None:
-    """Simple tree matching: appends the aligned nodes of two trees with equal roots."""
-    stack = [(a, b)]
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
+        jump = yield at, end, closing, name, rest
+        at = jump or end
+
+
+class _Open:
+    """The stack of open elements, which also knows where the topmost of each tag and of SCOPE lies."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.wide: list[int] = []
+
+    def push(self, node: Node) -> None:
+        i = len(self.stack)
+        self.stack.append(node)
+        self.places.setdefault(node.tag, []).append(i)
+        if node.tag in SCOPE:
+            self.scopes.append(i)
+            if node.tag not in ("td", "th"):
+                self.wide.append(i)
+
+    def cut(self, i: int) -> None:
+        while len(self.stack) > i:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            if node.tag in SCOPE:
+                self.scopes.pop()
+                if node.tag not in ("td", "th"):
+                    self.wide.pop()
+
+    def top(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
+class Tree:
+    """A page's root, its nodes in page order, and the sum of the lengths of their own texts."""
+
+    def __init__(self, root: Node, nodes: list[Node]):
+        self.root, self.nodes = root, nodes
+
+
+def parse(page: str, shapes: Shapes | None = None) -> Tree:
+    """A forgiving DOM tree; nodes are numbered in page order, the root is -1."""
+    root = Node("#", "", -1, None)
+    nodes: list[Node] = []
+    open_, begin = _Open(root), 0
+    tags = _tags(page)
+    found = next(tags, None)
+    while True:
+        stop = found[0] if found else len(page)
+        if stop > begin:
+            open_.stack[-1].parts.append(entities.unescape(page[begin:stop]))
+        if found is None:
+            break
+        _, begin, closing, tag, rest = found
+        jump = None
+        if closing:
+            i = open_.top((tag,))
+            if i and not (tag in INLINE and open_.scopes and open_.scopes[-1] > i):
+                open_.cut(i)
+        elif tag:
+            i = open_.top(SIBLINGS.get(tag, ()) or (() if tag in INLINE else ("p",)))
+            scopes = open_.wide if tag == "tr" else open_.scopes
+            if i and not (scopes and scopes[-1] > i):
+                open_.cut(i)
+            names = " ".join(x[1].strip("\"'") for x in _NAMES.findall(rest)) if rest else ""
+            parent = open_.stack[-1]
+            node = Node(tag, names, len(nodes), parent)
+            nodes.append(node)
+            parent.children.append(node)
+            parent.parts.append(node)
+            if tag in RAW:
+                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, begin)
+                begin = jump = end.end() if end else len(page)
+            elif tag not in VOID and not rest.endswith("/"):
+                open_.push(node)
+        found = _next(tags, jump)
+    shapes = shapes or Shapes()
+    for n in (*reversed(nodes), root):  # children come after their parents
+        n.own = " ".join(" ".join(p for p in n.parts if p.__class__ is str).split())
+        n.shape = shapes.of(n.sig, tuple(c.shape for c in n.children))
+    return Tree(root, nodes)
+
+
+def _next(tags: Iterator, jump: int | None):
+    try:
+        return tags.send(jump)
+    except StopIteration:
+        return None
+
+
+def match(a: Tree, b: Tree, shapes: Shapes) -> list[tuple[Node, Node]]:
+    """Simple tree matching of two trees: the aligned nodes. Both are parsed with ``shapes``.
+
+    Children are aligned in order so that the matched nodes below them are most, each counting two; equal own texts count three more.
+    """
+    pairs, stack = [], [(a.root, b.root)]
     while stack:
         x, y = stack.pop()
         pairs.append((x, y))
-        stack.extend(_align(x, y, memo)[1])
-
-
-def _align(x: Node, y: Node, memo: dict, depth: int = 0) -> tuple[int, list]:
-    """Weight of the best alignment of two nodes' children that keeps their order, and the aligned children.
-
-    An aligned pair counts two, and three more for equal texts of their own.
-    """
-    p, q = x.children, y.children
-    if not p or not q:
-        return 0, []
-    key = (x.number, y.number)
-    if key in memo:
-        return memo[key]
-    if len(p) * len(q) > MOST_PAIRS or depth > 60:
-        where = defaultdict(list)
-        for k, n in enumerate(q):
-            where[n.sig, n.text()].append(k)
-        out, last = [], -1
-        for n in p:
-            k = next((k for k in where.get((n.sig, n.text()), ()) if k > last), None)
-            if k is not None:
-                out.append((n, q[k]))
-                last = k
-        memo[key] = (5 * len(out), out)
-        return memo[key]
-    tq = [n.text() for n in q]
-    rows = [[0] * (len(q) + 1)]
-    weights = []
-    for n in p:
-        t, up, row, own = n.text(), rows[-1], [0], []
-        for k, o in enumerate(q):
-            w = 0
-            if n.sig == o.sig:
-                w = 2 + 3 * (t != "" and t == tq[k]) + (_align(n, o, memo, depth + 1)[0] if n.children and o.children else 0)
-            own.append(w)
-            best = up[k] + w if w else 0
-            row.append(max(best, up[k + 1], row[k]))
-        weights.append(own)
-        rows.append(row)
-    out, i, k = [], len(p), len(q)
-    while i and k:
-        if rows[i][k] == rows[i - 1][k]:
-            i -= 1
-        elif rows[i][k] == rows[i][k - 1]:
-            k -= 1
-        else:
-            i, k = i - 1, k - 1
-            out.append((p[i], q[k]))
-    memo[key] = (rows[-1][-1], out[::-1])
-    return memo[key]
-
-
-def walk(node: Node) -> Iterator[Node]:
-    stack = [node]
-    while stack:
-        n = stack.pop()
-        yield n
-        stack.extend(reversed(n.children))
+        if x.children and y.children:
+            stack += _align(x.children, y.children, shapes)
+    return pairs
+
+
+def _align(p: list[Node], q: list[Node], shapes: Shapes) -> list[tuple[Node, Node]]:
+    shape_q = tuple(n.shape for n in q)
+    memo: dict[int, np.ndarray] = {}
+    texts = {t: i for i, t in enumerate(dict.fromkeys(n.own for n in q if n.own), 1)}
+    text_q = np.array([texts.get(n.own, 0) for n in q], np.int64)
+
+    def weight(i: int, lo: int, hi: int) -> np.ndarray:
+        n = p[i]
+        if n.shape not in memo:
+            memo[n.shape] = 2 * shapes.row(n.shape, shape_q)
+        w = memo[n.shape][lo:hi]
+        t = texts.get(n.own, 0) if n.own else 0
+        return w + 3 * ((text_q[lo:hi] == t) & (w > 0)) if t else w
+
+    out: list[tuple[Node, Node]] = []
+    todo = [(0, len(p), 0, len(q))]
+    while todo:
+        a, b, lo, hi = todo.pop()
+        if a >= b or lo >= hi:
+            continue
+        if (b - a) * (hi - lo) > WHOLE_PAIRS and b - a > 1:
+            half = (a + b) // 2
+            down = _last_row(lambda i: weight(a + i, lo, hi), half - a, hi - lo)
+            up = _last_row(lambda i: weight(b - 1 - i, lo, hi)[::-1], b - half, hi - lo)[::-1]
+            k = lo + int(np.argmax(down + up))
+            todo += [(a, half, lo, k), (half, b, k, hi)]
+            continue
+        rows = np.zeros((b - a + 1, hi - lo + 1), np.int32)
+        for i in range(a, b):
+            best = np.maximum(rows[i - a, 1:], rows[i - a, :-1] + weight(i, lo, hi))
+            rows[i - a + 1, 1:] = np.maximum.accumulate(best)
+        i, k = b - a, hi - lo
+        while i and k:
+            if rows[i, k] == rows[i - 1, k]:
+                i -= 1
+            elif rows[i, k] == rows[i, k - 1]:
+                k -= 1
+            else:
+                i, k = i - 1, k - 1
+                out.append((p[a + i], q[lo + k]))
+    return out
 
 
 def _boilerplate(node: Node, inside: bool) -> bool:
@@ -179,12 +319,12 @@ def _boilerplate(node: Node, inside: bool) -> bool:
     return bool(node.names) and node.tag not in ("html", "body", "main") and bool(_BOILERPLATE_NAME.search(node.names))
 
 
-def _roots(tree: Node) -> list[Node]:
-    """The outermost article elements outside boilerplate; else the main element; else the page."""
-    articles, mains, stack = [], [], [tree]
+def _named_roots(tree: Tree) -> tuple[list[Node], list[Node]]:
+    """The outermost article elements, and main elements, outside boilerplate."""
+    articles, mains, stack = [], [], [tree.root]
     while stack:
         n = stack.pop()
-        if n is not tree and _boilerplate(n, n.tag == "article"):
+        if n is not tree.root and _boilerplate(n, n.tag == "article"):
             continue
         if n.tag == "article" or re.search(r"\barticleBody\b", n.names):
             articles.append(n)
@@ -192,10 +332,30 @@ def _roots(tree: Node) -> list[Node]:
         if n.tag == "main" or n.names == "main":
             mains.append(n)
         stack.extend(reversed(n.children))
-    return articles or mains[:1] or [tree]
+    return articles, mains
+
+
+def _above(node: Node) -> set[Node]:
+    out, n = set(), node
+    while n is not None:
+        out.add(n)
+        n = n.parent
+    return out
+
+
+def roots(tree: Tree, induced: Node | None) -> list[Node]:
+    """Where the content is: the induced node, or the articles, or else the main element, in it or around it; without an induced node those of the page."""
+    articles, mains = _named_roots(tree)
+    if induced is None or induced.tag in ("#", "html", "body"):
+        return articles or mains[:1] or [tree.root]
+    around = _above(induced)
+    for named in (articles, mains):
+        if hit := [n for n in named if n in around or induced in _above(n)]:
+            return hit if named is articles else hit[:1]
+    return [induced]
 
 
-def main_text(tree: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
+def main_text(tree: Tree, template: frozenset[int] | set[int] = frozenset(), induced: Node | None = None) -> str:
     """Blocks of content joined by line ends; ``template`` has the numbers of nodes whose own text is left out."""
     blocks: list[str] = []
     line: list[str] = []
@@ -205,7 +365,7 @@ def main_text(tree: Node, template: frozenset[int] | set[int] = frozenset()) ->
             blocks.append(text)
         line.clear()
 
-    for root in _roots(tree):
+    for root in roots(tree, induced):
         flush()
         stack: list = [root]
         while stack:
@@ -214,7 +374,7 @@ def main_text(tree: Node, template: frozenset[int] | set[int] = frozenset()) ->
                 line.append(x)
             elif x is None:
                 flush()
-            elif x is root or not _boilerplate(x, root is not tree):
+            elif x is root or not _boilerplate(x, root is not tree.root):
                 block = x.tag not in INLINE
                 if block:
                     flush()
@@ -228,94 +388,196 @@ def main_text(tree: Node, template: frozenset[int] | set[int] = frozenset()) ->
     return "\n".join(blocks)
 
 
+def induced_root(tree: Tree, chars: dict[int, int]) -> int:
+    """The node below which the varying text lies, from the varying characters of each node; -1 for the root.
+
+    From the root on, the child that holds most of its parent's varying text is taken, as long as it holds blocks itself and the parent
+    has no heading or paragraph with varying text.
+    """
+    mass = {n.number: 0 if n.tag in RAW or n.tag == "head" else chars.get(n.number, 0) for n in tree.nodes}
+    for n in reversed(tree.nodes):
+        if n.parent.number >= 0:
+            mass[n.parent.number] += mass[n.number]
+    at, total = tree.root, sum(mass[n.number] for n in tree.root.children)
+    while True:
+        blocks = [c for c in at.children if c.tag not in INLINE and mass[c.number] and c.tag not in RAW]
+        if not blocks or any(c.tag in HEADINGS or c.tag == "p" for c in blocks):
+            return at.number
+        best = max(blocks, key=lambda c: mass[c.number])
+        deeper = any(c.tag not in INLINE and mass[c.number] for c in best.children)
+        if not deeper or mass[best.number] < ROOT_SHARE * total:
+            return at.number
+        at, total = best, mass[best.number]
+
+
+def path_hash(node: Node, memo: dict[int, str]) -> int:
+    """Hash of the names on the way to a node, and of its text."""
+    way = []
+    n = node
+    while n is not None and n.number not in memo:
+        way.append(n)
+        n = n.parent
+    for n in reversed(way):
+        above = memo[n.parent.number] if n.parent is not None else ""
+        memo[n.number] = xxhash.xxh64_hexdigest(f"{above}>{n.sig}")
+    return xxhash.xxh64_intdigest(f"{memo[node.number]}|{node.own}") - (1 << 63)
+
+
 class _Trees(dict):
-    """Parsed references of the hosts seen lately."""
+    """Parsed references of the layouts seen lately."""
 
-    def get_tree(self, host: str, page: str) -> Node:
-        if host not in self or self[host][0] != page:
-            if len(self) > 200:
+    def __init__(self) -> None:
+        super().__init__()
+        self.shapes = Shapes()
+
+    def get_tree(self, key: tuple[str, str], page: str) -> Tree:
+        if key not in self or self[key][0] != page:
+            if len(self) > 200 or len(self.shapes.memo) > 2_000_000:
                 self.clear()
-            self[host] = (page, parse(page))
-        return self[host][1]
+                self.shapes = Shapes()
+            self[key] = (page, parse(page, self.shapes))
+        return self[key][1]
+
+
+NODE, PATH, PAGES = 0, 1, 2
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, layout, kind, key, n, same, chars): for nodes of the reference, for paths with texts, and pages."""
     trees = _Trees()
-    votes: dict[tuple[str, int], list[int]] = {}
+    votes: dict[tuple[str, str, int, int], list[int]] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if votes:
+            keys, values = list(zip(*votes, strict=True)), list(zip(*votes.values(), strict=True))
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(keys, kinds, strict=True)] + [pa.array(c, pa.int64()) for c in values],
+                ["host", "layout", "kind", "key", "n", "same", "chars"],
+            )
+            votes.clear()
+
     for batch in batches:
         for part in slices(batch, "html", "reference"):
-            for host, page, ref in zip(*(strings(part, c) for c in ("host", "html", "reference")), strict=True):
+            for host, layout, page, ref in zip(*(strings(part, c) for c in ("host", "layout", "html", "reference")), strict=True):
                 if page == ref:
                     continue
-                tree = trees.get_tree(host, ref)
-                pairs: list[tuple[Node, Node]] = []
-                match(tree, parse(page), pairs)
-                same = {x.number for x, y in pairs if (t := x.text()) and t == y.text()}
-                for n in walk(tree):
-                    if n.number in same or n.text():
-                        v = votes.setdefault((host, n.number), [0, 0])
-                        v[0] += 1
-                        v[1] += n.number in same
-    if votes:
-        hosts, nodes = zip(*votes, strict=True)
-        n, same = zip(*votes.values(), strict=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts), pa.array(nodes, pa.int32()), pa.array(n, pa.int64()), pa.array(same, pa.int64())],
-            ["host", "node", "n", "same"],
-        )
+                tree = trees.get_tree((host, layout), ref)
+                other = parse(page, trees.shapes)
+                pairs = match(tree, other, trees.shapes)
+
+                def vote(kind: int, key: int, n: int, same: int, chars: int) -> None:
+                    v = votes.setdefault((host, layout, kind, key), [0, 0, 0])  # noqa: B023
+                    v[0] += n
+                    v[1] += same
+                    v[2] += chars
+
+                vote(PAGES, 0, 1, 0, 0)
+                place = {y.number: x.number for x, y in pairs}
+                seen: set[int] = set()
+                memo: dict[int, str] = {}
+                once: set[int] = set()
+                for x, y in pairs:
+                    if x.own or y.own:
+                        seen.add(x.number)
+                        same = x.own == y.own
+                        vote(NODE, x.number, 1, same, 0 if same else len(y.own))
+                        if same:
+                            once.add(path_hash(y, memo))
+                for x in tree.nodes:
+                    if x.own and x.number not in seen:
+                        vote(NODE, x.number, 1, 0, 0)
+                for y in other.nodes:
+                    if y.number not in place:
+                        place[y.number] = place[y.parent.number]
+                        if y.own:
+                            vote(NODE, place[y.number], 0, 0, len(y.own))
+                            once.add(path_hash(y, memo))
+                for h in once:
+                    vote(PATH, h, 1, 0, 0)
+                if len(votes) > HELD_VOTES:
+                    yield from out()
+    yield from out()
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trees = _Trees()
+    induced: dict[tuple[str, str], tuple[str, int]] = {}
     for batch in batches:
         for part in slices(batch, "html", "reference"):
             out = []
-            lists = part.column("template").to_pylist()
-            for host, page, ref, nodes in zip(*(strings(part, c) for c in ("host", "html", "reference")), lists, strict=True):
-                tree = parse(page)
-                template: set[int] = set()
-                if nodes:
-                    pairs: list[tuple[Node, Node]] = []
-                    match(trees.get_tree(host, ref), tree, pairs)
-                    nodes = set(nodes)
-                    template = {y.number for x, y in pairs if x.number in nodes and x.text() == y.text()}
-                out.append(main_text(tree, template))
+            columns = [strings(part, c) for c in ("host", "layout", "html", "reference")]
+            lists = [part.column(c).to_pylist() for c in ("nodes", "paths", "chars")]
+            for host, layout, page, ref, nodes, paths, chars in zip(*columns, *lists, strict=True):
+                key = (host, layout)
+                if chars is None:
+                    out.append(main_text(parse(page)))
+                    continue
+                reference = trees.get_tree(key, ref)
+                if key not in induced or induced[key][0] != ref:
+                    if len(induced) > 1000:
+                        induced.clear()
+                    induced[key] = (ref, induced_root(reference, {c["key"]: c["chars"] for c in chars}))
+                tree = parse(page, trees.shapes)
+                pairs = match(reference, tree, trees.shapes)
+                fixed, known, memo = set(nodes or ()), set(paths or ()), {}
+                template = {y.number for x, y in pairs if x.number in fixed and x.own == y.own}
+                if known:
+                    template |= {y.number for y in tree.nodes if y.own and y.number not in template and path_hash(y, memo) in known}
+                root = next((y for x, y in pairs if x.number == induced[key][1]), None)
+                out.append(main_text(tree, template, root))
             yield pa.RecordBatch.from_arrays(
                 [part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
             )
 
 
-def _join_hosts(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    size = hosts.agg(F.sum(F.octet_length("reference"))).first()[0] or 0
-    return pages.join(F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts, "host", "left")
+def _join_layouts(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    size = wrappers.agg(F.sum(F.octet_length("reference") + F.octet_length("own") + 64)).first()[0] or 0
+    return pages.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, ["host", "own"], "left")
+
+
+def _references(read: DataFrame) -> DataFrame:
+    """(host, own, layout, reference): of each layout of a host, itself or, where it has too few pages, the host's commonest one."""
+    size = F.octet_length("html")
+    fitness = F.struct(F.when(size >= 1024, size).otherwise(F.lit(2**30) - size), F.xxhash64("html"))
+    own = materialize(read.groupBy("host", "own").agg(F.min_by("html", fitness).alias("reference"), F.count(F.lit(1)).alias("n")), "references")
+    common = own.groupBy("host").agg(F.max_by("own", F.struct("n", "own")).alias("common"))
+    few = F.col("n") <= LEAST_PAGES
+    chosen = own.drop("reference").join(common, "host").select("host", "own", F.when(few, F.col("common")).otherwise(F.col("own")).alias("layout"))
+    return chosen.join(own.select("host", F.col("own").alias("layout"), "reference"), ["host", "layout"]).select("host", "own", "layout", "reference")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
-    Null and empty html gives an empty text. Pages with a null url are one host. A host with fewer
-    than LEAST_PAGES other pages has no template, only the rules about elements. Exact copies of the reference don't vote;
-    repeated rows each get their row. An empty table gives an empty result; other columns are ignored.
+    Null and empty html gives an empty text. Pages with a null url are one host. Layouts of at most
+    LEAST_PAGES pages go with the host's commonest; if that has no more either, there is no template, only the rules about elements. Exact copies of
+    the reference don't vote; repeated rows each get their row. An empty table gives an empty result; other columns are ignored.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    read = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    size = F.octet_length("html")
-    fitness = F.struct(F.when(size >= 1024, size).otherwise(F.lit(2**30) - size), F.xxhash64("html"))
-    hosts = materialize(read.groupBy("host").agg(F.min_by("html", fitness).alias("reference")), "references")
+    html = F.coalesce("html", F.lit(""))
+    tags = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(_LAYOUT), F.lit(1)), lambda t: F.regexp_replace(t, "[0-9]+", "#"))))
+    read = pages.select("page_id", "url", html.alias("html"), host.alias("host"), F.md5(F.array_join(tags, "\n")).alias("own"))
+    wrappers = materialize(_references(read), "layouts")
     votes = map_arrow(
-        _join_hosts(read.select("host", "html"), hosts), _votes, "host string, node int, n long, same long"
-    )
-    template = (
-        votes.groupBy("host", "node")
-        .agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
-        .where((F.col("n") >= LEAST_PAGES) & (F.col("same") >= SHARE * F.col("n")))
-        .groupBy("host")
-        .agg(F.collect_list("node").alias("template"))  # at most the nodes of one page
+        _join_layouts(read, wrappers).select("host", "layout", "html", "reference"), _votes,
+        "host string, layout string, kind int, key long, n long, same long, chars long",
     )
-    wrappers = materialize(hosts.join(template, "host", "left"), "wrappers")
-    return map_arrow(
-        _join_hosts(read, wrappers).select("page_id", "url", "html", "host", "reference", "template"),
-        _extract, f"page_id {kind}, url string, text string, n_chars long"
+    votes = materialize(votes.groupBy("host", "layout", "kind", "key").agg(*(F.sum(c).alias(c) for c in ("n", "same", "chars"))), "votes")
+    count = votes.where(F.col("kind") == PAGES).select("host", "layout", F.col("n").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    nodes = votes.where((F.col("kind") == NODE) & (F.col("n") >= LEAST_PAGES) & (F.col("same") >= SHARE * F.col("n")))
+    paths = votes.where(F.col("kind") == PATH).join(count, ["host", "layout"]).where(F.col("n") >= SHARE * F.col("pages"))
+    varying = votes.where((F.col("kind") == NODE) & (F.col("chars") > 0))
+    # lists of at most the nodes of one page
+    found = (
+        count.select("host", "layout")
+        .join(nodes.groupBy("host", "layout").agg(F.collect_list("key").alias("nodes")), ["host", "layout"], "left")
+        .join(paths.groupBy("host", "layout").agg(F.collect_list("key").alias("paths")), ["host", "layout"], "left")
+        .join(varying.groupBy("host", "layout").agg(F.collect_list(F.struct("key", "chars")).alias("chars")), ["host", "layout"], "left")
+        .withColumn("chars", F.coalesce("chars", F.array().cast("array<struct<key:bigint,chars:bigint>>")))
     )
+    wrappers = materialize(wrappers.join(found, ["host", "layout"], "left"), "wrappers")
+    rows = _join_layouts(read, wrappers).select("page_id", "url", "html", "host", "layout", "reference", "nodes", "paths", "chars")
+    return map_arrow(rows, _extract, f"page_id {kind}, url string, text string, n_chars long")

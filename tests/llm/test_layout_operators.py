@@ -135,14 +135,6 @@ def test_main_text_of_given_pages(spark, sf_dir):
         assert r["text"] == "\n".join(b for b in blocks if b)
 
 
-def test_tree_matching_keeps_order():
-    a, b = wrapper.parse("<ul><li>x<li>y<li>z</ul>"), wrapper.parse("<ul><li>y<li>new<li>z</ul>")
-    pairs: list = []
-    wrapper.match(a, b, pairs)
-    texts = [(x.text(), y.text()) for x, y in pairs if x.tag == "li"]
-    assert ("y", "y") in texts and ("z", "z") in texts
-
-
 @pytest.mark.parametrize("name", ["docs", "odd", "none"])
 def test_packing(name, request):
     df = request.getfixturevalue(name)
