@@ -182,7 +182,8 @@ _PLAIN = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:;=?@\[-`{}~]*)")
 class _Encoder(dict):
     """Token ids, as little-endian 32-bit numbers, of lower-cased runs of anything but ASCII white space.
 
-    The tokenizer never joins across white space, so a text's ids are those of its runs.
+    The tokenizer never joins across white space, so a text's ids are those of its runs. Its added tokens are cut out of the text
+    as they are spelled before it is lower-cased, as the tokenizer does; what is left holds none, so that lower-casing must make none.
     """
 
     def __init__(self, path: str):
@@ -191,6 +192,10 @@ class _Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {x.content.encode(): array("I", [i]).tobytes() for i, x in added.items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, longest_first)) + b")") if self.added else None
         self.model = self.tokenizer.model
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
@@ -210,7 +215,13 @@ class _Encoder(dict):
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self) > 300_000:
             self.clear()
-        return [b"".join(map(self.__getitem__, t.lower().split())) for t in texts]
+        return [self.plain(t) if self.cut is None or not self.cut.search(t) else self.mixed(t) for t in texts]
+
+    def plain(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.lower().split()))
+
+    def mixed(self, text: bytes) -> bytes:
+        return b"".join(self.added.get(x) or self.plain(x) for x in self.cut.split(text))
 
 
 def _encoder(path: str) -> _Encoder:

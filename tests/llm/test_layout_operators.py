@@ -139,7 +139,6 @@ def test_main_text_of_given_pages(spark, sf_dir):
 def test_packing(name, request):
     df = request.getfixturevalue(name)
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     want = Counter((r["doc_id"], *p) for r in df.collect() for p in brute.token_pieces(t, r["text"]))
     got = rows_of(packing.pack(df))
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
@@ -156,6 +155,15 @@ def test_packing(name, request):
         assert len(sequences) <= -(-sum(r["length"] for r in got) // 2048) * 1.01 + 1
 
 
+def test_added_tokens_are_cut_out_as_spelled(spark):
+    """Against the tokenizer as it is loaded."""
+    texts = ["end <|endoftext|> start", "a<|ENDOFTEXT|>b<|endoftext|>c", "x<|startoftext|>Y <|StartOfText|>", "<|endoftext|><|endoftext|>",
+             "<|endof text|>", "é<|endoftext|>É<|<|startoftext|>", "<|endoftext|", "  <|endoftext|>\n\t", "E\u0301<|endoftext|>\u0301x İ<|ENDOFTEXT|>"]
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in rows_of(packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert got == {i: brute.token_pieces(t, x)[0][2:] for i, x in enumerate(texts)}
+
+
 def fewest(sizes, capacity):
     """The least number of bins, by trying all."""
     best = len(sizes)
