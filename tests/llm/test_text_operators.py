@@ -1,6 +1,7 @@
 """Duplicates, decontamination, personal data, perplexity, quality: against plain versions and on odd tables."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -95,6 +96,41 @@ def test_longest_match(spark):
     assert got == {1: (27, 2, "it"), 2: (0, None, None)}
 
 
+def plain_longest(words, items, window=10):
+    """(length, place, item, place there) by trying all places."""
+    best = (0, None, None, None)
+    for p in range(len(words)):
+        for k, (name, w) in enumerate(items):
+            need = min(window, len(w))
+            for q in range(len(w) - need + 1):
+                n = 0
+                while p + n < len(words) and q + n < len(w) and words[p + n] == w[q + n]:
+                    n += 1
+                if n >= need and n > best[0]:
+                    best = (n, p, name, q)
+    return best
+
+
+def test_longest_matches_equal_a_plain_search_on_repetitive_texts(spark):
+    rng = np.random.default_rng(11)
+    make = lambda n, k: [f"v{x}" for x in rng.integers(0, k, n)]
+    items = [(f"i{k}", make(rng.integers(3, 40), 2 + k % 2)) for k in range(12)] + [("same", ["v0"] * 25), ("again", ["v0"] * 25)]
+    docs = [(i, make(rng.integers(0, 60), 2)) for i in range(40)] + [(90, ["v0"] * 60), (91, items[3][1] + ["zz"] + items[3][1])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id string, text string").coalesce(1)
+    got = {r["doc_id"]: (r["longest_match"], r["longest_at"], r["longest_item"], r["longest_item_at"]) for r in rows_of(decontaminate.contamination(df, bench))}
+    assert got == {i: plain_longest(w, items) for i, w in docs}
+
+
+def test_contamination_of_texts_of_one_word_takes_no_quadratic_time(spark):
+    df = spark.createDataFrame([(1, "w " * 1_000_000), (2, "w v " * 300_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", "w " * 1000), ("b", "w v " * 400), ("c", "w " * 1000)], "item_id string, text string")
+    began = time.time()
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["longest_match"]) for r in rows_of(decontaminate.contamination(df, bench))}
+    assert got == {1: (1_000_000, 2, 1000), 2: (600_000, 1, 800)}
+    assert time.time() - began < 60
+
+
 def joined(spans):
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
