@@ -90,9 +90,12 @@ class Shapes:
 
     def match(self, a: int, b: int) -> int:
         """Size of the largest top-down matching of two shapes that keeps the order of children; 0 if their roots differ."""
+        memo = self.memo
+        if (known := memo.get((a, b))) is not None:
+            return known
         if self.sigs[a] != self.sigs[b]:
             return 0
-        stack, memo = [(a, b)], self.memo
+        stack = [(a, b)]
         while stack:
             x, y = stack[-1]
             if (x, y) in memo:
@@ -196,7 +199,11 @@ class _Open:
                     self.wide.pop()
 
     def top(self, tags: tuple[str, ...]) -> int:
-        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        best = 0
+        for t in tags:
+            if (at := self.places.get(t)) and at[-1] > best:
+                best = at[-1]
+        return best
 
 
 class Tree:
@@ -244,8 +251,8 @@ def parse(page: str, shapes: Shapes | None = None) -> Tree:
         found = _next(tags, jump)
     shapes = shapes or Shapes()
     for n in (*reversed(nodes), root):  # children come after their parents
-        n.own = " ".join(" ".join(p for p in n.parts if p.__class__ is str).split())
-        n.shape = shapes.of(n.sig, tuple(c.shape for c in n.children))
+        n.own = " ".join(" ".join([p for p in n.parts if p.__class__ is str]).split()) if n.parts else ""
+        n.shape = shapes.of(n.sig, tuple([c.shape for c in n.children]) if n.children else ())
     return Tree(root, nodes)
 
 
@@ -270,7 +277,36 @@ def match(a: Tree, b: Tree, shapes: Shapes) -> list[tuple[Node, Node]]:
     return pairs
 
 
+def _traced(rows, p: list[Node], q: list[Node]) -> list[tuple[Node, Node]]:
+    """The aligned nodes of a table of best weights."""
+    out, i, k = [], len(p), len(q)
+    while i and k:
+        if rows[i][k] == rows[i - 1][k]:
+            i -= 1
+        elif rows[i][k] == rows[i][k - 1]:
+            k -= 1
+        else:
+            i, k = i - 1, k - 1
+            out.append((p[i], q[k]))
+    return out
+
+
 def _align(p: list[Node], q: list[Node], shapes: Shapes) -> list[tuple[Node, Node]]:
+    if len(p) == len(q) == 1:
+        return [(p[0], q[0])] if p[0].sig == q[0].sig else []
+    if len(p) * len(q) <= 400:  # the same table without arrays, which cost more than they save on short lists
+        rows = [[0] * (len(q) + 1)]
+        for x in p:
+            up, row, left = rows[-1], [0], 0
+            for k, y in enumerate(q):
+                best = up[k + 1] if up[k + 1] > left else left
+                if x.sig == y.sig:
+                    w = up[k] + 2 * shapes.match(x.shape, y.shape) + (3 if x.own and x.own == y.own else 0)
+                    best = w if w > best else best
+                row.append(best)
+                left = best
+            rows.append(row)
+        return _traced(rows, p, q)
     shape_q = tuple(n.shape for n in q)
     memo: dict[int, np.ndarray] = {}
     texts = {t: i for i, t in enumerate(dict.fromkeys(n.own for n in q if n.own), 1)}
@@ -301,15 +337,7 @@ def _align(p: list[Node], q: list[Node], shapes: Shapes) -> list[tuple[Node, Nod
         for i in range(a, b):
             best = np.maximum(rows[i - a, 1:], rows[i - a, :-1] + weight(i, lo, hi))
             rows[i - a + 1, 1:] = np.maximum.accumulate(best)
-        i, k = b - a, hi - lo
-        while i and k:
-            if rows[i, k] == rows[i - 1, k]:
-                i -= 1
-            elif rows[i, k] == rows[i, k - 1]:
-                k -= 1
-            else:
-                i, k = i - 1, k - 1
-                out.append((p[a + i], q[lo + k]))
+        out += _traced(rows, p[a:b], q[lo:hi])
     return out
 
 
