@@ -153,6 +153,10 @@ def segment_diagnostic(df: DataFrame, by: str = "familia_material") -> DataFrame
     )
 
 
+#: Fixed value: what a material says that passes all tests.
+FIT = "Apto para avaliação de previsão"
+
+
 def selection_fit(df: DataFrame) -> DataFrame:
     """Whether each material has enough history, and the first test that it fails."""
     k = F.year("data_publicacao") * 12 + F.month("data_publicacao")
@@ -164,13 +168,13 @@ def selection_fit(df: DataFrame) -> DataFrame:
     )
     out = out.withColumn("taxa_ativa", F.try_divide("meses_ativos", "meses_intervalo"))
     reason = (
-        F.when(F.col("registros") < 30, "POUCOS_REGISTROS")
-        .when(F.col("anos") < 3, "POUCOS_ANOS")
-        .when(F.col("meses_ativos") < 12, "POUCOS_MESES")
-        .when(F.col("taxa_ativa") < 0.25, "BAIXA_FREQUENCIA")
-        .otherwise("APTO")
+        F.when(F.col("registros") < 30, "Poucos registros no período")
+        .when(F.col("anos") < 3, "Cobertura inferior a três anos")
+        .when(F.col("meses_ativos") < 12, "Poucos meses com aquisição")
+        .when(F.col("taxa_ativa") < 0.25, "Série excessivamente esparsa")
+        .otherwise(FIT)
     )
-    return out.withColumn("motivo", reason).withColumn("apto", F.col("motivo") == "APTO")
+    return out.withColumn("motivo", reason).withColumn("apto", F.col("motivo") == FIT)
 
 
 def coverage_by_family(df: DataFrame) -> DataFrame:

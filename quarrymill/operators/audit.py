@@ -52,6 +52,14 @@ def compare_versions(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> Da
     for name in sorted({*old, *new}):
         a, b = old.get(name), new.get(name)
         if a is None or b is None:
+            # a table of one version only is a difference
+            n = (a if b is None else b).agg(F.count(F.lit(1)).alias("n"))
+            none = F.lit(None).cast("long")
+            one = n.select(
+                F.lit(name).alias("tabela"), F.lit(False).alias("colunas_iguais"), F.lit(False).alias("tipos_iguais"),
+                (none if a is None else F.col("n")).alias("linhas_a"), (none if b is None else F.col("n")).alias("linhas_b"), F.lit(False).alias("conteudo_igual"),
+            )
+            rows = one if rows is None else rows.union(one)
             continue
         x = content_hash(a).select(F.col("linhas").alias("linhas_a"), F.col("hash").alias("hash_a"))
         y = content_hash(b).select(F.col("linhas").alias("linhas_b"), F.col("hash").alias("hash_b"))

@@ -54,7 +54,7 @@ def metrics(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def allowed(kind: Column, model: Column) -> Column:
     """Intermittent kinds of demand may use the first four models only."""
-    return ~kind.isin("INTERMITENTE", "IRREGULAR", "SEM_DEMANDA") | model.isin(*models.INTERMITTENT)
+    return ~kind.isin("INTERMITENTE", "IRREGULAR_INTERMITENTE", "SEM_DEMANDA") | model.isin(*models.INTERMITTENT)
 
 
 def ranked(scored: DataFrame, by: list[str]) -> DataFrame:
@@ -70,9 +70,9 @@ def confidence(months: Column, active: Column, zeros: Column, folds: Column, wap
 
 def confidence_reason(level: Column) -> Column:
     return (
-        F.when(level == "ALTA", "historico longo, demanda frequente e erro baixo")
-        .when(level == "MEDIA", "historico suficiente e erro moderado")
-        .otherwise("historico curto, demanda esparsa ou erro alto")
+        F.when(level == "ALTA", "Histórico amplo, demanda frequente e erro baixo em validação temporal múltipla.")
+        .when(level == "MEDIA", "Histórico utilizável, com volatilidade ou intermitência ainda relevante.")
+        .otherwise("Série curta, esparsa ou com erro elevado; resultado apenas indicativo.")
     )
 
 

@@ -81,8 +81,12 @@ def from_scenarios(long: DataFrame, ids: list[str]) -> DataFrame:
 
 def for_star(allocated: DataFrame) -> DataFrame:
     """Allocated forecast in the shape of the forecast fact: error reference, WAPE in percent, kind and next step."""
-    kind = F.when(F.col("nivel_modelagem") == "INDIVIDUAL", "MODELO_INDIVIDUAL").otherwise("RATEIO_SEGMENTO")
-    step = F.when(F.col("confianca_previsao") == "BAIXA", "Revisar com a area de compras").otherwise("Acompanhar mensalmente")
+    alone = F.coalesce(F.upper("nivel_modelagem") == "INDIVIDUAL", F.lit(False))
+    # fixed values: kinds and next steps by level
+    kind = F.when(alone, "INTERMITENTE_INDIVIDUAL").otherwise("INTERMITENTE_SEGMENTO")
+    step = F.when(alone, "Recalibrar com consumo interno, estoque e plano de obras.").otherwise(
+        "Recalibrar o segmento com consumo interno e revisar os pesos de rateio."
+    )
     return allocated.withColumns(
         {
             "tipo_demanda": kind,

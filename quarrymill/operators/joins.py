@@ -33,14 +33,13 @@ def with_catalogue(fact: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def key_matches(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Per pair of key columns: left values that the right side has, and their percentage; best first."""
-    spark, rows = left.sparkSession, None
+    rows = None
     for a, b in pairs:
         known = right.select(F.col(b).cast("string").alias("k")).where("k is not null").distinct()
         mine = left.select(F.col(a).cast("string").alias("k")).where("k is not null")
         n = mine.join(known.withColumn("hit", F.lit(1)), "k", "left").agg(F.count(F.lit(1)).alias("linhas"), F.count("hit").alias("encontradas"))
         one = n.select(F.lit(a).alias("esquerda"), F.lit(b).alias("direita"), "encontradas", F.try_divide(100.0 * F.col("encontradas"), F.col("linhas")).alias("percentual"))
         rows = one if rows is None else rows.union(one)
-    assert spark
     return rows.orderBy(F.desc("encontradas"), F.desc("percentual"))
 
 

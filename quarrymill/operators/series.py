@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Names of the months.
-MONTHS = "Janeiro Fevereiro Março Abril Maio Junho Julho Agosto Setembro Outubro Novembro Dezembro".split()
+#: Names of the months and of the days from Monday on.
+MONTHS = "Jan Fev Mar Abr Mai Jun Jul Ago Set Out Nov Dez".split()
+DAYS = "Seg Ter Qua Qui Sex Sáb Dom".split()
 
 
 def monthly_series(df: DataFrame, by: list[str], start: str | None = None, end: str | None = None) -> DataFrame:
@@ -71,13 +72,13 @@ def intermittency(series: DataFrame, by: list[str]) -> DataFrame:
         {
             "zeros_pct": F.round(F.try_divide(100.0 * F.col("meses_zero"), F.col("meses")), 2),
             "adi": gap,
-            "cv2": F.coalesce(F.pow(F.try_divide("_s", "_m"), 2), F.lit(0.0)),
+            "cv2": F.when(F.col("meses_ativos") == 0, F.lit(float("nan"))).otherwise(F.coalesce(F.pow(F.try_divide("_s", "_m"), 2), F.lit(0.0))),
         }
     )
     slow, wild = F.col("adi") >= 1.32, F.col("cv2") >= 0.49
     kind = (
         F.when(F.col("meses_ativos") == 0, "SEM_DEMANDA")
-        .when(slow & wild, "IRREGULAR")
+        .when(slow & wild, "IRREGULAR_INTERMITENTE")
         .when(slow, "INTERMITENTE")
         .when(wild, "ERRATICA")
         .otherwise("REGULAR")
@@ -123,11 +124,14 @@ def calendar(*dates: DataFrame) -> DataFrame:
         F.year("data").alias("ano"),
         F.month("data").alias("mes_numero"),
         name.alias("mes_nome"),
+        F.concat(name, F.lit("/"), F.year("data").cast("string")).alias("mes_ano"),
         F.date_format("data", "yyyy-MM").alias("ano_mes"),
         F.quarter("data").alias("trimestre_numero"),
         F.concat(F.lit("T"), F.quarter("data").cast("string")).alias("trimestre"),
-        F.when(F.month("data") <= 6, 1).otherwise(2).alias("semestre"),
+        F.concat(F.year("data").cast("string"), F.lit("-T"), F.quarter("data").cast("string")).alias("ano_trimestre"),
+        F.when(F.month("data") <= 6, "S1").otherwise("S2").alias("semestre"),
         F.day("data").alias("dia"),
         weekday.alias("dia_semana"),
+        F.get(F.array(*map(F.lit, DAYS)), weekday - 1).alias("dia_semana_nome"),
         (weekday >= 6).alias("fim_de_semana"),
     )

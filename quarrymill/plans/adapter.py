@@ -55,9 +55,14 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, computed once into the folder in spark.checkpoint.dir, where that is set: for tables that a plan reads more than once."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases with quality and outlier flags."""
-    return flag_outliers(apply_quality(purchases(spark, sf_dir)))
+    return flag_outliers(cut(apply_quality(purchases(spark, sf_dir))))
 
 
 PURCHASES = """

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrymill.functions import models
-from quarrymill.operators import audit, backtest, filters, hierarchy, measures, series, star
+from quarrymill.operators import audit, backtest, filters, hierarchy, joins, measures, series, star
 from quarrymill.operators.quality import apply_quality
-from quarrymill.plans.adapter import FLAGS, purchases
+from quarrymill.plans.adapter import FLAGS, cut, purchases
 from quarrymill.plans.purchases import query
 
 BY = ["codigo_catmat", "descricao_item"]
@@ -19,7 +19,7 @@ def _rows(spark, sf_dir):
 
 
 def _series(spark, sf_dir):
-    return series.monthly_series(_rows(spark, sf_dir), BY)
+    return cut(series.monthly_series(cut(_rows(spark, sf_dir).select(*BY, "data_publicacao", "quantidade")), BY))
 
 
 def _arrays(spark, sf_dir):
@@ -56,9 +56,9 @@ def _(spark, sf_dir):
       count(*) FILTER (WHERE q <= 0) AS meses_zero, round(100.0 * count(*) FILTER (WHERE q <= 0) / count(*), 2) AS zeros_pct,
       CASE WHEN count(*) FILTER (WHERE q > 0) > 1 THEN (max(p) FILTER (WHERE q > 0) - min(p) FILTER (WHERE q > 0)) / (count(*) FILTER (WHERE q > 0) - 1)
         WHEN count(*) FILTER (WHERE q > 0) = 1 THEN count(*) ELSE 'inf'::DOUBLE END AS adi,
-      coalesce(pow(stddev_samp(q) FILTER (WHERE q > 0) / avg(q) FILTER (WHERE q > 0), 2), 0) AS cv2 FROM series GROUP BY 1, 2)
+      CASE WHEN count(*) FILTER (WHERE q > 0) = 0 THEN 'nan'::DOUBLE ELSE coalesce(pow(stddev_samp(q) FILTER (WHERE q > 0) / avg(q) FILTER (WHERE q > 0), 2), 0) END AS cv2 FROM series GROUP BY 1, 2)
     SELECT codigo_catmat, descricao_item, meses, meses_ativos, meses_zero, zeros_pct, round(adi + 1e-7, 4) AS adi, round(cv2 + 1e-7, 4) AS cv2,
-    CASE WHEN meses_ativos = 0 THEN 'SEM_DEMANDA' WHEN adi >= 1.32 AND cv2 >= 0.49 THEN 'IRREGULAR' WHEN adi >= 1.32 THEN 'INTERMITENTE'
+    CASE WHEN meses_ativos = 0 THEN 'SEM_DEMANDA' WHEN adi >= 1.32 AND cv2 >= 0.49 THEN 'IRREGULAR_INTERMITENTE' WHEN adi >= 1.32 THEN 'INTERMITENTE'
       WHEN cv2 >= 0.49 THEN 'ERRATICA' ELSE 'REGULAR' END AS tipo_demanda FROM s""",
 )
 def _(spark, sf_dir):
@@ -180,8 +180,8 @@ def _(spark, sf_dir):
 
 
 def _units(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
-    return rows, series.roll_up(series.monthly_series(rows, ["codigo_catmat"]), _mapping(rows))
+    rows = cut(_rows(spark, sf_dir).select("id_compra", "id_compra_item", "codigo_catmat", "data_publicacao", "quantidade", "uf"))
+    return rows, cut(series.roll_up(series.monthly_series(rows, ["codigo_catmat"]), joins.require_unique(_mapping(rows), ["codigo_catmat"])))
 
 
 def _unit_forecast(spark, sf_dir):

@@ -178,7 +178,7 @@ _VIEW = f"{KEY}, quantidade, round(valor_total + 1e-7, 4) AS valor_total"
 
 @query("valid_purchases", f"WITH {GOLD} SELECT {_VIEW} FROM gold WHERE NOT dq_possui_erro AND familia_material IS NOT NULL")
 def _(spark, sf_dir):
-    return filters.valid_purchases(gold(spark, sf_dir)).select(*names(KEY), "quantidade", "valor_total")
+    return filters.valid_purchases(flagged(spark, sf_dir)).select(*names(KEY), "quantidade", "valor_total")
 
 
 @query("benchmark_rows", f"WITH {GOLD} SELECT {_VIEW} FROM gold WHERE NOT dq_possui_erro AND NOT is_price_outlier AND unidade_comparavel IS NOT NULL")
@@ -205,7 +205,7 @@ def _(spark, sf_dir):
     dates=("mes",),
 )
 def _(spark, sf_dir):
-    return analytics.monthly_indicators(filters.valid_purchases(gold(spark, sf_dir)))
+    return analytics.monthly_indicators(filters.valid_purchases(flagged(spark, sf_dir)))
 
 
 @query(
@@ -301,9 +301,9 @@ def _(spark, sf_dir):
       max(year(data_publicacao) * 12 + month(data_publicacao)) - min(year(data_publicacao) * 12 + month(data_publicacao)) + 1 AS meses_intervalo
       FROM purchases GROUP BY 1),
     b AS (SELECT *, round(meses_ativos / meses_intervalo + 1e-7, 4) AS taxa_ativa FROM a),
-    c AS (SELECT *, CASE WHEN registros < 30 THEN 'POUCOS_REGISTROS' WHEN anos < 3 THEN 'POUCOS_ANOS' WHEN meses_ativos < 12 THEN 'POUCOS_MESES'
-      WHEN taxa_ativa < 0.25 THEN 'BAIXA_FREQUENCIA' ELSE 'APTO' END AS motivo FROM b)
-    SELECT *, motivo = 'APTO' AS apto FROM c""",
+    c AS (SELECT *, CASE WHEN registros < 30 THEN 'Poucos registros no período' WHEN anos < 3 THEN 'Cobertura inferior a três anos' WHEN meses_ativos < 12 THEN 'Poucos meses com aquisição'
+      WHEN taxa_ativa < 0.25 THEN 'Série excessivamente esparsa' ELSE 'Apto para avaliação de previsão' END AS motivo FROM b)
+    SELECT *, motivo = 'Apto para avaliação de previsão' AS apto FROM c""",
 )
 def _(spark, sf_dir):
     return analytics.selection_fit(purchases(spark, sf_dir))

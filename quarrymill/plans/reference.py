@@ -203,9 +203,11 @@ def _(spark, sf_dir):
     f"""WITH {PURCHASES}, d AS (SELECT CAST(unnest(generate_series(min(CAST(data_publicacao AS DATE)), max(CAST(data_publicacao AS DATE)), INTERVAL 1 DAY)) AS DATE) AS data FROM purchases)
     SELECT data, CAST(strftime(data, '%Y%m%d') AS INTEGER) AS data_key, CAST(strftime(data, '%Y%m') AS INTEGER) AS mes_key, CAST(date_trunc('month', data) AS DATE) AS inicio_mes,
     CAST(year(data) AS INTEGER) AS ano, CAST(month(data) AS INTEGER) AS mes_numero,
-    ['Janeiro','Fevereiro','Março','Abril','Maio','Junho','Julho','Agosto','Setembro','Outubro','Novembro','Dezembro'][month(data)] AS mes_nome,
+    ['Jan','Fev','Mar','Abr','Mai','Jun','Jul','Ago','Set','Out','Nov','Dez'][month(data)] AS mes_nome,
+    ['Jan','Fev','Mar','Abr','Mai','Jun','Jul','Ago','Set','Out','Nov','Dez'][month(data)] || '/' || year(data) AS mes_ano, year(data) || '-T' || quarter(data) AS ano_trimestre,
+    ['Seg','Ter','Qua','Qui','Sex','Sáb','Dom'][isodow(data)] AS dia_semana_nome,
     strftime(data, '%Y-%m') AS ano_mes, CAST(quarter(data) AS INTEGER) AS trimestre_numero, 'T' || quarter(data) AS trimestre,
-    CASE WHEN month(data) <= 6 THEN 1 ELSE 2 END AS semestre, CAST(day(data) AS INTEGER) AS dia, CAST(isodow(data) AS INTEGER) AS dia_semana, isodow(data) >= 6 AS fim_de_semana FROM d""",
+    CASE WHEN month(data) <= 6 THEN 'S1' ELSE 'S2' END AS semestre, CAST(day(data) AS INTEGER) AS dia, CAST(isodow(data) AS INTEGER) AS dia_semana, isodow(data) >= 6 AS fim_de_semana FROM d""",
     dates=("data", "inicio_mes"),
 )
 def _(spark, sf_dir):

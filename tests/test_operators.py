@@ -165,3 +165,30 @@ def test_every_query_with_sql_is_registered(spark, sf_dir):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_tables_of_one_version_only_are_differences(spark):
+    from quarrymill.operators.audit import compare_versions
+
+    df = spark.range(3)
+    got = {r["tabela"]: r.asDict() for r in compare_versions({"a": df, "b": df}, {"b": df, "c": df}).collect()}
+    assert got["b"]["conteudo_igual"] and not got["a"]["conteudo_igual"] and not got["c"]["conteudo_igual"]
+    assert (got["a"]["linhas_a"], got["a"]["linhas_b"], got["c"]["linhas_a"], got["c"]["linhas_b"]) == (3, None, None, 3)
+
+
+def test_next_steps_of_the_forecast_follow_the_level(spark):
+    from quarrymill.operators.hierarchy import for_star
+
+    df = spark.createDataFrame([("Individual", 2.0, 0.5, 0.3), ("SEGMENTO", 1.0, 0.5, None)], "nivel_modelagem string, previsao_base double, incerteza double, wape double")
+    got = for_star(df).collect()
+    assert [r["tipo_demanda"] for r in got] == ["INTERMITENTE_INDIVIDUAL", "INTERMITENTE_SEGMENTO"]
+    assert got[0]["proximo_passo"].startswith("Recalibrar com consumo interno") and got[1]["proximo_passo"].startswith("Recalibrar o segmento")
+
+
+def test_capacities_and_units(spark):
+    from quarrymill.functions.units import comparable_unit
+
+    rows = [("un", None, 1.0), (None, " Metro ", 2.5), ("Peça", None, 100.0), ("zz", None, 0.0), (None, None, 3.0), ("KG", None, 1e20), ("kg", None, 0.0000001), ("kg", None, None)]
+    df = spark.createDataFrame(rows, "a string, b string, c double")
+    got = [r["u"] for r in df.select(comparable_unit("a", "b", "c").alias("u")).collect()]
+    assert got == ["UN", "M|CAP=2.5", "PC|CAP=100", "ZZ", None, "KG|CAP=100000000000000000000", "KG|CAP=0", "KG"]
