@@ -1,15 +1,19 @@
 """Multi-party chats rendered from every participant's side.
 
 For each participant the dialogue is written with that speaker as the assistant and all others as named
-users; the mask holds the assistant's own words. Long conversations are cut into parts by turn number,
-so no row holds more than PART_TURNS different turns.
+users; the mask holds the assistant's own words. Long conversations are cut into parts by the rank of their turns,
+so no row holds more than PART_TURNS turns, whatever their numbers; parts in order make up the whole. Ranks come from range parts of the
+sorted turns, so that no task holds a whole conversation.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrymill.llm.common import materialize
+
 PART_TURNS = 512
 #: Speakers that are never a perspective; their turns are shown as they are.
 NEUTRAL = ("system",)
@@ -25,24 +29,42 @@ def _head(role: Column, perspective: Column) -> Column:
     return F.concat(F.lit(OPEN), name, F.lit("\n"))
 
 
+def ranked(turns: DataFrame) -> DataFrame:
+    """Adds ``rank``, 0, 1, ... by conversation in order of turn, role and text.
+
+    Turns are range-partitioned by conversation and order (equal ones by a random number); ranks inside a partition are
+    shifted by the turns of the conversation in the partitions before.
+    """
+    n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = turns.withColumn("_z", F.rand(7)).repartitionByRange(n, "conv_id", "t", "_z")
+    cut = materialize(spread.drop("_z").withColumn("_p", F.spark_partition_id()), "turns")
+    sizes = cut.groupBy(F.col("conv_id").alias("_c"), F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("_c").orderBy("_q").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(W.partitionBy("conv_id", "_p").orderBy("t")) - 1
+    same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_p") == F.col("_q"))
+    return cut.withColumn("_own", own).join(starts, same).select("conv_id", "t", (F.col("_start") + F.col("_own")).alias("rank"))
+
+
 def rotate_perspectives(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """One row per conversation, participant and part: conv_id, perspective, part, n_turns, rendered, mask, n_masked.
 
     ``conversations`` has conv_id, turn, role, text. Turns are in order of turn, role, text; null turns
-    come first, in part 0. A null role is the participant "unknown", a null text is empty. mask lists
+    come first. A null role is the participant "unknown", a null text is empty. mask lists
     start:end in code points, end exclusive, of the perspective's words in ``rendered``, joined by commas
     (empty texts too); it is empty in parts where they say nothing. Repeated rows are turns of their own. A null
     conv_id is a conversation. Conversations with neutral speakers alone have no perspective and no row.
     """
-    turns = conversations.select(
-        "conv_id",
-        F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)).cast("long").alias("part"),
-        F.struct(
-            "turn",
-            F.coalesce("role", F.lit("unknown")).alias("role"),
-            F.coalesce("text", F.lit("")).alias("text"),
-        ).alias("t"),
-    )
+    turns = ranked(
+        conversations.select(
+            "conv_id",
+            F.struct(
+                "turn",
+                F.coalesce("role", F.lit("unknown")).alias("role"),
+                F.coalesce("text", F.lit("")).alias("text"),
+            ).alias("t"),
+        )
+    ).select("conv_id", F.floor(F.col("rank") / part_turns).cast("long").alias("part"), "t")
     parts = turns.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     people = turns.select(F.col("conv_id").alias("c"), F.col("t.role").alias("perspective")).distinct()
     people = people.where(~F.col("perspective").isin(*NEUTRAL))

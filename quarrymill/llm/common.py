@@ -28,8 +28,11 @@ def _own_dir() -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that driver and executors share; a folder of this machine only where none is set and Spark runs on it alone."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return shared or _own_dir()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

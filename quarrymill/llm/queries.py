@@ -60,8 +60,8 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_chat_perspectives": """
 WITH turns AS (
-  SELECT conv_id, coalesce(CAST(floor(turn / 512) AS BIGINT), 0) AS part, turn, coalesce(role, 'unknown') AS role,
-         coalesce(text, '') AS text
+  SELECT conv_id, CAST(floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1) / 512) AS BIGINT) AS part,
+         turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations
 ), people AS (
   SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'

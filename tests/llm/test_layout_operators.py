@@ -21,20 +21,32 @@ def test_perspectives(spark):
             (2, None, None, "x"), (2, 1, "Ann", ""), (None, 0, "Bob", "alone"), (3, 0, "system", "only"), (1, 2, "Bob", "hi 😀")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, part string")
     got = {(r["conv_id"], r["perspective"], r["part"]): r for r in rows_of(chat.rotate_perspectives(df))}
-    assert set(got) == {(1, "Ann", 0), (1, "Ann", 1), (1, "Bob", 0), (1, "Bob", 1), (2, "unknown", 0), (2, "Ann", 0), (None, "Bob", 0)}
+    assert set(got) == {(1, "Ann", 0), (1, "Bob", 0), (2, "unknown", 0), (2, "Ann", 0), (None, "Bob", 0)}
     r = got[1, "Ann", 0]
     assert r["rendered"] == (
         "<|im_start|>system\nbe nice<|im_end|>\n<|im_start|>assistant\nhéllo<|im_end|>\n"
-        "<|im_start|>user name=Bob\nhi 😀<|im_end|>\n<|im_start|>user name=Bob\nhi 😀<|im_end|>\n"
+        "<|im_start|>user name=Bob\nhi 😀<|im_end|>\n<|im_start|>user name=Bob\nhi 😀<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     )
-    assert r["n_turns"] == 4 and r["n_masked"] == 5
+    assert r["n_turns"] == 5 and r["n_masked"] == 5
     for r in got.values():
         own = [r["rendered"][slice(*map(int, m.split(":")))] for m in r["mask"].split(",") if m]
-        said = [t or "" for c, n, who, t in rows if c == r["conv_id"] and (who or "unknown") == r["perspective"] and (n or 0) // 512 == r["part"]]
+        said = [t or "" for c, n, who, t in rows if c == r["conv_id"] and (who or "unknown") == r["perspective"]]
         assert sorted(own) == sorted(said)
     assert chat.rotate_perspectives(df.where("false")).count() == 0
 
 
+def test_parts_of_a_conversation_with_equal_and_null_turns(spark):
+    """Parts have a bounded number of turns, and in order they are the whole dialogue."""
+    rows = [(1, None, "Ann", f"n{i:04}") for i in range(700)] + [(1, 5, "Bob", "same")] * 600 + [(1, 7, "Ann", f"z{i:03}") for i in range(50)] + [(2, 1, "Ann", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = rows_of(chat.rotate_perspectives(df))
+    assert sorted((r["conv_id"], r["perspective"], r["part"], r["n_turns"]) for r in got) == [
+        (1, p, k, n) for p in ("Ann", "Bob") for k, n in ((0, 512), (1, 512), (2, 326))
+    ] + [(2, "Ann", 0, 1)]
+    whole = "".join(r["rendered"] for r in sorted((r for r in got if r["conv_id"] == 1 and r["perspective"] == "Bob"), key=lambda r: r["part"]))
+    assert whole == "".join(f"<|im_start|>{'assistant' if who == 'Bob' else 'user name=Ann'}\n{t}<|im_end|>\n" for c, _, who, t in rows if c == 1)
+
+
 @pytest.mark.parametrize("name", ["docs", "odd", "none"])
 def test_shards(name, request):
     df = request.getfixturevalue(name)
