@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import materialize
+from quarrymill.llm.common import BROADCAST_IDS, materialize
 
 PART_TURNS = 512
 #: Speakers that are never a perspective; their turns are shown as they are.
@@ -55,16 +55,25 @@ def rotate_perspectives(conversations: DataFrame, part_turns: int = PART_TURNS)
     (empty texts too); it is empty in parts where they say nothing. Repeated rows are turns of their own. A null
     conv_id is a conversation. Conversations with neutral speakers alone have no perspective and no row.
     """
-    turns = ranked(
-        conversations.select(
-            "conv_id",
-            F.struct(
-                "turn",
-                F.coalesce("role", F.lit("unknown")).alias("role"),
-                F.coalesce("text", F.lit("")).alias("text"),
-            ).alias("t"),
-        )
-    ).select("conv_id", F.floor(F.col("rank") / part_turns).cast("long").alias("part"), "t")
+    turns = conversations.select(
+        "conv_id",
+        F.struct(
+            "turn",
+            F.coalesce("role", F.lit("unknown")).alias("role"),
+            F.coalesce("text", F.lit("")).alias("text"),
+        ).alias("t"),
+    )
+    # only conversations longer than a part need ranks; shorter ones are part 0
+    n = conversations.groupBy(F.col("conv_id").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    long = materialize(n.where(F.col("_n") > part_turns).select("_c"), "long")
+    several = long.limit(BROADCAST_IDS + 1).count()
+    turns = turns.withColumn("part", F.lit(0).cast("long"))
+    if several:
+        ids = F.broadcast(long) if several <= BROADCAST_IDS else long
+        of = turns["conv_id"].eqNullSafe(F.col("_c"))
+        cut = ranked(turns.join(ids, of, "left_semi").select("conv_id", "t"))
+        cut = cut.select("conv_id", "t", F.floor(F.col("rank") / part_turns).cast("long").alias("part"))
+        turns = turns.join(ids, of, "left_anti").unionByName(cut)
     parts = turns.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     people = turns.select(F.col("conv_id").alias("c"), F.col("t.role").alias("perspective")).distinct()
     people = people.where(~F.col("perspective").isin(*NEUTRAL))
