@@ -207,7 +207,7 @@ class _Open:
 
 
 class Tree:
-    """A page's root, its nodes in page order, and the sum of the lengths of their own texts."""
+    """A page's root, and its nodes in page order."""
 
     def __init__(self, root: Node, nodes: list[Node]):
         self.root, self.nodes = root, nodes
