@@ -1,17 +1,21 @@
 """WARC archives with revisit records.
 
-Headers are grouped by payload digest; the first record of a digest is written as a response and the
-others as revisits that refer to it, without the payload. Spark's text writer makes the archive files
-(each record ends with two line ends, which is its line separator), so they can lie in any store that
-Spark reaches. Reading them back parses whole files, bounded by ``records_per_file``, and joins the headers of
-revisits to those of the responses.
+Only headers are grouped and joined by payload digest: the first record of a digest is a response and the others are
+revisits that refer to it. Payloads stay where they are read; those of revisits are left out by the revisits' ids. Spark's
+text writer makes the archive files (each record ends with two line ends, which is its line separator), so they can lie in
+any store that Spark reaches. Reading them back parses one record after another of files bounded in bytes, and joins the
+headers of revisits to those of the responses.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from typing import IO
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,35 +23,38 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.common import map_arrow, materialize, scratch_dir
 
-LEAST_BYTES, RECORDS_PER_FILE = 100, 2000
-DATE = "2024-01-01T00:00:00Z"
+LEAST_BYTES = 100
+#: Payloads up to so many bytes lie so many to a file, so that no file of several records exceeds 128 MB before compression.
+FILE_CLASSES = ((1 << 17, 1000), (1 << 21, 64), (None, 1))
+#: Most revisits that are broadcast (about 150 bytes each); beyond it payloads are shuffled by page_id and digest.
+BROADCAST_REVISITS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n"
 
 
-def resolve(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``pages`` with payload_bytes, payload_digest, record_type and refers_to.
+def headers(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload_bytes and payload_digest of ``pages``."""
+    html = F.coalesce("html", F.lit(""))
+    return pages.select(
+        "page_id", "url", F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(F.encode(html, "UTF-8"), 256).alias("payload_digest")
+    )
+
+
+def revisits(heads: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """The headers that are revisits, with refers_to.
 
     Of records with equal payloads of at least ``least_bytes`` the smallest page_id is the response. Rows that
     repeat it are responses too; null ids come last, and where all are null all are responses.
     """
-    payload = F.coalesce("html", F.lit(""))
-    read = pages.select("page_id", "url", payload.alias("html")).withColumns(
-        {"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha2(F.encode("html", "UTF-8"), 256)}
-    )
-    heads = read.where(F.col("payload_bytes") >= least_bytes).select("page_id", "payload_digest")
-    firsts = heads.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = firsts.where("n > 1").select(F.col("payload_digest").alias("d"), "first")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return read.join(firsts, F.col("payload_digest") == F.col("d"), "left").select(
-        *read.columns,
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("first")).alias("refers_to"),
+    long = heads.where(F.col("payload_bytes") >= least_bytes)
+    firsts = long.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return long.join(firsts.drop("n"), "payload_digest").where(
+        F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     )
 
 
-def record() -> Column:
-    """A WARC record of a resolved row, without the two line ends after it."""
+def record(kind: str, date: str) -> Column:
+    """A WARC record of a header row of that type (a response's with html), without the two line ends after it."""
 
     def line(name: str, value) -> Column:
         return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit(_END))).otherwise("")
@@ -57,51 +64,73 @@ def record() -> Column:
         dashed = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
         return F.concat(F.lit("<urn:uuid:"), dashed, F.lit(">"))
 
-    page, first = F.col("page_id").cast("string"), F.col("refers_to").cast("string")
-    revisit = F.col("record_type") == "revisit"
-    url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    def one_line(text: Column) -> Column:
+        return F.replace(F.replace(text, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+    def escaped(key: Column) -> Column:
+        return one_line(F.replace(key.cast("string"), F.lit("%"), F.lit("%25")))
+
+    revisit = kind == "revisit"
+    page, nothing = F.col("page_id").cast("string"), F.lit(None).cast("string")
+    first = F.col("refers_to").cast("string") if revisit else nothing
     return F.concat(
         F.lit(f"WARC/1.1{_END}"),
-        line("WARC-Type", F.col("record_type")),
+        line("WARC-Type", F.lit(kind)),
         line("WARC-Record-ID", urn(F.coalesce(page, F.lit("")), "payload_digest")),
-        line("WARC-Date", F.lit(DATE)),
-        line("WARC-Target-URI", url),
-        line("WARC-Page-ID", page),
+        line("WARC-Date", F.lit(date)),
+        line("WARC-Target-URI", one_line(F.col("url"))),
+        line("WARC-Page-ID", escaped(page)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")),
-        line("WARC-Profile", F.when(revisit, PROFILE)),
-        line("WARC-Refers-To", F.when(revisit, urn(first, "payload_digest"))),
-        line("WARC-Refers-To-Page", F.when(revisit, first)),
+        line("WARC-Profile", F.lit(PROFILE) if revisit else nothing),
+        line("WARC-Refers-To", urn(first, "payload_digest") if revisit else nothing),
+        line("WARC-Refers-To-Page", escaped(first)),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
+        line("Content-Length", F.lit("0") if revisit else F.col("payload_bytes").cast("string")),
         F.lit(_END),
-        F.when(revisit, "").otherwise(F.col("html")),
+        F.lit("") if revisit else F.coalesce("html", F.lit("")),
     )
 
 
-def write_archives(
-    pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, records_per_file: int = RECORDS_PER_FILE
-) -> None:
-    """Writes the archives of ``pages`` (page_id, url, html) as gzipped WARC files into ``path``."""
-    rows = resolve(pages, least_bytes).select(record().alias("value"))
-    rows.write.option("lineSep", _END * 2).option("compression", "gzip").option(
-        "maxRecordsPerFile", records_per_file
-    ).text(path)
-
-
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive."""
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode().split(_END)
-        if lines[0] != "WARC/1.1":
-            raise ValueError(f"no record at byte {at}")
-        heads = dict(x.split(": ", 1) for x in lines[1:])
-        begin, n = end + 4, int(heads["Content-Length"])
-        if content[begin + n : begin + n + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't end where it says")
-        yield heads, content[begin : begin + n]
-        at = begin + n + 4
+def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, file_classes: tuple = FILE_CLASSES) -> None:
+    """Writes the archives of ``pages`` (page_id, url, html) as gzipped WARC files into ``path``.
+
+    One pass over the payloads makes the headers, and one for each of ``file_classes`` that any payload falls into.
+    """
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    heads = materialize(headers(pages), "warc-heads")
+    again = materialize(revisits(heads, least_bytes), "warc-revisits")
+
+    def write(rows: DataFrame, records: int) -> None:
+        rows.write.mode("append").option("lineSep", _END * 2).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+
+    write(again.select(record("revisit", date).alias("value")), file_classes[0][1])
+    ids = again.select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"))
+    if again.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS:
+        ids = F.broadcast(ids)
+    own = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d"))
+    size, over = F.octet_length(F.coalesce("html", F.lit(""))), -1
+    for most, records in file_classes:
+        n = F.col("payload_bytes")
+        if not heads.where((n > over) & (n <= most) if most else n > over).isEmpty():
+            rows = pages.where((size > over) & (size <= most) if most else size > over)
+            digest = F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256)
+            rows = rows.select("page_id", "url", "html", size.cast("long").alias("payload_bytes"), digest.alias("payload_digest"))
+            write(rows.join(ids, own, "left_anti").select(record("response", date).alias("value")), records)
+        over = most
+
+
+def parse(archive: IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of an unpacked archive, one after another."""
+    while first := archive.readline():
+        if first != b"WARC/1.1\r\n":
+            raise ValueError(f"no record at {first[:40]!r}")
+        lines = iter(archive.readline, b"\r\n")
+        heads = dict(x.decode().removesuffix(_END).split(": ", 1) for x in lines)
+        n = int(heads["Content-Length"])
+        block = archive.read(n)
+        if len(block) != n or archive.read(4) != b"\r\n\r\n":
+            raise ValueError(f"the record {heads['WARC-Record-ID']} doesn't end where it says")
+        yield heads, block
 
 
 def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,14 +139,13 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             rows = []
-            for heads, block in parse(gzip.decompress(batch.column("content")[i].as_py())):
+            for heads, block in parse(gzip.open(io.BytesIO(batch.column("content")[i].as_py()))):
                 whole = heads["WARC-Type"] == "response"
                 digest = heads["WARC-Payload-Digest"].removeprefix("sha256:")
                 if whole and hashlib.sha256(block).hexdigest() != digest:
                     raise ValueError(f"a payload differs from its digest {digest}")
-                rows.append(
-                    (heads.get("WARC-Page-ID"), len(block) if whole else None, digest, heads["WARC-Type"], heads.get("WARC-Refers-To-Page"))
-                )
+                page, first = (unquote(x) if (x := heads.get(h)) else x for h in ("WARC-Page-ID", "WARC-Refers-To-Page"))
+                rows.append((page, len(block) if whole else None, digest, heads["WARC-Type"], first))
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(

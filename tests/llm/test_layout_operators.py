@@ -104,12 +104,32 @@ def test_archive_files(spark, tmp_path):
     long = "y" * 150
     pages = spark.createDataFrame([(2, "http://h/2", long), (1, "http://h/1", long)], "page_id long, url string, html string")
     warc.write_archives(pages, str(tmp_path / "w"))
-    records = [r for f in (tmp_path / "w").glob("*.gz") for r in warc.parse(gzip.decompress(f.read_bytes()))]
+    records = [r for f in (tmp_path / "w").glob("*.gz") for r in warc.parse(gzip.open(f))]
     by = {h["WARC-Page-ID"]: (h, b) for h, b in records}
     assert by["1"][1] == long.encode() and by["2"][1] == b""
+    assert "2024-01-01" not in by["1"][0]["WARC-Date"]
     assert by["2"][0]["WARC-Type"] == "revisit" and by["2"][0]["WARC-Refers-To"] == by["1"][0]["WARC-Record-ID"]
 
 
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_archives_of_odd_ids_columns_and_sizes(spark, tmp_path, monkeypatch, broadcast):
+    """Any text is an id, other columns are ignored, files are bounded, and both ways of leaving out revisits agree."""
+    import gzip
+
+    monkeypatch.setattr(warc, "BROADCAST_REVISITS", broadcast)
+    ids = ["", " a ", "a\r\nWARC-Type: x", "50%0A", "é: ü", None, "a%"]
+    rows = [(i, "u", c * 300, "1", "2", 3) for i in ids for c in "xy"] + [(f"n{k}", "u", str(k) * (100 + k), None, None, None) for k in range(400)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string, payload_digest string, refers_to string, payload_bytes long")
+    first = min(i for i in ids if i is not None)
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in rows_of(warc.round_trip(df)))
+    want = Counter((i, *(("response", None) if i == first else ("revisit", first)), 300) for i in ids for _ in "xy")
+    assert got == want + Counter((i, "response", None, len(h)) for i, _, h, *_ in rows if i and i.startswith("n"))
+    warc.write_archives(df.coalesce(1), str(tmp_path / "w"), file_classes=((500, 50), (None, 1)))
+    sizes = [[len(b) for _, b in warc.parse(gzip.open(f))] for f in (tmp_path / "w").glob("*.gz")]
+    assert max(map(len, sizes)) == 50 and all(len(s) == 1 for s in sizes if max(s, default=0) > 500)
+    assert sum(map(len, sizes)) == len(rows)
+
+
 def page(title, body, extra="", article=True):
     a, b = ("<article>", "</article>") if article else ("<div class='content'>", "</div>")
     return (
