@@ -94,24 +94,91 @@ def expect_references(fact: DataFrame, keys: dict[str, tuple[DataFrame, str]]) -
     return rows
 
 
-def staging_expectations(purchases: DataFrame, forecast: DataFrame, states: int) -> DataFrame:
-    """States filled and counted, unique ids, no negative scenario, scenarios in order, one row per code, month, scenario."""
-    wide = forecast.groupBy("codigo_catmat", "mes").pivot("cenario", ["BASE", "INFERIOR", "SUPERIOR"]).agg(F.sum("quantidade_prevista"))
-    unordered = wide.where((F.col("INFERIOR") > F.col("BASE") + 1e-9) | (F.col("BASE") > F.col("SUPERIOR") + 1e-9))
-    twice = forecast.groupBy("codigo_catmat", "mes", "cenario").count().where("count > 1")
+def expect_codes(df: DataFrame, codes: DataFrame, name: str) -> DataFrame:
+    """All of ``codes`` are in ``df``."""
+    there = df.select("codigo_catmat").distinct().withColumn("_there", F.lit(1))
+    return expect(codes.select("codigo_catmat").distinct().join(there, "codigo_catmat", "left"), name, F.count("_there"), F.count(F.lit(1)))
+
+
+def code_sets(a: DataFrame, b: DataFrame, key: str = "codigo_catmat") -> DataFrame:
+    """Different keys of two tables, and whether they are in both or in one: AMBOS, SO_A, SO_B."""
+    x = a.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_a", F.lit(True))
+    y = b.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_b", F.lit(True))
+    side = F.when(F.col("_b").isNull(), "SO_A").when(F.col("_a").isNull(), "SO_B").otherwise("AMBOS")
+    return x.join(y, key, "full_outer").select(key, side.alias("presenca"))
+
+
+def staging_expectations(
+    tables: dict[str, DataFrame], new_codes: DataFrame, old_codes: DataFrame, states: int, forecast_rows: int, production: DataFrame | None = None
+) -> DataFrame:
+    """The expectations on a staged star schema, one row each.
+
+    ``tables``: compras, previsao, material, fornecedor, uasg, unidade, calendario, cenario. ``new_codes`` replace
+    ``old_codes``; ``forecast_rows`` is what the new ones should have. With ``production``, the published fact, rows of
+    all other codes must be as many as there.
+    """
+    fact, forecast, material = (tables[k] for k in ("compras", "previsao", "material"))
+    new, old = (c.select("codigo_catmat").distinct() for c in (new_codes, old_codes))
+    mine = forecast.join(new, "codigo_catmat", "left_semi")
+    wide = mine.groupBy("codigo_catmat", "mes").pivot("cenario", ["BASE", "INFERIOR", "SUPERIOR"]).agg(F.sum("quantidade_prevista"))
+    ordered = (F.col("INFERIOR") <= F.col("BASE")) & (F.col("BASE") <= F.col("SUPERIOR"))
+    kept = fact.select("codigo_catmat").union(forecast.select("codigo_catmat")).distinct()
+    twice = material.groupBy("codigo_catmat").agg(F.count(F.lit(1)).alias("n"))
+    keys = [
+        ("CATMATs da compra na dimensão", fact, "codigo_catmat", "material", "codigo_catmat"),
+        ("CATMATs da previsão na dimensão", forecast, "codigo_catmat", "material", "codigo_catmat"),
+        ("Fornecedores cobertos", fact, "fornecedor_key", "fornecedor", "fornecedor_key"),
+        ("UASGs cobertas", fact, "uasg_key", "uasg", "uasg_key"),
+        ("Unidades cobertas", fact, "unidade_key", "unidade", "unidade_key"),
+        ("Cenários cobertos", forecast, "cenario", "cenario", "cenario"),
+        ("Datas das compras cobertas", fact, "data", "calendario", "data"),
+        ("Datas da previsão cobertas", forecast, "mes", "calendario", "data"),
+    ]
     parts = [
-        expect(purchases, "uf_preenchida", F.count("uf"), F.count(F.lit(1))),
-        expect(purchases, "ufs_distintas", F.count_distinct("uf"), F.lit(states)),
-        expect(purchases, "ids_presentes", F.count("purchase_id"), F.count(F.lit(1))),
-        expect_none(forecast.where("quantidade_prevista < 0"), "previsao_nao_negativa"),
-        expect_none(unordered, "cenarios_ordenados"),
-        expect_none(twice, "previsao_unica"),
+        expect(fact, "Estado preenchido na FatoCompras", F.count("uf"), F.count(F.lit(1))),
+        expect(tables["uasg"], "Estado preenchido na DimUASG", F.count("uf"), F.count(F.lit(1))),
+        expect(fact, "UFs representadas", F.count_distinct("uf"), F.lit(states)),
+        expect_codes(fact, new, "CATMATs novos no histórico"),
+        expect_codes(forecast, new, "CATMATs novos na previsão"),
+        expect_codes(material, new, "CATMATs novos na dimensão"),
+        expect_none(old.join(new, "codigo_catmat", "left_anti").join(kept, "codigo_catmat", "left_semi"), "CATMATs antigos removidos"),
+        expect(mine, "Linhas previstas", F.count(F.lit(1)), F.lit(forecast_rows)),
+        expect_none(mine.where("quantidade_prevista < 0"), "Previsões não negativas"),
+        expect_none(wide.where(~F.coalesce(ordered, F.lit(False))), "Ordem dos cenários"),
+        expect(twice, "DimMaterial sem duplicidade", F.coalesce(F.sum(F.col("n") - 1), F.lit(0)), F.lit(0)),
+        *[expect_none(orphans(df, key, tables[dim], dim_key), name) for name, df, key, dim, dim_key in keys],
     ]
+    if production is not None:
+        both = old.union(new).distinct()
+        published, staged = (df.join(both, "codigo_catmat", "left_anti") for df in (production, fact))
+        sides = published.select(F.lit(1).alias("p"), F.lit(None).cast("int").alias("s")).union(staged.select(F.lit(None).cast("int"), F.lit(1)))
+        parts.append(expect(sides, "Linhas de outras famílias preservadas", F.count("s"), F.count("p")))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
     return out
 
 
+def layer_summary(layers: dict[str, DataFrame], column: str = "uf") -> DataFrame:
+    """Per layer: rows, rows with a state, different states."""
+    out = None
+    for name, df in layers.items():
+        one = df.agg(F.count(F.lit(1)).alias("linhas"), F.count(column).alias("preenchidos"), F.count_distinct(column).alias("ufs"))
+        one = one.select(F.lit(name).alias("camada"), "*")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def layer_expectations(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """Summaries of layers against expected ones; a layer on one side only is not as expected."""
+    names = ["linhas", "preenchidos", "ufs"]
+    a = expected.select("camada", *[F.col(c).alias(f"{c}_esperados") for c in names])
+    b = found.select("camada", *[F.col(c).alias(f"{c}_encontrados") for c in names])
+    equal = F.lit(True)
+    for c in names:
+        equal = equal & F.coalesce(F.col(f"{c}_esperados") == F.col(f"{c}_encontrados"), F.lit(False))
+    return a.join(b, "camada", "full_outer").withColumn("resultado", equal)
+
+
 def approved(expectations: DataFrame) -> DataFrame:
     return expectations.agg(F.coalesce(F.bool_and("aprovado"), F.lit(False)).alias("aprovado"), F.count(F.lit(1)).alias("validacoes"))

@@ -174,6 +174,32 @@ def choose_unit_model(scores: DataFrame, by: list[str], margin: float = 0.05) ->
     return near.withColumn("_r", first).where("_r = 1").drop("_r", "_best")
 
 
+def active_years() -> Column:
+    """Different years with demand of a series ``a`` that ends in ``ultimo_mes``."""
+    year = F.transform("a", lambda x, i: F.when(x > 0, F.year(F.add_months("ultimo_mes", (i - F.size("a") + 1).cast("int")))))
+    return F.size(F.array_distinct(F.array_compact(year)))
+
+
+def unit_summary(arrays: DataFrame, by: list[str]) -> DataFrame:
+    """Per modelling unit: chosen model, its validation figures, and months with demand."""
+    chosen = choose_unit_model(unit_scores(arrays, by), by)
+    active = F.size(F.filter("a", lambda x: x > 0))
+    return arrays.join(chosen, by, "left").select(
+        *by,
+        F.coalesce("modelo", F.lit("CROSTON")).alias("modelo_selecionado"),
+        F.coalesce("janelas", F.lit(0)).alias("janelas_validacao"),
+        F.col("wape").alias("wape_validacao"),
+        F.col("mae").alias("mae_validacao"),
+        F.col("vies_anual").alias("vies_anual_medio"),
+        F.col("escore").alias("score_selecao"),
+        F.size("a").alias("meses_historicos"),
+        active.alias("meses_com_demanda"),
+        active_years().alias("anos_ativos"),
+        (F.size(F.filter("a", lambda x: x == 0)) / F.size("a")).alias("percentual_meses_sem_demanda"),
+        models.total(F.col("a")).alias("quantidade_historica_total"),
+    )
+
+
 def unit_confidence(level: Column, active: Column, years: Column, folds: Column, wape: Column) -> Column:
     fair = (active >= 24) & (years >= 4) & (folds >= 3) & (wape <= 0.75)
     return F.when(level == "SEGMENTO", "BAIXA").when(F.coalesce(fair, F.lit(False)), "MEDIA").otherwise("BAIXA")
@@ -191,8 +217,11 @@ def unit_forecast(arrays: DataFrame, by: list[str], h: int = HORIZON) -> DataFra
     chosen = choose_unit_model(unit_scores(arrays, by), by)
     base = arrays.join(chosen, by, "left").withColumn("modelo", F.coalesce("modelo", F.lit("CROSTON")))
     f = F.coalesce(*[F.when(F.col("modelo") == k, m(F.col("a"), h)) for k, m in models.UNIT_POOL.items()])
+    f = F.transform(f, lambda x: F.greatest(x, F.lit(0.0)))
+    # demand is not forecast as nothing
+    f = F.when((models.total(F.col("a")) > 0) & (models.total(f) <= 0), models.UNIT_POOL["CROSTON"](F.col("a"), h)).otherwise(f)
     active = F.size(F.filter("a", lambda x: x > 0))
-    level = unit_confidence(F.col("nivel_modelagem"), active, F.floor(F.size("a") / 12), F.coalesce("janelas", F.lit(0)), F.col("wape"))
+    level = unit_confidence(F.col("nivel_modelagem"), active, active_years(), F.coalesce("janelas", F.lit(0)), F.col("wape"))
     u = uncertainty(F.col("wape"), active, F.col("confianca_previsao"))
     base = base.withColumn("f", f).withColumn("confianca_previsao", level).withColumn("incerteza", u)
     pairs = F.arrays_zip(future_months(F.col("ultimo_mes"), h).alias("mes"), F.col("f").alias("f"))

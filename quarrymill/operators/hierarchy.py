@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrymill.operators.joins import checked_join
+
 SCENARIOS = ("previsao_base", "previsao_inferior", "previsao_superior")
 
 
@@ -39,6 +41,14 @@ def weight_errors(w: DataFrame) -> DataFrame:
     return w.groupBy("unidade_modelagem").agg(F.sum("peso_rateio").alias("soma")).where(F.abs(F.col("soma") - 1) > 1e-8)
 
 
+def require_weights(w: DataFrame) -> DataFrame:
+    """``w`` itself; an error if the weights of a unit don't add up to one."""
+    wrong = weight_errors(w).limit(1).collect()
+    if wrong:
+        raise ValueError(f"weights of {wrong[0]['unidade_modelagem']} add up to {wrong[0]['soma']}")
+    return w
+
+
 def allocate(forecast: DataFrame, w: DataFrame) -> DataFrame:
     """Scenarios of each material; a unit without weights is an error when the result is computed."""
     w = w.select("unidade_modelagem", "codigo_catmat", "peso_rateio")
@@ -79,14 +89,40 @@ def from_scenarios(long: DataFrame, ids: list[str]) -> DataFrame:
     return long.groupBy(*ids).pivot("cenario", ["BASE", "INFERIOR", "SUPERIOR"]).agg(F.sum("quantidade_prevista"))
 
 
-def for_star(allocated: DataFrame) -> DataFrame:
-    """Allocated forecast in the shape of the forecast fact: error reference, WAPE in percent, kind and next step."""
+def _kind_and_step() -> tuple[Column, Column]:
     alone = F.coalesce(F.upper("nivel_modelagem") == "INDIVIDUAL", F.lit(False))
     # fixed values: kinds and next steps by level
     kind = F.when(alone, "INTERMITENTE_INDIVIDUAL").otherwise("INTERMITENTE_SEGMENTO")
     step = F.when(alone, "Recalibrar com consumo interno, estoque e plano de obras.").otherwise(
         "Recalibrar o segmento com consumo interno e revisar os pesos de rateio."
     )
+    return kind, step
+
+
+def summary_for_star(summary: DataFrame, units: DataFrame, w: DataFrame) -> DataFrame:
+    """Summary rows of materials with the figures of their units and their history, in the shape of the star's summary.
+
+    Each unit must be once in ``units``, each material once in ``summary`` and in ``w``.
+    """
+    figures = ["wape_validacao", "mae_validacao", "janelas_validacao", "meses_com_demanda", "percentual_meses_sem_demanda"]
+    out = checked_join(summary, units.select("unidade_modelagem", *figures), ["unidade_modelagem"])
+    out = checked_join(out, w.select("codigo_catmat", "quantidade_historica"), ["codigo_catmat"], one_to_one=True)
+    kind, step = _kind_and_step()
+    return out.withColumns(
+        {
+            "tipo_demanda": kind,
+            "previsao_12m_cenario_inferior": F.col("previsao_12m_inferior"),
+            "previsao_12m_cenario_superior": F.col("previsao_12m_superior"),
+            "quantidade_historica_total": F.col("quantidade_historica"),
+            "wape_validacao_percentual": F.col("wape_validacao").try_cast("double") * 100,
+            "proximos_passos": step,
+        }
+    )
+
+
+def for_star(allocated: DataFrame) -> DataFrame:
+    """Allocated forecast in the shape of the forecast fact: error reference, WAPE in percent, kind and next step."""
+    kind, step = _kind_and_step()
     return allocated.withColumns(
         {
             "tipo_demanda": kind,

@@ -12,20 +12,41 @@ from quarrymill.operators.hierarchy import to_scenarios
 from quarrymill.operators.series import calendar
 from quarrymill.operators.typing import align, resolve_aliases
 
-#: Source columns that may stand for a column of the fact.
+#: Source columns that may stand for a column of the fact or of a dimension.
 ALIASES = {
-    "tipo_preco": ["tipo_preco", "tipo_valor"], "forma_compra": ["forma_compra", "forma"], "fonte": ["fonte", "fonte_item"],
+    "id_compra": ["id_compra"], "id_item_compra": ["id_item_compra"], "id_compra_item": ["id_compra_item"],
+    "numero_item": ["numero_item", "numero_item_compra"], "tipo_preco": ["tipo_preco", "tipo_valor"],
+    "uf": ["uf_uasg", "estado", "uf", "sigla_uf"], "municipio": ["municipio", "nome_municipio"], "poder": ["poder"], "esfera": ["esfera"],
+    "forma_compra": ["forma_compra", "forma_de_compra", "forma"], "modalidade": ["modalidade"],
+    "criterio_julgamento": ["criterio_julgamento", "criterio_de_julgamento"], "fonte": ["fonte", "fonte_item"],
+}
+BUYER_ALIASES = {c: ALIASES[c] for c in ("uf", "municipio", "poder", "esfera")} | {"orgao": ["orgao", "nome_orgao"]}
+MATERIAL_ALIASES = {
+    "descricao_item": ["descricao_material", "descricao_item", "descricao_catmat", "descricao"], "codigo_pdm": ["codigo_pdm"], "codigo_classe": ["codigo_classe"],
+}
+UNIT_ALIASES = {"capacidade": ["capacidade_unidade_fornecimento", "capacidade"]} | {
+    c: [c] for c in ("sigla_unidade_fornecimento", "nome_unidade_fornecimento")
+}
+#: Columns of the summary of forecasts and their types.
+SUMMARY = {
+    "codigo_catmat": "long", "modelo_selecionado": "string", "confianca_previsao": "string", "tipo_demanda": "string",
+    "previsao_12m_cenario_inferior": "double", "previsao_12m_base": "double", "previsao_12m_cenario_superior": "double",
+    "quantidade_historica_total": "double", "media_mensal_prevista_base": "double", "wape_validacao_percentual": "double",
+    "mae_validacao": "double", "meses_com_demanda": "long", "percentual_meses_sem_demanda": "double", "janelas_validacao": "long",
+    "proximos_passos": "string",
 }
 
 
 def fact_purchases(df: DataFrame) -> DataFrame:
-    """Rows with id, date and code, with keys of all dimensions."""
+    """Rows with id, date and code, with keys of all dimensions; texts that are missing are null."""
     df = resolve_aliases(df, ALIASES)
     d = date_keys("data_publicacao")
     unit = key_or("unidade_comparavel", "UNIDADE_NAO_INFORMADA")
     good = df.where("purchase_id is not null and data_publicacao is not null and codigo_catmat is not null")
     return good.select(
-        "purchase_id",
+        clean_text("purchase_id").alias("purchase_id"),
+        *[clean_text(c).alias(c) for c in ("id_compra", "id_item_compra", "id_compra_item")],
+        F.col("numero_item").try_cast("long").alias("numero_item"),
         d["data"].alias("data"),
         d["data_key"].alias("data_key"),
         d["mes_key"].alias("mes_key"),
@@ -33,30 +54,28 @@ def fact_purchases(df: DataFrame) -> DataFrame:
         key_or("cnpj_fornecedor", "FORNECEDOR_NAO_INFORMADO").alias("fornecedor_key"),
         key_or("uasg", "UASG_NAO_INFORMADA").alias("uasg_key"),
         F.concat(F.col("codigo_catmat").cast("string"), F.lit("|"), unit).alias("unidade_key"),
-        key_or("uf", "UF_NAO_INFORMADA").alias("uf"),
-        "id_compra",
         "quantidade",
         "valor_unitario",
         "valor_total",
-        "tipo_preco",
-        "forma_compra",
-        "fonte",
+        *[clean_text(c).alias(c) for c in ("tipo_preco", "uf", "municipio", "poder", "esfera", "forma_compra", "modalidade", "criterio_julgamento", "fonte")],
+        F.coalesce("hist_item_repetido", F.lit(False)).alias("historico_item"),
         F.coalesce("dq_possui_erro", F.lit(False)).alias("possui_erro"),
         F.coalesce("dq_duplicidade", F.lit(False)).alias("duplicado"),
         F.coalesce("is_price_outlier", F.lit(False)).alias("alerta_preco"),
-        F.coalesce("outlier_gravidade", F.lit("SEM_ALERTA")).alias("gravidade"),
+        clean_text("outlier_gravidade").alias("gravidade"),
     )
 
 
 def dim_material(history: DataFrame, forecast: DataFrame | None = None) -> DataFrame:
-    """One row per code of history or forecast, with the most frequent family and description."""
-    cols = ["codigo_catmat", "familia_material", "descricao_item"]
-    rows = history.select(*cols)
+    """One row per code of history or forecast, with the most frequent family, description, group and class."""
+    cols = ["codigo_catmat", "familia_material", *MATERIAL_ALIASES]
+    rows = resolve_aliases(history, MATERIAL_ALIASES).select(*cols)
     if forecast is not None:
-        rows = rows.unionByName(forecast.select(*cols))
+        none = dict.fromkeys(("codigo_pdm", "codigo_classe"), F.lit(None).cast("string"))
+        rows = rows.unionByName(resolve_aliases(forecast, MATERIAL_ALIASES).withColumns(none).select(*cols))
     rows = rows.where("codigo_catmat is not null")
     out = rows.groupBy("codigo_catmat").agg(*[F.mode(clean_text(c), True).alias(c) for c in cols[1:]])
-    return out.withColumn("material_rotulo", labelled("codigo_catmat", "descricao_item", "SEM DESCRICAO"))
+    return out.withColumn("material_rotulo", labelled("codigo_catmat", "descricao_item", "Descrição não informada"))
 
 
 def dim_supplier(df: DataFrame) -> DataFrame:
@@ -64,18 +83,21 @@ def dim_supplier(df: DataFrame) -> DataFrame:
     return df.groupBy(key).agg(F.coalesce(F.mode(clean_text("fornecedor_nome"), True), F.lit("FORNECEDOR NAO INFORMADO")).alias("fornecedor_nome"))
 
 
-def dim_buyer(df: DataFrame, attributes: tuple[str, ...] = ("uf",)) -> DataFrame:
+def dim_buyer(df: DataFrame, attributes: tuple[str, ...] = ("orgao", "uf", "municipio", "poder", "esfera")) -> DataFrame:
+    df = resolve_aliases(df, BUYER_ALIASES)
     key = key_or("uasg", "UASG_NAO_INFORMADA").alias("uasg_key")
     return df.groupBy(key).agg(*[F.mode(clean_text(c), True).alias(c) for c in attributes])
 
 
 def dim_unit(df: DataFrame) -> DataFrame:
-    """Units of materials; rows without a unit are left out, attributes are the most frequent or the least ones."""
-    rows = df.where(F.col("codigo_catmat").isNotNull() & clean_text("unidade_comparavel").isNotNull())
-    key = F.concat(F.col("codigo_catmat").cast("string"), F.lit("|"), clean_text("unidade_comparavel")).alias("unidade_key")
+    """Units of materials, by the keys of the fact; attributes are the most frequent or the least ones, rows without a code are left out."""
+    rows = resolve_aliases(df, UNIT_ALIASES).where("codigo_catmat is not null")
+    unit = key_or("unidade_comparavel", "UNIDADE_NAO_INFORMADA")
+    key = F.concat(F.col("codigo_catmat").cast("string"), F.lit("|"), unit).alias("unidade_key")
     return rows.groupBy(key).agg(
         F.min("codigo_catmat").alias("codigo_catmat"),
-        F.mode(clean_text("unidade_comparavel"), True).alias("unidade_comparavel"),
+        F.mode(unit, True).alias("unidade_comparavel"),
+        F.mode(clean_text("sigla_unidade_fornecimento"), True).alias("sigla_unidade_fornecimento"),
         F.mode(clean_text("nome_unidade_fornecimento"), True).alias("nome_unidade_fornecimento"),
         F.min("capacidade").alias("capacidade"),
     )
@@ -88,8 +110,10 @@ def fact_forecast(wide: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def forecast_summary(df: DataFrame) -> DataFrame:
-    """One row per code, the one with the largest base total."""
-    return one_per(df.where("codigo_catmat is not null"), ["codigo_catmat"], F.desc_nulls_last("total_base"))
+    """The columns of ``SUMMARY``, typed; one row per code, the one with the largest base total."""
+    df = resolve_aliases(df, {c: [c] for c in SUMMARY})
+    cols = [(clean_text(c) if t == "string" else F.col(c).try_cast(t)).alias(c) for c, t in SUMMARY.items()]
+    return one_per(df.select(*cols).where("codigo_catmat is not null"), ["codigo_catmat"], F.desc_nulls_last("previsao_12m_base"), F.asc("modelo_selecionado"))
 
 
 def family_label(df: DataFrame, codes: DataFrame, default: str) -> str:
@@ -103,5 +127,11 @@ def integrate(gold: DataFrame, pilot: DataFrame, old_codes: DataFrame, word: str
     return without_family(gold, word, old_codes).unionByName(align(pilot, gold.schema))
 
 
+def integrate_codes(current: DataFrame, new: DataFrame, old_codes: DataFrame) -> DataFrame:
+    """Forecast or summary with the rows of old codes taken out and the new rows, in its schema, put in."""
+    kept = current.join(old_codes.select("codigo_catmat").distinct(), "codigo_catmat", "left_anti").select(*current.columns)
+    return kept.unionByName(align(new, current.schema))
+
+
 def dim_calendar(purchases: DataFrame, forecast: DataFrame | None = None) -> DataFrame:
     return calendar(purchases.select("data"), *([forecast.select("mes")] if forecast is not None else []))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from quarrymill.functions import models
 from quarrymill.operators import audit, backtest, filters, hierarchy, joins, measures, series, star
 from quarrymill.operators.quality import apply_quality
-from quarrymill.plans.adapter import FLAGS, cut, purchases
+from quarrymill.plans.adapter import FLAGS, PURCHASES, cut, gold, purchases
 from quarrymill.plans.purchases import query
+from quarrymill.plans.reference import with_attributes
 
 BY = ["codigo_catmat", "descricao_item"]
 UNIT = ["unidade_modelagem", "nivel_modelagem", "segmento_modelagem"]
@@ -235,7 +236,104 @@ def _(spark, sf_dir):
     return measures.forecast_measures(fact, ["codigo_catmat"], rows)
 
 
-@query("staging_gate")
+def _unit_arrays(spark, sf_dir):
+    rows, units = _units(spark, sf_dir)
+    return rows, series.as_arrays(units, UNIT, "quantidade")
+
+
+@query("model_performance")
 def _(spark, sf_dir):
-    rows, fact = _fact(spark, sf_dir)
-    return audit.staging_expectations(rows.withColumn("purchase_id", F.col("id_compra_item")), fact, 25)
+    s = _series(spark, sf_dir)
+    return backtest.performance(series.as_arrays(s, BY), series.intermittency(s, BY), BY)
+
+
+@query("unit_summary")
+def _(spark, sf_dir):
+    return backtest.unit_summary(_unit_arrays(spark, sf_dir)[1], UNIT)
+
+
+@query("forecast_summary")
+def _(spark, sf_dir):
+    rows, arrays = _unit_arrays(spark, sf_dir)
+    weights = _weights(rows)
+    hierarchy.require_weights(weights)
+    months = hierarchy.allocate(backtest.unit_forecast(arrays, UNIT), weights)
+    totals = months.groupBy("codigo_catmat", "unidade_modelagem", "nivel_modelagem").agg(
+        *[F.sum(f"previsao_{k}").alias(f"previsao_12m_{k}") for k in ("inferior", "base", "superior")],
+        F.avg("previsao_base").alias("media_mensal_prevista_base"),
+        F.min("modelo").alias("modelo_selecionado"),
+        F.min("confianca_previsao").alias("confianca_previsao"),
+    )
+    return star.forecast_summary(hierarchy.summary_for_star(totals, backtest.unit_summary(arrays, UNIT), weights))
+
+
+@query(
+    "code_sets",
+    f"""WITH {FLAGS}, a AS (SELECT DISTINCT codigo_catmat FROM flags WHERE NOT dq_possui_erro AND uf < 'M'), b AS (SELECT DISTINCT codigo_catmat FROM flags WHERE capacidade = 100 AND codigo_catmat > 3)
+    SELECT codigo_catmat, CASE WHEN codigo_catmat NOT IN (SELECT codigo_catmat FROM b) THEN 'SO_A' WHEN codigo_catmat NOT IN (SELECT codigo_catmat FROM a) THEN 'SO_B' ELSE 'AMBOS' END AS presenca
+    FROM (SELECT * FROM a UNION SELECT * FROM b)""",
+)
+def _(spark, sf_dir):
+    df = apply_quality(purchases(spark, sf_dir))
+    return audit.code_sets(df.where("not dq_possui_erro and uf < 'M'"), df.where("capacidade = 100 and codigo_catmat > 3"))
+
+
+#: Codes that are taken out of the staged tables, and those that replace them.
+_OLD, _NEW = "codigo_catmat <= 3", "codigo_catmat BETWEEN 6 AND 9"
+
+
+@query(
+    "staging_gate",
+    f"""WITH {FLAGS}, c AS (SELECT DISTINCT codigo_catmat FROM flags WHERE {_NEW}), k AS (SELECT * FROM flags WHERE NOT ({_OLD})),
+    v(validacao, encontrado, esperado) AS (
+      SELECT 'Estado preenchido na FatoCompras', count(uf), count(*) FROM k UNION ALL
+      SELECT 'Estado preenchido na DimUASG', count(DISTINCT uasg), count(DISTINCT uasg) FROM k UNION ALL
+      SELECT 'UFs representadas', count(DISTINCT uf), 27 FROM k UNION ALL
+      SELECT 'CATMATs novos no histórico', count(*), count(*) FROM c UNION ALL
+      SELECT 'CATMATs novos na previsão', count(*), count(*) FROM c UNION ALL
+      SELECT 'CATMATs novos na dimensão', count(*), count(*) FROM c UNION ALL
+      SELECT 'Linhas previstas', 36 * count(*), 144 FROM c UNION ALL
+      SELECT 'Linhas de outras famílias preservadas', count(*), count(*) FROM k WHERE NOT ({_NEW}) UNION ALL
+      SELECT unnest(['CATMATs antigos removidos', 'Previsões não negativas', 'Ordem dos cenários', 'DimMaterial sem duplicidade', 'CATMATs da compra na dimensão',
+        'CATMATs da previsão na dimensão', 'Fornecedores cobertos', 'UASGs cobertas', 'Unidades cobertas', 'Cenários cobertos', 'Datas das compras cobertas',
+        'Datas da previsão cobertas']), 0, 0)
+    SELECT validacao, CAST(encontrado AS DOUBLE) AS encontrado, CAST(esperado AS DOUBLE) AS esperado, encontrado = esperado AS aprovado FROM v""",
+)
+def _(spark, sf_dir):
+    production = cut(star.fact_purchases(with_attributes(gold(spark, sf_dir))))
+    history = cut(with_attributes(purchases(spark, sf_dir)).where(f"not ({_OLD})"))
+    _, long = _fact(spark, sf_dir)
+    forecast = cut(long.where(f"not ({_OLD})"))
+    material = star.dim_material(history, describe(forecast, history))
+    tables = {
+        "compras": production.where(f"not ({_OLD})"), "previsao": forecast, "material": material, "fornecedor": star.dim_supplier(history),
+        "uasg": star.dim_buyer(history), "unidade": star.dim_unit(history),
+        "calendario": star.dim_calendar(history.select(F.col("data_publicacao").alias("data")), forecast), "cenario": forecast.select("cenario").distinct(),
+    }
+    codes = production.select("codigo_catmat").distinct()
+    return audit.staging_expectations(tables, codes.where(_NEW), codes.where(_OLD), 27, 4 * 12 * 3, production)
+
+
+def describe(forecast, history):
+    """Different codes of a forecast with the family and description that they have in the history."""
+    codes = forecast.select("codigo_catmat").distinct()
+    return joins.describe_codes(joins.describe_codes(codes, history), history, "familia_material")
+
+
+@query(
+    "layer_states",
+    f"""WITH {PURCHASES}, f AS (SELECT 'FATO' AS camada, count(*) AS n, count(uf) AS p, count(DISTINCT uf) AS u FROM purchases UNION ALL
+      SELECT 'DIM_UASG', count(*), count(uf), count(DISTINCT uf) FROM (SELECT uasg, min(uf) AS uf FROM purchases GROUP BY 1) UNION ALL
+      SELECT 'PILOTO', count(*), count(uf), count(DISTINCT uf) FROM purchases WHERE codigo_catmat <= 9)
+    SELECT camada, CASE WHEN camada <> 'PILOTO' THEN n ELSE 1 END AS linhas_esperados, CASE WHEN camada <> 'PILOTO' THEN p ELSE 1 END AS preenchidos_esperados,
+    CASE WHEN camada <> 'PILOTO' THEN u ELSE 1 END AS ufs_esperados, n AS linhas_encontrados, p AS preenchidos_encontrados, u AS ufs_encontrados,
+    camada <> 'PILOTO' OR (n = 1 AND p = 1 AND u = 1) AS resultado FROM f""",
+)
+def _(spark, sf_dir):
+    df = with_attributes(purchases(spark, sf_dir))
+    flagged = df.withColumns({c: F.lit(None).cast("boolean") for c in ("hist_item_repetido", "dq_possui_erro", "dq_duplicidade", "is_price_outlier")})
+    fact = star.fact_purchases(flagged.withColumn("outlier_gravidade", F.lit(None).cast("string")))
+    wanted = audit.layer_summary({"FATO": df, "DIM_UASG": df.groupBy("uasg").agg(F.min("uf").alias("uf"))})
+    one = F.lit(1).cast("long")
+    wanted = wanted.union(spark.range(1).select(F.lit("PILOTO"), one, one, one))
+    return audit.layer_expectations(audit.layer_summary({"FATO": fact, "DIM_UASG": star.dim_buyer(df), "PILOTO": df.where("codigo_catmat <= 9")}), wanted)

@@ -140,26 +140,51 @@ def _(spark, sf_dir):
     )
 
 
-def _stars(spark, sf_dir):
-    df = gold(spark, sf_dir)
-    fields = ["id_compra", "id_compra_item", "codigo_catmat", "data_publicacao"]
-    return df.withColumn("purchase_id", keys.first_present("id_compra_item")).withColumn("tipo_valor", F.lit("PRATICADO")), fields
+def with_attributes(df):
+    """Purchases with attributes of buyers, materials and purchases, by rules on their numbers."""
+    u, n = F.col("uasg"), F.col("numero_item")
+    return df.withColumns(
+        {
+            "purchase_id": keys.first_present("id_compra_item"),
+            "tipo_valor": F.lit("PRATICADO"),
+            "id_item_compra": F.concat_ws("/", "id_compra", n.cast("string")),
+            "nome_orgao": F.concat(F.lit("ORGAO "), (u % 7).cast("string")),
+            "nome_municipio": F.concat_ws(" - ", "uf", (u % 3).cast("string")),
+            "poder": F.when(u % 3 == 0, "EXECUTIVO").when(u % 3 == 1, " LEGISLATIVO "),
+            "esfera": F.when(u % 2 == 0, "FEDERAL").otherwise("MUNICIPAL"),
+            "forma": F.when(n % 3 == 0, "SISRP").when(n % 3 == 1, "nan").otherwise("SISPP"),
+            "modalidade": F.when(n % 2 == 0, "DISPENSA").otherwise("PREGAO"),
+            "criterio_de_julgamento": F.lit("MENOR PRECO"),
+            "codigo_pdm": F.col("capacidade").cast("int").cast("string"),
+            "codigo_classe": F.when(F.col("codigo_catmat") % 4 > 0, (F.col("codigo_catmat") % 4).cast("string")),
+        }
+    )
 
 
-_SEV = "CASE WHEN NOT is_price_outlier THEN 'SEM_ALERTA' WHEN ratio >= 5 OR ratio <= 0.20 THEN 'CRITICO' WHEN ratio >= 3 OR ratio <= 0.33 THEN 'ALTO' ELSE 'MODERADO' END"
+_SEV = "CASE WHEN NOT is_price_outlier THEN NULL WHEN ratio >= 5 OR ratio <= 0.20 THEN 'CRITICO' WHEN ratio >= 3 OR ratio <= 0.33 THEN 'ALTO' ELSE 'MODERADO' END"
+#: Attributes of buyers in SQL.
+_BUYER = {
+    "orgao": "'ORGAO ' || (uasg % 7)", "municipio": "uf || ' - ' || (uasg % 3)",
+    "poder": "CASE uasg % 3 WHEN 0 THEN 'EXECUTIVO' WHEN 1 THEN 'LEGISLATIVO' END", "esfera": "CASE WHEN uasg % 2 = 0 THEN 'FEDERAL' ELSE 'MUNICIPAL' END",
+}
+_UNIT_KEY = "codigo_catmat || '|' || coalesce(unidade_comparavel, 'UNIDADE_NAO_INFORMADA')"
 
 
 @query(
     "fact_purchases",
-    f"""WITH {GOLD} SELECT id_compra_item AS purchase_id, CAST(data_publicacao AS DATE) AS data, CAST(strftime(data_publicacao, '%Y%m%d') AS INTEGER) AS data_key,
+    f"""WITH {GOLD} SELECT id_compra_item AS purchase_id, id_compra, id_compra || '/' || numero_item AS id_item_compra, id_compra_item, CAST(numero_item AS BIGINT) AS numero_item,
+    CAST(data_publicacao AS DATE) AS data, CAST(strftime(data_publicacao, '%Y%m%d') AS INTEGER) AS data_key,
     CAST(strftime(data_publicacao, '%Y%m') AS INTEGER) AS mes_key, codigo_catmat, cnpj_fornecedor AS fornecedor_key, CAST(uasg AS VARCHAR) AS uasg_key,
-    codigo_catmat || '|' || coalesce(unidade_comparavel, 'UNIDADE_NAO_INFORMADA') AS unidade_key, uf, id_compra, quantidade,
-    round(valor_unitario + 1e-7, 4) AS valor_unitario, round(valor_total + 1e-7, 4) AS valor_total, 'PRATICADO' AS tipo_preco, CAST(NULL AS VARCHAR) AS forma_compra,
-    CAST(NULL AS VARCHAR) AS fonte, dq_possui_erro AS possui_erro, dq_duplicidade AS duplicado, is_price_outlier AS alerta_preco, {_SEV} AS gravidade FROM gold""",
+    {_UNIT_KEY} AS unidade_key, quantidade,
+    round(valor_unitario + 1e-7, 4) AS valor_unitario, round(valor_total + 1e-7, 4) AS valor_total, 'PRATICADO' AS tipo_preco, uf,
+    {_BUYER['municipio']} AS municipio, {_BUYER['poder']} AS poder, {_BUYER['esfera']} AS esfera,
+    CASE numero_item % 3 WHEN 0 THEN 'SISRP' WHEN 2 THEN 'SISPP' END AS forma_compra, CASE WHEN numero_item % 2 = 0 THEN 'DISPENSA' ELSE 'PREGAO' END AS modalidade,
+    'MENOR PRECO' AS criterio_julgamento, CAST(NULL AS VARCHAR) AS fonte, hist_item_repetido AS historico_item,
+    dq_possui_erro AS possui_erro, dq_duplicidade AS duplicado, is_price_outlier AS alerta_preco, {_SEV} AS gravidade FROM gold""",
     dates=("data",),
 )
 def _(spark, sf_dir):
-    return star.fact_purchases(_stars(spark, sf_dir)[0])
+    return star.fact_purchases(with_attributes(gold(spark, sf_dir)))
 
 
 def _mode(key: str, value: str) -> str:
@@ -168,11 +193,13 @@ def _mode(key: str, value: str) -> str:
 
 @query(
     "dim_material",
-    f"""WITH {PURCHASES}, f AS {_mode('codigo_catmat', 'familia_material')}, d AS {_mode('codigo_catmat', 'descricao_item')}
-    SELECT f.k AS codigo_catmat, f.v AS familia_material, d.v AS descricao_item, f.k || ' - ' || d.v AS material_rotulo FROM f JOIN d ON f.k = d.k AND f.r = 1 AND d.r = 1""",
+    f"""WITH {PURCHASES}, f AS {_mode('codigo_catmat', 'familia_material')}, d AS {_mode('codigo_catmat', 'descricao_item')},
+    g AS {_mode('codigo_catmat', 'CAST(CAST(capacidade AS INTEGER) AS VARCHAR)')}
+    SELECT f.k AS codigo_catmat, f.v AS familia_material, d.v AS descricao_item, g.v AS codigo_pdm, CASE WHEN f.k % 4 > 0 THEN CAST(f.k % 4 AS VARCHAR) END AS codigo_classe,
+    f.k || ' - ' || d.v AS material_rotulo FROM f JOIN d ON f.k = d.k AND f.r = 1 AND d.r = 1 JOIN g ON f.k = g.k AND g.r = 1""",
 )
 def _(spark, sf_dir):
-    return star.dim_material(purchases(spark, sf_dir))
+    return star.dim_material(with_attributes(purchases(spark, sf_dir)))
 
 
 @query("dim_supplier", f"WITH {PURCHASES}, f AS {_mode('cnpj_fornecedor', 'fornecedor_nome')} SELECT k AS fornecedor_key, v AS fornecedor_nome FROM f WHERE r = 1")
@@ -180,19 +207,18 @@ def _(spark, sf_dir):
     return star.dim_supplier(purchases(spark, sf_dir))
 
 
-@query("dim_uasg", f"WITH {PURCHASES}, f AS {_mode('CAST(uasg AS VARCHAR)', 'uf')} SELECT k AS uasg_key, v AS uf FROM f WHERE r = 1")
+@query("dim_uasg", f"WITH {PURCHASES} SELECT CAST(uasg AS VARCHAR) AS uasg_key, min(uf) AS uf, {', '.join(f'min({e}) AS {c}' for c, e in _BUYER.items())} FROM purchases GROUP BY 1")
 def _(spark, sf_dir):
-    return star.dim_buyer(purchases(spark, sf_dir))
+    return star.dim_buyer(with_attributes(purchases(spark, sf_dir)))
 
 
 @query(
     "dim_unit",
-    f"""WITH {PURCHASES}, n AS (SELECT codigo_catmat || '|' || unidade_comparavel AS k, nome_unidade_fornecimento AS v,
-      row_number() OVER (PARTITION BY codigo_catmat, unidade_comparavel ORDER BY count(*) DESC, nome_unidade_fornecimento) AS r
-      FROM purchases WHERE unidade_comparavel IS NOT NULL GROUP BY codigo_catmat, unidade_comparavel, nome_unidade_fornecimento),
-    m AS (SELECT codigo_catmat || '|' || unidade_comparavel AS unidade_key, min(codigo_catmat) AS codigo_catmat, min(unidade_comparavel) AS unidade_comparavel,
-      min(capacidade) AS capacidade FROM purchases WHERE unidade_comparavel IS NOT NULL GROUP BY 1)
-    SELECT m.*, n.v AS nome_unidade_fornecimento FROM m JOIN n ON n.k = unidade_key AND r = 1""",
+    f"""WITH {PURCHASES}, n AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, v) AS r
+      FROM (SELECT {_UNIT_KEY} AS k, nullif(nome_unidade_fornecimento, '') AS v FROM purchases) WHERE v IS NOT NULL GROUP BY k, v),
+    m AS (SELECT {_UNIT_KEY} AS unidade_key, min(codigo_catmat) AS codigo_catmat, min(coalesce(unidade_comparavel, 'UNIDADE_NAO_INFORMADA')) AS unidade_comparavel,
+      CAST(NULL AS VARCHAR) AS sigla_unidade_fornecimento, CAST(min(capacidade) AS DOUBLE) AS capacidade FROM purchases GROUP BY 1)
+    SELECT m.*, n.v AS nome_unidade_fornecimento FROM m LEFT JOIN n ON n.k = unidade_key AND r = 1""",
 )
 def _(spark, sf_dir):
     return star.dim_unit(purchases(spark, sf_dir))

@@ -1,5 +1,7 @@
 """Known answers for jobs on tables."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +194,60 @@ def test_capacities_and_units(spark):
     df = spark.createDataFrame(rows, "a string, b string, c double")
     got = [r["u"] for r in df.select(comparable_unit("a", "b", "c").alias("u")).collect()]
     assert got == ["UN", "M|CAP=2.5", "PC|CAP=100", "ZZ", None, "KG|CAP=100000000000000000000", "KG|CAP=0", "KG"]
+
+
+def test_staging_gate_sees_each_fault(spark):
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    fact = one([(1, "PE", "f", "u", "1|UN", "2024-01-01"), (7, "SP", "f", "u", "7|UN", "2024-01-01")], "codigo_catmat long, uf string, fornecedor_key string, uasg_key string, unidade_key string, data string")
+    forecast = one([(1, "2024-01-01", c, q) for c, q in (("INFERIOR", 1.0), ("BASE", 2.0), ("SUPERIOR", 3.0))], "codigo_catmat long, mes string, cenario string, quantidade_prevista double")
+    tables = {
+        "compras": fact, "previsao": forecast, "material": one([(1,), (7,)], "codigo_catmat long"), "fornecedor": one([("f",)], "fornecedor_key string"),
+        "uasg": one([("u", "PE")], "uasg_key string, uf string"), "unidade": one([("1|UN",), ("7|UN",)], "unidade_key string"),
+        "calendario": one([("2024-01-01",)], "data string"), "cenario": one([("BASE",), ("INFERIOR",), ("SUPERIOR",)], "cenario string"),
+    }
+    new, old = one([(1,)], "codigo_catmat long"), one([(9,)], "codigo_catmat long")
+
+    def failed(production=fact, **changed):
+        rows = audit.staging_expectations(tables | changed, new, old, 2, 3, production).collect()
+        assert len(rows) == 20
+        return {r["validacao"] for r in rows if not r["aprovado"]}
+
+    assert failed() == set()
+    assert audit.approved(audit.staging_expectations(tables, new, old, 2, 3)).first()["aprovado"]
+    bare = fact.where("codigo_catmat = 1").withColumn("uf", F.lit(None).cast("string"))
+    assert failed(compras=bare) == {"Estado preenchido na FatoCompras", "UFs representadas", "Linhas de outras famílias preservadas"}
+    assert failed(material=one([(1,), (1,)], "codigo_catmat long")) == {"DimMaterial sem duplicidade", "CATMATs da compra na dimensão"}
+    assert failed(previsao=forecast.where("cenario <> 'BASE'")) == {"Linhas previstas", "Ordem dos cenários"}
+    assert failed(previsao=forecast.withColumn("quantidade_prevista", -F.col("quantidade_prevista"))) == {"Previsões não negativas", "Ordem dos cenários"}
+    assert failed(compras=fact.union(fact.where("codigo_catmat = 1").withColumn("codigo_catmat", F.lit(9).cast("long")))) == {
+        "CATMATs antigos removidos", "CATMATs da compra na dimensão"
+    }
+    empty = one([], "data string")
+    assert failed(calendario=empty, fornecedor=tables["fornecedor"].where("false")) == {"Fornecedores cobertos", "Datas das compras cobertas", "Datas da previsão cobertas"}
+
+
+def test_summary_for_the_star(spark):
+    summary = spark.createDataFrame([(1, "M1", "individual", 1.0, 2.0, 3.0), (2, "S", "SEGMENTO", 1.0, 2.0, 3.0)], "codigo_catmat long, unidade_modelagem string, nivel_modelagem string, previsao_12m_inferior double, previsao_12m_base double, previsao_12m_superior double")
+    units = spark.createDataFrame([("M1", 0.5, 1.0, 4, 10, 0.25)], "unidade_modelagem string, wape_validacao double, mae_validacao double, janelas_validacao int, meses_com_demanda int, percentual_meses_sem_demanda double")
+    weights = spark.createDataFrame([(1, 70.0), (2, 30.0)], "codigo_catmat long, quantidade_historica double")
+    got = {r["codigo_catmat"]: r for r in star.forecast_summary(hierarchy.summary_for_star(summary, units, weights)).collect()}
+    assert list(got[1].asDict()) == list(star.SUMMARY)
+    assert (got[1]["tipo_demanda"], got[1]["wape_validacao_percentual"], got[1]["quantidade_historica_total"]) == ("INTERMITENTE_INDIVIDUAL", 50.0, 70.0)
+    assert got[2]["tipo_demanda"] == "INTERMITENTE_SEGMENTO" and got[2]["wape_validacao_percentual"] is None and got[2]["previsao_12m_cenario_superior"] == 3.0
+    with pytest.raises(ValueError):
+        hierarchy.summary_for_star(summary, units.union(units), weights)
+    old = spark.createDataFrame([(2,)], "codigo_catmat long")
+    both = star.integrate_codes(summary, summary.where("codigo_catmat = 2").drop("nivel_modelagem"), old)
+    assert both.columns == summary.columns and {r["codigo_catmat"]: r["nivel_modelagem"] for r in both.collect()} == {1: "individual", 2: None}
+
+
+def test_demand_is_not_forecast_as_nothing(spark):
+    """A unit with demand long ago: the recent means are zero, so Croston takes their place; years with demand are counted."""
+    a = [0.0] * 84
+    a[2] = a[14] = 5.0
+    df = spark.createDataFrame([("u", "INDIVIDUAL", a, datetime.date(2024, 12, 1))], "unidade_modelagem string, nivel_modelagem string, a array<double>, ultimo_mes date")
+    by = ["unidade_modelagem", "nivel_modelagem"]
+    assert all(r["previsao_base"] > 0 for r in backtest.unit_forecast(df, by).collect())
+    got = backtest.unit_summary(df, by).first()
+    assert (got["meses_com_demanda"], got["anos_ativos"], got["meses_historicos"], got["quantidade_historica_total"]) == (2, 2, 84, 10.0)
+    assert got["percentual_meses_sem_demanda"] == 82 / 84
