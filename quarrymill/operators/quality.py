@@ -46,9 +46,19 @@ def duplicated(columns: list[str]) -> Column:
 
 def item_history(df: DataFrame) -> DataFrame:
     """Adds the item key and whether the item occurs more than once."""
-    key = first_present(*[c for c in ("id_compra_item", "id_item_compra", "purchase_id") if c in df.columns])
-    keyed = df.withColumn("chave_item_qualidade", key)
-    times = F.count(F.lit(1)).over(W.partitionBy("chave_item_qualidade"))
+    return _item_history(df).drop("_spread")
+
+
+def _item_fields(df: DataFrame) -> list[str]:
+    return [c for c in ("id_compra_item", "id_item_compra", "purchase_id") if c in df.columns]
+
+
+def _item_history(df: DataFrame) -> DataFrame:
+    # rows without a key are spread by their other fields, so that they don't meet in one task
+    key = first_present(*_item_fields(df))
+    there = [c for c in OBSERVATION if c in df.columns]
+    keyed = df.withColumns({"chave_item_qualidade": key, "_spread": F.when(key.isNull(), F.xxhash64(*there))})
+    times = F.count(F.lit(1)).over(W.partitionBy("chave_item_qualidade", "_spread"))
     return keyed.withColumn("hist_item_repetido", F.col("chave_item_qualidade").isNotNull() & (times > 1))
 
 
@@ -56,8 +66,10 @@ def apply_quality(df: DataFrame) -> DataFrame:
     """All flags; dq_possui_erro is any dq_ column, also one that was there before."""
     there = [c for c in OBSERVATION if c in df.columns]
     gap = F.try_divide(F.abs(F.col("valor_total") - F.col("quantidade") * F.col("valor_unitario")), F.abs("valor_total"))
-    flagged = item_history(df.withColumns(field_rules(df) | {"diferenca_valor_pct": gap}))
-    flagged = flagged.withColumn("dq_duplicidade", duplicated(there))
+    flagged = _item_history(df.withColumns(field_rules(df) | {"diferenca_valor_pct": gap}))
+    # an item key that follows from the observation's fields may lead them: its shuffle then does for both windows
+    lead = ["chave_item_qualidade", "_spread"] if {*_item_fields(df)} <= {*there} else []
+    flagged = flagged.withColumn("dq_duplicidade", duplicated([*lead, *there])).drop("_spread")
     flags = [F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in flagged.columns if c.startswith("dq_") and c != "dq_possui_erro"]
     return flagged.withColumn("dq_possui_erro", reduce(lambda a, b: a | b, flags))
 
