@@ -293,3 +293,27 @@ def test_pipeline(spark, sf_dir):
             assert ids == {r["doc_id"] for r in before}
             assert not any(brute.personal_data(r["text"]) for r in rows[name])
     assert {r["doc_id"] for r in rows["packing"]} == {r["doc_id"] for r in rows["pii_redaction"]}
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, sf_dir, docs, odd, none):
+    """Nulls, empty and long texts, repeated rows and clashing columns pass through every stage; each keeps the columns of its input."""
+    import corpus_pipeline
+
+    for table in (docs.limit(60).unionByName(odd, allowMissingColumns=True), none):
+        columns, now = table.columns, table
+        for name, stage in corpus_pipeline.STAGES:
+            before = rows_of(now)
+            now = stage(spark, now, sf_dir)
+            rows = rows_of(now)
+            ids = Counter(r["doc_id"] for r in before)
+            if name == "packing":
+                assert {r["doc_id"] for r in rows} == set(ids)
+                continue
+            assert now.columns == columns
+            assert not Counter(r["doc_id"] for r in rows) - ids
+            if name == "pii_redaction":
+                assert Counter(r["doc_id"] for r in rows) == ids
+            elif name != "near_dedup":
+                kept = {repr(r) for r in rows}
+                assert kept <= {repr(r) for r in before}
+            now = spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], table.schema)
