@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import BROADCAST_IDS, map_arrow, offsets, slices, strings
+from quarrymill.llm.common import BROADCAST_IDS, map_arrow, materialize, offsets, slices, strings
 
 LEAST, MOST, BITS = 3, 6, 20
 CLEAR, LARGE = 3.0, 1.0
@@ -89,7 +89,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def log_count_ratios(rows: DataFrame) -> DataFrame:
     """(number, ratio) of the features, from ``rows`` (y 0 or 1, text); none where a class is absent."""
     counts = map_arrow(rows.select("y", "text"), _count, "number int, toxic long, other long")
-    sums = counts.groupBy("number").agg(F.sum("toxic").alias("p"), F.sum("other").alias("q"))
+    sums = materialize(counts.groupBy("number").agg(F.sum("toxic").alias("p"), F.sum("other").alias("q")), "counts")  # read twice
     totals = sums.where("number = -1").select(F.col("p").alias("ps"), F.col("q").alias("qs"))
     p, q = F.col("p") + 1, F.col("q") + 1
     ratio = F.log(p / (F.col("ps") + 2)) - F.log(q / (F.col("qs") + 2))
