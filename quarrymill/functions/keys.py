@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from quarrymill.functions.text import clean_text, col, present
 
 
-def _joined(fields: list[str | Column]) -> Column:
-    return F.concat_ws("|", *[F.coalesce(col(f).cast("string"), F.lit("None")) for f in fields])
+def _joined(fields: list[str | Column], missing: str) -> Column:
+    return F.concat_ws("|", *[F.coalesce(col(f).cast("string"), F.lit(missing)) for f in fields])
 
 
 def observation_id(*fields: str | Column) -> Column:
-    """24 hexadecimal digits of the fields' SHA-256; nulls count."""
-    return F.substring(F.sha2(_joined(list(fields)), 256), 1, 24)
+    """24 hexadecimal digits of the fields' SHA-256; nulls count, as a word."""
+    return F.substring(F.sha2(_joined(list(fields), "None"), 256), 1, 24)
 
 
 def pilot_id(*fields: str | Column) -> Column:
-    return F.concat(F.lit("MED-"), F.substring(F.sha1(_joined(list(fields))), 1, 20))
+    """MED- and 20 hexadecimal digits of the fields' SHA-1; nulls count, as nothing."""
+    return F.concat(F.lit("MED-"), F.substring(F.sha1(_joined(list(fields), "")), 1, 20))
 
 
 def first_present(*fields: str | Column) -> Column:

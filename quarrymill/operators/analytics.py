@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrymill.functions.keys import concentration_class
+from quarrymill.functions.keys import concentration_class, supplier_key
+from quarrymill.operators.measures import join_groups
+from quarrymill.operators.ranks import distinct_counts, exact_quantiles, modes
 
 def _n() -> Column:
     return F.count(F.lit(1))
@@ -16,22 +18,22 @@ _sum = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
 
 
 def executive_summary(df: DataFrame) -> DataFrame:
-    return df.agg(
+    """One row of global figures; suppliers by tax number, else by name. ``df`` is read twice."""
+    keys = {
+        "familias": F.col("familia_material"), "catmats": F.col("codigo_catmat"), "unidades_comparaveis": F.col("unidade_comparavel"),
+        "fornecedores": supplier_key("cnpj_fornecedor", "fornecedor_nome"), "uasgs": F.col("uasg"), "estados": F.col("uf"),
+    }
+    sums = df.agg(
         _n().alias("registros"),
         F.min("data_publicacao").alias("data_inicial"),
         F.max("data_publicacao").alias("data_final"),
-        F.count_distinct("codigo_catmat").alias("materiais"),
-        F.count_distinct("familia_material").alias("familias"),
-        F.count_distinct("id_compra").alias("compras"),
-        F.count_distinct("cnpj_fornecedor").alias("fornecedores"),
-        F.count_distinct("uasg").alias("uasgs"),
-        F.count_distinct("uf").alias("ufs"),
         _sum("quantidade").alias("quantidade_total"),
         _sum("valor_total").alias("valor_total"),
-        F.count_if("dq_possui_erro").alias("registros_erro"),
-        F.count_if("is_price_outlier").alias("alertas_preco"),
-        F.count_if("hist_item_repetido").alias("registros_historico"),
+        F.count_if("dq_possui_erro").alias("erros_qualidade"),
+        F.count_if("dq_duplicidade").alias("duplicados_confirmados"),
+        F.count_if("is_price_outlier").alias("outliers_preco"),
     )
+    return join_groups(sums, distinct_counts(df, [], keys), [])
 
 
 def _month(c: str = "data_publicacao") -> Column:
@@ -49,108 +51,131 @@ def monthly_by_family(df: DataFrame) -> DataFrame:
 
 
 def monthly_by_material(df: DataFrame) -> DataFrame:
-    return df.groupBy(_month(), "codigo_catmat", "unidade_comparavel").agg(
-        _n().alias("registros"),
-        _sum("quantidade").alias("quantidade_total"),
-        _sum("valor_total").alias("valor_total"),
-        F.median("valor_unitario").alias("preco_mediano"),
-        F.count_distinct("cnpj_fornecedor").alias("fornecedores"),
-    )
+    """By month, family, material, description and unit; ``df`` is read three times."""
+    by = ["ano_mes", "familia_material", "codigo_catmat", "descricao_item", "unidade_comparavel"]
+    df = df.withColumn("ano_mes", _month())
+    sums = df.groupBy(*by).agg(_n().alias("registros"), _sum("quantidade").alias("quantidade_total"), _sum("valor_total").alias("valor_total"))
+    out = join_groups(sums, exact_quantiles(df, by, "valor_unitario", [0.5]).select(*by, F.col("q")[0].alias("preco_mediano")), by)
+    return join_groups(out, distinct_counts(df, by, {"fornecedores": F.col("cnpj_fornecedor")}), by)
 
 
 def price_statistics(df: DataFrame) -> DataFrame:
-    """Prices of error-free rows that are no outliers, by family, material and unit."""
+    """Prices of error-free rows that are no outliers, by family, material, description and unit; ``df`` is read twice."""
     good = df.where(
         ~F.coalesce(F.col("dq_possui_erro"), F.lit(False)) & ~F.coalesce(F.col("is_price_outlier"), F.lit(False))
         & F.col("unidade_comparavel").isNotNull() & (F.col("valor_unitario") > 0)
     )
-    p = "valor_unitario"
-    out = good.groupBy("familia_material", "codigo_catmat", "unidade_comparavel").agg(
-        _n().alias("observacoes"),
+    p, by = "valor_unitario", ["familia_material", "codigo_catmat", "descricao_item", "unidade_comparavel"]
+    sums = good.groupBy(*by).agg(
+        _n().alias("registros"),
         F.min(p).alias("preco_minimo"),
-        F.percentile(p, [0.25, 0.5, 0.75]).alias("_q"),
         F.avg(p).alias("preco_medio"),
         F.max(p).alias("preco_maximo"),
         F.stddev_samp(p).alias("desvio_padrao"),
-        F.sum("quantidade").alias("quantidade_total"),
-        F.sum("valor_total").alias("valor_total"),
+        _sum("quantidade").alias("quantidade_total"),
+        _sum("valor_total").alias("valor_total"),
     )
-    for k, name in enumerate(("p25", "preco_mediano", "p75")):
-        out = out.withColumn(name, F.col("_q")[k])
-    return out.drop("_q").withColumns(
+    q = exact_quantiles(good, by, p, [0.25, 0.5, 0.75])
+    q = q.select(*by, *[F.col("q")[k].alias(name) for k, name in enumerate(("preco_p25", "preco_mediano", "preco_p75"))])
+    return join_groups(sums, q, by).withColumns(
         {
-            "preco_ponderado": F.try_divide("valor_total", "quantidade_total"),
+            "preco_medio_ponderado": F.try_divide("valor_total", "quantidade_total"),
             "coeficiente_variacao": F.try_divide("desvio_padrao", "preco_medio"),
         }
     )
 
 
 def supplier_concentration(df: DataFrame, by: tuple[str, ...] = ("ano", "familia_material")) -> DataFrame:
-    """Suppliers, total, HHI, shares of the first and the first three, class, per group."""
-    each = df.groupBy(*by, "cnpj_fornecedor").agg(_sum("valor_total").alias("v"))
-    group = W.partitionBy(*by)
-    share = F.try_divide(F.col("v"), F.sum("v").over(group))
-    ranked = each.select(*by, "v", share.alias("s"), F.row_number().over(group.orderBy(F.desc("v"), "cnpj_fornecedor")).alias("r"))
-    out = ranked.groupBy(*by).agg(
-        _n().alias("fornecedores"),
-        F.sum("v").alias("valor_total"),
-        (F.sum(F.col("s") * F.col("s")) * 10000).alias("_h"),
-        F.sum(F.when(F.col("r") == 1, F.col("s"))).alias("participacao_lider"),
-        F.sum(F.when(F.col("r") <= 3, F.col("s"))).alias("participacao_top3"),
+    """Suppliers, total, HHI, shares of the first and the first three, class, per group of error-free rows.
+
+    Suppliers are those of their tax number, else of their name. Where the total is not above zero the HHI is null, the shares
+    are zero and the class is the lowest. No group's suppliers meet in one task: sums add up, and ranks end at three.
+    """
+    by = list(by)
+    valid = df.where(~F.coalesce(F.col("dq_possui_erro"), F.lit(False)))
+    each = valid.groupBy(*by, supplier_key("cnpj_fornecedor", "fornecedor_nome").alias("_key")).agg(_sum("valor_total").alias("v"))
+    sums = each.groupBy(*by).agg(_n().alias("fornecedores"), F.sum("v").alias("valor_total"))
+    shares = join_groups(each, sums.where("valor_total > 0").select(*by, F.col("valor_total").alias("_t")), by, "inner")
+    shares = shares.select(*by, "_key", (F.col("v") / F.col("_t")).alias("s"))
+    squares = shares.groupBy(*by).agg((F.sum(F.col("s") * F.col("s")) * 10000).alias("_h"))
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("s"), "_key"))
+    top = shares.withColumn("r", rank).where("r <= 3").groupBy(*by).agg(
+        F.max("s").alias("participacao_top1"), F.sum("s").alias("participacao_top3")
     )
-    return out.withColumn("hhi", F.round("_h", 2)).withColumn("classe", concentration_class("_h")).drop("_h")
+    out = join_groups(join_groups(sums, squares, by), top, by)
+    out = out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("participacao_top1", "participacao_top3")})
+    return out.withColumn("hhi", F.round("_h", 2)).withColumn("classificacao_hhi", concentration_class("_h")).drop("_h")
 
 
 def monthly_indicators(df: DataFrame) -> DataFrame:
-    return df.groupBy(F.trunc("data_publicacao", "month").alias("mes"), "familia_material", "codigo_catmat", "unidade_comparavel").agg(
+    """By month, family, material and unit; ``df`` is read three times."""
+    by = ["mes", "familia_material", "codigo_catmat", "unidade_comparavel"]
+    df = df.withColumn("mes", F.trunc("data_publicacao", "month"))
+    sums = df.groupBy(*by).agg(
         F.sum("quantidade").alias("quantidade_total"),
         F.sum("valor_total").alias("valor_total"),
         F.try_divide(F.sum("valor_total"), F.sum("quantidade")).alias("preco_ponderado"),
-        F.median("valor_unitario").alias("preco_mediano"),
-        F.count_distinct("cnpj_fornecedor").alias("fornecedores"),
     )
+    out = join_groups(sums, exact_quantiles(df, by, "valor_unitario", [0.5]).select(*by, F.col("q")[0].alias("preco_mediano")), by)
+    return join_groups(out, distinct_counts(df, by, {"fornecedores": F.col("cnpj_fornecedor")}), by)
 
 
-def largest_share(df: DataFrame, of: str, by: str = "codigo_catmat", value: str = "valor_total") -> DataFrame:
-    """Share of the largest ``of`` in each group's value."""
-    each = df.groupBy(by, of).agg(_sum(value).alias("v"))
-    return each.groupBy(by).agg(F.try_divide(F.max("v"), F.sum("v")).alias(f"maior_{of}"))
+def _moved(df: DataFrame) -> DataFrame:
+    """Rows with a quantity of zero or more."""
+    return df.where(F.coalesce(F.col("quantidade") >= 0, F.lit(False)))
 
 
-def material_diagnostic(df: DataFrame) -> DataFrame:
-    """Reach of each material's data and whether it is modelled by itself."""
-    month, year = F.date_format("data_publicacao", "yyyy-MM"), F.year("data_publicacao")
-    out = df.groupBy("codigo_catmat").agg(
-        _n().alias("registros"),
-        F.min("data_publicacao").alias("primeira_data"),
-        F.max("data_publicacao").alias("ultima_data"),
-        F.count_distinct(year).alias("anos_ativos"),
-        F.count_distinct(month).alias("meses_ativos"),
-        _sum("quantidade").alias("quantidade_total"),
-        F.count_distinct("id_compra").alias("compras"),
-        F.count_distinct("cnpj_fornecedor").alias("fornecedores"),
-        F.count_distinct("uasg").alias("uasgs"),
+def largest_shares(df: DataFrame, by: str, of: dict[str, str]) -> DataFrame:
+    """Per group the share of the largest purchase, supplier or the like in its valid quantity, from one pass; null without a total above zero.
+
+    ``of`` has the name of each share and its column; rows without a value in the column are one party.
+    """
+    parties = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(c).cast("string").alias("_k")) for i, c in enumerate(of.values())])
+    each = _moved(df).select(by, "quantidade", F.inline(parties)).groupBy(by, "_i", "_k").agg(F.sum("quantidade").alias("v"))
+    most = lambda i: F.max(F.when(F.col("_i") == i, F.col("v"))) / F.nullif(F.greatest(F.sum(F.when(F.col("_i") == i, F.col("v"))), F.lit(0.0)), F.lit(0.0))
+    return each.groupBy(by).agg(*[most(i).alias(name) for i, name in enumerate(of)])
+
+
+def _reach(df: DataFrame, by: list[str], keys: dict[str, Column]) -> DataFrame:
+    """Rows, dates and different years, months and ``keys`` of each group; ``df`` is read twice."""
+    sums = df.groupBy(*by).agg(
+        _n().alias("registros_periodo"), F.min("data_publicacao").alias("data_inicial"), F.max("data_publicacao").alias("data_final")
     )
-    alone = (F.col("registros") >= 24) & (F.col("anos_ativos") >= 3) & (F.col("meses_ativos") >= 12)
-    out = out.withColumn("modelo_individual", alone)
-    for of in ("id_compra", "cnpj_fornecedor"):
-        out = out.join(largest_share(df, of), "codigo_catmat")
-    return out
+    date = {"anos_ativos": F.year("data_publicacao"), "meses_ativos": F.date_format("data_publicacao", "yyyy-MM")}
+    return join_groups(sums, distinct_counts(df, by, date | keys), by)
+
+
+#: Recommendations.
+ALONE, BY_SEGMENT = "CATMAT individual", "Modelo hierárquico por segmento"
+
+
+def material_diagnostic(df: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
+    """Reach of each material's data, largest shares of its valid quantity, and whether it is modelled by itself.
+
+    ``texts`` names columns to describe the material by; the least text is taken. ``df`` is read several times, so it should be cut.
+    """
+    by = ["codigo_catmat"]
+    keys = {
+        "compras_distintas": F.col("id_compra"), "fornecedores": F.col("cnpj_fornecedor"), "uasgs": F.col("uasg"),
+        "unidades_fornecimento": F.col("sigla_unidade_fornecimento"),
+    }
+    out = _reach(df, by, keys)
+    valid = _moved(df).groupBy(*by).agg(F.sum("quantidade").alias("quantidade_total"))
+    out = join_groups(out, valid, by).withColumn("quantidade_total", F.coalesce("quantidade_total", F.lit(0.0)))
+    shares = {"maior_compra_participacao": "id_compra", "maior_fornecedor_participacao": "cnpj_fornecedor"}
+    out = join_groups(out, largest_shares(df, "codigo_catmat", shares), by)
+    if texts:
+        out = join_groups(out, df.groupBy(*by).agg(*[F.min(c).alias(name) for name, c in texts.items()]), by)
+    alone = (F.col("registros_periodo") >= 24) & (F.col("anos_ativos") >= 3) & (F.col("meses_ativos") >= 12)
+    return out.withColumn("candidato_modelo_individual", alone).withColumn("modelagem_recomendada", F.when(alone, ALONE).otherwise(BY_SEGMENT))
 
 
 def segment_diagnostic(df: DataFrame, by: str = "familia_material") -> DataFrame:
-    return df.groupBy(by).agg(
-        F.count_distinct("codigo_catmat").alias("materiais"),
-        _n().alias("registros"),
-        F.min("data_publicacao").alias("primeira_data"),
-        F.max("data_publicacao").alias("ultima_data"),
-        F.count_distinct(F.year("data_publicacao")).alias("anos_ativos"),
-        F.count_distinct(F.date_format("data_publicacao", "yyyy-MM")).alias("meses_ativos"),
-        _sum("quantidade").alias("quantidade_total"),
-        _sum("valor_total").alias("valor_total"),
-        F.count_distinct("id_compra").alias("compras"),
-        F.count_distinct("cnpj_fornecedor").alias("fornecedores"),
-    )
+    """Ten figures of each segment; ``df`` is read three times."""
+    keys = {
+        "catmats": F.col("codigo_catmat"), "compras_distintas": F.col("id_compra"), "fornecedores": F.col("cnpj_fornecedor"), "uasgs": F.col("uasg"),
+    }
+    return join_groups(_reach(df, [by], keys), df.groupBy(by).agg(_sum("quantidade").alias("quantidade_total")), [by])
 
 
 #: Fixed value: what a material says that passes all tests.
@@ -207,7 +232,7 @@ def state_conflicts(df: DataFrame) -> DataFrame:
 
 def mode_of(df: DataFrame, by: str | list[str], columns: list[str]) -> DataFrame:
     """Most frequent value of each column, the least one on a tie."""
-    return df.groupBy(*([by] if isinstance(by, str) else by)).agg(*[F.mode(c, True).alias(c) for c in columns])
+    return modes(df, [by] if isinstance(by, str) else by, {c: F.col(c) for c in columns})
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

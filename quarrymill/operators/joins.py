@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions import units
+from quarrymill.functions.text import present
 from quarrymill.operators.filters import one_per
+from quarrymill.operators.ranks import modes
 
 
 def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,16 +33,37 @@ def with_catalogue(fact: DataFrame, catalogue: DataFrame) -> DataFrame:
     return fact.drop("familia_material").join(c, "codigo_catmat", "left")
 
 
+def clean_identifier(c: str | Column) -> Column:
+    """Trimmed text; blanks and words for nothing are null."""
+    return present(c)
+
+
 def key_matches(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Per pair of key columns: left values that the right side has, and their percentage; best first."""
-    rows = None
-    for a, b in pairs:
-        known = right.select(F.col(b).cast("string").alias("k")).where("k is not null").distinct()
-        mine = left.select(F.col(a).cast("string").alias("k")).where("k is not null")
-        n = mine.join(known.withColumn("hit", F.lit(1)), "k", "left").agg(F.count(F.lit(1)).alias("linhas"), F.count("hit").alias("encontradas"))
-        one = n.select(F.lit(a).alias("esquerda"), F.lit(b).alias("direita"), "encontradas", F.try_divide(100.0 * F.col("encontradas"), F.col("linhas")).alias("percentual"))
-        rows = one if rows is None else rows.union(one)
-    return rows.orderBy(F.desc("encontradas"), F.desc("percentual"))
+    """Per pair of key columns: filled and different values of both sides, left rows whose value the right side has, and their
+    percentage of the filled ones; best first. Pairs with an empty side or without their left column are left out.
+
+    All pairs go through one shuffle: values are counted by (pair, value) with a count for each side, so that a value that
+    fills a column is one row.
+    """
+    there = [(a, b) for a, b in pairs if a in left.columns and b in right.columns]
+
+    def side(df: DataFrame, k: int) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(i).alias("_i"), clean_identifier(pair[k]).alias("_v")) for i, pair in enumerate(there)])
+        ones = [F.lit(int(s == k)).cast("long").alias(n) for s, n in enumerate(("_a", "_b"))]
+        return df.select(F.inline(each)).where("_v is not null").select("_i", "_v", *ones)
+
+    counts = side(left, 0).unionByName(side(right, 1)).groupBy("_i", "_v").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    sums = counts.groupBy("_i").agg(
+        F.sum("_a").alias("gold_preenchidos"),
+        F.sum("_b").alias("bronze_preenchidos"),
+        F.count_if(F.col("_a") > 0).alias("gold_unicos"),
+        F.count_if(F.col("_b") > 0).alias("bronze_unicos"),
+        F.coalesce(F.sum(F.when(F.col("_b") > 0, F.col("_a"))), F.lit(0)).alias("correspondencias"),
+    ).where("gold_preenchidos > 0 and bronze_preenchidos > 0")
+    name = lambda k: F.get(F.array(*[F.lit(p[k]) for p in there]), F.col("_i"))
+    percent = F.round(100.0 * F.col("correspondencias") / F.col("gold_preenchidos"), 2)
+    out = sums.select(name(0).alias("coluna_gold"), name(1).alias("coluna_bronze"), *sums.columns[1:], percent.alias("percentual_correspondencia"))
+    return out.orderBy(F.desc("correspondencias"), F.desc("percentual_correspondencia"), "coluna_gold", "coluna_bronze")
 
 
 def first_by_key(bronze: DataFrame, key: str, *order: str) -> DataFrame:
@@ -73,7 +96,7 @@ def sample_matched(df: DataFrame, *order: str, n: int = 1000, column: str = "uni
 
 def describe_codes(rows: DataFrame, history: DataFrame, column: str = "descricao_item") -> DataFrame:
     """The most frequent description of each code."""
-    names = history.groupBy("codigo_catmat").agg(F.mode(column, True).alias(column))
+    names = modes(history, ["codigo_catmat"], {column: F.col(column)})
     return rows.drop(column).join(names, "codigo_catmat", "left")
 
 

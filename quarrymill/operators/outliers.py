@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.keys import severity
 from quarrymill.functions.text import present
+from quarrymill.operators.ranks import distinct_counts, exact_quantiles
+from quarrymill.sources.scratch import cut, small
 
 LEAST_GROUP, REACH = 8, 1.5
 NO_UNIT = "UNIDADE_NAO_INFORMADA"
 
 
 def group_limits(df: DataFrame, by: list[str], price: str, least: int = LEAST_GROUP) -> DataFrame:
-    """q1, mediana, q3 and limits of groups with at least ``least`` rows; limits only where the range is positive."""
-    q = df.groupBy(*by).agg(F.percentile(price, [0.25, 0.5, 0.75]).alias("_q"), F.count(F.lit(1)).alias("n"))
+    """q1, mediana, q3 and limits of groups with at least ``least`` priced rows; limits only where the range is positive.
+
+    Quantiles are exact at any size of a group, see ``ranks.exact_quantiles``.
+    """
+    q = exact_quantiles(df, by, price, [0.25, 0.5, 0.75]).withColumnRenamed("q", "_q")
     enough = F.col("n") >= least
     q1, q3 = F.col("_q")[0], F.col("_q")[2]
     reach = F.when(q3 > q1, REACH * (q3 - q1))
@@ -30,12 +35,15 @@ def group_limits(df: DataFrame, by: list[str], price: str, least: int = LEAST_GR
 
 
 def flag_outliers(df: DataFrame, by: tuple[str, ...] = ("codigo_catmat", "unidade_comparavel", "ano"), price: str = "valor_unitario") -> DataFrame:
-    """Adds is_price_outlier and outlier_*: limits on all eligible rows of a group, severity on flagged rows."""
+    """Adds is_price_outlier and outlier_*: limits on all eligible rows of a group, severity on flagged rows.
+
+    The limits come from (key, price) alone and are joined by broadcast if a count allows it, so that rows are not shuffled.
+    """
     eligible = F.coalesce((F.col(price) > 0) & ~F.col("dq_duplicidade"), F.lit(False))
     for c in by:
         eligible = eligible & F.col(c).isNotNull()
     marked = df.withColumn("_ok", eligible)
-    limits = group_limits(marked.where("_ok"), list(by), price).where("limite_superior is not null")
+    limits = small(cut(group_limits(marked.where("_ok"), list(by), price).where("limite_superior is not null"), "limits"))
     names = {c: f"outlier_{c}" for c in ("q1", "mediana", "q3", "limite_inferior", "limite_superior")}
     right = limits.drop("n").withColumnsRenamed(names).withColumnsRenamed({c: f"_{c}" for c in by})
     on = F.col("_ok")
@@ -66,7 +74,7 @@ def review(df: DataFrame, price: str = "valor_unitario") -> DataFrame:
     good = base.where(F.col(price) > 0)
     out = base
     for name, by in (("hist", ["codigo_catmat", "_u"]), ("anual", ["codigo_catmat", "_u", "ano"])):
-        limits = group_limits(good, by, price)
+        limits = small(cut(group_limits(good, by, price), "limits"))
         limits = limits.withColumnsRenamed({c: f"{name}_{c}" for c in limits.columns if c not in by}).withColumnsRenamed({c: f"_{c}_r" for c in by})
         on = F.lit(True)
         for c in by:
@@ -102,17 +110,19 @@ def alert_detail(reviewed: DataFrame) -> DataFrame:
 
 
 def alert_summary(detail: DataFrame, price: str = "valor_unitario") -> DataFrame:
+    """Alerts by family, code, description, unit, severity and reason; ``detail`` is read three times, so it should be cut."""
+    from quarrymill.operators.measures import join_groups
+
     by = ["familia_material", "codigo_catmat", "descricao_item", "unidade_comparavel", "gravidade", "motivo_alerta"]
-    return detail.groupBy(*by).agg(
+    sums = detail.groupBy(*by).agg(
         F.count(F.lit(1)).alias("alertas"),
-        F.min("data_publicacao").alias("primeira_data"),
-        F.max("data_publicacao").alias("ultima_data"),
+        F.min("data_publicacao").alias("data_inicial"),
+        F.max("data_publicacao").alias("data_final"),
         F.min(price).alias("preco_minimo"),
-        F.median(price).alias("preco_mediano"),
         F.max(price).alias("preco_maximo"),
-        F.count_distinct("cnpj_fornecedor").alias("fornecedores"),
-        F.count_distinct("uasg").alias("uasgs"),
     )
+    out = join_groups(sums, exact_quantiles(detail, by, price, [0.5]).select(*by, F.col("q")[0].alias("preco_mediano")), by)
+    return join_groups(out, distinct_counts(detail, by, {"fornecedores": F.col("cnpj_fornecedor"), "compras": F.col("id_compra")}), by)
 
 
 def alert_counts(detail: DataFrame) -> DataFrame:

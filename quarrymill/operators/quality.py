@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.keys import first_present
 from quarrymill.functions.text import present
+from quarrymill.operators.ranks import distinct_counts
+from quarrymill.operators.repeats import with_repeats
 
 TOLERANCE = 0.02
 #: Fixed value: columns that together identify an observation.
 OBSERVATION = [
-    "id_compra", "id_compra_item", "numero_item", "codigo_catmat", "data_publicacao", "quantidade", "valor_unitario",
-    "valor_total", "cnpj_fornecedor", "uasg", "unidade_comparavel",
+    "id_compra_item", "id_item_compra", "id_compra", "numero_item", "codigo_catmat", "data_publicacao", "cnpj_fornecedor", "uasg",
+    "quantidade", "valor_unitario", "unidade_comparavel",
 ]
 
 
@@ -39,39 +41,30 @@ def field_rules(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def duplicated(columns: list[str]) -> Column:
-    """True for every row that shares all columns with another; nulls are equal."""
-    return F.count(F.lit(1)).over(W.partitionBy(*columns)) > 1
+def _item_key(df: DataFrame) -> Column:
+    return first_present(*[c for c in ("id_compra_item", "id_item_compra", "purchase_id") if c in df.columns])
 
 
 def item_history(df: DataFrame) -> DataFrame:
-    """Adds the item key and whether the item occurs more than once."""
-    return _item_history(df).drop("_spread")
-
-
-def _item_fields(df: DataFrame) -> list[str]:
-    return [c for c in ("id_compra_item", "id_item_compra", "purchase_id") if c in df.columns]
-
-
-def _item_history(df: DataFrame) -> DataFrame:
-    # rows without a key are spread by their other fields, so that they don't meet in one task
-    key = first_present(*_item_fields(df))
-    there = [c for c in OBSERVATION if c in df.columns]
-    keyed = df.withColumns({"chave_item_qualidade": key, "_spread": F.when(key.isNull(), F.xxhash64(*there))})
-    times = F.count(F.lit(1)).over(W.partitionBy("chave_item_qualidade", "_spread"))
-    return keyed.withColumn("hist_item_repetido", F.col("chave_item_qualidade").isNotNull() & (times > 1))
+    """Adds the item key and whether the item occurs more than once; ``df`` is read three times, so it should be cut."""
+    keyed = df.withColumn("chave_item_qualidade", _item_key(df))
+    key = F.col("chave_item_qualidade")
+    return with_repeats(keyed, {"hist_item_repetido": [key]}, {"hist_item_repetido": key.isNotNull()})
 
 
 def apply_quality(df: DataFrame) -> DataFrame:
-    """All flags; dq_possui_erro is any dq_ column, also one that was there before."""
+    """All flags; dq_possui_erro is any dq_ column, also one that was there before. ``df`` is read three times, so it should be cut.
+
+    Histories and duplicates are found by digests, see ``repeats``: rows are neither sorted nor shuffled as a whole.
+    """
     there = [c for c in OBSERVATION if c in df.columns]
     gap = F.try_divide(F.abs(F.col("valor_total") - F.col("quantidade") * F.col("valor_unitario")), F.abs("valor_total"))
-    flagged = _item_history(df.withColumns(field_rules(df) | {"diferenca_valor_pct": gap}))
-    # an item key that follows from the observation's fields may lead them: its shuffle then does for both windows
-    lead = ["chave_item_qualidade", "_spread"] if {*_item_fields(df)} <= {*there} else []
-    flagged = flagged.withColumn("dq_duplicidade", duplicated([*lead, *there])).drop("_spread")
-    flags = [F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in flagged.columns if c.startswith("dq_") and c != "dq_possui_erro"]
-    return flagged.withColumn("dq_possui_erro", reduce(lambda a, b: a | b, flags))
+    flagged = df.withColumns(field_rules(df) | {"diferenca_valor_pct": gap, "chave_item_qualidade": _item_key(df)})
+    key = F.col("chave_item_qualidade")
+    flags = {"hist_item_repetido": [key], "dq_duplicidade": [F.col(c) for c in there]}
+    flagged = with_repeats(flagged, flags, {"hist_item_repetido": key.isNotNull()})
+    errors = [F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in flagged.columns if c.startswith("dq_") and c != "dq_possui_erro"]
+    return flagged.withColumn("dq_possui_erro", reduce(lambda a, b: a | b, errors))
 
 
 def quality_report(df: DataFrame) -> DataFrame:
@@ -83,76 +76,111 @@ def quality_report(df: DataFrame) -> DataFrame:
 
 
 def extraction_report(pages: DataFrame, materials: DataFrame, start: str, end: str) -> DataFrame:
-    """Per material: pages, rows, rows inside, outside and without a date, repeated ids, items with history."""
+    """Per material: pages, rows, rows inside, outside and without a date, rows with a repeated id, rows and items with history.
+
+    Repeats are looked for inside a material; nulls are equal as ids. The item key is that of the two item columns. A material
+    without rows has zeros. ``pages`` is read three times, so it should be cut.
+    """
     inside = (F.col("data_publicacao") >= F.lit(start).cast("timestamp")) & (
         F.col("data_publicacao") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp")
     )
-    marked = item_history(pages).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("codigo_catmat", "purchase_id")))
+    keyed = pages.withColumn("_item", first_present(*[c for c in ("id_compra_item", "id_item_compra") if c in pages.columns]))
+    code, item = F.col("codigo_catmat"), F.col("_item")
+    marked = with_repeats(keyed, {"_twice": [code, F.col("purchase_id")], "_history": [code, item]}, {"_history": item.isNotNull()})
     got = marked.groupBy("codigo_catmat").agg(
-        F.count_distinct("pagina").alias("paginas"),
-        F.count(F.lit(1)).alias("brutos"),
-        F.count_if(inside).alias("no_periodo"),
+        F.count(F.lit(1)).alias("registros_api"),
+        F.count_if(inside).alias("registros_periodo"),
         F.count_if(F.col("data_publicacao").isNotNull() & ~inside).alias("fora_periodo"),
         F.count_if(F.col("data_publicacao").isNull()).alias("sem_data"),
-        F.count_if((F.col("_n") > 1) & F.col("purchase_id").isNotNull()).alias("ids_repetidos"),
-        F.count_if("hist_item_repetido").alias("linhas_historico"),
-        F.count_distinct(F.when(F.col("hist_item_repetido"), F.col("chave_item_qualidade"))).alias("itens_historico"),
+        F.count_if("_twice").alias("observacoes_duplicadas"),
+        F.count_if("_history").alias("linhas_com_item_historico"),
     )
+    counts = {"paginas": F.col("pagina"), "itens_unicos_com_historico": F.when(F.col("_history"), item)}
+    got = got.join(distinct_counts(marked, ["codigo_catmat"], counts), "codigo_catmat")
     return materials.select("codigo_catmat").distinct().join(got, "codigo_catmat", "left").na.fill(0)
 
 
-def best_key(df: DataFrame, candidates: list[str]) -> str:
-    """The column with the highest share of different values among those given; the first on a tie."""
-    shares = df.agg(*[F.try_divide(F.count_distinct(c), F.count(c)).alias(c) for c in candidates]).first()
-    return max(candidates, key=lambda c: shares[c] or 0.0)
+def best_key(df: DataFrame, candidates: list[str]) -> str | None:
+    """The column with the highest share of different values among those that are not blank; the first on a tie, none without values.
+
+    One aggregation runs when this is called.
+    """
+    filled = {c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in candidates}
+    counts = distinct_counts(df, [], filled).first()
+    there = df.agg(*[F.count(v).alias(c) for c, v in filled.items()]).first()
+    shares = {c: counts[c] / there[c] for c in candidates if there[c]}
+    return max(shares, key=shares.get) if shares else None
 
 
 #: Fixed value: columns of a commercial signature.
-SIGNATURE = ["codigo_catmat", "data_publicacao", "quantidade", "valor_unitario", "cnpj_fornecedor", "uasg"]
-
-
-def duplicate_kinds(df: DataFrame, key: str, signature: list[str] | None = None) -> DataFrame:
-    """Adds dup_confirmada, dup_linha, dup_comercial and compra_varios_itens."""
-    items = df.groupBy("id_compra").agg((F.count_distinct("numero_item") > 1).alias("compra_varios_itens"))
-    marked = df.withColumns(
-        {
-            "dup_confirmada": F.col(key).isNotNull() & duplicated([key]),
-            "dup_linha": duplicated(df.columns),
-            "dup_comercial": duplicated(signature or SIGNATURE),
-        }
-    )
-    items = items.withColumnRenamed("id_compra", "_c")
-    return marked.join(items, F.col("id_compra").eqNullSafe(F.col("_c")), "left").drop("_c")
+SIGNATURE = ["data_publicacao", "codigo_catmat", "quantidade", "valor_unitario", "cnpj_fornecedor", "purchase_id"]
 
 
-#: What the metrics of the duplicate report say.
-MEANINGS = {
-    "linhas": "rows in the table",
-    "dup_confirmada": "rows that share the unique key",
-    "dup_linha": "rows equal in every column",
-    "dup_comercial": "rows with one commercial signature",
-    "compra_varios_itens": "rows of purchases with many items",
+def duplicate_kinds(df: DataFrame, key: str | None, signature: list[str] | None = None) -> DataFrame:
+    """Adds dup_confirmada (the key, trimmed, is not blank and occurs again), dup_linha (the whole row does), dup_comercial (the
+    signature does, nulls being equal) and compra_varios_itens (the purchase, if it is named, has more rows).
+
+    ``df`` is read three times, so it should be cut.
+    """
+    text = F.trim(F.col(key).cast("string")) if key else F.lit(None).cast("string")
+    flags = {
+        "dup_confirmada": [text],
+        "dup_linha": [F.col(f"`{c}`") for c in df.columns],
+        "dup_comercial": [F.col(c) for c in signature or SIGNATURE if c in df.columns],
+        "compra_varios_itens": [F.col("id_compra")],
+    }
+    named = lambda c: F.coalesce(c != "", F.lit(False))
+    return with_repeats(df, flags, {"dup_confirmada": named(text), "compra_varios_itens": named(F.col("id_compra").cast("string"))})
+
+
+#: The metrics of the duplicate report, the flags they count, and what they say.
+METRICS = {
+    "duplicados_confirmados": ("dup_confirmada", "Mesma chave única repetida"),
+    "duplicados_integrais": ("dup_linha", "Linhas integralmente iguais"),
+    "repeticoes_comerciais": ("dup_comercial", "Mesma assinatura comercial"),
+    "linhas_em_compras_com_multiplos_itens": ("compra_varios_itens", "Repetição esperada de id_compra"),
 }
 
 
-def duplicate_report(df: DataFrame) -> DataFrame:
-    """metrica, valor, interpretacao from one aggregation."""
-    kinds = [k for k in MEANINGS if k != "linhas"]
-    sums = df.agg(F.count(F.lit(1)).alias("linhas"), *[F.count_if(k).alias(k) for k in kinds])
-    long = sums.unpivot([], list(MEANINGS), "metrica", "valor")
-    meaning = F.create_map(*[F.lit(x) for p in MEANINGS.items() for x in p])
-    return long.withColumn("interpretacao", meaning[F.col("metrica")])
+def duplicate_report(df: DataFrame, key: str | None) -> DataFrame:
+    """metrica, valor (as text), interpretacao of a table with the flags of ``duplicate_kinds``, from one aggregation."""
+    rows = [("registros_totais", F.count(F.lit(1)), "Total de linhas"), ("chave_unica_utilizada", F.lit(key or "NAO_IDENTIFICADA"), "Chave de item")]
+    rows += [(k, F.count_if(flag), says) for k, (flag, says) in METRICS.items()]
+    one = df.agg(*[v.cast("string").alias(k) for k, v, _ in rows])
+    told = F.array(*[F.struct(F.lit(k).alias("metrica"), F.col(k).alias("valor"), F.lit(says).alias("interpretacao")) for k, _, says in rows])
+    return one.select(F.inline(told))
+
+
+def unit_quality_report(df: DataFrame, outliers: DataFrame) -> DataFrame:
+    """metrica, valor: rows, rows with and without a unit and their percentage, outliers of ``outlier_gravidade`` and the critical ones."""
+    informed = F.coalesce(F.trim("nome_unidade_fornecimento") != "", F.lit(False))
+    a = df.agg(
+        F.count(F.lit(1)).alias("registros"),
+        F.count_if(informed).alias("unidade_informada"),
+        F.count_if(~informed).alias("unidade_nao_informada"),
+        F.round(100.0 * F.try_divide(F.count_if(informed), F.count(F.lit(1))), 2).alias("percentual_unidade_informada"),
+    )
+    b = outliers.agg(F.count(F.lit(1)).alias("outliers_recalculados"), F.count_if(F.col("outlier_gravidade") == "CRITICO").alias("outliers_criticos"))
+    one = a.crossJoin(F.broadcast(b))  # one row each
+    return one.select([F.col(c).cast("double").alias(c) for c in one.columns]).unpivot([], one.columns, "metrica", "valor")
 
 
 def field_fill(df: DataFrame, columns: list[str], examples: int = 15) -> DataFrame:
-    """Per column: filled, missing, percent, different values, and the least values as examples."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("campo"), present(c).alias("v")) for c in columns])).alias("x")).select("x.*")
+    """Per column: filled, missing, percent, different values, and the least values as examples.
+
+    Values are counted first. The list of least values is cut to ``examples`` in every task before it is shuffled (a rank with a
+    limit is applied on both sides of the exchange), so that no task sees a column's values together.
+    """
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("campo"), present(c).alias("v")) for c in columns])))
     counts = long.groupBy("campo", "v").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(W.partitionBy("campo").orderBy(F.col("v").asc_nulls_last()))
-    return counts.withColumn("r", rank).groupBy("campo").agg(
-        F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("preenchidos"),
+    filled = F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0))
+    sums = counts.groupBy("campo").agg(
+        filled.alias("preenchidos"),
         F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("ausentes"),
-        (100.0 * F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)) / F.sum("n")).alias("percentual"),
+        (100.0 * filled / F.sum("n")).alias("percentual"),
         F.count("v").alias("distintos"),
-        F.array_join(F.sort_array(F.collect_list(F.when(F.col("r") <= examples, F.col("v")))), "; ").alias("exemplos"),
     )
+    rank = F.row_number().over(W.partitionBy("campo").orderBy("v"))
+    least = counts.where("v is not null").select("campo", "v").withColumn("r", rank).where(F.col("r") <= examples)
+    shown = least.groupBy("campo").agg(F.array_join(F.sort_array(F.collect_list("v")), "; ").alias("exemplos"))
+    return sums.join(shown, "campo", "left").withColumn("exemplos", F.coalesce("exemplos", F.lit("")))

@@ -6,40 +6,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrymill.operators.measures import join_groups
+from quarrymill.operators.ranks import distinct_counts
+
 #: Names of the months and of the days from Monday on.
 MONTHS = "Jan Fev Mar Abr Mai Jun Jul Ago Set Out Nov Dez".split()
 DAYS = "Seg Ter Qua Qui Sex Sáb Dom".split()
 
 
-def monthly_series(df: DataFrame, by: list[str], start: str | None = None, end: str | None = None) -> DataFrame:
-    """Every key with every month of the given range, else of the whole table; missing months are zero."""
+def monthly_series(df: DataFrame, by: list[str], start: str | None = None, end: str | None = None, purchase: str | None = None) -> DataFrame:
+    """Every key with every month of the given range, else of the whole table; missing months are zero.
+
+    With ``purchase``, a column that names purchases, compras_distintas is added.
+    """
     month = F.trunc("data_publicacao", "month")
-    sums = df.groupBy(*by, month.alias("mes")).agg(
+    rows = df.select(*by, month.alias("mes"), "quantidade", *([purchase] if purchase else []))
+    sums = rows.groupBy(*by, "mes").agg(
         F.coalesce(F.sum("quantidade"), F.lit(0.0)).alias("quantidade_total"), F.count(F.lit(1)).alias("numero_observacoes")
     )
+    if purchase:
+        sums = join_groups(sums, distinct_counts(rows, [*by, "mes"], {"compras_distintas": F.col(purchase)}), [*by, "mes"])
     ends = sums.agg(F.min("mes").alias("a"), F.max("mes").alias("b"))
     if start and end:
         ends = ends.select(F.trunc(F.lit(start), "month").alias("a"), F.trunc(F.lit(end), "month").alias("b"))
     months = ends.where("a is not null").select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("mes"))
     grid = sums.select(*by).distinct().crossJoin(F.broadcast(months))  # months of a range of dates
-    right = sums.withColumnsRenamed({c: f"_{c}" for c in [*by, "mes"]})
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, "mes"]]
-    return grid.join(right, on, "left").select(
-        *by,
-        "mes",
-        F.coalesce("quantidade_total", F.lit(0.0)).alias("quantidade_total"),
-        F.coalesce("numero_observacoes", F.lit(0)).alias("numero_observacoes"),
-    )
+    values = [c for c in sums.columns if c not in (*by, "mes")]
+    zero = {c: 0.0 if c == "quantidade_total" else 0 for c in values}
+    return join_groups(grid, sums, [*by, "mes"]).select(*by, "mes", *[F.coalesce(c, F.lit(zero[c])).alias(c) for c in values])
 
 
 def roll_up(series: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Series of modelling units from those of materials; ``mapping`` has codigo_catmat and the unit's columns."""
+    """Series of modelling units from those of materials; ``mapping`` has codigo_catmat and the unit's columns.
+
+    catmats_ativos are the materials of the unit, with demand in the month or not.
+    """
     unit = ["unidade_modelagem", "nivel_modelagem", "segmento_modelagem"]
-    active = F.when(F.col("quantidade_total") > 0, F.col("codigo_catmat"))
+    known = ["compras_distintas"] if "compras_distintas" in series.columns else []
     return series.join(mapping, "codigo_catmat").groupBy(*unit, "mes").agg(
         F.sum("quantidade_total").alias("quantidade"),
         F.sum("numero_observacoes").alias("registros"),
-        F.count_distinct(active).alias("catmats_ativos"),
+        *[F.sum(c).alias(c) for c in known],
+        F.count_distinct("codigo_catmat").alias("catmats_ativos"),
     )
 
 
@@ -86,19 +94,27 @@ def intermittency(series: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("tipo_demanda", kind).drop("_a", "_b", "_m", "_s")
 
 
-def unit_diagnostic(units: DataFrame, weights: DataFrame) -> DataFrame:
-    """Per modelling unit: months, zero share, years, materials, least and largest weight, strategy."""
-    a = units.groupBy("unidade_modelagem", "nivel_modelagem").agg(
-        F.sum("registros").alias("registros"),
-        F.count_distinct(F.year("mes")).alias("anos"),
+#: Strategies by level.
+STRATEGIES = {"INDIVIDUAL": "Modelo individual por CATMAT", "SEGMENTO": "Modelo agregado por segmento com distribuição robusta aos CATMATs"}
+
+
+def unit_diagnostic(fact: DataFrame, units: DataFrame, weights: DataFrame) -> DataFrame:
+    """Per modelling unit: materials, rows, quantity and years of the fact, months with and without demand, weights, strategy.
+
+    ``fact`` has the rows with their unidade_modelagem, ``units`` the zero-filled series, ``weights`` the materials' peso_rateio.
+    """
+    unit = ["unidade_modelagem"]
+    series = units.groupBy("unidade_modelagem", "nivel_modelagem", "segmento_modelagem").agg(
         F.count_if(F.col("quantidade") > 0).alias("meses_ativos"),
-        F.try_divide(F.count_if(F.col("quantidade") <= 0), F.count(F.lit(1))).alias("proporcao_zero"),
-    )
-    w = weights.groupBy("unidade_modelagem").agg(
-        F.count_distinct("codigo_catmat").alias("materiais"), F.min("peso_rateio").alias("peso_minimo"), F.max("peso_rateio").alias("peso_maximo")
+        F.try_divide(F.count_if(F.col("quantidade") == 0), F.count(F.lit(1))).alias("percentual_meses_sem_demanda"),
     )
-    plan = F.when(F.col("nivel_modelagem") == "INDIVIDUAL", "MODELO_PROPRIO").otherwise("MODELO_SEGMENTO_COM_RATEIO")
-    return a.join(w, "unidade_modelagem", "left").withColumn("estrategia", plan)
+    rows = fact.groupBy(*unit).agg(F.count(F.lit(1)).alias("registros"), F.coalesce(F.sum("quantidade"), F.lit(0.0)).alias("quantidade_total"))
+    keys = {"catmats": F.col("codigo_catmat"), "anos_ativos": F.year("data_publicacao")}
+    rows = join_groups(rows, distinct_counts(fact, unit, keys), unit)
+    w = weights.groupBy(*unit).agg(F.min("peso_rateio").alias("peso_minimo"), F.max("peso_rateio").alias("peso_maximo"))
+    plan = F.when(F.col("nivel_modelagem") == "INDIVIDUAL", STRATEGIES["INDIVIDUAL"]).otherwise(STRATEGIES["SEGMENTO"])
+    out = join_groups(join_groups(series, rows, unit), w, unit).withColumn("estrategia_previsao", plan)
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("registros", "catmats", "anos_ativos")}).withColumn("quantidade_total", F.coalesce("quantidade_total", F.lit(0.0)))
 
 
 def future_months(last: Column, h: int) -> Column:

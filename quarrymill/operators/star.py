@@ -9,6 +9,8 @@ from quarrymill.functions.keys import date_keys, key_or
 from quarrymill.functions.text import clean_text, labelled
 from quarrymill.operators.filters import one_per, without_family
 from quarrymill.operators.hierarchy import to_scenarios
+from quarrymill.operators.measures import join_groups
+from quarrymill.operators.ranks import modes
 from quarrymill.operators.series import calendar
 from quarrymill.operators.typing import align, resolve_aliases
 
@@ -74,19 +76,19 @@ def dim_material(history: DataFrame, forecast: DataFrame | None = None) -> DataF
         none = dict.fromkeys(("codigo_pdm", "codigo_classe"), F.lit(None).cast("string"))
         rows = rows.unionByName(resolve_aliases(forecast, MATERIAL_ALIASES).withColumns(none).select(*cols))
     rows = rows.where("codigo_catmat is not null")
-    out = rows.groupBy("codigo_catmat").agg(*[F.mode(clean_text(c), True).alias(c) for c in cols[1:]])
+    out = modes(rows, ["codigo_catmat"], {c: clean_text(c) for c in cols[1:]})
     return out.withColumn("material_rotulo", labelled("codigo_catmat", "descricao_item", "Descrição não informada"))
 
 
 def dim_supplier(df: DataFrame) -> DataFrame:
-    key = key_or("cnpj_fornecedor", "FORNECEDOR_NAO_INFORMADO").alias("fornecedor_key")
-    return df.groupBy(key).agg(F.coalesce(F.mode(clean_text("fornecedor_nome"), True), F.lit("FORNECEDOR NAO INFORMADO")).alias("fornecedor_nome"))
+    keyed = df.withColumn("fornecedor_key", key_or("cnpj_fornecedor", "FORNECEDOR_NAO_INFORMADO"))
+    out = modes(keyed, ["fornecedor_key"], {"fornecedor_nome": clean_text("fornecedor_nome")})
+    return out.withColumn("fornecedor_nome", F.coalesce("fornecedor_nome", F.lit("FORNECEDOR NAO INFORMADO")))
 
 
 def dim_buyer(df: DataFrame, attributes: tuple[str, ...] = ("orgao", "uf", "municipio", "poder", "esfera")) -> DataFrame:
     df = resolve_aliases(df, BUYER_ALIASES)
-    key = key_or("uasg", "UASG_NAO_INFORMADA").alias("uasg_key")
-    return df.groupBy(key).agg(*[F.mode(clean_text(c), True).alias(c) for c in attributes])
+    return modes(df.withColumn("uasg_key", key_or("uasg", "UASG_NAO_INFORMADA")), ["uasg_key"], {c: clean_text(c) for c in attributes})
 
 
 def dim_unit(df: DataFrame) -> DataFrame:
@@ -94,13 +96,11 @@ def dim_unit(df: DataFrame) -> DataFrame:
     rows = resolve_aliases(df, UNIT_ALIASES).where("codigo_catmat is not null")
     unit = key_or("unidade_comparavel", "UNIDADE_NAO_INFORMADA")
     key = F.concat(F.col("codigo_catmat").cast("string"), F.lit("|"), unit).alias("unidade_key")
-    return rows.groupBy(key).agg(
-        F.min("codigo_catmat").alias("codigo_catmat"),
-        F.mode(unit, True).alias("unidade_comparavel"),
-        F.mode(clean_text("sigla_unidade_fornecimento"), True).alias("sigla_unidade_fornecimento"),
-        F.mode(clean_text("nome_unidade_fornecimento"), True).alias("nome_unidade_fornecimento"),
-        F.min("capacidade").alias("capacidade"),
-    )
+    rows = rows.select(key, "codigo_catmat", unit.alias("unidade_comparavel"), "sigla_unidade_fornecimento", "nome_unidade_fornecimento", "capacidade")
+    texts = ("sigla_unidade_fornecimento", "nome_unidade_fornecimento")
+    # code and unit are of the key itself
+    least = rows.groupBy("unidade_key").agg(*[F.min(c).alias(c) for c in ("codigo_catmat", "unidade_comparavel", "capacidade")])
+    return join_groups(least, modes(rows, ["unidade_key"], {c: clean_text(c) for c in texts}), ["unidade_key"])
 
 
 def fact_forecast(wide: DataFrame, ids: list[str]) -> DataFrame:
@@ -118,8 +118,8 @@ def forecast_summary(df: DataFrame) -> DataFrame:
 
 def family_label(df: DataFrame, codes: DataFrame, default: str) -> str:
     """The most frequent family text of some codes."""
-    row = df.join(codes, "codigo_catmat", "left_semi").agg(F.mode(clean_text("familia_material"), True).alias("f")).first()
-    return row["f"] or default
+    row = modes(df.join(codes, "codigo_catmat", "left_semi"), [], {"f": clean_text("familia_material")}).first()
+    return row["f"] if row and row["f"] else default
 
 
 def integrate(gold: DataFrame, pilot: DataFrame, old_codes: DataFrame, word: str = "MEDIDOR") -> DataFrame:

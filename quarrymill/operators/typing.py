@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructType
 
 from quarrymill.functions import keys, units
 from quarrymill.functions.text import clean_text, parse_bool, parse_decimal, present
+from quarrymill.operators.ranks import row_position
 
 #: Fields of a raw price record and the columns that they become.
 RECORD_FIELDS = {
@@ -126,32 +129,57 @@ def pilot_silver(records: DataFrame, metadata: DataFrame, start: str, end: str)
     )
 
 
-def pilot_gold(pilot: DataFrame, codes: DataFrame, schema: StructType) -> DataFrame:
-    """Pilot rows of some codes in the schema of the gold fact."""
-    order = ["codigo_catmat", "data_referencia", "quantidade", "preco_unitario", "ni_fornecedor", "codigo_uasg"]
-    from pyspark.sql import Window as W
+#: Source columns of the pilot's rows.
+PILOT = {
+    "codigo_catmat": ["codigo_catmat", "codigo_item_catalogo"], "data_referencia": ["data_referencia", "data_resultado", "data_compra"],
+    "quantidade": ["quantidade", "quantidade_item"], "preco_unitario": ["preco_unitario", "valor_unitario"],
+    "valor_total_calculado": ["valor_total_calculado", "valor_total"],
+    "sigla_unidade_fornecimento": ["sigla_unidade_fornecimento", "unidade_fornecimento"], "nome_unidade_fornecimento": ["nome_unidade_fornecimento"],
+    "capacidade_unidade_fornecimento": ["capacidade_unidade_fornecimento"],
+    "id_compra": ["id_compra"], "id_item_compra": ["id_item_compra"], "id_compra_item": ["id_compra_item"],
+    "descricao_material": ["descricao_catalogo", "descricao_item", "descricao"], "cnpj_fornecedor": ["ni_fornecedor", "cnpj_fornecedor", "fornecedor_id"],
+    "fornecedor_nome": ["nome_fornecedor", "fornecedor_nome", "fornecedor"], "uasg": ["codigo_uasg", "uasg"], "orgao": ["nome_uasg", "orgao", "nome_orgao"],
+    "uf_uasg": ["uf_uasg", "estado", "uf", "sigla_uf"], "municipio": ["municipio", "nome_municipio"],
+}
+#: Fields of a pilot row's id, before its position.
+PILOT_ID = ("codigo_catmat", "id_compra", "id_item_compra", "id_compra_item", "data_referencia")
+
+
+def pilot_gold(pilot: DataFrame, codes: DataFrame, schema: StructType, family: str) -> DataFrame:
+    """Pilot rows of some codes in the schema of the gold fact.
 
-    place = F.row_number().over(W.partitionBy(*order).orderBy(F.lit(1)))  # repeats of one content only
+    A row's id holds its position, from 1, among all rows of the pilot in the order of the id's fields and then of all other
+    columns, so that the same rows have the same ids in any layout of files; rows equal in every column have one id each.
+    """
+    source = resolve_aliases(pilot, PILOT)
+    texts = [c for c in PILOT if c not in ("codigo_catmat", "data_referencia") and not c.startswith(("quantidade", "preco", "valor", "capacidade"))]
+    source = typed(source, ["quantidade", "preco_unitario", "valor_total_calculado", "capacidade_unidade_fornecimento"], ["data_referencia"], ["codigo_catmat"])
+    source = source.withColumns({c: clean_text(c) for c in texts})
     total = F.coalesce("valor_total_calculado", F.col("quantidade") * F.col("preco_unitario"))
-    out = pilot.join(codes, "codigo_catmat", "left_semi").withColumn("_p", place)
-    out = out.withColumns(
+    source = source.withColumn("valor_total_calculado", total)
+    rest = sorted(c for c in source.columns if c not in PILOT_ID)
+    placed = row_position(source, [*PILOT_ID, *rest], "_place").join(F.broadcast(codes.select("codigo_catmat").distinct()), "codigo_catmat", "left_semi")
+    out = placed.withColumns(
         {
-            "purchase_id": keys.pilot_id(*order, "_p"),
+            "purchase_id": keys.pilot_id(*PILOT_ID, F.col("_place") + 1),
             "data_publicacao": F.col("data_referencia"),
+            "familia_material": F.lit(family),
             "valor_unitario": F.col("preco_unitario"),
-            "valor_total": total,
-            "cnpj_fornecedor": F.col("ni_fornecedor"),
-            "fornecedor_nome": F.col("nome_fornecedor"),
-            "uasg": F.col("codigo_uasg"),
-            "uf": F.col("estado"),
+            "valor_total": F.col("valor_total_calculado"),
             "unidade_comparavel": units.comparable_unit_upper(
                 "capacidade_unidade_fornecimento", "sigla_unidade_fornecimento", "nome_unidade_fornecimento"
             ),
+            "tipo_preco": F.lit("PRATICADO"),
+            "fonte": F.lit("Compras.gov.br"),
+            "unidade_fornecimento_informada": F.col("sigla_unidade_fornecimento").isNotNull() | F.col("nome_unidade_fornecimento").isNotNull(),
+            "hist_item_repetido": F.lit(False),
+            "dq_duplicidade": F.lit(False),
+            "is_price_outlier": F.lit(False),
+            "outlier_gravidade": F.lit("SEM_ALERTA"),
         }
     )
     missing = [F.col(c).isNull() for c in ("data_publicacao", "codigo_catmat", "quantidade", "valor_unitario", "unidade_comparavel")]
-    flag = missing[0] | missing[1] | missing[2] | missing[3] | missing[4]
-    return align(out.withColumn("dq_possui_erro", flag), schema)
+    return align(out.withColumn("dq_possui_erro", reduce(lambda a, b: a | b, missing)), schema)
 
 
 #: Columns of the table for exploration and where they may come from.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions.units import comparable_unit
 from quarrymill.operators.outliers import flag_outliers
 from quarrymill.operators.quality import apply_quality
+from quarrymill.sources.scratch import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,14 +56,30 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once into the folder in spark.checkpoint.dir, where that is set: for tables that a plan reads more than once."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with quality and outlier flags; rows are written once and not shuffled after."""
+    return flag_outliers(apply_quality(cut(purchases(spark, sf_dir))))
+
+
+def with_gaps(df: DataFrame) -> DataFrame:
+    """Purchases with what real records lack, by rules on the order: tax numbers, names, purchases, dates, quantities below zero."""
+    k = F.col("id_compra").cast("long")
+    return df.withColumns(
+        {
+            "cnpj_fornecedor": F.when(k % 61 == 0, " ").when(k % 67 == 0, None).otherwise(F.col("cnpj_fornecedor")),
+            "fornecedor_nome": F.when(k % 134 == 0, None).otherwise(F.col("fornecedor_nome")),
+            "quantidade": F.when(k % 103 == 0, -F.col("quantidade")).otherwise(F.col("quantidade")),
+            "data_publicacao": F.when(k % 113 == 0, None).otherwise(F.col("data_publicacao")),
+            "ano": F.when(k % 113 == 0, None).otherwise(F.col("ano")),
+            "id_compra": F.when(k % 109 == 0, None).when(k % 107 == 0, "").otherwise(F.col("id_compra")),
+            "sigla_unidade_fornecimento": F.when(k % 4 == 0, "CX").when(k % 4 == 1, "PC"),
+        }
+    )
 
 
-def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases with quality and outlier flags."""
-    return flag_outliers(cut(apply_quality(purchases(spark, sf_dir))))
+def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with gaps and quality flags."""
+    return apply_quality(cut(with_gaps(purchases(spark, sf_dir))))
 
 
 PURCHASES = """
@@ -101,8 +118,8 @@ flags AS (
            abs(valor_total - quantidade * valor_unitario) / nullif(abs(valor_total), 0) AS diferenca_valor_pct,
            coalesce(abs(valor_total - quantidade * valor_unitario) / nullif(abs(valor_total), 0) > 0.02, false) AS dq_valor_inconsistente,
            count(*) OVER (PARTITION BY id_compra_item) > 1 AS hist_item_repetido,
-           count(*) OVER (PARTITION BY id_compra, id_compra_item, numero_item, codigo_catmat, data_publicacao, quantidade,
-                          valor_unitario, valor_total, cnpj_fornecedor, uasg, unidade_comparavel) > 1 AS dq_duplicidade
+           count(*) OVER (PARTITION BY id_compra_item, id_compra, numero_item, codigo_catmat, data_publicacao, cnpj_fornecedor, uasg,
+                          quantidade, valor_unitario, unidade_comparavel) > 1 AS dq_duplicidade
     FROM purchases
   )
 )"""
@@ -126,6 +143,21 @@ gold AS (
        AND NOT dq_duplicidade
 )"""
 )
+_GAPS = """,
+gaps AS (
+  SELECT * REPLACE (CASE WHEN k % 61 = 0 THEN ' ' WHEN k % 67 = 0 THEN NULL ELSE cnpj_fornecedor END AS cnpj_fornecedor,
+      CASE WHEN k % 134 = 0 THEN NULL ELSE fornecedor_nome END AS fornecedor_nome, CASE WHEN k % 103 = 0 THEN -quantidade ELSE quantidade END AS quantidade,
+      CASE WHEN k % 113 = 0 THEN NULL ELSE data_publicacao END AS data_publicacao, CASE WHEN k % 113 = 0 THEN NULL ELSE ano END AS ano,
+      CASE WHEN k % 109 = 0 THEN NULL WHEN k % 107 = 0 THEN '' ELSE id_compra END AS id_compra),
+    CASE k % 4 WHEN 0 THEN 'CX' WHEN 1 THEN 'PC' END AS sigla_unidade_fornecimento,
+    coalesce(nullif(trim(CASE WHEN k % 61 = 0 THEN ' ' WHEN k % 67 = 0 THEN NULL ELSE cnpj_fornecedor END), ''), CASE WHEN k % 134 = 0 THEN NULL ELSE fornecedor_nome END, 'NAO_IDENTIFICADO') AS fornecedor_chave
+  FROM (SELECT *, CAST(id_compra AS BIGINT) AS k FROM purchases)
+)"""
+#: Purchases with gaps, in SQL, and the same with flags.
+GAPS = PURCHASES + _GAPS
+GAP_FLAGS = GAPS + FLAGS[len(PURCHASES) :].replace("FROM purchases", "FROM gaps").replace(
+    "OR dq_duplicidade AS dq_possui_erro", "OR dq_duplicidade OR data_publicacao IS NULL AS dq_possui_erro"
+).replace("nome_unidade_fornecimento = '' AS dq_unidade_ausente", "nome_unidade_fornecimento = '' AND sigla_unidade_fornecimento IS NULL AS dq_unidade_ausente")
 SEVERITY = (
     "CASE WHEN {r} >= 5 OR {r} <= 0.20 THEN 'CRITICO' WHEN {r} >= 3 OR {r} <= 0.33 THEN 'ALTO' ELSE 'MODERADO' END"
 )

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from quarrymill.functions import models
 from quarrymill.operators import audit, backtest, filters, hierarchy, joins, measures, series, star
 from quarrymill.operators.quality import apply_quality
-from quarrymill.plans.adapter import FLAGS, PURCHASES, cut, gold, purchases
+from quarrymill.plans.adapter import FLAGS, PURCHASES, gold, purchases
 from quarrymill.plans.purchases import query
 from quarrymill.plans.reference import with_attributes
+from quarrymill.sources.scratch import cut
 
 BY = ["codigo_catmat", "descricao_item"]
 UNIT = ["unidade_modelagem", "nivel_modelagem", "segmento_modelagem"]
 
 
 def _rows(spark, sf_dir):
-    return filters.forecastable(apply_quality(purchases(spark, sf_dir)))
+    return filters.forecastable(apply_quality(cut(purchases(spark, sf_dir))))
 
 
 def _series(spark, sf_dir):
@@ -182,7 +183,8 @@ def _(spark, sf_dir):
 
 def _units(spark, sf_dir):
     rows = cut(_rows(spark, sf_dir).select("id_compra", "id_compra_item", "codigo_catmat", "data_publicacao", "quantidade", "uf"))
-    return rows, cut(series.roll_up(series.monthly_series(rows, ["codigo_catmat"]), joins.require_unique(_mapping(rows), ["codigo_catmat"])))
+    monthly = series.monthly_series(rows, ["codigo_catmat"], purchase="id_compra")
+    return rows, cut(series.roll_up(monthly, joins.require_unique(_mapping(rows), ["codigo_catmat"])))
 
 
 def _unit_forecast(spark, sf_dir):
@@ -190,10 +192,41 @@ def _unit_forecast(spark, sf_dir):
     return rows, backtest.unit_forecast(series.as_arrays(units, UNIT, "quantidade"), UNIT)
 
 
-@query("unit_diagnostic")
+#: Units of materials and their zero-filled series, in SQL.
+_UNIT_SERIES = (
+    _WEIGHTS
+    + """,
+fc AS (SELECT f.*, u, CAST(date_trunc('month', data_publicacao) AS DATE) AS mes FROM flags f JOIN h USING (codigo_catmat) WHERE quantidade >= 0 AND NOT dq_duplicidade),
+months AS (SELECT CAST(unnest(generate_series(min(mes), max(mes), INTERVAL 1 MONTH)) AS DATE) AS mes FROM fc),
+sums AS (SELECT codigo_catmat, mes, sum(quantidade) AS q, count(*) AS n, count(DISTINCT id_compra) AS c FROM fc GROUP BY 1, 2),
+units AS (
+  SELECT u AS unidade_modelagem, CASE WHEN u LIKE 'M%' THEN 'INDIVIDUAL' ELSE 'SEGMENTO' END AS nivel_modelagem, u AS segmento_modelagem, m.mes,
+         coalesce(sum(sums.q), 0) AS quantidade, CAST(coalesce(sum(n), 0) AS BIGINT) AS registros, CAST(coalesce(sum(sums.c), 0) AS BIGINT) AS compras_distintas, count(DISTINCT h.codigo_catmat) AS catmats_ativos
+  FROM h CROSS JOIN months m LEFT JOIN sums ON sums.codigo_catmat = h.codigo_catmat AND sums.mes = m.mes GROUP BY 1, 2, 3, 4)"""
+)
+
+
+@query("unit_series", f"WITH {_UNIT_SERIES} SELECT * REPLACE (round(quantidade + 1e-7, 4) AS quantidade) FROM units", dates=("mes",))
+def _(spark, sf_dir):
+    return _units(spark, sf_dir)[1]
+
+
+@query(
+    "unit_diagnostic",
+    f"""WITH {_UNIT_SERIES}, s AS (SELECT unidade_modelagem, nivel_modelagem, segmento_modelagem, count(*) FILTER (WHERE quantidade > 0) AS meses_ativos,
+      count(*) FILTER (WHERE quantidade = 0) / count(*) AS z FROM units GROUP BY 1, 2, 3),
+    r AS (SELECT u, count(DISTINCT codigo_catmat) AS catmats, count(*) AS registros, sum(quantidade) AS q, count(DISTINCT year(data_publicacao)) AS anos FROM fc WHERE u <> 'M1' OR year(data_publicacao) = 1996 GROUP BY 1)
+    SELECT unidade_modelagem, nivel_modelagem, segmento_modelagem, meses_ativos, round(z + 1e-7, 4) AS percentual_meses_sem_demanda, registros, catmats, round(r.q + 1e-7, 4) AS quantidade_total, anos AS anos_ativos,
+    round(min(peso) + 1e-7, 4) AS peso_minimo, round(max(peso) + 1e-7, 4) AS peso_maximo, CASE nivel_modelagem WHEN 'INDIVIDUAL' THEN 'Modelo individual por CATMAT'
+      ELSE 'Modelo agregado por segmento com distribuição robusta aos CATMATs' END AS estrategia_previsao
+    FROM s JOIN r ON r.u = unidade_modelagem JOIN w ON w.u = unidade_modelagem GROUP BY ALL""",
+)
 def _(spark, sf_dir):
+    """The diagnostic's fact has the rows of one year only for the first unit, so years of the series would not do."""
     rows, units = _units(spark, sf_dir)
-    return series.unit_diagnostic(units, _weights(rows))
+    fact = rows.join(F.broadcast(_mapping(rows)), "codigo_catmat")  # a row for each material
+    fact = fact.where((F.col("unidade_modelagem") != "M1") | (F.year("data_publicacao") == 1996))
+    return series.unit_diagnostic(fact, units, _weights(rows))
 
 
 @query("hier_backtest")
@@ -274,7 +307,7 @@ def _(spark, sf_dir):
     FROM (SELECT * FROM a UNION SELECT * FROM b)""",
 )
 def _(spark, sf_dir):
-    df = apply_quality(purchases(spark, sf_dir))
+    df = apply_quality(cut(purchases(spark, sf_dir)))
     return audit.code_sets(df.where("not dq_possui_erro and uf < 'M'"), df.where("capacidade = 100 and codigo_catmat > 3"))
 
 

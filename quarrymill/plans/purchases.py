@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrymill.operators import analytics, filters, measures, outliers, quality
+from quarrymill.operators import analytics, filters, measures, outliers, quality, ranks
 from quarrymill.operators.standardize import round_all
-from quarrymill.plans.adapter import FLAGS, GOLD, PURCHASES, SEVERITY, gold, purchases
+from quarrymill.plans.adapter import FLAGS, GAP_FLAGS, GAPS, GOLD, PURCHASES, SEVERITY, gaps, gold, purchases, with_gaps
+from quarrymill.sources.scratch import cut
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -41,7 +42,7 @@ def names(text: str) -> list[str]:
 
 
 def flagged(spark, sf_dir):
-    return quality.apply_quality(purchases(spark, sf_dir))
+    return quality.apply_quality(cut(purchases(spark, sf_dir)))
 
 
 @query("dq_flags", f"WITH {FLAGS} SELECT {KEY}, {FLAG_COLUMNS}, round(diferenca_valor_pct + 1e-7, 4) AS diferenca_valor_pct FROM flags")
@@ -74,26 +75,40 @@ def _(spark, sf_dir):
     return filters.history_rows(flagged(spark, sf_dir)).groupBy("chave_item_qualidade").agg(F.count(F.lit(1)).alias("vezes"))
 
 
-_KINDS = f"""WITH {PURCHASES}, kinds AS (
-  SELECT count(*) OVER (PARTITION BY id_compra_item) > 1 AS dup_confirmada,
-         count(*) OVER (PARTITION BY id_compra_item, data_publicacao, codigo_catmat, familia_material, descricao_item, quantidade,
-           valor_unitario, valor_total, nome_unidade_fornecimento, capacidade, cnpj_fornecedor, fornecedor_nome, uasg, uf) > 1 AS dup_linha,
-         count(*) OVER (PARTITION BY codigo_catmat, data_publicacao, quantidade, valor_unitario, cnpj_fornecedor, uasg) > 1 AS dup_comercial,
-         v AS compra_varios_itens
-  FROM purchases JOIN (SELECT id_compra, count(DISTINCT numero_item) > 1 AS v FROM purchases GROUP BY 1) USING (id_compra))
-SELECT metrica, valor, interpretacao FROM (
-  SELECT 'linhas' AS metrica, count(*) AS valor, 'rows in the table' AS interpretacao FROM kinds UNION ALL
-  SELECT 'dup_confirmada', count(*) FILTER (WHERE dup_confirmada), 'rows that share the unique key' FROM kinds UNION ALL
-  SELECT 'dup_linha', count(*) FILTER (WHERE dup_linha), 'rows equal in every column' FROM kinds UNION ALL
-  SELECT 'dup_comercial', count(*) FILTER (WHERE dup_comercial), 'rows with one commercial signature' FROM kinds UNION ALL
-  SELECT 'compra_varios_itens', count(*) FILTER (WHERE compra_varios_itens), 'rows of purchases with many items' FROM kinds)"""
+#: Columns that price statistics read.
+_PRICED = ["familia_material", "codigo_catmat", "descricao_item", "unidade_comparavel", "quantidade", "valor_unitario", "valor_total", "cnpj_fornecedor"]
+
+_ALL = """id_compra, id_compra_item, numero_item, data_publicacao, codigo_catmat, familia_material, descricao_item, quantidade, valor_unitario, valor_total,
+    sigla_unidade_fornecimento, nome_unidade_fornecimento, capacidade, cnpj_fornecedor, fornecedor_nome, uasg, uf"""
+
+
+def _metrics_sql(metrics: dict[str, tuple[str, str]], table: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS metrica, CAST({v} AS VARCHAR) AS valor, '{says}' AS interpretacao FROM {table}" for k, (v, says) in metrics.items())
+
+
+_KINDS = f"""WITH {GAPS}, kinds AS (
+  SELECT count(*) OVER (PARTITION BY trim(id_compra_item)) > 1 AS a, count(*) OVER (PARTITION BY {_ALL}) > 1 AS b,
+         count(*) OVER (PARTITION BY data_publicacao, codigo_catmat, quantidade, valor_unitario, cnpj_fornecedor, id_compra_item) > 1 AS c,
+         id_compra <> '' AND count(*) OVER (PARTITION BY id_compra) > 1 AS d
+  FROM gaps)
+""" + _metrics_sql(
+    {
+        "registros_totais": ("count(*)", "Total de linhas"),
+        "chave_unica_utilizada": ("min('purchase_id')", "Chave de item"),
+        "duplicados_confirmados": ("count(*) FILTER (WHERE a)", "Mesma chave única repetida"),
+        "duplicados_integrais": ("count(*) FILTER (WHERE b)", "Linhas integralmente iguais"),
+        "repeticoes_comerciais": ("count(*) FILTER (WHERE c)", "Mesma assinatura comercial"),
+        "linhas_em_compras_com_multiplos_itens": ("count(*) FILTER (WHERE d)", "Repetição esperada de id_compra"),
+    },
+    "kinds",
+)
 
 
 @query("dup_kinds", _KINDS)
 def _(spark, sf_dir):
-    df = purchases(spark, sf_dir)
-    key = quality.best_key(df, ["id_compra_item", "id_compra", "numero_item"])
-    return quality.duplicate_report(quality.duplicate_kinds(df, key))
+    df = cut(with_gaps(purchases(spark, sf_dir)).withColumn("purchase_id", F.col("id_compra_item")))
+    key = quality.best_key(df, ["purchase_id", "id_compra_item", "numero_item"])
+    return quality.duplicate_report(quality.duplicate_kinds(df, key), key)
 
 
 @query(
@@ -143,13 +158,13 @@ def _(spark, sf_dir):
 @query(
     "alert_summary",
     _REVIEW + """ SELECT familia_material, codigo_catmat, descricao_item, unidade_comparavel, gravidade, motivo_alerta, count(*) AS alertas,
-    min(data_publicacao) AS primeira_data, max(data_publicacao) AS ultima_data, round(min(valor_unitario) + 1e-7, 4) AS preco_minimo,
+    min(data_publicacao) AS data_inicial, max(data_publicacao) AS data_final, round(min(valor_unitario) + 1e-7, 4) AS preco_minimo,
     round(median(valor_unitario) + 1e-7, 4) AS preco_mediano, round(max(valor_unitario) + 1e-7, 4) AS preco_maximo,
-    count(DISTINCT cnpj_fornecedor) AS fornecedores, count(DISTINCT uasg) AS uasgs
+    count(DISTINCT cnpj_fornecedor) AS fornecedores, count(DISTINCT id_compra) AS compras
     FROM review WHERE motivo_alerta LIKE '%\\_IQR%' ESCAPE '\\' OR dq_duplicidade GROUP BY 1, 2, 3, 4, 5, 6""",
 )
 def _(spark, sf_dir):
-    return outliers.alert_summary(outliers.alert_detail(outliers.review(flagged(spark, sf_dir))))
+    return outliers.alert_summary(cut(outliers.alert_detail(outliers.review(flagged(spark, sf_dir)))))
 
 
 @query("alert_counts", _REVIEW + " SELECT familia_material, gravidade, count(*) AS alertas FROM review WHERE motivo_alerta LIKE '%\\_IQR%' ESCAPE '\\' OR dq_duplicidade GROUP BY 1, 2")
@@ -169,7 +184,7 @@ WHERE valor_unitario > 0 AND q[3] > q[1] AND (valor_unitario > q[3] + 1.5 * (q[3
 
 @query("outliers_raw_unit", _RAW)
 def _(spark, sf_dir):
-    marked = quality.duplicate_kinds(purchases(spark, sf_dir), "id_compra_item")
+    marked = cut(quality.duplicate_kinds(cut(purchases(spark, sf_dir)), "id_compra_item"))
     return outliers.flagged_only(marked).select(*names(KEY), "valor_unitario", "outlier_direcao")
 
 
@@ -205,20 +220,24 @@ def _(spark, sf_dir):
     dates=("mes",),
 )
 def _(spark, sf_dir):
-    return analytics.monthly_indicators(filters.valid_purchases(flagged(spark, sf_dir)))
+    return analytics.monthly_indicators(cut(filters.valid_purchases(flagged(spark, sf_dir)).select("data_publicacao", *_PRICED)))
 
 
 @query(
     "exec_summary",
-    f"""WITH {GOLD} SELECT count(*) AS registros, min(data_publicacao) AS data_inicial, max(data_publicacao) AS data_final,
-    count(DISTINCT codigo_catmat) AS materiais, count(DISTINCT familia_material) AS familias, count(DISTINCT id_compra) AS compras,
-    count(DISTINCT cnpj_fornecedor) AS fornecedores, count(DISTINCT uasg) AS uasgs, count(DISTINCT uf) AS ufs,
-    round(sum(quantidade) + 1e-7, 4) AS quantidade_total, round(sum(valor_total) + 1e-7, 4) AS valor_total,
-    count(*) FILTER (WHERE dq_possui_erro) AS registros_erro, count(*) FILTER (WHERE is_price_outlier) AS alertas_preco,
-    count(*) FILTER (WHERE hist_item_repetido) AS registros_historico FROM gold""",
+    f"""WITH {GAP_FLAGS}, lim AS (SELECT codigo_catmat AS c, unidade_comparavel AS u, ano AS a, quantile_cont(valor_unitario, [0.25, 0.75]) AS q FROM flags
+      WHERE valor_unitario > 0 AND NOT dq_duplicidade AND unidade_comparavel IS NOT NULL AND ano IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 8),
+    told AS (SELECT f.*, coalesce(valor_unitario > 0 AND NOT dq_duplicidade AND q[2] > q[1]
+      AND (valor_unitario < greatest(0, q[1] - 1.5 * (q[2] - q[1])) OR valor_unitario > q[2] + 1.5 * (q[2] - q[1])), false) AS far
+      FROM flags f LEFT JOIN lim ON codigo_catmat = c AND unidade_comparavel = u AND ano = a)
+    SELECT count(*) AS registros, min(data_publicacao) AS data_inicial, max(data_publicacao) AS data_final, count(DISTINCT familia_material) AS familias,
+    count(DISTINCT codigo_catmat) AS catmats, count(DISTINCT unidade_comparavel) AS unidades_comparaveis, count(DISTINCT fornecedor_chave) AS fornecedores,
+    count(DISTINCT uasg) AS uasgs, count(DISTINCT uf) AS estados, round(sum(quantidade) + 1e-7, 4) AS quantidade_total, round(sum(valor_total) + 1e-7, 4) AS valor_total,
+    count(*) FILTER (WHERE dq_possui_erro) AS erros_qualidade, count(*) FILTER (WHERE dq_duplicidade) AS duplicados_confirmados,
+    count(*) FILTER (WHERE far) AS outliers_preco FROM told""",
 )
 def _(spark, sf_dir):
-    return analytics.executive_summary(gold(spark, sf_dir))
+    return analytics.executive_summary(cut(outliers.flag_outliers(gaps(spark, sf_dir))))
 
 
 @query(
@@ -233,65 +252,88 @@ def _(spark, sf_dir):
 
 @query(
     "monthly_material",
-    f"""WITH {PURCHASES} SELECT strftime(data_publicacao, '%Y-%m') AS ano_mes, codigo_catmat, unidade_comparavel, count(*) AS registros,
+    f"""WITH {GAPS} SELECT strftime(data_publicacao, '%Y-%m') AS ano_mes, familia_material, codigo_catmat, descricao_item, unidade_comparavel, count(*) AS registros,
     round(coalesce(sum(quantidade), 0) + 1e-7, 4) AS quantidade_total, round(sum(valor_total) + 1e-7, 4) AS valor_total, round(median(valor_unitario) + 1e-7, 4) AS preco_mediano,
-    count(DISTINCT cnpj_fornecedor) AS fornecedores FROM purchases GROUP BY 1, 2, 3""",
+    count(DISTINCT cnpj_fornecedor) AS fornecedores FROM gaps GROUP BY 1, 2, 3, 4, 5""",
 )
 def _(spark, sf_dir):
-    return analytics.monthly_by_material(purchases(spark, sf_dir))
+    return analytics.monthly_by_material(cut(with_gaps(purchases(spark, sf_dir)).select("data_publicacao", *_PRICED)))
 
 
 @query(
     "price_statistics",
-    f"""WITH {GOLD} SELECT familia_material, codigo_catmat, unidade_comparavel, count(*) AS observacoes, round(min(valor_unitario) + 1e-7, 4) AS preco_minimo,
-    round(quantile_cont(valor_unitario, 0.25) + 1e-7, 4) AS p25, round(median(valor_unitario) + 1e-7, 4) AS preco_mediano, round(avg(valor_unitario) + 1e-7, 4) AS preco_medio,
-    round(quantile_cont(valor_unitario, 0.75) + 1e-7, 4) AS p75, round(max(valor_unitario) + 1e-7, 4) AS preco_maximo,
+    f"""WITH {GOLD} SELECT familia_material, codigo_catmat, descricao_item, unidade_comparavel, count(*) AS registros, round(min(valor_unitario) + 1e-7, 4) AS preco_minimo,
+    round(quantile_cont(valor_unitario, 0.25) + 1e-7, 4) AS preco_p25, round(median(valor_unitario) + 1e-7, 4) AS preco_mediano, round(avg(valor_unitario) + 1e-7, 4) AS preco_medio,
+    round(quantile_cont(valor_unitario, 0.75) + 1e-7, 4) AS preco_p75, round(max(valor_unitario) + 1e-7, 4) AS preco_maximo,
     round(stddev_samp(valor_unitario) + 1e-7, 4) AS desvio_padrao, round(sum(quantidade) + 1e-7, 4) AS quantidade_total, round(sum(valor_total) + 1e-7, 4) AS valor_total,
-    round(sum(valor_total) / nullif(sum(quantidade), 0) + 1e-7, 4) AS preco_ponderado,
+    round(sum(valor_total) / nullif(sum(quantidade), 0) + 1e-7, 4) AS preco_medio_ponderado,
     round(stddev_samp(valor_unitario) / nullif(avg(valor_unitario), 0) + 1e-7, 4) AS coeficiente_variacao
-    FROM gold WHERE NOT dq_possui_erro AND NOT is_price_outlier AND unidade_comparavel IS NOT NULL AND valor_unitario > 0 GROUP BY 1, 2, 3""",
+    FROM gold WHERE NOT dq_possui_erro AND NOT is_price_outlier AND unidade_comparavel IS NOT NULL AND valor_unitario > 0 GROUP BY 1, 2, 3, 4""",
 )
 def _(spark, sf_dir):
-    return analytics.price_statistics(gold(spark, sf_dir))
+    return analytics.price_statistics(cut(gold(spark, sf_dir).select("dq_possui_erro", "is_price_outlier", *_PRICED)))
+
+
+@query(
+    "price_quantiles_ranked",
+    f"""WITH {PURCHASES} SELECT uf, familia_material, count(valor_unitario) AS n, round(quantile_cont(valor_unitario, 0.05) + 1e-7, 4) AS p5,
+    round(median(valor_unitario) + 1e-7, 4) AS p50, round(quantile_cont(valor_unitario, 0.99) + 1e-7, 4) AS p99 FROM purchases GROUP BY 1, 2
+    UNION ALL SELECT 'todos', NULL, count(valor_unitario), round(quantile_cont(valor_unitario, 0.05) + 1e-7, 4),
+    round(median(valor_unitario) + 1e-7, 4), round(quantile_cont(valor_unitario, 0.99) + 1e-7, 4) FROM purchases""",
+)
+def _(spark, sf_dir):
+    """Every row is once in its own group and once in one group of all; groups of over 200 prices are ranked over range parts."""
+    each = purchases(spark, sf_dir).select("uf", "familia_material", "valor_unitario")
+    both = each.withColumn("g", F.explode(F.array(F.struct("uf", "familia_material"), F.struct(F.lit("todos").alias("uf"), F.lit(None).cast("string").alias("familia_material")))))
+    out = ranks.exact_quantiles(both.select("g.uf", "g.familia_material", "valor_unitario"), ["uf", "familia_material"], "valor_unitario", [0.05, 0.5, 0.99], hot=200)
+    return out.select("uf", "familia_material", "n", *[F.col("q")[i].alias(k) for i, k in enumerate(("p5", "p50", "p99"))])
 
 
 @query(
     "supplier_hhi",
-    f"""WITH {PURCHASES}, each AS (SELECT ano, familia_material, cnpj_fornecedor, sum(valor_total) AS v FROM purchases GROUP BY 1, 2, 3),
-    ranked AS (SELECT *, v / sum(v) OVER (PARTITION BY ano, familia_material) AS s,
-      row_number() OVER (PARTITION BY ano, familia_material ORDER BY v DESC, cnpj_fornecedor) AS r FROM each)
-    SELECT ano, familia_material, count(*) AS fornecedores, round(sum(v) + 1e-7, 4) AS valor_total, round(sum(CASE WHEN r = 1 THEN s END) + 1e-7, 4) AS participacao_lider,
-    round(sum(CASE WHEN r <= 3 THEN s END) + 1e-7, 4) AS participacao_top3, round(sum(s * s) * 10000, 2) AS hhi,
-    CASE WHEN sum(s * s) * 10000 >= 2500 THEN 'ALTA' WHEN sum(s * s) * 10000 >= 1500 THEN 'MODERADA' ELSE 'BAIXA' END AS classe
-    FROM ranked GROUP BY 1, 2""",
+    f"""WITH {GAP_FLAGS}, each AS (SELECT ano, familia_material, fornecedor_chave, coalesce(sum(valor_total), 0) AS v FROM flags WHERE NOT dq_possui_erro GROUP BY 1, 2, 3),
+    shares AS (SELECT *, CASE WHEN sum(v) OVER g > 0 THEN v / sum(v) OVER g END AS s, row_number() OVER (PARTITION BY ano, familia_material ORDER BY v DESC, fornecedor_chave) AS r
+      FROM each WINDOW g AS (PARTITION BY ano, familia_material))
+    SELECT ano, familia_material, count(*) AS fornecedores, round(sum(v) + 1e-7, 4) AS valor_total, round(coalesce(max(s), 0) + 1e-7, 4) AS participacao_top1,
+    round(coalesce(sum(s) FILTER (WHERE r <= 3), 0) + 1e-7, 4) AS participacao_top3, round(sum(s * s) * 10000, 2) AS hhi,
+    CASE WHEN sum(s * s) * 10000 >= 2500 THEN 'ALTA' WHEN sum(s * s) * 10000 >= 1500 THEN 'MODERADA' ELSE 'BAIXA' END AS classificacao_hhi
+    FROM shares GROUP BY 1, 2""",
 )
 def _(spark, sf_dir):
-    return analytics.supplier_concentration(purchases(spark, sf_dir))
+    return analytics.supplier_concentration(cut(gaps(spark, sf_dir).select("ano", "familia_material", "cnpj_fornecedor", "fornecedor_nome", "valor_total", "dq_possui_erro")))
 
 
-_REACH = """count(*) AS registros, min(data_publicacao) AS primeira_data, max(data_publicacao) AS ultima_data,
+_REACH = """count(*) AS registros_periodo, min(data_publicacao) AS data_inicial, max(data_publicacao) AS data_final,
     count(DISTINCT year(data_publicacao)) AS anos_ativos, count(DISTINCT strftime(data_publicacao, '%Y-%m')) AS meses_ativos,
-    round(sum(quantidade) + 1e-7, 4) AS quantidade_total, count(DISTINCT id_compra) AS compras, count(DISTINCT cnpj_fornecedor) AS fornecedores"""
+    count(DISTINCT id_compra) AS compras_distintas, count(DISTINCT cnpj_fornecedor) AS fornecedores, count(DISTINCT uasg) AS uasgs"""
+
+
+def _share_sql(party: str) -> str:
+    return f"""(SELECT codigo_catmat, CASE WHEN sum(v) > 0 THEN max(v) / sum(v) END AS s FROM
+      (SELECT codigo_catmat, {party}, sum(quantidade) AS v FROM gaps WHERE quantidade >= 0 GROUP BY 1, 2) GROUP BY 1)"""
 
 
 @query(
     "material_diagnostic",
-    f"""WITH {PURCHASES}, a AS (SELECT codigo_catmat, {_REACH}, count(DISTINCT uasg) AS uasgs FROM purchases GROUP BY 1),
-    b AS (SELECT codigo_catmat, max(v) / sum(v) AS s FROM (SELECT codigo_catmat, id_compra, sum(valor_total) AS v FROM purchases GROUP BY 1, 2) GROUP BY 1),
-    c AS (SELECT codigo_catmat, max(v) / sum(v) AS s FROM (SELECT codigo_catmat, cnpj_fornecedor, sum(valor_total) AS v FROM purchases GROUP BY 1, 2) GROUP BY 1)
-    SELECT a.*, registros >= 24 AND anos_ativos >= 3 AND meses_ativos >= 12 AS modelo_individual, round(b.s + 1e-7, 4) AS maior_id_compra,
-    round(c.s + 1e-7, 4) AS maior_cnpj_fornecedor FROM a JOIN b USING (codigo_catmat) JOIN c USING (codigo_catmat)""",
+    f"""WITH {GAPS}, a AS (SELECT codigo_catmat, {_REACH}, count(DISTINCT sigla_unidade_fornecimento) AS unidades_fornecimento, min(descricao_item) AS descricao_catalogo,
+      min(familia_material) AS segmento_analitico, round(coalesce(sum(quantidade) FILTER (WHERE quantidade >= 0), 0) + 1e-7, 4) AS quantidade_total FROM gaps GROUP BY 1),
+    b AS {_share_sql('id_compra')}, c AS {_share_sql('cnpj_fornecedor')}
+    SELECT a.*, registros_periodo >= 24 AND anos_ativos >= 3 AND meses_ativos >= 12 AS candidato_modelo_individual, round(b.s + 1e-7, 4) AS maior_compra_participacao,
+    round(c.s + 1e-7, 4) AS maior_fornecedor_participacao, CASE WHEN registros_periodo >= 24 AND anos_ativos >= 3 AND meses_ativos >= 12 THEN 'CATMAT individual'
+      ELSE 'Modelo hierárquico por segmento' END AS modelagem_recomendada
+    FROM a LEFT JOIN b USING (codigo_catmat) LEFT JOIN c USING (codigo_catmat)""",
 )
 def _(spark, sf_dir):
-    return analytics.material_diagnostic(purchases(spark, sf_dir))
+    return analytics.material_diagnostic(cut(with_gaps(purchases(spark, sf_dir))), {"descricao_catalogo": "descricao_item", "segmento_analitico": "familia_material"})
 
 
 @query(
     "segment_diagnostic",
-    f"WITH {PURCHASES} SELECT familia_material, {_REACH}, count(DISTINCT codigo_catmat) AS materiais, round(sum(valor_total) + 1e-7, 4) AS valor_total FROM purchases GROUP BY 1",
+    f"""WITH {GAPS} SELECT familia_material, {_REACH}, count(DISTINCT codigo_catmat) AS catmats, round(sum(quantidade) + 1e-7, 4) AS quantidade_total
+    FROM gaps GROUP BY 1""",
 )
 def _(spark, sf_dir):
-    return analytics.segment_diagnostic(purchases(spark, sf_dir))
+    return analytics.segment_diagnostic(cut(with_gaps(purchases(spark, sf_dir))))
 
 
 @query(
@@ -366,33 +408,94 @@ def _(spark, sf_dir):
     count(*) FILTER (WHERE hist_item_repetido) AS historico, count(*) FILTER (WHERE dq_duplicidade) AS duplicados FROM gold GROUP BY 1""",
 )
 def _(spark, sf_dir):
-    return measures.evaluate(gold(spark, sf_dir), ["familia_material"], measures.volume() | measures.quality())
+    return measures.evaluate(cut(gold(spark, sf_dir)), ["familia_material"])
+
+
+_SUPPLIER = "coalesce(nullif(trim(cnpj_fornecedor), ''), 'FORNECEDOR_NAO_INFORMADO')"
 
 
 @query(
     "measure_hhi",
-    f"""WITH {PURCHASES}, e AS (SELECT familia_material, uf, cnpj_fornecedor, sum(valor_total) AS v FROM purchases GROUP BY 1, 2, 3)
-    SELECT familia_material, uf, round(sum(v * v) / (sum(v) * sum(v)) * 10000 + 1e-7, 4) AS hhi, round(max(v) / sum(v) + 1e-7, 4) AS maior_participacao FROM e GROUP BY 1, 2""",
+    f"""WITH {GAPS}, e AS (SELECT familia_material, uf, {_SUPPLIER} AS f, sum(valor_total) AS v FROM gaps GROUP BY 1, 2, 3),
+    t AS (SELECT familia_material, uf, sum(v) AS t FROM e GROUP BY 1, 2)
+    SELECT familia_material, uf, round(sum((v / nullif(t, 0)) ** 2) * 10000 + 1e-7, 4) AS hhi, round(max(v / nullif(t, 0)) + 1e-7, 4) AS maior_participacao
+    FROM e JOIN t USING (familia_material, uf) GROUP BY 1, 2""",
+)
+def _(spark, sf_dir):
+    return measures.concentration(with_gaps(purchases(spark, sf_dir)), ["familia_material", "uf"])
+
+
+@query(
+    "measure_hhi_by_supplier",
+    f"""WITH {GAPS}, t AS (SELECT familia_material, sum(valor_total) AS t FROM gaps GROUP BY 1)
+    SELECT g.familia_material, fornecedor_nome, round(sum(s * s) * 10000 + 1e-7, 4) AS hhi, round(max(s) + 1e-7, 4) AS maior_participacao
+    FROM (SELECT familia_material, fornecedor_nome, {_SUPPLIER} AS f, sum(valor_total) / nullif(max(t), 0) AS s FROM gaps JOIN t USING (familia_material) GROUP BY 1, 2, 3) g GROUP BY 1, 2""",
+)
+def _(spark, sf_dir):
+    """The group filters suppliers by name; the total leaves that filter out."""
+    return measures.concentration(with_gaps(purchases(spark, sf_dir)), ["familia_material", "fornecedor_nome"])
+
+
+@query(
+    "measure_contexts",
+    f"""WITH {GAPS}, c AS (SELECT familia_material, uf, fornecedor_nome, sum(valor_total) AS valor, sum(quantidade) AS quantidade FROM gaps GROUP BY 1, 2, 3)
+    SELECT familia_material, uf, fornecedor_nome, round(valor + 1e-7, 4) AS valor, round(quantidade + 1e-7, 4) AS quantidade,
+    round(valor / nullif(sum(valor) OVER (PARTITION BY familia_material, uf), 0) + 1e-7, 4) AS parte_entre_fornecedores,
+    round(valor / nullif(sum(valor) OVER (PARTITION BY fornecedor_nome), 0) + 1e-7, 4) AS parte_do_fornecedor,
+    round(quantidade / nullif(sum(quantidade) OVER (), 0) + 1e-7, 4) AS parte_de_tudo FROM c""",
 )
 def _(spark, sf_dir):
-    return measures.concentration(purchases(spark, sf_dir), ["familia_material", "uf"])
+    by = ["familia_material", "uf", "fornecedor_nome"]
+    sums = {"valor": F.col("valor_total"), "quantidade": F.col("quantidade")}
+    without = {"fornecedores": measures.SUPPLIER_COLUMNS, "materiais": ("familia_material", "uf"), "tudo": tuple(by)}
+    out = measures.in_contexts(with_gaps(purchases(spark, sf_dir)), by, sums, without)
+    return out.select(
+        *by, "valor", "quantidade", F.try_divide("valor", "valor_fornecedores").alias("parte_entre_fornecedores"),
+        F.try_divide("valor", "valor_materiais").alias("parte_do_fornecedor"), F.try_divide("quantidade", "quantidade_tudo").alias("parte_de_tudo"),
+    )
 
 
 @query(
     "measures_last12m",
-    f"""WITH {PURCHASES}, l AS (SELECT max(CAST(data_publicacao AS DATE)) AS ultima_data FROM purchases)
-    SELECT familia_material, ultima_data, round(sum(quantidade) + 1e-7, 4) AS quantidade_12m FROM purchases, l
-    WHERE CAST(data_publicacao AS DATE) > ultima_data - INTERVAL 12 MONTH AND CAST(data_publicacao AS DATE) <= ultima_data GROUP BY 1, 2""",
+    f"""WITH {GAPS}, l AS (SELECT max(CAST(data_publicacao AS DATE)) AS ultima_data FROM gaps),
+    q AS (SELECT familia_material, sum(quantidade) AS q FROM gaps, l
+      WHERE CAST(data_publicacao AS DATE) > ultima_data - INTERVAL 12 MONTH AND CAST(data_publicacao AS DATE) <= ultima_data GROUP BY 1)
+    SELECT g.familia_material, g.ano, ultima_data, round(q + 1e-7, 4) AS quantidade_12m FROM (SELECT DISTINCT familia_material, ano FROM gaps) g CROSS JOIN l LEFT JOIN q USING (familia_material)""",
     dates=("ultima_data",),
 )
 def _(spark, sf_dir):
-    return measures.last_months(purchases(spark, sf_dir), ["familia_material"])
+    return measures.last_months(with_gaps(purchases(spark, sf_dir)), ["familia_material", "ano"])
+
+
+def _index_sql(by: str) -> str:
+    return f"""SELECT {by}, round(m + 1e-7, 4) AS mediana_comparavel, round(p / nullif(m, 0) + 1e-7, 4) AS indice_preco FROM (
+      SELECT {by}, sum(valor_total) / nullif(sum(quantidade), 0) AS p, CASE WHEN count(DISTINCT codigo_catmat || '|' || coalesce(unidade_comparavel, 'UNIDADE_NAO_INFORMADA')) = 1
+        THEN median(valor_unitario) END AS m FROM gaps GROUP BY ALL)"""
+
+
+@query("price_index", f"WITH {GAPS} {_index_sql('codigo_catmat, unidade_comparavel')}")
+def _(spark, sf_dir):
+    return measures.price_index(cut(with_gaps(purchases(spark, sf_dir))), ["codigo_catmat", "unidade_comparavel"])
+
+
+@query("price_index_by_name", f"WITH {GAPS} {_index_sql('familia_material, descricao_item, uf, ano')}")
+def _(spark, sf_dir):
+    """Groups of one unit and of several."""
+    return measures.price_index(cut(with_gaps(purchases(spark, sf_dir))), ["familia_material", "descricao_item", "uf", "ano"])
 
 
 @query(
-    "price_index",
-    f"""WITH {PURCHASES} SELECT codigo_catmat, unidade_comparavel, round(CASE WHEN count(DISTINCT unidade_comparavel) = 1 THEN median(valor_unitario) END + 1e-7, 4) AS mediana_comparavel,
-    round((sum(valor_total) / sum(quantidade)) / (SELECT sum(valor_total) / sum(quantidade) FROM purchases) + 1e-7, 4) AS indice_preco FROM purchases GROUP BY 1, 2""",
+    "unit_quality",
+    f"""WITH {FLAGS}, kept AS (SELECT *, count(*) OVER (PARTITION BY id_compra_item) > 1 AS d FROM flags),
+    lim AS (SELECT codigo_catmat AS c, nome_unidade_fornecimento AS u, ano AS a, quantile_cont(valor_unitario, [0.25, 0.5, 0.75]) AS q FROM kept
+      WHERE NOT d AND valor_unitario > 0 GROUP BY 1, 2, 3 HAVING count(*) >= 8),
+    far AS (SELECT valor_unitario / q[2] AS r FROM kept JOIN lim ON codigo_catmat = c AND nome_unidade_fornecimento = u AND ano = a WHERE NOT d AND valor_unitario > 0 AND q[3] > q[1]
+      AND (valor_unitario < greatest(0, q[1] - 1.5 * (q[3] - q[1])) OR valor_unitario > q[3] + 1.5 * (q[3] - q[1]))),
+    a AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE nome_unidade_fornecimento <> '') AS DOUBLE) AS y FROM flags)
+    SELECT 'registros' AS metrica, n AS valor FROM a UNION ALL SELECT 'unidade_informada', y FROM a UNION ALL SELECT 'unidade_nao_informada', n - y FROM a
+    UNION ALL SELECT 'percentual_unidade_informada', round(round(100 * y / n, 2) + 1e-7, 4) FROM a UNION ALL SELECT 'outliers_recalculados', CAST(count(*) AS DOUBLE) FROM far
+    UNION ALL SELECT 'outliers_criticos', CAST(count(*) FILTER (WHERE r >= 5 OR r <= 0.2) AS DOUBLE) FROM far""",
 )
 def _(spark, sf_dir):
-    return measures.price_index(purchases(spark, sf_dir), ["codigo_catmat", "unidade_comparavel"])
+    marked = cut(quality.duplicate_kinds(cut(purchases(spark, sf_dir)), "id_compra_item"))
+    return quality.unit_quality_report(marked, outliers.flagged_only(marked))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrymill.functions import keys, text
 from quarrymill.operators import audit, classify, joins, quality, standardize, star
 from quarrymill.operators.filters import without_family
-from quarrymill.plans.adapter import GOLD, PURCHASES, gold, purchases, table
+from quarrymill.operators.ranks import row_position
+from quarrymill.plans.adapter import GAPS, GOLD, PURCHASES, gold, purchases, table, with_gaps
 from quarrymill.plans.purchases import query
+from quarrymill.sources import bronze
+from quarrymill.sources.scratch import cut
+from quarrymill.streaming.incremental import upsert
 
 _NORM = "trim(regexp_replace(lower(strip_accents({c})), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -276,35 +281,66 @@ def _(spark, sf_dir):
 
 @query(
     "table_inventory",
-    f"""WITH {PURCHASES}, g AS (SELECT id_compra_item, data_publicacao, codigo_catmat, cnpj_fornecedor, count(*) AS n FROM purchases GROUP BY 1, 2, 3, 4)
-    SELECT 'purchases' AS tabela, CAST(sum(n) AS BIGINT) AS linhas, 4 AS colunas, CAST(sum(n - 1) AS BIGINT) AS linhas_repetidas,
+    f"""WITH {GAPS}, g AS (SELECT id_compra, id_compra_item, numero_item, data_publicacao, codigo_catmat, familia_material, descricao_item, quantidade, valor_unitario, valor_total,
+      sigla_unidade_fornecimento, nome_unidade_fornecimento, capacidade, cnpj_fornecedor, fornecedor_nome, uasg, uf, count(*) AS n FROM gaps GROUP BY ALL)
+    SELECT 'purchases' AS tabela, CAST(sum(n) AS BIGINT) AS linhas, 19 AS colunas, CAST(sum(n - 1) AS BIGINT) AS linhas_repetidas,
     CAST(min(data_publicacao) AS DATE) AS data_minima, CAST(max(data_publicacao) AS DATE) AS data_maxima FROM g""",
     dates=("data_minima", "data_maxima"),
 )
 def _(spark, sf_dir):
-    df = purchases(spark, sf_dir).select("id_compra_item", "data_publicacao", "codigo_catmat", "cnpj_fornecedor")
-    return audit.inventory(df, "purchases", "data_publicacao")
+    return audit.inventory(cut(with_gaps(purchases(spark, sf_dir))), "purchases", "data_publicacao")
 
 
 @query(
     "version_compare",
     """SELECT 'orders' AS tabela, true AS colunas_iguais, true AS tipos_iguais, count(*) AS linhas_a, count(*) AS linhas_b, true AS conteudo_igual FROM orders UNION ALL
-    SELECT 'part', true, true, count(*), count(*) FILTER (WHERE p_size > 1), count(*) = count(*) FILTER (WHERE p_size > 1) FROM part""",
+    SELECT 'part', true, true, count(*), count(*) FILTER (WHERE p_size > 1), count(*) = count(*) FILTER (WHERE p_size > 1) FROM part UNION ALL
+    SELECT 'nulls', true, true, count(*), count(*), false FROM supplier UNION ALL SELECT 'moved', true, true, count(*), count(*), false FROM supplier UNION ALL
+    SELECT 'typed', true, false, count(*), count(*), false FROM supplier UNION ALL SELECT 'twice', true, true, count(*) * 3, count(*) * 3, false FROM supplier UNION ALL
+    SELECT 'order', true, true, count(*) * 2, count(*) * 2, true FROM supplier""",
 )
 def _(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
-    return audit.compare_versions({"orders": t("orders"), "part": t("part")}, {"orders": t("orders"), "part": t("part").where("p_size > 1")})
+    s, none = t("supplier").select("s_suppkey", "s_name"), F.lit(None).cast("string")
+    key, name = F.col("s_suppkey"), F.col("s_name")
+    old = {
+        "orders": t("orders"), "part": t("part"), "nulls": s.select(none.alias("a"), name.alias("b")), "moved": s.select(key.alias("k"), name.alias("n")),
+        "typed": s.select(key.alias("k")), "twice": s.union(s).union(s.withColumn("s_name", F.lit("x"))), "order": s.union(s),
+    }
+    new = {
+        "orders": t("orders").orderBy(F.desc("o_orderkey")), "part": t("part").where("p_size > 1"), "nulls": s.select(name.alias("a"), none.alias("b")),
+        "moved": s.select(key.alias("k"), F.concat(F.lit("Supplier#"), F.lpad(((key % 7) + 1).cast("string"), 9, "0")).alias("n")),
+        "typed": s.select(key.cast("int").alias("k")), "twice": s.union(s.withColumn("s_name", F.lit("x"))).union(s.withColumn("s_name", F.lit("x"))),
+        "order": s.union(s.orderBy(F.desc("s_suppkey"))),
+    }
+    return audit.compare_versions(old, new)
+
+
+_PAIRS = [("id_item_compra", "id_item_compra_raw"), ("id_compra_item", "id_compra_item_raw"), ("purchase_id", "id_item_compra_raw"), ("purchase_id", "id_compra_item_raw"), ("vazio", "id_compra_item_raw")]
+
+
+def _pair_sql(a: str, b: str) -> str:
+    return f"""SELECT '{a}' AS coluna_gold, '{b}' AS coluna_bronze, (SELECT count({a}) FROM g) AS gold_preenchidos, (SELECT count({b}) FROM b) AS bronze_preenchidos,
+      (SELECT count(DISTINCT {a}) FROM g) AS gold_unicos, (SELECT count(DISTINCT {b}) FROM b) AS bronze_unicos, (SELECT count(*) FROM g WHERE {a} IN (SELECT {b} FROM b)) AS correspondencias,
+      round(round(100.0 * (SELECT count(*) FROM g WHERE {a} IN (SELECT {b} FROM b)) / (SELECT count({a}) FROM g), 2) + 1e-7, 4) AS percentual_correspondencia"""
 
 
 @query(
     "key_matches",
-    """SELECT 'l_suppkey' AS esquerda, 's_suppkey' AS direita, count(*) FILTER (WHERE l_suppkey IN (SELECT s_suppkey FROM supplier)) AS encontradas,
-    round(100.0 * count(*) FILTER (WHERE l_suppkey IN (SELECT s_suppkey FROM supplier)) / count(*) + 1e-7, 4) AS percentual FROM lineitem UNION ALL
-    SELECT 'l_partkey', 's_suppkey', count(*) FILTER (WHERE l_partkey IN (SELECT s_suppkey FROM supplier)),
-    round(100.0 * count(*) FILTER (WHERE l_partkey IN (SELECT s_suppkey FROM supplier)) / count(*) + 1e-7, 4) FROM lineitem""",
+    """WITH g AS (SELECT CASE WHEN l_orderkey % 5 > 0 THEN CAST(l_orderkey AS VARCHAR) END AS id_item_compra, l_orderkey || '-' || l_linenumber AS id_compra_item,
+      CASE WHEN l_linenumber = 1 THEN l_orderkey || '-1' ELSE CAST(l_partkey AS VARCHAR) END AS purchase_id FROM lineitem),
+    b AS (SELECT CAST(o_orderkey AS VARCHAR) AS id_item_compra_raw, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey || '-' || (o_orderkey % 4) END AS id_compra_item_raw FROM orders)
+    """ + " UNION ALL ".join(_pair_sql(a, b) for a, b in _PAIRS[:4]),
 )
 def _(spark, sf_dir):
-    return joins.key_matches(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier"), [("l_suppkey", "s_suppkey"), ("l_partkey", "s_suppkey")])
+    n, o, line = F.col("l_orderkey"), F.col("o_orderkey"), F.col("l_linenumber").cast("string")
+    text = lambda c: c.cast("string")
+    gold_side = table(spark, sf_dir, "lineitem").select(
+        F.when(n % 5 > 0, F.concat(F.lit(" "), text(n))).otherwise("nan").alias("id_item_compra"), F.concat_ws("-", text(n), line).alias("id_compra_item"),
+        F.when(line == "1", F.concat(text(n), F.lit("-1 "))).otherwise(text(F.col("l_partkey"))).alias("purchase_id"), F.lit(" ").alias("vazio"),
+    )
+    raw = table(spark, sf_dir, "orders").select(text(o).alias("id_item_compra_raw"), F.when(o % 3 > 0, F.concat_ws("-", text(o), text(o % 4))).otherwise("").alias("id_compra_item_raw"))
+    return joins.key_matches(gold_side, raw, _PAIRS)
 
 
 @query(
@@ -319,10 +355,41 @@ def _(spark, sf_dir):
 
 @query("bronze_props", "SELECT event_type, count(*) AS registros, round(sum(CAST(json_extract(props, '$.k') AS DOUBLE)) + 1e-7, 4) AS soma FROM events GROUP BY 1")
 def _(spark, sf_dir):
-    from quarrymill.sources.bronze import unwrap
-
     files = table(spark, sf_dir, "events").select("event_type", F.concat(F.lit('{"resultado": ['), F.col("props"), F.lit("]}")).alias("texto"))
-    return unwrap(files, "k double").groupBy("event_type").agg(F.count(F.lit(1)).alias("registros"), F.sum("k").alias("soma"))
+    return bronze.unwrap(files, "k double").groupBy("event_type").agg(F.count(F.lit(1)).alias("registros"), F.sum("k").alias("soma"))
+
+
+#: Envelopes around a record P, and how often P is among the records of each reader: service, enrichment's audit, audit of landed units.
+_ENVELOPES = [
+    ("[P, 5, P]", 2, 2, 2),
+    ('{"_embedded": {"z": [P], "b": [P, P, P]}, "resultado": [P, P]}', 1, 2, 2),
+    ('{"_embedded": {"s": "[1]", "n": null, "b": [P, P, P], "a": [P]}}', 3, 3, 3),
+    ('{"dados": {"y": 1, "x": [P, P], "a": [P]}}', 0, 2, 2),
+    ('{"content": [P], "items": [P, P], "dados": {}}', 1, 2, 2),
+    ('{"_embedded": [P, P]}', 0, 0, 2),
+    ('{"licitacoes": [P], "outros": [P, P]}', 1, 0, 0),
+    ("{no json", 0, 0, 0),
+]
+
+
+@query(
+    "bronze_envelopes",
+    "WITH e(i, a, b, c) AS (VALUES " + ", ".join(f"({i}, {a}, {b}, {c})" for i, (_, a, b, c) in enumerate(_ENVELOPES))
+    + f"""), k AS (SELECT event_id % {len(_ENVELOPES)} AS i, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY 1),
+    r AS (SELECT 'servico' AS leitor, i, n * a AS registros, k * a AS soma FROM k JOIN e USING (i) UNION ALL SELECT 'auditoria', i, n * b, k * b FROM k JOIN e USING (i)
+      UNION ALL SELECT 'bronze', i, n * c, k * c FROM k JOIN e USING (i))
+    SELECT leitor, CAST(i AS INTEGER) AS envelope, registros, CAST(soma AS BIGINT) AS soma FROM r WHERE registros > 0""",
+)
+def _(spark, sf_dir):
+    i = (F.col("event_id") % len(_ENVELOPES)).cast("int")
+    envelope = F.get(F.array(*[F.lit(e) for e, *_ in _ENVELOPES]), i)
+    files = table(spark, sf_dir, "events").select(i.alias("envelope"), F.replace(envelope, F.lit("P"), F.col("props")).alias("texto"))
+    readers = {"servico": bronze.records_of(F.col("texto")), "auditoria": bronze.audit_records(F.col("texto")), "bronze": bronze.bronze_audit_records(F.col("texto"))}
+    out = None
+    for name, records in readers.items():
+        one = bronze.unwrap_records(files, records, "k long").select(F.lit(name).alias("leitor"), "envelope", "k")
+        out = one if out is None else out.union(one)
+    return out.groupBy("leitor", "envelope").agg(F.count(F.lit(1)).alias("registros"), F.sum("k").alias("soma"))
 
 
 @query(
@@ -333,13 +400,32 @@ def _(spark, sf_dir):
     SELECT user_id, count(*) AS paginas FROM s JOIN c USING (user_id) WHERE cut IS NULL OR pagina < cut GROUP BY 1""",
 )
 def _(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    from quarrymill.sources.bronze import cut_repeated_pages
-
     page = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
     pages = table(spark, sf_dir, "events").select("user_id", page.alias("pagina"), F.concat(F.lit("["), F.col("props"), F.lit("]")).alias("texto"))
-    return cut_repeated_pages(pages, "user_id", "pagina", "texto").groupBy("user_id").agg(F.count(F.lit(1)).alias("paginas"))
+    return bronze.cut_repeated_pages(pages, "user_id", "pagina", "texto").groupBy("user_id").agg(F.count(F.lit(1)).alias("paginas"))
+
+
+#: What pages of one user say about their number, and the last page by it: null has no say, so short pages count.
+_TOTALS = [('"totalPaginas": 3, ', 3, True), ('"totalPaginas": 0, "totalPages": "4", ', 4, True), ('"totalPages": "many", ', None, True), ('"total_pages": 2.9, ', 2, True), ("", None, False)]
+
+
+@query(
+    "page_stop",
+    """WITH p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pagina, event_id, props FROM events),
+    t(i, total, told) AS (VALUES """ + ", ".join(f"({i}, {'NULL' if n is None else n}, {str(told).lower()})" for i, (_, n, told) in enumerate(_TOTALS))
+    + f"""), s AS (SELECT *, event_id % 11 = 0 AS nothing, event_id % 7 = 0 AS short FROM p JOIN t ON user_id % {len(_TOTALS)} = i),
+    c AS (SELECT user_id, min(pagina) FILTER (WHERE nothing) AS cut, min(pagina) FILTER (WHERE pagina >= total OR NOT told AND (short OR nothing)) AS last FROM s GROUP BY 1)
+    SELECT user_id, count(*) AS paginas, max(pagina) AS ultima FROM s JOIN c USING (user_id) WHERE (cut IS NULL OR pagina < cut) AND (last IS NULL OR pagina <= last) GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    page, n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")), F.col("event_id")
+    record = lambda k: F.concat(F.lit('{"id": '), (n * 2 + k).cast("string"), F.lit("}"))
+    inside = F.when(n % 11 == 0, "").when(n % 7 == 0, record(0)).otherwise(F.concat_ws(", ", record(0), record(1)))
+    told = F.get(F.array(*[F.lit(t) for t, *_ in _TOTALS]), (F.col("user_id") % len(_TOTALS)).cast("int"))
+    text = F.concat(F.lit("{"), told, F.lit('"resultado": ['), inside, F.lit("]}"))
+    pages = table(spark, sf_dir, "events").select("user_id", page.cast("long").alias("pagina"), text.alias("texto"))
+    kept = bronze.cut_repeated_pages(pages, "user_id", "pagina", "texto", page_size=2)
+    return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("paginas"), F.max("pagina").alias("ultima"))
 
 
 @query(
@@ -355,3 +441,17 @@ def _(spark, sf_dir):
     return quality.field_fill(table(spark, sf_dir, "part"), ["p_brand", "p_type", "p_name"])
 
 
+@query(
+    "latest_by_code",
+    """WITH r AS (SELECT l_partkey AS codigo, l_orderkey % 3 AS corrida, row_number() OVER (PARTITION BY l_orderkey % 3 ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS posicao, l_quantity AS total FROM lineitem WHERE l_orderkey % 3 < 2)
+    SELECT codigo, arg_max(total, corrida * 100000000 + posicao) AS total, max(corrida * 100000000 + posicao) % 100000000 AS posicao FROM r GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    """Two runs over the same codes: the last row of the later run stays."""
+    order = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+    def run(k: int):
+        rows = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 3 == k).select("l_partkey", *order)
+        return row_position(rows, order).select(F.col("l_partkey").alias("codigo"), F.col("l_quantity").alias("total"), (F.col("posicao") + 1).alias("posicao"))
+
+    return upsert(run(0), run(1))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrymill.functions import keys, text, units
-from quarrymill.operators import classify, filters, joins, quality
-from quarrymill.plans.adapter import FLAGS, PURCHASES, purchases, table
+from quarrymill.operators import classify, filters, joins, quality, typing
+from quarrymill.plans.adapter import FLAGS, GAPS, PURCHASES, purchases, table, with_gaps
 from quarrymill.plans.purchases import KEY, flagged, names, query
+from quarrymill.sources.scratch import cut
 
 _UPPER = "trim(regexp_replace(upper(strip_accents({c})), '\\s+', ' ', 'g'))"
 
@@ -191,13 +192,18 @@ def _(spark, sf_dir):
 
 @query(
     "extraction_report",
-    f"""WITH {PURCHASES}, p AS (SELECT *, count(*) OVER (PARTITION BY id_compra_item) > 1 AS h, count(*) OVER (PARTITION BY codigo_catmat, id_compra_item) > 1 AS r, data_publicacao >= TIMESTAMP '1994-01-01' AND data_publicacao < TIMESTAMP '1997-01-01' AS i FROM purchases WHERE codigo_catmat <> 11)
-    SELECT codigo_catmat, coalesce(count(DISTINCT numero_item), 0) AS paginas, count(id_compra_item) AS brutos, count(*) FILTER (WHERE i) AS no_periodo, count(*) FILTER (WHERE NOT i) AS fora_periodo,
-    0 AS sem_data, count(*) FILTER (WHERE r) AS ids_repetidos, count(*) FILTER (WHERE h) AS linhas_historico, count(DISTINCT id_compra_item) FILTER (WHERE h) AS itens_historico
-    FROM (SELECT DISTINCT codigo_catmat FROM purchases) LEFT JOIN p USING (codigo_catmat) GROUP BY 1""",
+    f"""WITH {GAPS}, p AS (SELECT *, CASE WHEN numero_item <> 2 THEN id_compra_item END AS pid, CASE WHEN numero_item <> 3 THEN id_compra_item END AS item FROM gaps WHERE codigo_catmat <> 11),
+    m AS (SELECT *, count(*) OVER (PARTITION BY codigo_catmat, pid) > 1 AS r, item IS NOT NULL AND count(*) OVER (PARTITION BY codigo_catmat, item) > 1 AS h,
+      data_publicacao >= TIMESTAMP '1994-01-01' AND data_publicacao < TIMESTAMP '1997-01-01' AS i FROM p)
+    SELECT codigo_catmat, coalesce(count(DISTINCT numero_item), 0) AS paginas, count(numero_item) AS registros_api, count(*) FILTER (WHERE i) AS registros_periodo,
+    count(*) FILTER (WHERE NOT i) AS fora_periodo, count(*) FILTER (WHERE numero_item IS NOT NULL AND data_publicacao IS NULL) AS sem_data, count(*) FILTER (WHERE r) AS observacoes_duplicadas,
+    count(*) FILTER (WHERE h) AS linhas_com_item_historico, count(DISTINCT item) FILTER (WHERE h) AS itens_unicos_com_historico
+    FROM (SELECT DISTINCT codigo_catmat FROM gaps) LEFT JOIN m USING (codigo_catmat) GROUP BY 1""",
 )
 def _(spark, sf_dir):
-    df = purchases(spark, sf_dir).withColumn("purchase_id", F.col("id_compra_item")).withColumn("pagina", F.col("numero_item"))
+    n, item = F.col("numero_item"), F.col("id_compra_item")
+    df = with_gaps(purchases(spark, sf_dir)).withColumns({"purchase_id": F.when(n != 2, item), "id_compra_item": F.when(n != 3, item), "pagina": n})
+    df = cut(df)
     return quality.extraction_report(df.where("codigo_catmat <> 11"), df, "1994-01-01", "1996-12-31")
 
 
@@ -252,7 +258,7 @@ def _(spark, sf_dir):
     "small_functions",
     f"""SELECT p_partkey, {_T} AS maiusculo, regexp_matches(lower(p_name), '(^|\\W)ring($|\\W)') AS palavra, p_size % 5 IN (0, 1) AS verdade,
     round(CASE WHEN p_size > 0 THEN round(10 * log10(p_size + 1), 2) ELSE 0 END + 1e-7, 4) AS cobertura, CASE WHEN p_size % 2 = 0 THEN p_brand WHEN p_size % 3 = 0 THEN p_name ELSE 'NAO_IDENTIFICADO' END AS fornecedor,
-    'MED-' || substr(sha1(p_partkey || '|' || coalesce(CASE WHEN p_size % 2 = 0 THEN p_brand END, 'None')), 1, 20) AS piloto,
+    'MED-' || substr(sha1(p_partkey || '|' || coalesce(CASE WHEN p_size % 2 = 0 THEN p_brand END, '')), 1, 20) AS piloto,
     upper(p_brand) || CASE WHEN p_size = 1 THEN '' ELSE '|CAP=' || p_size END AS unidade, round(p_size + 0.25 + 1e-7, 4) AS decimal_virgula FROM part""",
 )
 def _(spark, sf_dir):
@@ -269,3 +275,31 @@ def _(spark, sf_dir):
         units.comparable_unit_upper("p_size", F.lit(" "), F.lower("p_brand")).alias("unidade"),
         text.parse_decimal_comma(F.concat(F.lit("R$ "), size.cast("string"), F.lit(",25"))).alias("decimal_virgula"),
     )
+
+
+_PILOT_ORDER = """codigo_catmat, id_compra, id_item_compra, id_compra_item, data_referencia, capacidade_unidade_fornecimento, cnpj_fornecedor, descricao_material,
+  fornecedor_nome, nome_unidade_fornecimento, preco_unitario, quantidade, sigla_unidade_fornecimento, uasg, uf_uasg, valor_total_calculado"""
+
+
+@query(
+    "pilot_history",
+    f"""WITH {GAPS}, p AS (SELECT codigo_catmat, nullif(id_compra, '') AS id_compra, CAST(NULL AS VARCHAR) AS id_item_compra, id_compra_item, data_publicacao AS data_referencia,
+      capacidade AS capacidade_unidade_fornecimento, nullif(trim(cnpj_fornecedor), '') AS cnpj_fornecedor, descricao_item AS descricao_material, fornecedor_nome,
+      nullif(nome_unidade_fornecimento, '') AS nome_unidade_fornecimento, valor_unitario AS preco_unitario, quantidade, sigla_unidade_fornecimento, CAST(uasg AS VARCHAR) AS uasg, uf AS uf_uasg,
+      coalesce(CASE WHEN numero_item <> 4 THEN valor_total END, quantidade * valor_unitario) AS valor_total_calculado FROM gaps),
+    n AS (SELECT *, row_number() OVER (ORDER BY {', '.join(f"{c.strip()} NULLS FIRST" for c in _PILOT_ORDER.split(','))}) AS place FROM p),
+    u AS (SELECT *, upper(coalesce(sigla_unidade_fornecimento, nome_unidade_fornecimento)) || CASE WHEN capacidade_unidade_fornecimento = 100 THEN '|CAP=100' ELSE '' END AS unit FROM n)
+    SELECT 'MED-' || substr(sha1(codigo_catmat || '|' || coalesce(id_compra, '') || '||' || id_compra_item || '|' || coalesce(strftime(data_referencia, '%Y-%m-%d %H:%M:%S'), '') || '|' || place), 1, 20) AS purchase_id,
+    data_referencia AS data_publicacao, codigo_catmat, 'MEDIDORES' AS familia_material, round(valor_total_calculado + 1e-7, 4) AS valor_total, cnpj_fornecedor, unit AS unidade_comparavel, uf_uasg,
+    'PRATICADO' AS tipo_preco, false AS dq_duplicidade, data_referencia IS NULL OR quantidade IS NULL OR unit IS NULL AS dq_possui_erro, 'SEM_ALERTA' AS outlier_gravidade
+    FROM u WHERE codigo_catmat % 3 = 0""",
+)
+def _(spark, sf_dir):
+    df = with_gaps(purchases(spark, sf_dir))
+    names_ = {"data_publicacao": "data_referencia", "valor_unitario": "preco_unitario", "cnpj_fornecedor": "ni_fornecedor", "uasg": "codigo_uasg", "uf": "estado", "capacidade": "capacidade_unidade_fornecimento"}
+    total = F.when(F.col("numero_item") != 4, F.col("valor_total"))
+    kept = ["id_compra", "id_compra_item", "codigo_catmat", "descricao_item", "quantidade", "sigla_unidade_fornecimento", "nome_unidade_fornecimento", "fornecedor_nome"]
+    pilot = df.select(*kept, total.alias("valor_total_calculado"), *[F.col(a).alias(b) for a, b in names_.items()])
+    codes = pilot.select("codigo_catmat").distinct().where("codigo_catmat % 3 = 0")
+    schema = "purchase_id string, data_publicacao timestamp, codigo_catmat long, familia_material string, valor_total double, cnpj_fornecedor string, unidade_comparavel string, uf_uasg string, tipo_preco string, dq_duplicidade boolean, dq_possui_erro boolean, outlier_gravidade string"
+    return typing.pilot_gold(pilot, codes, spark.createDataFrame([], schema).schema, "MEDIDORES")
