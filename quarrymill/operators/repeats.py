@@ -21,25 +21,29 @@ def digest(columns: list[Column]) -> list[Column]:
 
 def _entry(i: int, columns: list[Column], counts: Column) -> Column:
     a, b = digest(columns)
-    values = F.array(*[c.cast("string") for c in columns])
-    return F.when(counts, F.struct(F.lit(i).alias("_f"), a.alias("_d0"), b.alias("_d1"), values.alias("_k")))
-
-
-def _entries(df: DataFrame, flags: dict[str, list[Column]], only: dict[str, Column]) -> DataFrame:
-    each = [_entry(i, c, only.get(name, F.lit(True))) for i, (name, c) in enumerate(flags.items())]
-    return df.select(F.inline(F.array_compact(F.array(*each))))
+    return F.when(counts, F.struct(F.lit(i).alias("_f"), a.alias("_d0"), b.alias("_d1")))
 
 
 def groups(df: DataFrame, flags: dict[str, list[Column]], only: dict[str, Column] | None = None) -> DataFrame:
-    """(_f, _d0, _d1, _k, n): for each flag, by its place, the values _k that n > 1 rows share; _k is the values as text.
+    """(_f, _d0, _d1, _k, n): for each flag, by its place, the values _k of digests that occur again and the rows that have them.
 
-    ``only`` has the rows that count for a flag. Two jobs run while the plan is built; ``df`` is read twice, so it should be cut.
+    _k is the values as text. ``only`` has the rows that count for a flag. Two jobs run while the plan is built; ``df`` is read once
+    and, for each flag, in its columns once more, so it should be cut.
     """
     only = only or {}
     by = ["_f", "_d0", "_d1"]
-    twice = cut(_entries(df, flags, only).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
-    again = _entries(df, flags, only).join(small(twice), by, "left_semi")
-    return cut(again.groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("n")), "groups")
+    each = F.array(*[_entry(i, c, only.get(name, F.lit(True))) for i, (name, c) in enumerate(flags.items())])
+    entries = df.select(F.inline(F.array_compact(each)))
+    twice = cut(entries.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
+    out = None
+    for i, (name, columns) in enumerate(flags.items()):
+        a, b = digest(columns)
+        right = small(twice.where(F.col("_f") == i).select(F.col("_d0").alias("_e0"), F.col("_d1").alias("_e1")))
+        again = df.where(only.get(name, F.lit(True))).join(right, (a == F.col("_e0")) & (b == F.col("_e1")))
+        values = F.array(*[c.cast("string") for c in columns])
+        one = again.select(F.lit(i).alias("_f"), F.col("_e0").alias("_d0"), F.col("_e1").alias("_d1"), values.alias("_k"))
+        out = one if out is None else out.union(one)
+    return cut(out.groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("n")), "groups")
 
 
 def with_repeats(df: DataFrame, flags: dict[str, list[Column]], only: dict[str, Column] | None = None) -> DataFrame:

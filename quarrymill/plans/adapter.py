@@ -19,10 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A scanned table; if it has fewer splits than the cluster has cores, its rows are dealt out once."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     joined = (
-        t("lineitem")
+        dealt(t("lineitem"))
         .join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("part").select("p_partkey", "p_brand", "p_type", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
         .join(t("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -57,8 +63,8 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases with quality and outlier flags; rows are written once and not shuffled after."""
-    return flag_outliers(apply_quality(cut(purchases(spark, sf_dir))))
+    """Purchases with quality and outlier flags; rows are written before and after the quality flags and are not shuffled as a whole."""
+    return flag_outliers(cut(apply_quality(cut(purchases(spark, sf_dir)))))
 
 
 def with_gaps(df: DataFrame) -> DataFrame:
