@@ -142,12 +142,12 @@ POOL: dict[str, Model] = {
     "TENDENCIA_LINEAR": linear_trend,
 }
 INTERMITTENT = tuple(POOL)[:4]
-#: Models of modelling units, simplest first.
+#: Models of modelling units, simplest first; the names are fixed values.
 UNIT_POOL: dict[str, Model] = {
-    "CROSTON": croston(0.2),
-    "MEDIA_2_ANOS": two_year_mean,
-    "MEDIA_36_MESES": recent_mean,
-    "SAZONAL_INGENUO": seasonal_naive,
-    "PERFIL_SAZONAL": seasonal_profile,
-    "PERFIL_36_MESES": recent_profile,
+    "CROSTON_SBA": croston(0.2),
+    "MEDIA_2_ANOS_UNIFORME": two_year_mean,
+    "MEDIA_36_MESES_UNIFORME": recent_mean,
+    "SAZONAL_NAIVE_12": seasonal_naive,
+    "PERFIL_SAZONAL_HISTORICO": seasonal_profile,
+    "PERFIL_SAZONAL_36_MESES": recent_profile,
 }

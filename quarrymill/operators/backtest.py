@@ -186,7 +186,7 @@ def unit_summary(arrays: DataFrame, by: list[str]) -> DataFrame:
     active = F.size(F.filter("a", lambda x: x > 0))
     return arrays.join(chosen, by, "left").select(
         *by,
-        F.coalesce("modelo", F.lit("CROSTON")).alias("modelo_selecionado"),
+        F.coalesce("modelo", F.lit("CROSTON_SBA")).alias("modelo_selecionado"),
         F.coalesce("janelas", F.lit(0)).alias("janelas_validacao"),
         F.col("wape").alias("wape_validacao"),
         F.col("mae").alias("mae_validacao"),
@@ -215,11 +215,11 @@ def uncertainty(wape: Column, active: Column, confidence_level: Column) -> Colum
 def unit_forecast(arrays: DataFrame, by: list[str], h: int = HORIZON) -> DataFrame:
     """Per modelling unit and future month: chosen model, confidence, uncertainty, three scenarios."""
     chosen = choose_unit_model(unit_scores(arrays, by), by)
-    base = arrays.join(chosen, by, "left").withColumn("modelo", F.coalesce("modelo", F.lit("CROSTON")))
+    base = arrays.join(chosen, by, "left").withColumn("modelo", F.coalesce("modelo", F.lit("CROSTON_SBA")))
     f = F.coalesce(*[F.when(F.col("modelo") == k, m(F.col("a"), h)) for k, m in models.UNIT_POOL.items()])
     f = F.transform(f, lambda x: F.greatest(x, F.lit(0.0)))
     # demand is not forecast as nothing
-    f = F.when((models.total(F.col("a")) > 0) & (models.total(f) <= 0), models.UNIT_POOL["CROSTON"](F.col("a"), h)).otherwise(f)
+    f = F.when((models.total(F.col("a")) > 0) & (models.total(f) <= 0), models.UNIT_POOL["CROSTON_SBA"](F.col("a"), h)).otherwise(f)
     active = F.size(F.filter("a", lambda x: x > 0))
     level = unit_confidence(F.col("nivel_modelagem"), active, active_years(), F.coalesce("janelas", F.lit(0)), F.col("wape"))
     u = uncertainty(F.col("wape"), active, F.col("confianca_previsao"))

@@ -68,11 +68,19 @@ def preservation(forecast: DataFrame, allocated: DataFrame) -> DataFrame:
     return both.withColumn("preservado", F.coalesce(gap <= 1e-8 + 1e-5 * F.abs("esperado"), F.lit(False)))
 
 
+#: Fixed value: what a summary of materials is grouped by.
+SUMMARY_KEYS = [
+    "codigo_catmat", "unidade_modelagem", "nivel_modelagem", "segmento_modelagem", "modelo_selecionado", "confianca_previsao", "metodo_rateio", "peso_rateio",
+]
+
+
 def material_summary(allocated: DataFrame) -> DataFrame:
-    return allocated.groupBy("codigo_catmat").agg(
-        *[F.sum(s).alias(f"total_{s[9:]}") for s in SCENARIOS],
-        F.avg("previsao_base").alias("media_mensal"),
-        F.count_distinct(F.round("previsao_base", 8)).alias("valores_mensais_distintos"),
+    """Totals of the horizon, the monthly mean and the different monthly values of each material, by those of the keys that there are."""
+    by = [c for c in SUMMARY_KEYS if c in allocated.columns]
+    return allocated.groupBy(*by).agg(
+        *[F.sum(s).alias(f"previsao_12m_{s[9:]}") for s in SCENARIOS],
+        F.avg("previsao_base").alias("media_mensal_prevista_base"),
+        F.count_distinct(F.round("previsao_base", 8)).alias("valores_mensais_distintos_base"),
     )
 
 

@@ -99,6 +99,29 @@ def _(spark, sf_dir):
     return _arrays(spark, sf_dir).select(*BY, models.croston_rate(F.col("a"), 0.1).alias("croston"))
 
 
+@query("forecast_croston_unit", _croston_sql(0.2))
+def _(spark, sf_dir):
+    """The rate of the modelling units' Croston, on single materials."""
+    return _arrays(spark, sf_dir).select(*BY, models.croston_rate(F.col("a"), 0.2).alias("croston"))
+
+
+@query(
+    "forecast_profiles",
+    f"""WITH {SERIES}, b AS (SELECT *, (len - p) // 12 AS block, 11 - (len - p) % 12 AS i FROM series),
+    year AS (SELECT *, sum(q) OVER (PARTITION BY codigo_catmat, descricao_item, block) AS total FROM b WHERE block < len // 12),
+    whole AS (SELECT codigo_catmat, descricao_item, i, avg(q / total) FILTER (WHERE total > 0) + 0.01 AS w FROM year GROUP BY 1, 2, 3),
+    recent AS (SELECT codigo_catmat, descricao_item, i, avg(q) + 0.01 AS w FROM b WHERE block < 3 GROUP BY 1, 2, 3),
+    level AS (SELECT codigo_catmat, descricao_item, 12 * avg(q) AS annual FROM b WHERE block < 2 GROUP BY 1, 2)
+    SELECT codigo_catmat, descricao_item, CAST(i + 1 AS INTEGER) AS passo, round(annual * coalesce(a.w, 1 / 12 + 0.01) / sum(coalesce(a.w, 1 / 12 + 0.01)) OVER g + 1e-7, 4) AS historico,
+    round(annual * r.w / sum(r.w) OVER g + 1e-7, 4) AS recente
+    FROM whole a JOIN recent r USING (codigo_catmat, descricao_item, i) JOIN level USING (codigo_catmat, descricao_item) WINDOW g AS (PARTITION BY codigo_catmat, descricao_item)""",
+)
+def _(spark, sf_dir):
+    both = F.arrays_zip(models.seasonal_profile(F.col("a"), 12).alias("historico"), models.recent_profile(F.col("a"), 12).alias("recente"))
+    out = _arrays(spark, sf_dir).select(*BY, F.posexplode(both).alias("k", "f"))
+    return out.select(*BY, (F.col("k") + 1).alias("passo"), "f.historico", "f.recente")
+
+
 _POOL = {"INGENUO": models.naive, "MEDIA_HISTORICA": models.historical_mean, "MEDIA_MOVEL_3": models.moving_average(3)}
 
 
@@ -249,7 +272,9 @@ def _(spark, sf_dir):
 @query("alloc_summary")
 def _(spark, sf_dir):
     rows, forecast = _unit_forecast(spark, sf_dir)
-    return hierarchy.material_summary(hierarchy.allocate(forecast, _weights(rows)))
+    months = hierarchy.allocate(forecast, _weights(rows)).withColumnRenamed("modelo", "modelo_selecionado")
+    alone = F.col("nivel_modelagem") == "INDIVIDUAL"
+    return hierarchy.material_summary(months.withColumn("metodo_rateio", F.when(alone, "DIRETO").otherwise("PESO_ROBUSTO")))
 
 
 def _fact(spark, sf_dir):
