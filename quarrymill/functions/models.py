@@ -130,15 +130,15 @@ def recent_profile(a: Column, h: int) -> Column:
     return F.when(F.size(a) < 24, recent_mean(a, h)).otherwise(_with_profile(a, h, by_month))
 
 
-#: Models of single materials, by name; the first four are for intermittent demand.
+#: Models of single materials; the names are fixed values, the first four are for intermittent demand.
 POOL: dict[str, Model] = {
     "CROSTON_SBA": croston(0.1),
-    "MEDIA_POSITIVA_FREQUENCIA": positive_mean_by_frequency,
+    "MEDIA_POSITIVA_X_FREQUENCIA": positive_mean_by_frequency,
     "MEDIA_HISTORICA": historical_mean,
-    "MEDIA_MOVEL_6": moving_average(6),
-    "INGENUO": naive,
-    "MEDIA_MOVEL_3": moving_average(3),
-    "SAZONAL_INGENUO_12": seasonal_naive,
+    "MEDIA_MOVEL_6M": moving_average(6),
+    "INGENUO_ULTIMO_MES": naive,
+    "MEDIA_MOVEL_3M": moving_average(3),
+    "SAZONAL_12M": seasonal_naive,
     "TENDENCIA_LINEAR": linear_trend,
 }
 INTERMITTENT = tuple(POOL)[:4]

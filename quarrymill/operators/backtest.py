@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrymill.functions import models
+from quarrymill.operators.measures import join_groups
 from quarrymill.operators.series import future_months
 
 HORIZON, STEP, LEAST_TRAINING = 12, 3, 12
@@ -20,17 +21,18 @@ def rolling_folds(n: Column) -> Column:
 
 
 def yearly_folds(n: Column) -> Column:
-    """Cuts after 24, 36, ... months that leave a year, and a year before the end."""
+    """Cuts after 24, 36, ... months that leave a year, and a year before the end; none below 24 months of training."""
     last = n - 12
-    steps = F.when(last >= 24, F.sequence(F.lit(24), F.greatest(last, F.lit(24)), F.lit(12))).otherwise(F.array().cast("array<int>"))
-    return F.when(last > 0, F.array_union(steps, F.array(last))).otherwise(F.array().cast("array<int>"))
+    steps = F.array_union(F.sequence(F.lit(24), F.greatest(last, F.lit(24)), F.lit(12)), F.array(last))
+    return F.when(last >= 24, steps).otherwise(F.array().cast("array<int>"))
 
 
-def errors(arrays: DataFrame, by: list[str], pool: dict[str, models.Model], folds: Column, h: int) -> DataFrame:
-    """Rows of key, model, fold, step with y and f."""
-    cut = arrays.select(*by, "a", F.explode(folds).alias("corte"))
-    made = F.array(*[F.struct(F.lit(k).alias("modelo"), m(F.slice("a", F.lit(1), F.col("corte")), h).alias("f")) for k, m in pool.items()])
-    each = cut.withColumn("m", F.explode(made))
+def errors(arrays: DataFrame, by: list[str], pool: dict[str, models.Model], folds: Column, h: int, kind: str | None = None) -> DataFrame:
+    """Rows of key, model, fold, step with y and f; with ``kind``, a column of kinds of demand, of the models that the kind may use."""
+    cut = arrays.select(*by, "a", *([kind] if kind else []), F.explode(folds).alias("corte"))
+    one = lambda k, m: F.struct(F.lit(k).alias("modelo"), m(F.slice("a", F.lit(1), F.col("corte")), h).alias("f"))
+    made = F.array(*[F.when(allowed(F.col(kind), F.lit(k)), one(k, m)) if kind else one(k, m) for k, m in pool.items()])
+    each = cut.withColumn("m", F.explode(F.array_compact(made)))
     truth = F.slice("a", F.col("corte") + 1, F.lit(h))
     pairs = F.filter(F.arrays_zip(truth.alias("y"), F.col("m.f").alias("f")), lambda p: p["y"].isNotNull())
     return each.select(*by, F.col("m.modelo").alias("modelo"), "corte", F.posexplode(pairs).alias("passo", "p")).select(
@@ -43,6 +45,7 @@ def metrics(rows: DataFrame, by: list[str]) -> DataFrame:
     e = F.abs(F.col("f") - F.col("y"))
     return rows.groupBy(*by, "modelo").agg(
         F.count_distinct("corte").alias("janelas"),
+        F.count(F.lit(1)).alias("pontos"),
         F.avg(e).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         (100 * F.try_divide(F.sum(e), F.nullif(F.sum(F.abs("y")), F.lit(0.0)))).alias("wape"),
@@ -76,45 +79,49 @@ def confidence_reason(level: Column) -> Column:
     )
 
 
+def _scored(arrays: DataFrame, profile: DataFrame, by: list[str]) -> DataFrame:
+    known = join_groups(arrays, profile.select(*by, "tipo_demanda"), by, "inner")
+    return metrics(errors(known, by, models.POOL, rolling_folds(F.size("a")), STEP, "tipo_demanda"), by)
+
+
 def performance(arrays: DataFrame, profile: DataFrame, by: list[str]) -> DataFrame:
-    """Metrics and rank of the allowed models of each series."""
-    rows = errors(arrays, by, models.POOL, rolling_folds(F.size("a")), STEP)
-    scored = metrics(rows, by).join(profile.select(*by, "tipo_demanda"), by)
-    return ranked(scored.where(allowed(F.col("tipo_demanda"), F.col("modelo"))), by)
+    """Metrics and rank of the models that each series may use; others are not run."""
+    return ranked(join_groups(_scored(arrays, profile, by), profile.select(*by, "tipo_demanda"), by), by)
+
+
+#: Fixed value: models that may stand in for one that forecasts nothing.
+STAND_IN = ("CROSTON_SBA", "MEDIA_POSITIVA_X_FREQUENCIA", "MEDIA_HISTORICA")
+_FIGURES = ["wape", "mae", "rmse", "modelo", "janelas", "pontos", "vies", "erro_q80", "erro_q90"]
+
+
+def _run(name: Column, names: tuple[str, ...], h: int) -> Column:
+    """Forecast of the named model alone."""
+    return F.coalesce(*[F.when(name == k, models.POOL[k](F.col("a"), h)) for k in names])
 
 
 def choose(arrays: DataFrame, profile: DataFrame, by: list[str], h: int = HORIZON) -> DataFrame:
     """Per series: chosen model, its metrics, confidence, forecast array, band.
 
-    Without folds Croston is taken and the band is zero. Where the chosen forecast is zero but there was demand, the
-    best ranked of Croston, positive mean and historical mean with a forecast above zero is taken, if there is one.
+    Without folds Croston is taken and the band is zero. Where the chosen forecast is zero but there was demand, the best
+    ranked of the models that may stand in is taken. Only the chosen model is run on the whole series.
     """
-    perf = performance(arrays, profile, by)
-    base = arrays.join(profile, by)
-    made = F.array(*[F.struct(F.lit(k).alias("modelo"), m(F.col("a"), h).alias("f")) for k, m in models.POOL.items()])
-    each = base.withColumn("m", F.explode(made)).select(*by, "a", "ultimo_mes", "meses", "meses_ativos", "zeros_pct", "tipo_demanda", "m.*")
-    scores = perf.select(*by, "modelo", "posicao", "janelas", "mae", "rmse", "wape", "vies", "erro_q80", "erro_q90")
-    each = each.join(scores, [*by, "modelo"], "left")
-    group = W.partitionBy(*by)
-    level = models.total(F.col("f"))
-    fallback = F.col("modelo").isin("CROSTON_SBA", "MEDIA_POSITIVA_FREQUENCIA", "MEDIA_HISTORICA") & (level > 0) & (F.col("meses_ativos") > 0)
-    dead = F.max(F.when(F.col("posicao") == 1, (level <= 0) & (F.col("meses_ativos") > 0))).over(group)
-    unscored = F.max("posicao").over(group).isNull()
-    rank = (
-        F.when(unscored, F.when(F.col("modelo") == "CROSTON_SBA", 0).otherwise(99))
-        .when(dead & fallback, F.coalesce(F.col("posicao"), F.lit(50)) - 100)
-        .otherwise(F.coalesce(F.col("posicao"), F.lit(99)))
-    )
-    first = F.row_number().over(group.orderBy("_rank", "modelo"))
-    best = each.withColumn("_rank", rank).withColumn("_first", first).where("_first = 1")
-    folds = F.coalesce("janelas", F.lit(0))
-    best = best.withColumn("janelas", folds).withColumn(
-        "confianca_previsao", confidence(F.col("meses"), F.col("meses_ativos"), F.col("zeros_pct"), F.col("janelas"), F.col("wape"))
-    )
+    order = F.struct(F.col("wape").isNull().alias("_none"), *_FIGURES)
+    best = _scored(arrays, profile, by).groupBy(*by).agg(F.min(order).alias("_b"), F.min(F.when(F.col("modelo").isin(*STAND_IN), order)).alias("_p"))
+    base = join_groups(join_groups(arrays, profile, by, "inner"), best, by)
+    first = _run(F.coalesce("_b.modelo", F.lit("CROSTON_SBA")), tuple(models.POOL), h)
+    base = base.withColumn("_f", first)
+    dead = (models.total(F.col("a")) > 0) & (models.total(F.col("_f")) <= 0) & F.col("_b").isNotNull() & F.col("_p").isNotNull()
+    base = base.withColumn("_dead", dead).withColumn("_c", F.when(F.col("_dead"), F.col("_p")).otherwise(F.col("_b")))
+    f = F.when(F.col("_dead"), _run(F.col("_c.modelo"), STAND_IN, h)).otherwise(F.col("_f"))
+    out = base.withColumns({c: F.col(f"_c.{c}") for c in _FIGURES} | {"f": f})
+    out = out.withColumns({"modelo": F.coalesce("modelo", F.lit("CROSTON_SBA")), "janelas": F.coalesce("janelas", F.lit(0))})
+    out = out.withColumn("confianca_previsao", confidence(F.col("meses"), F.col("meses_ativos"), F.col("zeros_pct"), F.col("janelas"), F.col("wape")))
     band = F.when(F.col("confianca_previsao") == "BAIXA", F.col("erro_q90")).otherwise(F.col("erro_q80"))
-    return best.withColumns(
-        {"faixa": F.coalesce(band, F.lit(0.0)), "motivo_confianca": confidence_reason(F.col("confianca_previsao"))}
-    ).withColumnRenamed("modelo", "modelo_selecionado").drop("_rank", "_first", "posicao")
+    return (
+        out.withColumns({"faixa": F.coalesce(band, F.lit(0.0)), "motivo_confianca": confidence_reason(F.col("confianca_previsao"))})
+        .withColumnRenamed("modelo", "modelo_selecionado")
+        .drop("_b", "_p", "_c", "_f", "_dead")
+    )
 
 
 def scenarios(chosen: DataFrame, by: list[str], h: int = HORIZON) -> DataFrame:
@@ -202,7 +209,7 @@ def unit_summary(arrays: DataFrame, by: list[str]) -> DataFrame:
 
 def unit_confidence(level: Column, active: Column, years: Column, folds: Column, wape: Column) -> Column:
     fair = (active >= 24) & (years >= 4) & (folds >= 3) & (wape <= 0.75)
-    return F.when(level == "SEGMENTO", "BAIXA").when(F.coalesce(fair, F.lit(False)), "MEDIA").otherwise("BAIXA")
+    return F.when(F.upper(level) == "SEGMENTO", "BAIXA").when(F.coalesce(fair, F.lit(False)), "MEDIA").otherwise("BAIXA")
 
 
 def uncertainty(wape: Column, active: Column, confidence_level: Column) -> Column:

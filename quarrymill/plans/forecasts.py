@@ -122,7 +122,7 @@ def _(spark, sf_dir):
     return out.select(*BY, (F.col("k") + 1).alias("passo"), "f.historico", "f.recente")
 
 
-_POOL = {"INGENUO": models.naive, "MEDIA_HISTORICA": models.historical_mean, "MEDIA_MOVEL_3": models.moving_average(3)}
+_POOL = {"INGENUO_ULTIMO_MES": models.naive, "MEDIA_HISTORICA": models.historical_mean, "MEDIA_MOVEL_3M": models.moving_average(3)}
 
 
 @query(
@@ -131,10 +131,10 @@ _POOL = {"INGENUO": models.naive, "MEDIA_HISTORICA": models.historical_mean, "ME
       WHERE k <= CASE WHEN len >= 36 THEN 4 WHEN len >= 24 THEN 3 WHEN len >= 15 THEN 2 ELSE 0 END AND len - 3 * k >= 12),
     fit AS (SELECT f.codigo_catmat, f.descricao_item, corte, max(q) FILTER (WHERE p = corte) AS f1, avg(q) AS f2, avg(q) FILTER (WHERE p > corte - 3) AS f3
       FROM folds f JOIN series s ON s.codigo_catmat = f.codigo_catmat AND s.descricao_item = f.descricao_item AND p <= corte GROUP BY 1, 2, 3),
-    e AS (SELECT t.codigo_catmat, t.descricao_item, t.corte, m.modelo, s.q AS y, CASE m.modelo WHEN 'INGENUO' THEN f1 WHEN 'MEDIA_HISTORICA' THEN f2 ELSE f3 END AS f
+    e AS (SELECT t.codigo_catmat, t.descricao_item, t.corte, m.modelo, s.q AS y, CASE m.modelo WHEN 'INGENUO_ULTIMO_MES' THEN f1 WHEN 'MEDIA_HISTORICA' THEN f2 ELSE f3 END AS f
       FROM fit t JOIN series s ON s.codigo_catmat = t.codigo_catmat AND s.descricao_item = t.descricao_item AND s.p > corte AND s.p <= corte + 3
-      CROSS JOIN (VALUES ('INGENUO'), ('MEDIA_HISTORICA'), ('MEDIA_MOVEL_3')) m(modelo))
-    SELECT codigo_catmat, descricao_item, modelo, count(DISTINCT corte) AS janelas, round(avg(abs(f - y)) + 1e-7, 4) AS mae, round(sqrt(avg((f - y) * (f - y))) + 1e-7, 4) AS rmse,
+      CROSS JOIN (VALUES ('INGENUO_ULTIMO_MES'), ('MEDIA_HISTORICA'), ('MEDIA_MOVEL_3M')) m(modelo))
+    SELECT codigo_catmat, descricao_item, modelo, count(DISTINCT corte) AS janelas, count(*) AS pontos, round(avg(abs(f - y)) + 1e-7, 4) AS mae, round(sqrt(avg((f - y) * (f - y))) + 1e-7, 4) AS rmse,
     round(100 * sum(abs(f - y)) / nullif(sum(abs(y)), 0) + 1e-7, 4) AS wape, round(avg(f - y) + 1e-7, 4) AS vies, round(quantile_cont(abs(f - y), 0.8) + 1e-7, 4) AS erro_q80,
     round(quantile_cont(abs(f - y), 0.9) + 1e-7, 4) AS erro_q90 FROM e GROUP BY 1, 2, 3""",
 )
