@@ -8,6 +8,7 @@ broadcast after a count.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrymill.sources.scratch import cut, small
@@ -25,7 +26,7 @@ def _entry(i: int, columns: list[Column], counts: Column) -> Column:
 
 
 def groups(df: DataFrame, flags: dict[str, list[Column]], only: dict[str, Column] | None = None) -> DataFrame:
-    """(_f, _d0, _d1, _k, n): for each flag, by its place, the values _k of digests that occur again and the rows that have them.
+    """(_f, _d0, _d1, _k, n, mixed): for each flag, by its place, the values _k that n > 1 rows share, and whether other values have their digest.
 
     _k is the values as text. ``only`` has the rows that count for a flag. Two jobs run while the plan is built; ``df`` is read once
     and, for each flag, in its columns once more, so it should be cut.
@@ -35,29 +36,29 @@ def groups(df: DataFrame, flags: dict[str, list[Column]], only: dict[str, Column
     each = F.array(*[_entry(i, c, only.get(name, F.lit(True))) for i, (name, c) in enumerate(flags.items())])
     entries = df.select(F.inline(F.array_compact(each)))
     twice = cut(entries.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
+    known = small(twice)
     out = None
     for i, (name, columns) in enumerate(flags.items()):
         a, b = digest(columns)
-        right = small(twice.where(F.col("_f") == i).select(F.col("_d0").alias("_e0"), F.col("_d1").alias("_e1")))
+        right = known.where(F.col("_f") == i).select(F.col("_d0").alias("_e0"), F.col("_d1").alias("_e1"))
         again = df.where(only.get(name, F.lit(True))).join(right, (a == F.col("_e0")) & (b == F.col("_e1")))
         values = F.array(*[c.cast("string") for c in columns])
         one = again.select(F.lit(i).alias("_f"), F.col("_e0").alias("_d0"), F.col("_e1").alias("_d1"), values.alias("_k"))
         out = one if out is None else out.union(one)
-    return cut(out.groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("n")), "groups")
+    counted = out.groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("n"))
+    # a row for each value of a digest, which is one but for collisions
+    return cut(counted.withColumn("mixed", F.count(F.lit(1)).over(W.partitionBy(*by)) > 1).where("n > 1"), "groups")
 
 
 def with_repeats(df: DataFrame, flags: dict[str, list[Column]], only: dict[str, Column] | None = None) -> DataFrame:
     """Adds a boolean for each flag: whether another row has the same values in its columns; nulls are equal."""
     only = only or {}
-    exact = groups(df, flags, only)
     # digests of several values need the values themselves; of others no value is carried
-    mixed = exact.groupBy("_f", "_d0", "_d1").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
-    kept = exact.where("n > 1").join(small(mixed), ["_f", "_d0", "_d1"], "left")
-    kept = cut(kept.select("_f", "_d0", "_d1", F.when(F.col("_m").isNotNull(), F.col("_k")).alias("_k")), "kept")
+    kept = small(groups(df, flags, only).select("_f", F.col("_d0").alias("_e0"), F.col("_d1").alias("_e1"), F.when(F.col("mixed"), F.col("_k")).alias("_e")))
     out = df
     for i, (name, columns) in enumerate(flags.items()):
         a, b = digest(columns)
-        right = small(kept.where(F.col("_f") == i).select(F.col("_d0").alias("_e0"), F.col("_d1").alias("_e1"), F.col("_k").alias("_e")))
+        right = kept.where(F.col("_f") == i).drop("_f")
         same = F.col("_e").isNull() | (F.array(*[c.cast("string") for c in columns]) == F.col("_e"))
         on = only.get(name, F.lit(True)) & (a == F.col("_e0")) & (b == F.col("_e1")) & same
         out = out.join(right, on, "left").withColumn(name, F.col("_e0").isNotNull()).drop("_e0", "_e1", "_e")
