@@ -203,12 +203,12 @@ def selection_fit(df: DataFrame) -> DataFrame:
 
 
 def coverage_by_family(df: DataFrame) -> DataFrame:
-    """Of evaluated codes: all, with prices, records, errors."""
-    return df.groupBy("familia_material").agg(
-        _n().alias("avaliados"),
+    """Per known family: different codes that were evaluated, rows with prices, records, rows with status ERRO."""
+    return df.where("familia_material is not null").groupBy("familia_material").agg(
+        F.count_distinct("codigo_catmat").alias("avaliados"),
         F.count_if(F.col("registros") > 0).alias("com_preco"),
         F.coalesce(F.sum("registros"), F.lit(0)).alias("registros"),
-        F.count_if(F.col("status") != "OK").alias("erros"),
+        F.count_if(F.col("status") == "ERRO").alias("erros"),
     )
 
 

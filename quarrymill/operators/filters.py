@@ -68,9 +68,10 @@ def one_per(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """Evaluated and selected codes with records, one row each, most records first."""
+    """Evaluated and selected codes with records, one row each, most records first; of equal counts the row with the least other columns."""
     good = df.where((F.col("status") == "OK") & (F.col("registros") > 0) & parse_bool("selecionado"))
-    return one_per(good, ["codigo"], F.desc("registros")).orderBy(F.desc("registros"), "codigo")
+    rest = [F.asc_nulls_last(c) for c in sorted(df.columns) if c not in ("codigo", "registros")]
+    return one_per(good, ["codigo"], F.desc("registros"), *rest).orderBy(F.desc("registros"), "codigo")
 
 
 def group_candidates(df: DataFrame) -> DataFrame:
