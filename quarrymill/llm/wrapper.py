@@ -2,14 +2,16 @@
 
 Pages of a host with the same layout (the same set of structural tags) have a reference page. The DOM tree of every other page
 is aligned with it by simple tree matching; nodes of the reference whose text is the same in nearly all pages are
-template, counted over all pages. Nodes that the reference lacks or that align with others are template if nearly all pages have their path and
-text. The node of the reference below which most of the varying text lies is where content is.
-Text of template nodes is left out, varying slots are content; names of elements and classes break ties (an article next to
-the induced node stands for it) and take out menus, adverts and the like.
+template, counted over all different pages. Nodes that the reference lacks or that align with others are template if nearly all pages have their path and
+text. The node of the reference below which most of the text lies that is not template is where content is.
+Text of template nodes and all text outside that node is left out, varying slots below it are content. Names only break ties: an article around
+the induced node stands for it, one below it only if it holds most of its text, and slots below it that are named as menus, adverts and the like go,
+but never one that holds an article or main element.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections.abc import Iterator
@@ -22,8 +24,11 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.common import map_arrow, materialize, slices, strings
 
-#: A node is template if at least LEAST_PAGES other pages were aligned and SHARE of them have its text.
+#: A node is template if at least LEAST_PAGES other pages were aligned and SHARE of them have its text. With fewer the votes leave it open,
+#: and the node that holds the content is induced from all its text.
 LEAST_PAGES, SHARE = 5, 0.9
+#: A named node below the induced one replaces it if it holds this share of its text.
+NAMED_SHARE = 0.5
 #: Content lies below a child that has this share of its parent's varying text.
 ROOT_SHARE = 0.5
 #: References are broadcast up to this many bytes in all; beyond it the join by host and layout shuffles.
@@ -48,12 +53,17 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 SCOPE = frozenset("html body table ul ol dl article section div main td th nav aside footer header form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE = RAW | frozenset("head nav footer aside form button select menu dialog object canvas audio video".split())
-_BOILERPLATE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|"
-    r"alert|newsletter|subscribe|popup|modal|overlay|side-?bar|widgets?|related|recommend(?:ed|ations)?|shar(?:e|ing)|"
-    r"social|breadcrumbs?|menu|nav(?:bar|igation)?|footer|header|masthead|comments?|comment-?list|respond|reply|replies|"
-    r"login|signup|search|pag(?:er|ination)|copyright|skip|toolbar|complementary|contentinfo|dialog)(?:$|[\s_-])",
-    re.I,
+# Words of class names that mark boilerplate, those that do so only outside content, and those that may stand beside them in one name.
+BOILERPLATE_WORDS = frozenset(
+    "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert newsletter "
+    "subscribe popup modal overlay sidebar widget widgets related recommend recommended recommendations share sharing social breadcrumb "
+    "breadcrumbs menu nav navbar navigation footer comment comments commentlist respond reply replies login signup search pager pagination "
+    "copyright skip toolbar complementary contentinfo dialog".split()
+)
+HEADER_WORDS = frozenset("header masthead".split())
+BESIDE_WORDS = frozenset(
+    "site page global main primary secondary top bottom left right user reader list box area block section container wrapper bar button buttons "
+    "slot unit form link links item items post posts article articles stories thread panel group row inner outer media icons".split()
 )
 #: Tags that make a layout, with their attributes; runs of digits in them count as one.
 _LAYOUT = r"(?i)<((?:div|section|main|article|aside|nav|header|footer|table|form)\b[^<>]*)>"
@@ -341,26 +351,48 @@ def _align(p: list[Node], q: list[Node], shapes: Shapes) -> list[tuple[Node, Nod
     return out
 
 
-def _boilerplate(node: Node, inside: bool) -> bool:
-    if node.tag in BOILERPLATE or node.tag == "header" and not inside:
-        return True
-    return bool(node.names) and node.tag not in ("html", "body", "main") and bool(_BOILERPLATE_NAME.search(node.names))
+@functools.lru_cache(maxsize=1 << 16)
+def named_boilerplate(names: str, inside: bool) -> bool:
+    """Whether one of the names is a boilerplate word, or made of such words and words that may stand beside them."""
+    for name in re.sub(r"side-bar", "sidebar", names.lower()).split():
+        words = [re.sub(r"\d+$", "", w) for w in re.split(r"[-_]+", name)]
+        words = [w for w in words if w]
+        marks = [w for w in words if w in BOILERPLATE_WORDS or not inside and w in HEADER_WORDS]
+        if marks and all(w in marks or w in BESIDE_WORDS for w in words):
+            return True
+    return False
 
 
-def _named_roots(tree: Tree) -> tuple[list[Node], list[Node]]:
-    """The outermost article elements, and main elements, outside boilerplate."""
-    articles, mains, stack = [], [], [tree.root]
-    while stack:
-        n = stack.pop()
-        if n is not tree.root and _boilerplate(n, n.tag == "article"):
-            continue
-        if n.tag == "article" or re.search(r"\barticleBody\b", n.names):
-            articles.append(n)
-            continue
-        if n.tag == "main" or n.names == "main":
-            mains.append(n)
-        stack.extend(reversed(n.children))
-    return articles, mains
+def _boilerplate_element(node: Node, inside: bool) -> bool:
+    return node.tag in BOILERPLATE or node.tag == "header" and not inside
+
+
+def _boilerplate_name(node: Node, inside: bool) -> bool:
+    return bool(node.names) and node.tag not in ("html", "body", "main", "article", "h1", "h2") and named_boilerplate(node.names, inside)
+
+
+class _Named:
+    """Outermost article elements and main elements outside boilerplate elements; doubtful ones lie in nodes with boilerplate names."""
+
+    def __init__(self, tree: Tree):
+        self.articles: list[Node] = []
+        self.mains: list[Node] = []
+        self.doubtful: list[Node] = []
+        stack = [(tree.root, False)]
+        while stack:
+            n, doubt = stack.pop()
+            if n is not tree.root and _boilerplate_element(n, False):
+                continue
+            doubt = doubt or _boilerplate_name(n, False)
+            article = n.tag == "article" or re.search(r"\barticleBody\b", n.names)
+            if article:
+                (self.doubtful if doubt else self.articles).append(n)
+                continue
+            if n.tag == "main" or n.names == "main":
+                (self.doubtful if doubt else self.mains).append(n)
+            stack.extend((c, doubt) for c in reversed(n.children))
+        #: nodes that hold one of these, which names can't take out
+        self.holders = set().union(*(_above(n) for n in (*self.articles, *self.mains, *self.doubtful)))
 
 
 def _above(node: Node) -> set[Node]:
@@ -371,15 +403,34 @@ def _above(node: Node) -> set[Node]:
     return out
 
 
-def roots(tree: Tree, induced: Node | None) -> list[Node]:
-    """Where the content is: the induced node, or the articles, or else the main element, in it or around it; without an induced node those of the page."""
-    articles, mains = _named_roots(tree)
+def _chars(nodes: list[Node]) -> int:
+    """Text in nodes and below them, outside boilerplate elements."""
+    n, stack = 0, list(nodes)
+    while stack:
+        x = stack.pop()
+        n += len(x.own)
+        stack.extend(c for c in x.children if not _boilerplate_element(c, True))
+    return n
+
+
+def _roots(tree: Tree, induced: Node | None, named: _Named) -> list[Node]:
+    """The induced node, or a named one around it or with most of its text; without an induced node those of the page."""
+    articles, mains = named.articles, named.mains[:1]
     if induced is None or induced.tag in ("#", "html", "body"):
-        return articles or mains[:1] or [tree.root]
+        if articles and mains:
+            below = [n for n in articles if mains[0] in _above(n)]
+            return articles if not below or _chars(below) >= NAMED_SHARE * _chars(mains) else mains
+        if articles or mains:
+            return articles or mains
+        doubtful = named.doubtful
+        return doubtful if doubtful and _chars(doubtful) >= NAMED_SHARE * _chars([tree.root]) else [tree.root]
     around = _above(induced)
-    for named in (articles, mains):
-        if hit := [n for n in named if n in around or induced in _above(n)]:
-            return hit if named is articles else hit[:1]
+    for nodes in (articles, mains, named.doubtful):
+        if hit := [n for n in nodes if n in around]:
+            return hit[:1]
+        below = [n for n in nodes if induced in _above(n)]
+        if below and _chars(below) >= NAMED_SHARE * _chars([induced]):
+            return below
     return [induced]
 
 
@@ -393,7 +444,9 @@ def main_text(tree: Tree, template: frozenset[int] | set[int] = frozenset(), ind
             blocks.append(text)
         line.clear()
 
-    for root in roots(tree, induced):
+    named = _Named(tree)
+    for root in _roots(tree, induced, named):
+        inside = root is not tree.root
         flush()
         stack: list = [root]
         while stack:
@@ -402,7 +455,7 @@ def main_text(tree: Tree, template: frozenset[int] | set[int] = frozenset(), ind
                 line.append(x)
             elif x is None:
                 flush()
-            elif x is root or not _boilerplate(x, root is not tree.root):
+            elif x is root or not (_boilerplate_element(x, inside) or x not in named.holders and _boilerplate_name(x, inside)):
                 block = x.tag not in INLINE
                 if block:
                     flush()
@@ -416,16 +469,21 @@ def main_text(tree: Tree, template: frozenset[int] | set[int] = frozenset(), ind
     return "\n".join(blocks)
 
 
-def induced_root(tree: Tree, chars: dict[int, int]) -> int:
-    """The node below which the varying text lies, from the varying characters of each node; -1 for the root.
+def induced_root(tree: Tree, chars: dict[int, int], varying: frozenset[int] | set[int] = frozenset()) -> int:
+    """The node below which the content lies, from the characters of each node that are not template; -1 for the root.
 
-    From the root on, the child that holds most of its parent's varying text is taken, as long as it holds blocks itself and the parent
-    has no heading or paragraph with varying text.
+    From the root on, the child that holds most of its parent's text is taken, as long as it holds blocks itself, the parent
+    has no heading or paragraph with text, and no other child holds a first-level heading among the ``varying`` nodes.
     """
     mass = {n.number: 0 if n.tag in RAW or n.tag == "head" else chars.get(n.number, 0) for n in tree.nodes}
+    titles: set[int] = set()
     for n in reversed(tree.nodes):
+        if n.tag == "h1" and n.number in varying:
+            titles.add(n.number)
         if n.parent.number >= 0:
             mass[n.parent.number] += mass[n.number]
+            if n.number in titles:
+                titles.add(n.parent.number)
     at, total = tree.root, sum(mass[n.number] for n in tree.root.children)
     while True:
         blocks = [c for c in at.children if c.tag not in INLINE and mass[c.number] and c.tag not in RAW]
@@ -433,7 +491,8 @@ def induced_root(tree: Tree, chars: dict[int, int]) -> int:
             return at.number
         best = max(blocks, key=lambda c: mass[c.number])
         deeper = any(c.tag not in INLINE and mass[c.number] for c in best.children)
-        if not deeper or mass[best.number] < ROOT_SHARE * total:
+        apart = any(c.number in titles for c in blocks if c is not best)
+        if apart or not deeper or mass[best.number] < ROOT_SHARE * total:
             return at.number
         at, total = best, mass[best.number]
 
@@ -471,36 +530,39 @@ NODE, PATH, PAGES = 0, 1, 2
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, layout, kind, key, n, same, chars): for nodes of the reference, for paths with texts, and pages."""
+    """(host, layout, kind, key, n, same, chars, alike): for nodes of the reference, for paths with texts, and pages.
+
+    ``chars`` counts the text that differs from the reference, ``alike`` the other. Copies of a page share one vote.
+    """
     trees = _Trees()
-    votes: dict[tuple[str, str, int, int], list[int]] = {}
+    votes: dict[tuple[str, str, int, int], list[float]] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
         if votes:
             keys, values = list(zip(*votes, strict=True)), list(zip(*votes.values(), strict=True))
             kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(keys, kinds, strict=True)] + [pa.array(c, pa.int64()) for c in values],
-                ["host", "layout", "kind", "key", "n", "same", "chars"],
+                [pa.array(c, k) for c, k in zip(keys, kinds, strict=True)] + [pa.array(c, pa.float64()) for c in values],
+                ["host", "layout", "kind", "key", "n", "same", "chars", "alike"],
             )
             votes.clear()
 
     for batch in batches:
         for part in slices(batch, "html", "reference"):
-            for host, layout, page, ref in zip(*(strings(part, c) for c in ("host", "layout", "html", "reference")), strict=True):
+            columns = [strings(part, c) for c in ("host", "layout", "html", "reference")]
+            for host, layout, page, ref, copies in zip(*columns, part.column("copies").to_pylist(), strict=True):
                 if page == ref:
                     continue
                 tree = trees.get_tree((host, layout), ref)
                 other = parse(page, trees.shapes)
                 pairs = match(tree, other, trees.shapes)
 
-                def vote(kind: int, key: int, n: int, same: int, chars: int) -> None:
-                    v = votes.setdefault((host, layout, kind, key), [0, 0, 0])  # noqa: B023
-                    v[0] += n
-                    v[1] += same
-                    v[2] += chars
+                def vote(kind: int, key: int, *counts: int) -> None:
+                    v = votes.setdefault((host, layout, kind, key), [0.0] * 4)  # noqa: B023
+                    for i, c in enumerate(counts):
+                        v[i] += c / copies  # noqa: B023
 
-                vote(PAGES, 0, 1, 0, 0)
+                vote(PAGES, 0, 1)
                 place = {y.number: x.number for x, y in pairs}
                 seen: set[int] = set()
                 memo: dict[int, str] = {}
@@ -509,12 +571,12 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if x.own or y.own:
                         seen.add(x.number)
                         same = x.own == y.own
-                        vote(NODE, x.number, 1, same, 0 if same else len(y.own))
+                        vote(NODE, x.number, 1, same, 0 if same else len(y.own), len(y.own) if same else 0)
                         if same:
                             once.add(path_hash(y, memo))
                 for x in tree.nodes:
                     if x.own and x.number not in seen:
-                        vote(NODE, x.number, 1, 0, 0)
+                        vote(NODE, x.number, 1)
                 for y in other.nodes:
                     if y.number not in place:
                         place[y.number] = place[y.parent.number]
@@ -522,7 +584,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             vote(NODE, place[y.number], 0, 0, len(y.own))
                             once.add(path_hash(y, memo))
                 for h in once:
-                    vote(PATH, h, 1, 0, 0)
+                    vote(PATH, h, 1)
                 if len(votes) > HELD_VOTES:
                     yield from out()
     yield from out()
@@ -545,7 +607,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if key not in induced or induced[key][0] != ref:
                     if len(induced) > 1000:
                         induced.clear()
-                    induced[key] = (ref, induced_root(reference, {c["key"]: c["chars"] for c in chars}))
+                    open_ = {c["key"]: c["chars"] for c in chars}
+                    induced[key] = (ref, induced_root(reference, open_, {c["key"] for c in chars if c["varying"]}))
                 tree = parse(page, trees.shapes)
                 pairs = match(reference, tree, trees.shapes)
                 fixed, known, memo = set(nodes or ()), set(paths or ()), {}
@@ -580,31 +643,42 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
     Null and empty html gives an empty text. Pages with a null url are one host. Layouts of at most
-    LEAST_PAGES pages go with the host's commonest; if that has no more either, there is no template, only the rules about elements. Exact copies of
-    the reference don't vote; repeated rows each get their row. An empty table gives an empty result; other columns are ignored.
+    LEAST_PAGES pages go with the host's commonest. Exact copies of the reference don't vote, copies of any other page share one vote;
+    a host with one page alone has only the rules about names and elements. Repeated rows each get their row. An empty table gives an
+    empty result; other columns are ignored.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     html = F.coalesce("html", F.lit(""))
     tags = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(_LAYOUT), F.lit(1)), lambda t: F.regexp_replace(t, "[0-9]+", "#"))))
-    read = pages.select("page_id", "url", html.alias("html"), host.alias("host"), F.md5(F.array_join(tags, "\n")).alias("own"))
+    read = pages.select("page_id", "url", html.alias("html"), host.alias("host"), F.md5(F.array_join(tags, "\n")).alias("own"), F.md5(html).alias("digest"))
     wrappers = materialize(_references(read), "layouts")
+    same_page = read.groupBy("host", "own", "digest").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    same_page = materialize(same_page, "copies")
+    if (same_page.agg(F.sum(F.octet_length("host") + 96)).first()[0] or 0) <= BROADCAST_BYTES:
+        same_page = F.broadcast(same_page)
+    voters = _join_layouts(read.join(same_page, ["host", "own", "digest"], "left").withColumn("copies", F.coalesce("copies", F.lit(1))), wrappers)
     votes = map_arrow(
-        _join_layouts(read, wrappers).select("host", "layout", "html", "reference"), _votes,
-        "host string, layout string, kind int, key long, n long, same long, chars long",
+        voters.select("host", "layout", "html", "reference", "copies"), _votes,
+        "host string, layout string, kind int, key long, n double, same double, chars double, alike double",
     )
-    votes = materialize(votes.groupBy("host", "layout", "kind", "key").agg(*(F.sum(c).alias(c) for c in ("n", "same", "chars"))), "votes")
-    count = votes.where(F.col("kind") == PAGES).select("host", "layout", F.col("n").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    nodes = votes.where((F.col("kind") == NODE) & (F.col("n") >= LEAST_PAGES) & (F.col("same") >= SHARE * F.col("n")))
-    paths = votes.where(F.col("kind") == PATH).join(count, ["host", "layout"]).where(F.col("n") >= SHARE * F.col("pages"))
-    varying = votes.where((F.col("kind") == NODE) & (F.col("chars") > 0))
+    # votes of copies are fractions, so sums are rounded before they are compared
+    counts = [F.round(F.sum(c), 6).alias(c) for c in ("n", "same", "chars", "alike")]
+    votes = materialize(votes.groupBy("host", "layout", "kind", "key").agg(*counts), "votes")
+    count = votes.where(F.col("kind") == PAGES).select("host", "layout", F.col("n").alias("pages"))
+    template = (F.col("n") >= LEAST_PAGES) & (F.col("same") >= SHARE * F.col("n"))
+    nodes = votes.where((F.col("kind") == NODE) & template)
+    many = count.where(F.col("pages") >= LEAST_PAGES)
+    paths = votes.where(F.col("kind") == PATH).join(many, ["host", "layout"]).where(F.col("n") >= SHARE * F.col("pages"))
+    left = F.col("chars") + F.when(template, 0).otherwise(F.col("alike"))
+    open_ = votes.where(F.col("kind") == NODE).select("host", "layout", "key", left.alias("chars"), (F.col("chars") > 0).alias("varying")).where("chars > 0")
     # lists of at most the nodes of one page
     found = (
         count.select("host", "layout")
         .join(nodes.groupBy("host", "layout").agg(F.collect_list("key").alias("nodes")), ["host", "layout"], "left")
         .join(paths.groupBy("host", "layout").agg(F.collect_list("key").alias("paths")), ["host", "layout"], "left")
-        .join(varying.groupBy("host", "layout").agg(F.collect_list(F.struct("key", "chars")).alias("chars")), ["host", "layout"], "left")
-        .withColumn("chars", F.coalesce("chars", F.array().cast("array<struct<key:bigint,chars:bigint>>")))
+        .join(open_.groupBy("host", "layout").agg(F.collect_list(F.struct("key", "chars", "varying")).alias("chars")), ["host", "layout"], "left")
+        .withColumn("chars", F.coalesce("chars", F.array().cast("array<struct<key:bigint,chars:double,varying:boolean>>")))
     )
     wrappers = materialize(wrappers.join(found, ["host", "layout"], "left"), "wrappers")
     rows = _join_layouts(read, wrappers).select("page_id", "url", "html", "host", "layout", "reference", "nodes", "paths", "chars")

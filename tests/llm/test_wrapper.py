@@ -1,7 +1,9 @@
 """Wrapper induction: the alignment, and pages on which it alone decides."""
 
 import itertools
+import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -119,3 +121,79 @@ def test_long_and_deep_pages_are_aligned_whole():
     assert len(wrapper.match(page(400, "a"), page(2000, "b"), shapes)) == 2 + 3 * 400
     deep = [wrapper.parse("<div>" * 5000 + t, shapes) for t in "ab"]
     assert len(wrapper.match(*deep, shapes)) == 5001
+
+
+def extracted(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in rows_of(wrapper.extract(df))}
+
+
+@pytest.mark.parametrize("pages", [1, 2, 4, 12])
+def test_names_lose_no_main_text(spark, pages):
+    """Modifiers of layouts are no boilerplate, and titles inside an article stay, with and without votes."""
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for i in range(pages):
+        bodies = [(f"Title {words(rng, 4)}", [words(rng, 40) for _ in range(3)]) for _ in range(3)]
+        paragraphs = ["".join(f"<p>{b}</p>" for b in body) for _, body in bodies]
+        t = [h for h, _ in bodies]
+        rows += [
+            (3 * i, f"http://a.org/{i}", f'<body><div class="layout has-sidebar"><nav>Home</nav><article><h1>{t[0]}</h1>{paragraphs[0]}</article>'
+             f'<div class="sidebar"><p>{words(rng, 9)}</p></div></div></body>'),
+            (3 * i + 1, f"http://b.org/{i}", f'<body><div class="menu">Home</div><main class="single post-with-comments"><h1>{t[1]}</h1>{paragraphs[1]}'
+             f'<div class="comments"><p>{words(rng, 9)}</p></div></main></body>'),
+            (3 * i + 2, f"http://c.org/{i}", f'<body><header class="header">Site</header><article class="widget"><header class="entry-header"><h1>{t[2]}</h1></header>'
+             f'{paragraphs[2]}<section class="related-posts"><h3>{words(rng, 5)}</h3></section></article></body>'),
+        ]
+        want |= {3 * i + k: "\n".join([h, *body]) for k, (h, body) in enumerate(bodies)}
+    assert extracted(spark, rows) == want
+
+
+def stripped(html):
+    """The page without the names that the rules know: all structural elements are div, without attributes."""
+    html = re.sub(r"(?i)<(/?)(?:article|nav|footer|header|aside|main|section)\b[^>]*>", r"<\1div>", html)
+    return re.sub(r'(?i)<div class="[^"]*">', "<div>", html)
+
+
+def test_given_pages_without_names(spark, sf_dir):
+    """With all names taken out of the given pages, the induced wrapper finds the same text; without it the rest of the page stays in."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()
+    host = lambda url: url.split("/")[2]
+    many = Counter(host(p.url) for p in pages)
+    rows = [(p.page_id, p.url, p.html) for p in pages if many[host(p.url)] > 1]
+    want = extracted(spark, rows)
+    bare = [(i, url, stripped(html)) for i, url, html in rows]
+    got = extracted(spark, bare)
+    assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
+    assert not any(wrapper.main_text(wrapper.parse(html)) == want[i] for i, _, html in bare)
+
+
+@pytest.mark.parametrize("pages", [3, 20])
+def test_misleading_names_do_not_outweigh_the_wrapper(spark, pages):
+    """Teasers in article elements, and content in a div below one whose name is that of a sidebar."""
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for i in range(pages):
+        body = [words(rng, 50) for _ in range(4)]
+        teasers = "".join(f"<article><h3>{words(rng, 2)}</h3><span>{words(rng, 3)}</span></article>" for _ in range(3))
+        content = f"<h1>T{i} {words(rng, 3)}</h1>" + "".join(f"<p>{b}</p>" for b in body)
+        rows.append((i, f"http://odd.org/{i}", f'<body><div class="sidebar"><div><div>{teasers}</div><div>{content}</div></div></div></body>'))
+        want[i] = content.replace("<h1>", "").replace("</h1><p>", "\n").replace("</p><p>", "\n").replace("</p>", "")
+    assert extracted(spark, rows) == want
+
+
+def test_copies_of_a_page_are_one_vote(spark):
+    """Text of a page that most rows of a host repeat is no template."""
+    rng = np.random.default_rng(7)
+    html, texts = zip(*(bare_page(rng, i) for i in range(8)), strict=True)
+    picked = [*range(8), *[3] * 90]
+    rows = [(n, f"http://copies.org/{n}", html[i]) for n, i in enumerate(picked)]
+    assert extracted(spark, rows) == {n: texts[i] for n, i in enumerate(picked)}
+
+
+def test_names_are_whole():
+    for names in ("sidebar", "site-footer", "box Related-Posts", "comment_list", "ad-3", "widget-area", "cookie-banner", "side-bar"):
+        assert wrapper.named_boilerplate(names, True), names
+    for names in ("has-sidebar", "post-with-comments", "entry-header", "header", "content", "no-share", "", "leadership", "comments-open"):
+        assert not wrapper.named_boilerplate(names, True), names
+    assert wrapper.named_boilerplate("page-header", False)
