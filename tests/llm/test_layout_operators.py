@@ -69,13 +69,53 @@ def test_shards(name, request):
         assert max(load.values()) < 1.05 * sum(load.values()) / 8
 
 
-@given(st.dictionaries(st.integers(), st.integers(1, 100), min_size=1, max_size=40))
-@settings(max_examples=50, deadline=None)
-def test_longest_first_is_within_its_bound(sizes):
-    load = Counter()
-    for g, s in sharding.longest_first(sizes, 8).items():
-        load[s] += sizes[g]
-    assert max(load.values()) <= max(max(sizes.values()), sum(sizes.values()) / 8 + max(sizes.values()))
+def plain_longest_first(sizes, shards):
+    """Shards of groups in falling order of size, one by one."""
+    load, out = [0] * shards, []
+    for size in sorted(sizes, reverse=True):
+        least = min(range(shards), key=lambda s: (load[s], s))
+        load[least] += size
+        out.append((size, least))
+    return out
+
+
+@given(st.lists(st.tuples(st.one_of(st.integers(1, 30), st.integers(1, 100_000)), st.integers(1, 60)), max_size=25), st.integers(1, 9))
+@settings(max_examples=200, deadline=None)
+def test_dealing_in_runs_is_the_plain_heap(counted, shards):
+    counts = Counter()
+    for size, n in counted:
+        counts[size] += n
+    got = []
+    for size, runs in sharding.longest_first(sorted(counts.items(), reverse=True), shards):
+        for rank in range(counts[size]):
+            start, cycle = [r for r in runs if r[0] <= rank][-1]
+            got.append((size, cycle[(rank - start) % len(cycle)]))
+    assert got == plain_longest_first(counts.elements(), shards)
+
+
+def test_dealing_takes_few_runs():
+    heap = [(0, s) for s in range(8)]
+    sharding.deal(heap, 10**13, 1)
+    runs = sharding.deal(heap, 100, 10**12)
+    assert len(runs) < 20 and max(heap)[0] - min(heap)[0] <= 100
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_shards_of_groups_are_those_of_the_plain_heap(spark, docs, monkeypatch, broadcast):
+    """Hot and equal sizes, with runs by broadcast and by a salted join; groups of one size may change places."""
+    if not broadcast:
+        monkeypatch.setattr(sharding, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(sharding, "LARGE_PARTS", 3)
+        monkeypatch.setattr(sharding, "BLOCK", 7)
+        monkeypatch.setattr(sharding, "PART_ROWS", 50)
+    own = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"t{i:05}") for i in range(3000)] + [(-1, None), (-2, "")], "doc_id long, text string")
+    for df in (docs, own):
+        source = Counter(r["text"] or "" for r in df.collect())
+        want = Counter(plain_longest_first([(len(t.encode()) + 1) * n for t, n in source.items()], 8))
+        of = {}
+        for r in rows_of(sharding.shard(df)):
+            of.setdefault((r["text_crc32"], r["size"]), [0, r["shard"]])[0] += 1
+        assert Counter((size * n, s) for (_, size), (n, s) in of.items()) == want
 
 
 def test_archives(spark, sf_dir):
