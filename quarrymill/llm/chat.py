@@ -46,14 +46,30 @@ def ranked(turns: DataFrame) -> DataFrame:
     return cut.withColumn("_own", own).join(starts, same).select("conv_id", "t", (F.col("_start") + F.col("_own")).alias("rank"))
 
 
-def rotate_perspectives(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+def _by_length(turns: DataFrame, part_turns: int) -> tuple[DataFrame, DataFrame | None]:
+    """The turns of conversations of up to ``part_turns`` turns, and those of longer ones, which alone need ranks; None if there are none."""
+    n = turns.groupBy(F.col("conv_id").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    ids = materialize(n.where(F.col("_n") > part_turns).select("_c"), "long")
+    several = ids.limit(BROADCAST_IDS + 1).count()
+    if not several:
+        return turns, None
+    ids = F.broadcast(ids) if several <= BROADCAST_IDS else ids
+    of = turns["conv_id"].eqNullSafe(F.col("_c"))
+    return turns.join(ids, of, "left_anti"), turns.join(ids, of, "left_semi")
+
+
+def rotate_perspectives(conversations: DataFrame, part_turns: int | None = PART_TURNS) -> DataFrame:
     """One row per conversation, participant and part: conv_id, perspective, part, n_turns, rendered, mask, n_masked.
 
+    With ``part_turns`` None no conversation is cut: each is one row for each participant, with part 0 and places in the whole text. Such a row
+    holds all of its dialogue, so that this is for tables whose longest conversation fits a task.
+
     ``conversations`` has conv_id, turn, role, text. Turns are in order of turn, role, text; null turns
     come first. A null role is the participant "unknown", a null text is empty. mask lists
     start:end in code points, end exclusive, of the perspective's words in ``rendered``, joined by commas
     (empty texts too); it is empty in parts where they say nothing. Repeated rows are turns of their own. A null
-    conv_id is a conversation. Conversations with neutral speakers alone have no perspective and no row.
+    conv_id is a conversation. Conversations with neutral speakers alone have no perspective and no row. An empty table gives an empty
+    result; other columns are ignored, whatever their names. Long texts stay whole. Jobs run while the plan is built.
     """
     turns = conversations.select(
         "conv_id",
@@ -63,21 +79,20 @@ def rotate_perspectives(conversations: DataFrame, part_turns: int = PART_TURNS)
             F.coalesce("text", F.lit("")).alias("text"),
         ).alias("t"),
     )
-    # only conversations longer than a part need ranks; shorter ones are part 0
-    n = conversations.groupBy(F.col("conv_id").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-    long = materialize(n.where(F.col("_n") > part_turns).select("_c"), "long")
-    several = long.limit(BROADCAST_IDS + 1).count()
-    turns = turns.withColumn("part", F.lit(0).cast("long"))
-    if several:
-        ids = F.broadcast(long) if several <= BROADCAST_IDS else long
-        of = turns["conv_id"].eqNullSafe(F.col("_c"))
-        cut = ranked(turns.join(ids, of, "left_semi").select("conv_id", "t"))
-        cut = cut.select("conv_id", "t", F.floor(F.col("rank") / part_turns).cast("long").alias("part"))
-        turns = turns.join(ids, of, "left_anti").unionByName(cut)
-    parts = turns.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    people = turns.select(F.col("conv_id").alias("c"), F.col("t.role").alias("perspective")).distinct()
-    people = people.where(~F.col("perspective").isin(*NEUTRAL))
-    sides = parts.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    short, long = (turns, None) if part_turns is None else _by_length(turns, part_turns)
+    roles = F.array_distinct(F.transform("turns", lambda t: t["role"]))
+    sides = short.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).select(
+        "conv_id",
+        F.lit(0).cast("long").alias("part"),
+        "turns",
+        F.explode(F.array_except(roles, F.array(*[F.lit(x) for x in NEUTRAL]))).alias("perspective"),
+    )
+    if long is not None:
+        cut = ranked(long)
+        parts = cut.groupBy("conv_id", F.floor(F.col("rank") / part_turns).cast("long").alias("part")).agg(F.sort_array(F.collect_list("t")).alias("turns"))
+        people = cut.select(F.col("conv_id").alias("c"), F.col("t.role").alias("perspective")).distinct()
+        people = people.where(~F.col("perspective").isin(*NEUTRAL))
+        sides = sides.unionByName(parts.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c"))
 
     def side(t: Column) -> Column:
         head = _head(t["role"], F.col("perspective"))

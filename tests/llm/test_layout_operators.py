@@ -45,6 +45,19 @@ def test_parts_of_a_conversation_with_equal_and_null_turns(spark):
     ] + [(2, "Ann", 0, 1)]
     whole = "".join(r["rendered"] for r in sorted((r for r in got if r["conv_id"] == 1 and r["perspective"] == "Bob"), key=lambda r: r["part"]))
     assert whole == "".join(f"<|im_start|>{'assistant' if who == 'Bob' else 'user name=Ann'}\n{t}<|im_end|>\n" for c, _, who, t in rows if c == 1)
+    uncut = {(r["conv_id"], r["perspective"]): r for r in rows_of(chat.rotate_perspectives(df, None))}
+    assert set(uncut) == {(1, "Ann"), (1, "Bob"), (2, "Ann")} and uncut[1, "Bob"]["rendered"] == whole and uncut[1, "Bob"]["n_turns"] == 1350
+    own = [whole[slice(*map(int, m.split(":")))] for m in uncut[1, "Bob"]["mask"].split(",")]
+    assert own == ["same"] * 600
+
+
+def test_perspectives_of_long_texts_and_clashing_columns(spark):
+    """Very long texts stay whole; columns named as those of the result and of the steps don't matter."""
+    rows = [(1, 0, "Ann", "é" * 300_000), (1, 1, "Bob", "x" * 1_000_000), (2, 0, "Ann", "y")]
+    names = ["turns", "t", "part", "perspective", "rendered", "mask", "c", "_c", "_n", "rank"]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", *(f"'z' AS {n}" for n in names))
+    got = {(r["conv_id"], r["perspective"]): r for r in rows_of(chat.rotate_perspectives(df))}
+    assert set(got) == {(1, "Ann"), (1, "Bob"), (2, "Ann")} and got[1, "Ann"]["n_masked"] == 300_000 and got[1, "Bob"]["n_masked"] == 1_000_000
 
 
 @pytest.mark.parametrize("name", ["docs", "odd", "none"])
