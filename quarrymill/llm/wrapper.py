@@ -669,7 +669,11 @@ def extract(pages: DataFrame) -> DataFrame:
     template = (F.col("n") >= LEAST_PAGES) & (F.col("same") >= SHARE * F.col("n"))
     nodes = votes.where((F.col("kind") == NODE) & template)
     many = count.where(F.col("pages") >= LEAST_PAGES)
-    paths = votes.where(F.col("kind") == PATH).join(many, ["host", "layout"]).where(F.col("n") >= SHARE * F.col("pages"))
+    # a host has a path for each of its different texts, so those of few pages go before the join, which shuffles only beyond a checked size
+    if (many.agg(F.sum(F.octet_length("host") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        many = F.broadcast(many)
+    often = votes.where((F.col("kind") == PATH) & (F.col("n") >= SHARE * LEAST_PAGES))
+    paths = often.join(many, ["host", "layout"]).where(F.col("n") >= SHARE * F.col("pages"))
     left = F.col("chars") + F.when(template, 0).otherwise(F.col("alike"))
     open_ = votes.where(F.col("kind") == NODE).select("host", "layout", "key", left.alias("chars"), (F.col("chars") > 0).alias("varying")).where("chars > 0")
     # lists of at most the nodes of one page
