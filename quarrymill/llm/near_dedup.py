@@ -307,7 +307,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest doc_id.
 
-    Of rows that share a kept doc_id one stays; rows with a null doc_id all stay.
+    Of rows that share a kept doc_id one stays; rows with a null doc_id all stay. Null texts and texts without words are linked with nothing
+    and stay. Other columns stay as they are; an empty table gives an empty result.
     """
     result = materialize(near_duplicates(docs, size, percent), "near_duplicates")
     gone = materialize(result.where(~F.col("kept")).select("doc_id").distinct(), "dropped")

@@ -310,7 +310,8 @@ def _redacted(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets, and n_chars, if there, brought up to date.
 
-    Of overlapping spans the first stands for all. Null texts stay null. Other columns stay as they are.
+    Of overlapping spans the first stands for all. Null texts stay null. Repeated rows stay, each redacted. An empty table gives an empty result.
+    Other columns stay as they are; the names __spans, __added, __d and __h are taken by the job itself.
     """
     occurrences = materialize(_occurrences(docs).drop("base"), "occurrences")
     added = materialize(_discovered(occurrences), "added")

@@ -218,7 +218,10 @@ class Classifier:
         )
 
     def keep_good(self, docs: DataFrame) -> DataFrame:
-        """The rows of ``docs`` with a score of THRESHOLD or more, with all their columns."""
+        """The rows of ``docs`` with a score of THRESHOLD or more, with all their columns, whatever their names.
+
+        Null texts are scored as empty ones; repeated rows are scored each by itself; an empty table gives an empty result.
+        """
         return map_arrow(docs, _filter(self.vectors, self.model), docs.schema)
 
 
