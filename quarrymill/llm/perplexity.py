@@ -11,6 +11,11 @@ Texts are scored with blocks of ranges of at most BLOCK_ENTRIES entries, each br
 second block means a second pass over the texts, and its sums are added. Each language has a band of log perplexity
 around its median; documents outside are rejected.
 
+Characters don't show in which order words stand, so a second model of each language takes trigrams of word symbols: a word is one
+of few symbols by its case, and by itself if it is short or by its ending if not; marks after it are symbols of their own. From both
+orders of that model follows how many nats a symbol is likelier for the two before it. Texts that gain too little of what is usual in their language are rejected: they
+are above an upper band of perplexity, set against that of their own words in any order.
+
 An n-gram that only one text holds says nothing about that text: it counts in the totals, but its probability comes from the
 lower order alone (copies of a text are one text).
 """
@@ -18,6 +23,7 @@ lower order alone (copies of a text are one text).
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +42,12 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_SYMBOL_PERCENT, MAX_CAPITAL_PERCENT = 2, 20
 #: Half widths of the band in scaled median deviations, and the least half width in nats.
 UPPER, LOWER, LEAST_WIDTH = 6.0, 6.0, 0.4
+#: Word symbols: bits of each, words of at most so many characters by themselves, in how many symbols, and longer ones by their ending.
+WORD_BITS, SHORT, SHORT_SYMBOLS, LONG_SYMBOLS = 6, 4, 20, 9
+#: Trigrams of word symbols carry this bit among the n-grams, which marks a range of their own.
+WORD_MARK = 1 << 60
+#: A text gains at least this share of what the median text gains by the order of its words, where that is at least LEAST_GAIN nats.
+ORDER_SHARE, LEAST_GAIN = 0.45, 0.2
 #: Log perplexities are counted in bins of this width to find medians.
 BIN = 1 / 1024
 #: Entries of a model that are broadcast at once, twelve bytes each.
@@ -59,8 +71,48 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return g[np.repeat(begin - at[:-1], size) + np.arange(size.sum())], at
 
 
-def suffix(keys: np.ndarray, order: int) -> np.ndarray:
-    return keys & ((1 << (order * BITS)) - 1)
+_END, _PAUSE = ".!?…", ",;:"
+_MARKS = _END + _PAUSE + "\"'()[]{}«»„“”‚‘’—–-*#"
+
+
+class _Symbols(dict):
+    """By word (UTF-8) its symbol, and above WORD_BITS that of the marks after it (0: none)."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        text = word.decode()
+        core, tail = text.strip(_MARKS), text[len(text.rstrip(_MARKS)) :]
+        low = core.lower()
+        if not low:
+            stem = SHORT_SYMBOLS + LONG_SYMBOLS
+        elif len(low) <= SHORT:
+            stem = zlib.crc32(low.encode()) % SHORT_SYMBOLS
+        else:
+            stem = SHORT_SYMBOLS + zlib.crc32(low[-2:].encode()) % LONG_SYMBOLS
+        mark = 1 if any(c in _END for c in tail) else 2 if any(c in _PAUSE for c in tail) else 3 if tail else 0
+        upper = core[:1].isupper() * (SHORT_SYMBOLS + LONG_SYMBOLS + 1)
+        self[word] = code = 4 + stem + upper | mark << WORD_BITS
+        return code
+
+
+def word_grams(texts: list[str], symbols: _Symbols) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams that end at each word symbol and at the end of each text; where each text's begin. The edge is 0."""
+    words = [t.encode().split() for t in texts]
+    at = offsets([len(ws) for ws in words])
+    code = np.fromiter((c for ws in words for c in map(symbols.__getitem__, ws)), np.int64, int(at[-1]))
+    both = np.stack([code & ((1 << WORD_BITS) - 1), code >> WORD_BITS], axis=1).reshape(-1)
+    there = both > 0
+    size = np.diff(np.concatenate([[0], np.cumsum(there)])[2 * at])
+    row = np.zeros(int(size.sum()) + 2 * (len(texts) + 1), np.int64)
+    row[np.arange(size.sum()) + 2 * (np.repeat(np.arange(len(texts)), size) + 1)] = both[there]
+    g = (row[:-2] << (2 * WORD_BITS)) | (row[1:-1] << WORD_BITS) | row[2:]
+    begin, at = offsets((size + 2).tolist())[:-1], offsets((size + 1).tolist())
+    return g[np.repeat(begin - at[:-1], size + 1) + np.arange(at[-1])], at
+
+
+def suffix(keys: np.ndarray, order: int, bits: int = BITS) -> np.ndarray:
+    return keys & ((1 << (order * bits)) - 1)
 
 
 def range_of(keys: np.ndarray) -> np.ndarray:
@@ -140,6 +192,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total += len(held[lang][0][0])
         return total
 
+    symbols = _Symbols()
     for batch in batches:
         for part in slices(batch, "text"):
             by: dict[str | None, tuple[list[str], list[int]]] = {}
@@ -149,8 +202,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     texts.append(text)
                     ids.append(i)
             for lang, (texts, ids) in by.items():
-                g, at = grams(texts)
-                own = np.repeat(np.array(ids, np.int32), np.diff(at))
+                (g, at), (w, w_at) = grams(texts), word_grams(texts, symbols)
+                g = np.concatenate([g, w | WORD_MARK])
+                own = np.concatenate([np.repeat(np.array(ids, np.int32), np.diff(x)) for x in (at, w_at)])
                 some = merged(g, np.ones(len(g), np.int64), own, own)
                 held.setdefault(lang, []).append(some)
                 size += len(some[0])
@@ -167,12 +221,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, range, gram, n, lo, hi) of all reference texts."""
+    """(lang, part, gram, n, lo, hi) of all reference texts; trigrams of word symbols are part RANGES."""
     text_id = F.pmod(F.xxhash64("text"), F.lit(2**31 - 1)).cast("int").alias("id")
     found = map_arrow(docs.select("text", F.col("lang").cast("string").alias("lang"), text_id), _count, "lang string, gram long, n long, lo int, hi int")
     sums = found.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     two = F.shiftright("gram", BITS).bitwiseAND(F.lit((1 << (2 * BITS)) - 1))
-    return sums.select("lang", (two % RANGES).cast("int").alias("part"), "gram", "n", "lo", "hi")
+    part = F.when(F.col("gram") >= WORD_MARK, RANGES).otherwise(two % RANGES).cast("int")
+    return sums.select("lang", part.alias("part"), "gram", "n", "lo", "hi")
 
 
 def discounts(n: list[float]) -> list[float]:
@@ -187,10 +242,10 @@ def discounts(n: list[float]) -> list[float]:
 Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def below(level: Level, order: int) -> Level:
+def below(level: Level, order: int, bits: int = BITS) -> Level:
     """The n-grams of one order less, which count the distinct characters before them."""
     keys, _, lo, hi = level
-    return merged(suffix(keys, order - 1), np.ones(len(keys), np.int64), lo, hi)
+    return merged(suffix(keys, order - 1, bits), np.ones(len(keys), np.int64), lo, hi)
 
 
 def counts_of_counts(level: Level) -> list[float]:
@@ -204,18 +259,18 @@ class Layer:
         self.keys, self.logs, self.contexts, self.back = keys, logs, contexts, back
 
     @classmethod
-    def build(cls, level: Level, cut: list[float], lower: np.ndarray) -> Layer:
+    def build(cls, level: Level, cut: list[float], lower: np.ndarray, bits: int = BITS) -> Layer:
         """Interpolates a level with the probabilities of the order below of its n-grams' suffixes."""
         keys, n, lo, hi = level
         shared = lo != hi
         gain = np.where(shared, n - np.array([0.0, *cut])[np.minimum(n, 3).astype(int)], 0.0)
-        at = np.flatnonzero(np.concatenate([[True], (keys[1:] >> BITS) != (keys[:-1] >> BITS)])) if len(keys) else np.zeros(0, np.int64)
+        at = np.flatnonzero(np.concatenate([[True], (keys[1:] >> bits) != (keys[:-1] >> bits)])) if len(keys) else np.zeros(0, np.int64)
         total, used = (np.add.reduceat(x, at) if len(at) else np.zeros(0) for x in (n.astype(float), gain))
         back = (total - used) / total
         of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(keys))))
         known = used[of] > 0
         p = np.where(known, gain / total[of] + back[of] * lower, lower)
-        return cls(keys, np.log(p).astype(np.float32), (keys >> BITS)[at][used > 0], np.log(back[used > 0]).astype(np.float32))
+        return cls(keys, np.log(p).astype(np.float32), (keys >> bits)[at][used > 0], np.log(back[used > 0]).astype(np.float32))
 
     @staticmethod
     def joined(layers: list[Layer]) -> Layer:
@@ -232,22 +287,36 @@ def _found(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, known[at] == keys
 
 
-def log_prob(layers: list[Layer], keys: np.ndarray) -> np.ndarray:
-    """Log probability of each n-gram's last character after the ones before it; ``layers`` from order one up."""
+def log_prob(layers: list[Layer], keys: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Log probability of each n-gram's last character or symbol after the ones before it; ``layers`` from order one up."""
     out, todo = np.zeros(len(keys)), np.arange(len(keys))
     for k in range(len(layers), 0, -1):
-        layer, g = layers[k - 1], suffix(keys[todo], k)
+        layer, g = layers[k - 1], suffix(keys[todo], k, bits)
         at, hit = _found(layer.keys, g)
         out[todo[hit]] += layer.logs[at[hit]]
         todo, g = todo[~hit], g[~hit]
         if not len(todo):
             return out
-        at, hit = _found(layer.contexts, g >> BITS)
+        at, hit = _found(layer.contexts, g >> bits)
         out[todo[hit]] += layer.back[at[hit]]
-    out[todo] -= BITS * np.log(2.0)
+    out[todo] -= bits * np.log(2.0)
     return out
 
 
+def order_gain(level: Level) -> np.ndarray:
+    """By trigram of word symbols: how much likelier, in nats, the last is after the two before it than by itself."""
+    levels = [level]
+    for k in (3, 2):
+        levels.append(below(levels[-1], k, WORD_BITS))
+    layers: list[Layer] = []
+    for k, x in enumerate(reversed(levels), 1):
+        lower = np.exp(log_prob(layers, suffix(x[0], k - 1, WORD_BITS), WORD_BITS))
+        layers.append(Layer.build(x, discounts(counts_of_counts(x)), lower, WORD_BITS))
+    every = np.arange(1 << (3 * WORD_BITS))
+    alone = log_prob(layers[:1], suffix(every, 1, WORD_BITS), WORD_BITS)
+    return (log_prob(layers, every, WORD_BITS) - alone).astype(np.float32)
+
+
 def _statistics(key: tuple, table: pa.Table) -> pa.Table:
     """Of a range: for orders from three up, how many n-grams have the counts 1 to 4; the n-grams of order two."""
     level = tuple(table.column(c).to_numpy() for c in ("gram", "n", "lo", "hi"))
@@ -264,11 +333,15 @@ def _statistics(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _layers_of(broadcast):
-    """The layers of a range, as bytes of sorted arrays."""
+    """The layers of a range, as bytes of sorted arrays; of the word symbols' range what their order gains, as ``logs``."""
+    names = ["lang", "part", "k", "keys", "logs", "contexts", "back"]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         low, cuts = broadcast.value[key[0].as_py()]
         level = merged(*(table.column(c).to_numpy() for c in ("gram", "n", "lo", "hi")))
+        if key[1].as_py() == RANGES:
+            gain = order_gain((level[0] ^ WORD_MARK, *level[1:])).tobytes()
+            return pa.Table.from_pylist([dict(zip(names, (key[0].as_py(), RANGES, 3, b"", gain, b"", b""), strict=True))], _MODEL)
         levels = [level]
         for k in range(ORDER, 3, -1):
             levels.append(below(levels[-1], k))
@@ -281,14 +354,26 @@ def _layers_of(broadcast):
         return pa.Table.from_arrays(
             [pa.array([key[0].as_py()] * n, pa.string()), pa.array([key[1].as_py()] * n, pa.int32()), pa.array(range(3, 3 + n), pa.int32())]
             + [pa.array(c, pa.binary()) for c in columns],
-            ["lang", "part", "k", "keys", "logs", "contexts", "back"],
+            names,
         )
 
     return run
 
 
-#: A block of a model: by language which ranges it answers for, and the layers from order one up.
-Block = dict[str | None, tuple[np.ndarray, list[Layer]]]
+class Block(dict[str | None, tuple[np.ndarray, list[Layer]]]):
+    """A block of a model: by language which ranges it answers for, and the layers from order one up.
+
+    ``gains`` has what the order of words gains, by trigram, of the languages that the block answers for in this.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.gains: dict[str | None, np.ndarray] = {}
+
+
+_MODEL = pa.schema(
+    [("lang", pa.string()), ("part", pa.int32()), ("k", pa.int32()), ("keys", pa.binary()), ("logs", pa.binary()), ("contexts", pa.binary()), ("back", pa.binary())]
+)
 _ARRAYS = (("keys", "<i8"), ("logs", "<f4"), ("contexts", "<i8"), ("back", "<f4"))
 
 
@@ -297,7 +382,7 @@ def _low(grams_: DataFrame) -> dict[str | None, tuple[list[Layer], dict[int, lis
 
     Order two has at most 2^24 n-grams a language.
     """
-    found = grams_.groupBy("lang", "part").applyInArrow(_statistics, "lang string, k long, gram long, n long, lo long, hi long")
+    found = grams_.where(F.col("part") < RANGES).groupBy("lang", "part").applyInArrow(_statistics, "lang string, k long, gram long, n long, lo long, hi long")
     sums = found.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     got = sums.toArrow()
     langs = got.column("lang").to_pylist()
@@ -330,15 +415,20 @@ def train(docs: DataFrame, block_entries: int = BLOCK_ENTRIES) -> Iterator[Block
     ranges = grams_.groupBy("lang", "part").applyInArrow(_layers_of(spark.sparkContext.broadcast(low)), schema)
     ranges = materialize(ranges, "model")
     there: dict[str | None, np.ndarray] = {lang: np.zeros(RANGES, bool) for lang in low}
-    for r in ranges.select("lang", "part").distinct().toLocalIterator():
+    for r in ranges.where(F.col("part") < RANGES).select("lang", "part").distinct().toLocalIterator():
         there[r["lang"]][r["part"]] = True
     held: dict[str | None, list] = {}
     size, first = 0, True
 
     def block() -> Block:
-        out = {}
+        out = Block()
         for lang in low if first else held:
-            rows = held.get(lang, [])
+            rows = []
+            for r in held.get(lang, []):
+                if r["part"] == RANGES:
+                    out.gains[lang] = np.frombuffer(r["logs"], "<f4")
+                else:
+                    rows.append(r)
             parts = ~there[lang] if first else np.zeros(RANGES, bool)
             parts[[r["part"] for r in rows]] = True
             layers = list(low[lang][0])
@@ -353,21 +443,25 @@ def train(docs: DataFrame, block_entries: int = BLOCK_ENTRIES) -> Iterator[Block
             yield block()
             held, size, first = {}, 0, False
         held.setdefault(r["lang"], []).append(r)
-        size += len(r["keys"]) // 8
+        size += len(r["logs"]) // 4
     yield block()
 
 
 def _score(broadcast, first: bool):
-    """Sums of log probabilities of each text over the ranges of a block; of the first block also the base figures."""
+    """Sums of log probabilities of each text over the ranges of a block; of the first block also the base figures.
+
+    ``order_gain`` is a mean over a text's word symbols, 0 where the block has none for its language.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = broadcast.value
         none = (np.full(RANGES, first), [])
+        symbols = _Symbols()
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 langs = part.column("lang").to_pylist()
-                loss = np.zeros(len(texts))
+                loss, gain = np.zeros(len(texts)), np.zeros(len(texts))
                 for lang in dict.fromkeys(langs):
                     own = [i for i, x in enumerate(langs) if x == lang]
                     g, at = grams([texts[i] for i in own])
@@ -377,18 +471,22 @@ def _score(broadcast, first: bool):
                     logs[mine] = log_prob(layers, g[mine])
                     total = np.concatenate([[0.0], np.cumsum(logs)])
                     loss[own] = total[at[:-1]] - total[at[1:]]
+                    if lang in block.gains:
+                        g, at = word_grams([texts[i] for i in own], symbols)
+                        total = np.concatenate([[0.0], np.cumsum(block.gains[lang][g], dtype=np.float64)])
+                        gain[own] = (total[at[1:]] - total[at[:-1]]) / np.diff(at)
                 figures = np.array([base_figures(t) if first else (0,) * 5 for t in texts], np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("lang"), part.column("id"), *(pa.array(figures[:, j]) for j in range(5))]
-                    + [pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(loss)],
-                    ["doc_id", "lang", "id", *FIGURES, "n_grams", "loss"],
+                    + [pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(loss), pa.array(gain)],
+                    ["doc_id", "lang", "id", *FIGURES, "n_grams", "loss", "order_gain"],
                 )
 
     return run
 
 
 def scored(docs: DataFrame, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
-    """doc_id, lang, the base figures and log_perplexity (nats a character) of each row of ``docs``."""
+    """doc_id, lang, the base figures, log_perplexity (nats a character) and order_gain (nats a word symbol) of each row of ``docs``."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     figures = ", ".join(f"{c} long" for c in FIGURES)
@@ -396,20 +494,21 @@ def scored(docs: DataFrame, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     passes = []
     for block in train(docs, block_entries):
         run = _score(spark.sparkContext.broadcast(block), not passes)
-        rows = map_arrow(read, run, f"doc_id {kind}, lang string, id long, {figures}, n_grams long, loss double")
+        rows = map_arrow(read, run, f"doc_id {kind}, lang string, id long, {figures}, n_grams long, loss double, order_gain double")
         passes.append(materialize(rows, "scored"))
     out = passes[0]
     if len(passes) > 1:
         key = ["doc_id", "lang", "id"]
         rows = [
-            p.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), *(F.max(c).alias(c) for c in (*FIGURES, "n_grams", "loss"))) for p in passes
+            p.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), *(F.max(c).alias(c) for c in (*FIGURES, "n_grams", "loss", "order_gain"))) for p in passes
         ]
         sums = rows[0]
         for more in rows[1:]:
             sums = sums.unionByName(more)
-        sums = sums.groupBy(*key).agg(F.max("rows").alias("rows"), *(F.max(c).alias(c) for c in (*FIGURES, "n_grams")), F.sum("loss").alias("loss"))
+        totals = [F.sum(c).alias(c) for c in ("loss", "order_gain")]
+        sums = sums.groupBy(*key).agg(F.max("rows").alias("rows"), *(F.max(c).alias(c) for c in (*FIGURES, "n_grams")), *totals)
         out = sums.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
-    return out.select("doc_id", "lang", *FIGURES, F.round(F.col("loss") / F.col("n_grams"), 9).alias("log_perplexity"))
+    return out.select("doc_id", "lang", *FIGURES, F.round(F.col("loss") / F.col("n_grams"), 9).alias("log_perplexity"), F.round("order_gain", 9).alias("order_gain"))
 
 
 def _median(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -421,9 +520,12 @@ def _median(df: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def bands(scores: DataFrame) -> DataFrame:
-    """(of, low, high): the band of log perplexity of each language, from its documents that pass the base rules."""
-    bin_of = F.round(F.col("log_perplexity") / BIN).cast("long")
-    good = scores.where(~F.col("base_failed")).select("lang", bin_of.alias("bin"))
+    """(of, low, high, least_gain): the band of log perplexity and the least order_gain of each language, from its documents that pass the base rules.
+
+    least_gain is null where the median text gains less than LEAST_GAIN.
+    """
+    good = scores.where(~F.col("base_failed")).select("lang", *(F.round(F.col(c) / BIN).cast("long").alias(n) for c, n in (("log_perplexity", "bin"), ("order_gain", "gain"))))
+    usual = _median(good, "gain", "usual").withColumnRenamed("lang", "of")
     middle = _median(good, "bin", "middle").withColumnRenamed("lang", "of")
     same = F.col("lang").eqNullSafe(F.col("of"))
     away = good.join(middle, same).select("lang", F.abs(F.col("bin") - F.col("middle")).alias("away"))
@@ -431,8 +533,11 @@ def bands(scores: DataFrame) -> DataFrame:
     return (
         _median(away, "away", "spread")
         .join(middle, same)
+        .drop("of")
+        .join(usual, same)
         .select(
             F.col("lang").alias("of"),
+            F.when(F.col("usual") * BIN >= LEAST_GAIN, ORDER_SHARE * BIN * F.col("usual")).alias("least_gain"),
             (F.col("middle") * BIN - F.greatest(F.lit(LEAST_WIDTH), LOWER * width)).alias("low"),
             (F.col("middle") * BIN + F.greatest(F.lit(LEAST_WIDTH), UPPER * width)).alias("high"),
         )
@@ -440,14 +545,15 @@ def bands(scores: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, lang): the base figures, log_perplexity, base_failed, kept.
+    """One row per row of ``docs`` (doc_id, text, lang): the base figures, log_perplexity, order_gain, base_failed, kept.
 
     Null and empty texts have no words and fail. A null lang is a language of its own; a language without reference texts
-    has a uniform model. Repeated rows each get their row. An empty table gives an empty result; other columns are ignored.
+has a uniform model and gains nothing. Repeated rows each get their row. An empty table gives an empty result; other columns are ignored.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     scores = scored(docs, block_entries).withColumn("base_failed", failed)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+    ordered = F.coalesce(F.col("order_gain") >= F.col("least_gain"), F.lit(True))
     rows = scores.join(F.broadcast(bands(scores)), F.col("lang").eqNullSafe(F.col("of")), "left")
-    kept = (~F.col("base_failed") & inside).alias("kept")
-    return rows.select("doc_id", *FIGURES, "log_perplexity", "base_failed", kept)
+    kept = (~F.col("base_failed") & inside & ordered).alias("kept")
+    return rows.select("doc_id", *FIGURES, "log_perplexity", "order_gain", "base_failed", kept)
