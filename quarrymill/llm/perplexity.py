@@ -72,6 +72,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 _END, _PAUSE = ".!?…", ",;:"
+_ENDS, _PAUSES = set(_END), set(_PAUSE)
 _MARKS = _END + _PAUSE + "\"'()[]{}«»„“”‚‘’—–-*#"
 
 
@@ -82,7 +83,8 @@ class _Symbols(dict):
         if len(self) >= 200_000:
             self.clear()
         text = word.decode()
-        core, tail = text.strip(_MARKS), text[len(text.rstrip(_MARKS)) :]
+        core = text.strip(_MARKS)
+        tail = text[len(text.rstrip(_MARKS)) :] if len(core) < len(text) else ""
         low = core.lower()
         if not low:
             stem = SHORT_SYMBOLS + LONG_SYMBOLS
@@ -90,7 +92,7 @@ class _Symbols(dict):
             stem = zlib.crc32(low.encode()) % SHORT_SYMBOLS
         else:
             stem = SHORT_SYMBOLS + zlib.crc32(low[-2:].encode()) % LONG_SYMBOLS
-        mark = 1 if any(c in _END for c in tail) else 2 if any(c in _PAUSE for c in tail) else 3 if tail else 0
+        mark = 0 if not tail else 1 if not _ENDS.isdisjoint(tail) else 2 if not _PAUSES.isdisjoint(tail) else 3
         upper = core[:1].isupper() * (SHORT_SYMBOLS + LONG_SYMBOLS + 1)
         self[word] = code = 4 + stem + upper | mark << WORD_BITS
         return code
@@ -466,9 +468,15 @@ def _score(broadcast, first: bool):
                     own = [i for i, x in enumerate(langs) if x == lang]
                     g, at = grams([texts[i] for i in own])
                     parts, layers = block.get(lang, none)
-                    mine = parts[range_of(g)]
-                    logs = np.zeros(len(g))
-                    logs[mine] = log_prob(layers, g[mine])
+                    # each different n-gram is looked up once, in order, which the binary searches pass through the arrays in
+                    order = np.argsort(g)
+                    first_of = np.diff(g[order], prepend=-1) != 0
+                    each = g[order][first_of]
+                    mine = parts[range_of(each)]
+                    own_logs = np.zeros(len(each))
+                    own_logs[mine] = log_prob(layers, each[mine])
+                    logs = np.empty(len(g))
+                    logs[order] = own_logs[np.cumsum(first_of) - 1]
                     total = np.concatenate([[0.0], np.cumsum(logs)])
                     loss[own] = total[at[:-1]] - total[at[1:]]
                     if lang in block.gains:
