@@ -57,3 +57,35 @@ def test_quality_without_history_has_the_same_errors(spark, sf_dir):
     with_it, without = quality.apply_quality(df), quality.apply_quality(df, history=False)
     assert set(with_it.columns) - set(without.columns) == {"hist_item_repetido"}
     assert with_it.drop("hist_item_repetido").exceptAll(without).isEmpty()
+
+
+def test_modes_shuffle_equal_rows_once(spark):
+    """Rows of one key and equal values are counted before they are split into columns."""
+    from quarrymill.operators import ranks
+
+    df = spark.createDataFrame([("k", "a", "x")] * 3 + [("k", "b", "x"), ("l", None, "y")], "k string, a string, b string")
+    out = ranks.modes(df, ["k"], {"a": F.col("a"), "b": F.col("b")})
+    assert {tuple(r) for r in out.collect()} == {("k", "a", "x"), ("l", None, "y")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.rindex("Generate")  # the lowest aggregation lies below the expansion
+
+
+def test_clean_text_is_what_two_replacements_give(spark):
+    import itertools
+
+    from quarrymill.functions.text import clean_text
+
+    df = spark.createDataFrame([("x" + "".join(p) + "y",) for n in range(5) for p in itertools.product(" \t\n\r\x0b\f", repeat=n)], "t string")
+    old = F.trim(F.regexp_replace(F.regexp_replace("t", r"[\r\n\t]+", " "), r"\s{2,}", " "))
+    assert df.where(~clean_text("t").eqNullSafe(old)).isEmpty()
+
+
+def test_staging_gate_derives_purchases_once(spark, sf_dir, monkeypatch):
+    from quarrymill.plans import adapter, catalog, forecasts
+
+    calls, real = [], adapter.purchases
+    counted = lambda *a: calls.append(1) or real(*a)
+    monkeypatch.setattr(adapter, "purchases", counted)
+    monkeypatch.setattr(forecasts, "purchases", counted)
+    rows = {r["validacao"]: r["aprovado"] for r in catalog.QUERIES["staging_gate"](spark, sf_dir).collect()}
+    assert len(rows) == 20 and len(calls) == 1
