@@ -530,8 +530,10 @@ def _median(df: DataFrame, value: str, name: str) -> DataFrame:
 def bands(scores: DataFrame) -> DataFrame:
     """(of, low, high, least_gain): the band of log perplexity and the least order_gain of each language, from its documents that pass the base rules.
 
-    least_gain is null where the median text gains less than LEAST_GAIN.
+    least_gain is null where the median text gains less than LEAST_GAIN, or ``scores`` has no order_gain.
     """
+    if "order_gain" not in scores.columns:
+        scores = scores.withColumn("order_gain", F.lit(None).cast("double"))
     good = scores.where(~F.col("base_failed")).select("lang", *(F.round(F.col(c) / BIN).cast("long").alias(n) for c, n in (("log_perplexity", "bin"), ("order_gain", "gain"))))
     usual = _median(good, "gain", "usual").withColumnRenamed("lang", "of")
     middle = _median(good, "bin", "middle").withColumnRenamed("lang", "of")
