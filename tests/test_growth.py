@@ -37,3 +37,12 @@ def test_two_levels_write_no_price_again(spark, sf_dir, written):
     catalog.QUERIES["outliers_two_level"](spark, sf_dir).where(F.col("gravidade") == "X").collect()
     wide = [columns for label, columns, n in written if n > 1000]
     assert len(wide) == 1 and not {"descricao_item", "familia_material", "fornecedor_nome", "uf", "capacidade"} & wide[0]
+
+
+@pytest.mark.parametrize("name, tables, unread", [
+    ("benchmark_rows", 1, {"descricao_item", "fornecedor_nome", "uf", "capacidade"}),
+])
+def test_rows_are_written_in_the_columns_that_are_read(spark, sf_dir, written, name, tables, unread):
+    catalog.QUERIES[name](spark, sf_dir).collect()
+    wide = [columns for _, columns, n in written if n > 1000 and "mes" not in columns]
+    assert len(wide) == tables and not any(unread & columns for columns in wide)
