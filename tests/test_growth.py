@@ -47,6 +47,7 @@ def test_two_levels_write_no_price_again(spark, sf_dir, written):
     ("dup_kinds", 1, {"purchase_id"}),
     ("supplier_hhi", 1, {"descricao_item", "uf", "capacidade"}),
     ("monthly_indicators", 2, {"descricao_item", "fornecedor_nome", "uf", "capacidade"}),
+    ("monthly_series", 1, {"fornecedor_nome", "uf", "capacidade"}),
 ])
 def test_rows_are_written_in_the_columns_that_are_read(spark, sf_dir, written, name, tables, unread):
     catalog.QUERIES[name](spark, sf_dir).collect()
