@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import keys, text, units
 from quarrymill.operators import classify, filters, joins, quality, typing
-from quarrymill.plans.adapter import FLAGS, GAPS, PURCHASES, purchases, table, with_gaps
+from quarrymill.plans.adapter import FLAGS, GAPS, PURCHASES, codes, purchases, table, with_gaps
 from quarrymill.plans.purchases import KEY, flagged, names, query
 from quarrymill.sources.scratch import cut
 
@@ -300,6 +300,6 @@ def _(spark, sf_dir):
     total = F.when(F.col("numero_item") != 4, F.col("valor_total"))
     kept = ["id_compra", "id_compra_item", "codigo_catmat", "descricao_item", "quantidade", "sigla_unidade_fornecimento", "nome_unidade_fornecimento", "fornecedor_nome"]
     pilot = df.select(*kept, total.alias("valor_total_calculado"), *[F.col(a).alias(b) for a, b in names_.items()])
-    codes = pilot.select("codigo_catmat").distinct().where("codigo_catmat % 3 = 0")
+    wanted = codes(spark, sf_dir).where("codigo_catmat % 3 = 0")
     schema = "purchase_id string, data_publicacao timestamp, codigo_catmat long, familia_material string, valor_total double, cnpj_fornecedor string, unidade_comparavel string, uf_uasg string, tipo_preco string, dq_duplicidade boolean, dq_possui_erro boolean, outlier_gravidade string"
-    return typing.pilot_gold(pilot, codes, spark.createDataFrame([], schema).schema, "MEDIDORES")
+    return typing.pilot_gold(pilot, wanted, spark.createDataFrame([], schema).schema, "MEDIDORES")

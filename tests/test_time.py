@@ -2,11 +2,12 @@
 
 import itertools
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.functions import text
-from quarrymill.operators import star
-from quarrymill.plans import reference
+from quarrymill.operators import audit, ranks, star, typing
+from quarrymill.plans import adapter, catalog, forecasts, layers, reference, selection
 from quarrymill.plans.adapter import purchases
 
 #: The JVM interprets methods of more bytes of code.
@@ -38,8 +39,6 @@ def test_fact_is_compiled(spark, sf_dir, tmp_path):
 
 
 def test_fact_reads_no_description(spark, sf_dir, monkeypatch):
-    from quarrymill.plans import adapter, catalog
-
     seen, real = [], adapter.cut
     monkeypatch.setattr(adapter, "cut", lambda df, *a: seen.append(set(df.columns)) or real(df, *a))
     catalog.QUERIES["fact_purchases"](spark, sf_dir)
@@ -56,3 +55,46 @@ def test_cleaned_texts_are_what_the_pattern_gives(spark):
     trimmed = F.trim("t")
     assert df.where(~text.present("t").eqNullSafe(F.when(trimmed.isin("", "nan", "None", "<NA>"), None).otherwise(trimmed))).isEmpty()
     assert df.where(~text.in_parts("t").eqNullSafe(F.col("t"))).isEmpty()
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """(label, columns, rows) of the tables that are written between steps."""
+    seen = []
+    for module in (ranks, typing, layers, forecasts):
+        real = getattr(module, "cut", None)
+
+        def cut(df, label="cut", real=real):
+            out = real(df, label)
+            seen.append((label, out.columns, out.count()))
+            return out
+
+        if real:
+            monkeypatch.setattr(module, "cut", cut)
+    return seen
+
+
+def test_pilot_sorts_rows_of_its_codes_alone(spark, sf_dir, written, monkeypatch):
+    calls, real = [], adapter.purchases
+    monkeypatch.setattr(selection, "purchases", lambda *a: calls.append(1) or real(*a))
+    n = catalog.QUERIES["pilot_history"](spark, sf_dir).count()
+    rows, ranges = ([w for w in written if w[0] == label] for label in ("rows", "ranges"))
+    whole = real(spark, sf_dir).count()
+    assert len(calls) == 1 and [r for *_, r in rows] == [whole] and [r for *_, r in ranges] == [n] and n < whole / 2
+    assert not {"quantidade", "descricao_material", "fornecedor_nome"} & set(ranges[0][1])
+
+
+def test_pilot_positions_count_rows_of_other_codes(spark):
+    import hashlib
+
+    rows = [(c, f"c{i}", None, f"i{i}", None, float(i)) for i in range(40) for c in (i % 5 if i % 7 else None,)]
+    df = spark.createDataFrame(rows, "codigo_catmat int, id_compra string, id_item_compra string, id_compra_item string, data_referencia string, quantidade double")
+    df = df.withColumn("preco_unitario", F.lit(2.0))
+    codes = spark.createDataFrame([(1,), (3,), (9,)], "codigo_catmat long")
+    schema = spark.createDataFrame([], "codigo_catmat long, purchase_id string, valor_total double").schema
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = {("MED-" + hashlib.sha1(f"{r[0]}|{r[1]}||{r[3]}||{k + 1}".encode()).hexdigest()[:20], r[0], r[5] * 2) for k, r in enumerate(ordered) if r[0] in (1, 3)}
+    got = typing.pilot_gold(df.repartition(3), codes, schema, "M")
+    assert got.columns == schema.names and {(r["purchase_id"], r["codigo_catmat"], r["valor_total"]) for r in got.collect()} == want
+    none = typing.pilot_gold(df, codes.where("codigo_catmat = 9"), schema, "M")
+    assert none.count() == 0
