@@ -98,3 +98,39 @@ def test_pilot_positions_count_rows_of_other_codes(spark):
     assert got.columns == schema.names and {(r["purchase_id"], r["codigo_catmat"], r["valor_total"]) for r in got.collect()} == want
     none = typing.pilot_gold(df, codes.where("codigo_catmat = 9"), schema, "M")
     assert none.count() == 0
+
+
+def test_silver_records_stay_in_place_and_are_compiled(spark, sf_dir, tmp_path):
+    layers.raw_records(spark, sf_dir).write.parquet(str(tmp_path / "r"))
+    records = spark.read.parquet(str(tmp_path / "r"))
+    catalogue = purchases(spark, sf_dir).groupBy(F.col("codigo_catmat").alias("codigo")).agg(F.min("descricao_item").alias("descricao"))
+    out = typing.silver(records, catalogue)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert out.columns == typing.SILVER and largest_method(out) < COMPILED / 2
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_silver_has_each_record_once_beyond_a_broadcast(spark, monkeypatch, most):
+    from quarrymill.sources import scratch
+
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", most)
+    records = spark.createDataFrame([("1", "a"), ("1", None), ("x", "b"), (None, ""), ("2", "")], "codigoItemCatalogo string, descricaoItem string")
+    catalogue = spark.createDataFrame([(1, "d1", "f"), (1, "d0", "g"), (2, None, "h"), (None, "n", "n")], "codigo long, descricao string, familia_material string")
+    got = [tuple(r) for r in typing.silver(records, catalogue).select("codigo_catmat", "descricao_item", "familia_material").collect()]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(got, key=key) == sorted([(1, "a", "g"), (1, "d0", "g"), (None, "b", None), (None, None, None), (2, None, "h")], key=key)
+
+
+def test_amounts_are_what_the_patterns_give(spark):
+    parts = ["R$", " ", ".", ",", "1", "23", "-", "\t", "e5", "x"]
+    df = spark.createDataFrame([("".join(p),) for n in range(5) for p in itertools.product(parts, repeat=n)] + [(None,)], "t string")
+    t = F.regexp_replace(F.replace(F.col("t"), F.lit("R$"), F.lit("")), r"\s", "")
+    comma, dot = F.contains(t, F.lit(",")), F.contains(t, F.lit("."))
+    last = F.instr(F.reverse(t), ",") < F.instr(F.reverse(t), ".")
+    swap = F.translate(F.translate(t, ".", ""), ",", ".")
+    both = F.when(comma & dot & last, swap).when(comma & dot, F.translate(t, ",", "")).when(comma, F.translate(t, ",", ".")).otherwise(t)
+    number = lambda x: F.when(F.rlike(x, F.lit(text._NUMBER)), x.try_cast("double"))
+    df = df.withColumns({"a": number(both), "b": number(F.when(comma, swap).otherwise(t))})
+    assert df.where(~text.parse_decimal("t").eqNullSafe(F.col("a")) | ~text.parse_decimal_comma("t").eqNullSafe(F.col("b"))).isEmpty()
+    assert df.where("a is not null").count() > 100
