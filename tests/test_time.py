@@ -83,6 +83,12 @@ def test_integrated_star_writes_what_its_gate_reads(spark, sf_dir, written):
     assert (got["aprovado"]["linhas"], got["aprovado"]["codigos"]) == (20, 1)
 
 
+def test_staging_gate_writes_what_it_reads(spark, sf_dir, written):
+    assert catalog.QUERIES["staging_gate"](spark, sf_dir).count() == 20
+    facts = [c for _, c, _ in written if "fornecedor_key" in c and "codigo_catmat" in c]
+    assert facts == [audit.FACT_READ]
+
+
 def test_pilot_sorts_rows_of_its_codes_alone(spark, sf_dir, written, monkeypatch):
     calls, real = [], adapter.purchases
     monkeypatch.setattr(selection, "purchases", lambda *a: calls.append(1) or real(*a))
